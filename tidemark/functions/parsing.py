@@ -64,8 +64,9 @@ def percent(col: Column) -> Column:
 
 def to_month(col: Column, fmt: str, strict: bool = False) -> Column:
     """Month start of a period string in a declared format."""
-    parse = F.to_timestamp if strict else F.try_to_timestamp
-    return F.trunc(parse(F.trim(col.cast("string")), F.lit(spark_pattern(fmt))), "month")
+    text, pattern = F.trim(col.cast("string")), spark_pattern(fmt)
+    parsed = F.to_timestamp(text, pattern) if strict else F.try_to_timestamp(text, F.lit(pattern))
+    return F.trunc(parsed, "month")
 
 
 def month_from_parts(year: Column, month: Column) -> Column:

@@ -173,10 +173,8 @@ def yearly_totals(
     rows = df
     if category:
         labelled = F.max(F.col(category) == total_label)
-        any_total = df.agg(F.coalesce(labelled, F.lit(False)).alias("_any_total"))
-        rows = df.crossJoin(F.broadcast(any_total)).where(
-            ~F.col("_any_total") | (F.col(category) == total_label)
-        )
+        any_total = df.agg(F.coalesce(labelled, F.lit(False))).scalar()
+        rows = df.where(~any_total | (F.col(category) == total_label))
     keyed = rows.withColumn("_key", hier_key(F.col(level1), F.col(level2)))
     wide = pivot_sum(keyed, [year], "_key", value, list(named))
     return wide.select(year, *[F.col("`" + k + "`").alias(v) for k, v in named.items()])
@@ -248,8 +246,12 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: Sequence[str] = ()) -
     if bins < 1:
         raise ValueError("bins must be at least 1")
     rows = df.where(F.col(col).isNotNull())
-    spans = rows.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    joined = rows.join(spans, list(by)) if by else rows.crossJoin(F.broadcast(spans))
+    if by:
+        spans = rows.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+        joined = rows.join(spans, list(by))
+    else:
+        lo, hi = (rows.agg(f(col)).scalar() for f in (F.min, F.max))
+        joined = rows.withColumns({"_lo": lo, "_hi": hi})
     width = (F.col("_hi") - F.col("_lo")) / bins
     slot = F.when(width > 0, F.floor((F.col(col) - F.col("_lo")) / F.when(width > 0, width))).otherwise(0)
     counted = joined.groupBy(*by, "_lo", "_hi", F.least(slot, F.lit(bins - 1)).cast("int").alias("bin")).agg(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -69,16 +68,20 @@ def melt_hier(
 
     A name without a second level gets an empty one; an empty input keeps the schema.
     """
-    values = [c for c in df.columns if c not in ids]
-    text = df.select(*[quoted(c) for c in ids], *[quoted(c).cast("string").alias(c) for c in values])
-    long = melt(text, ids, values, "_name", val)
-    parts = F.split("_name", re.escape(sep), 2)
-    return long.select(
-        *[quoted(c) for c in ids],
-        F.trim(parts[0]).alias(level1),
-        F.trim(F.coalesce(F.get(parts, 1), F.lit(""))).alias(level2),
-        p.number(F.col(val)).alias(val),
-    )
+    cells = []
+    for name in df.columns:
+        if name not in ids:
+            first, _, second = name.partition(sep)
+            cells.append(
+                F.struct(
+                    F.lit(first.strip()).alias(level1),
+                    F.lit(second.strip()).alias(level2),
+                    p.number(quoted(name)).alias(val),
+                )
+            )
+    if not cells:
+        raise ValueError(f"nothing to melt besides {list(ids)}")
+    return df.select(*[quoted(c) for c in ids], F.inline(F.array(*cells)))
 
 
 def zero_flag(col: str, eps: float = ZERO_IS_MISSING) -> Column:
