@@ -285,7 +285,7 @@ def quality_report(runs: DataFrame, covered: DataFrame, quarantine: DataFrame |
         runs, ["source_id"], [F.col("collected_at").desc_nulls_last(), F.col("source_file").asc()]
     )
     n_runs = runs.groupBy("source_id").agg(F.count("*").alias("runs"))
-    joined = latest.join(n_runs, "source_id").join(covered, "source_id", "left")
+    joined = latest.drop("rows").join(n_runs, "source_id").join(covered, "source_id", "left")
     rows = F.coalesce(F.col("rows"), F.lit(0))
     zero_total = F.aggregate(
         F.coalesce(F.map_values("zero_rows"), F.array().cast("array<bigint>")),
