@@ -224,7 +224,8 @@ def ridge_from_stats(
                     n[ok].to_numpy(dtype=float), np.stack(sums[ok].to_list()), np.stack(cross[ok].to_list()),
                     spec, names, target,
                 )
-                out[ok] = list(found)
+                for i, row in zip(np.flatnonzero(ok), found):
+                    out[i] = row
             return pd.Series(out)
 
         return F.pandas_udf(solve, T.ArrayType(T.DoubleType()))

@@ -64,11 +64,16 @@ def regression_metrics(df: DataFrame, by: Sequence[str], check: bool = False) ->
     return rows.groupBy(*by).agg(mae().alias("mae"), rmse().alias("rmse"), F.count("*").alias("n"))
 
 
-def error_metrics(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    return pairs(df).groupBy(*by).agg(
+def error_aggs() -> list[Column]:
+    """Aggregates of all level errors, to be combined with others in one pass."""
+    return [
         mae().alias("mae"), rmse().alias("rmse"), mape().alias("mape"), smape().alias("smape"),
         r2().alias("r2"), F.count("*").alias("n"),
-    )
+    ]
+
+
+def error_metrics(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    return pairs(df).groupBy(*by).agg(*error_aggs())
 
 
 def directional_accuracy(df: DataFrame, by: Sequence[str], series: Sequence[str], ts: str) -> DataFrame:
@@ -76,10 +81,18 @@ def directional_accuracy(df: DataFrame, by: Sequence[str], series: Sequence[str]
 
     Steps are taken inside a series, in time order; one row alone makes no step.
     """
+    return with_steps(pairs(df), by, series, ts).groupBy(*by).agg(direction_agg())
+
+
+def with_steps(df: DataFrame, by: Sequence[str], series: Sequence[str], ts: str) -> DataFrame:
+    """Mark each step of a series: 1 where both values move alike, 0 where not, null at its start."""
     order = Window.partitionBy(*dict.fromkeys([*by, *series])).orderBy(ts)
     dy, dp = F.col(Y) - F.lag(Y).over(order), F.col(P) - F.lag(P).over(order)
-    steps = pairs(df).withColumn("_same", (F.signum(dy) == F.signum(dp)).cast("double"))
-    return steps.groupBy(*by).agg(F.avg("_same").alias("directional_accuracy"))
+    return df.withColumn("_same_way", (F.signum(dy) == F.signum(dp)).cast("double"))
+
+
+def direction_agg() -> Column:
+    return F.avg("_same_way").alias("directional_accuracy")
 
 
 def peak_scores(df: DataFrame, by: Sequence[str], percentile: float = 90.0) -> DataFrame:
@@ -111,7 +124,7 @@ def peak_scores(df: DataFrame, by: Sequence[str], percentile: float = 90.0) -> D
 
 
 def all_metrics(df: DataFrame, by: Sequence[str], series: Sequence[str], ts: str, percentile: float = 90.0) -> DataFrame:
-    out = error_metrics(df, by).join(directional_accuracy(df, by, series, ts), list(by))
+    out = with_steps(pairs(df), by, series, ts).groupBy(*by).agg(*error_aggs(), direction_agg())
     return out.join(peak_scores(df, by, percentile), list(by), "left")
 
 
@@ -129,12 +142,16 @@ def delta_metrics(df: DataFrame, by: Sequence[str], observed: str) -> DataFrame:
 
     Rows whose true change is zero do not count; a predicted change of zero counts as wrong.
     """
+    return df.groupBy(*by).agg(*delta_aggs(observed))
+
+
+def delta_aggs(observed: str) -> list[Column]:
     true, called = F.col(Y) - F.col(observed), F.col(P) - F.col(observed)
     same = (F.signum(true) == F.signum(called)).cast("double")
-    return df.groupBy(*by).agg(
+    return [
         F.avg(F.abs(true - called)).alias("delta_mae"),
         F.avg(F.when(true != 0, same)).alias("delta_direction_accuracy"),
-    )
+    ]
 
 
 def residual_summary(df: DataFrame, by: Sequence[str], observed: str) -> DataFrame:

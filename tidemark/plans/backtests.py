@@ -142,9 +142,8 @@ def backtest_matrix(
     """
     predicted = backtest_predictions(panel, group, versions, models, target, horizon, period)
     key = ["version", "model", *group]
-    scored = sc.error_metrics(predicted, key).join(
-        sc.directional_accuracy(predicted, key, [], period), key
-    )
+    steps = sc.with_steps(sc.pairs(predicted), key, [], period)
+    scored = steps.groupBy(*key).agg(*sc.error_aggs(), sc.direction_agg())
     needs = F.array(
         *[
             F.struct(F.lit(m).alias("model"), F.lit(models.min_train.get(m, 0)).alias("min_train"))
@@ -207,8 +206,9 @@ def ablation(
     labelled = predicted.withColumns({"feature_group": split_name[0], "model": split_name[1]})
     sizes = F.create_map(*[F.lit(x) for n, cols in groups.items() for x in (n, len(cols))])
     return (
-        sc.error_metrics(labelled, key)
-        .join(sc.delta_metrics(labelled, key, "_observed"), key)
+        sc.pairs(labelled)
+        .groupBy(*key)
+        .agg(*sc.error_aggs(), *sc.delta_aggs("_observed"))
         .withColumn("n_features", F.element_at(sizes, F.col("feature_group")))
     )
 

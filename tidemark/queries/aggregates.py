@@ -373,8 +373,8 @@ def fold_summary(spark, d):
 @query(
     "a19_quality_report",
     """WITH T AS (SELECT 'source_' || l_returnflag AS source_id, 'file_' || l_linestatus AS source_file,
-  max(l_shipdate) AS at, count(*) FILTER (l_discount = 0) AS zeros FROM lineitem GROUP BY l_returnflag, l_linestatus),
-L AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY at DESC, source_file) AS rn,
+  max(l_shipdate) AS last_at, count(*) FILTER (l_discount = 0) AS zeros FROM lineitem GROUP BY l_returnflag, l_linestatus),
+L AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY last_at DESC, source_file) AS rn,
   count(*) OVER (PARTITION BY source_id) AS runs FROM T),
 C AS (SELECT 'source_' || l_returnflag AS source_id, count(*) AS rows, CAST(min(l_shipdate) AS DATE) AS period_min,
   CAST(max(l_shipdate) AS DATE) AS period_max FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)

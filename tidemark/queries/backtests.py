@@ -30,13 +30,13 @@ def ar_panel(spark, d, gaps: bool = False):
     return lead_target(lagged, ["area"], "period_month", "observed", 1)
 
 
-AR_SQL = """, AR AS (
+AR_SQL = """, ARP AS (
   SELECT area, period_month, observed, lag(observed, 1) OVER w AS lag_1m, lag(observed, 12) OVER w AS lag_12m,
     CASE WHEN count(observed) OVER r = 3 THEN avg(observed) OVER r END AS roll_3m, lead(observed, 1) OVER w AS target
   FROM (SELECT area, period_month, price / 1000 AS observed FROM MGRID)
   WINDOW w AS (PARTITION BY area ORDER BY period_month),
          r AS (PARTITION BY area ORDER BY period_month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
-ARC AS (SELECT * FROM AR WHERE observed IS NOT NULL AND lag_1m IS NOT NULL AND lag_12m IS NOT NULL
+ARC AS (SELECT * FROM ARP WHERE observed IS NOT NULL AND lag_1m IS NOT NULL AND lag_12m IS NOT NULL
   AND roll_3m IS NOT NULL AND target IS NOT NULL)"""
 
 VERSIONS = [
@@ -134,15 +134,15 @@ def _long_predictions(source: str, keep: str, extra: str = "") -> str:
         "persistence_monthly": "observed",
         "naive_lag_1m": "lag_1m",
         "seasonal_naive_lag_12m": "lag_12m",
-        "monthly_ar_ridge": predict_sql("ar", FEATURES),
-        "delta_ar_ridge": predict_sql("dr", FEATURES[1:], "observed"),
+        "monthly_ar_ridge": predict_sql("ra", FEATURES),
+        "delta_ar_ridge": predict_sql("rd", FEATURES[1:], "observed"),
     }
     return " UNION ALL ".join(
         f"SELECT {keep}, target AS y_true, '{m}' AS model, {e} AS y_pred{extra} FROM {source}" for m, e in exprs.items()
     )
 
 
-POSITIONS = ridge_sql("G", "ar", [0, 1, 2, 3], 4) + ",\n" + ridge_sql("ar", "dr", [1, 2, 3], 4, base=0)
+POSITIONS = ridge_sql("G", "ra", [0, 1, 2, 3], 4) + ",\n" + ridge_sql("ra", "rd", [1, 2, 3], 4, base=0)
 
 
 @query(
@@ -156,7 +156,7 @@ POSITIONS = ridge_sql("G", "ar", [0, 1, 2, 3], 4) + ",\n" + ridge_sql("ar", "dr"
 """
     + POSITIONS
     + ", LONG AS ("
-    + _long_predictions("dr", "area, period_month, observed")
+    + _long_predictions("rd", "area, period_month, observed")
     + """)
 SELECT area, period_month, round(y_true, 5) AS y_true, round(observed, 5) AS observed_value, model, round(y_pred, 5) AS y_pred,
   period_month AS forecast_origin_month, CAST(period_month + INTERVAL 1 MONTH AS DATE) AS target_month,
@@ -173,23 +173,23 @@ def _matrix_sql() -> str:
         if v.window:
             months = "(SELECT CAST(DATE '2000-11-01' - to_months(CAST(k AS INTEGER)) AS DATE) AS e FROM range(0, 6) r(k))"
             train.append(
-                f"SELECT '{v.name}' AS version, e AS eval_month, AR.* FROM AR, {months} "
+                f"SELECT '{v.name}' AS version, e AS eval_month, ARP.* FROM ARP, {months} "
                 "WHERE CAST(period_month + INTERVAL 1 MONTH AS DATE) < e"
             )
-            test.append(f"SELECT '{v.name}' AS version, e AS eval_month, AR.* FROM AR, {months} WHERE period_month = e")
+            test.append(f"SELECT '{v.name}' AS version, e AS eval_month, ARP.* FROM ARP, {months} WHERE period_month = e")
         else:
             train.append(
-                f"SELECT '{v.name}' AS version, DATE '1900-01-01' AS eval_month, AR.* FROM AR WHERE "
+                f"SELECT '{v.name}' AS version, DATE '1900-01-01' AS eval_month, ARP.* FROM ARP WHERE "
                 f"CAST(period_month + INTERVAL 1 MONTH AS DATE) <= DATE '{v.cutoff}' AND period_month <= DATE '{v.train_end}'"
             )
             test.append(
-                f"SELECT '{v.name}' AS version, DATE '1900-01-01' AS eval_month, AR.* FROM AR WHERE "
+                f"SELECT '{v.name}' AS version, DATE '1900-01-01' AS eval_month, ARP.* FROM ARP WHERE "
                 f"period_month BETWEEN DATE '{v.test_start}' AND DATE '{v.test_end}'"
             )
     pool = " UNION ALL ".join(
         f"SELECT area, '{v.name}' AS version, '{v.mode}' AS evaluation_mode, count(*) FILTER ("
         f"CAST(period_month + INTERVAL 1 MONTH AS DATE) <= DATE '{v.cutoff}' AND period_month <= DATE '{v.train_end}') AS n_train "
-        "FROM AR GROUP BY area"
+        "FROM ARP GROUP BY area"
         for v in VERSIONS
     )
     complete = " AND ".join(f"{c} IS NOT NULL" for c in [*FEATURES, "target"])
@@ -198,7 +198,7 @@ def _matrix_sql() -> str:
 TEST AS (SELECT * FROM ({' UNION ALL '.join(test)}) WHERE target IS NOT NULL),
 G AS (SELECT version, eval_month, area, {gram_sql([*FEATURES, 'target'])} FROM TRAIN GROUP BY ALL),
 {POSITIONS},
-J AS (SELECT TEST.*, dr.* EXCLUDE (version, eval_month, area) FROM TEST JOIN dr USING (version, eval_month, area)),
+J AS (SELECT TEST.*, rd.* EXCLUDE (version, eval_month, area) FROM TEST JOIN rd USING (version, eval_month, area)),
 LONG AS (SELECT * FROM ({_long_predictions('J', 'version, area, period_month')}) WHERE y_pred IS NOT NULL),
 STEP AS (SELECT *, CAST(sign(y_true - lag(y_true) OVER w) = sign(y_pred - lag(y_pred) OVER w) AS DOUBLE) AS same
   FROM LONG WINDOW w AS (PARTITION BY version, model, area ORDER BY period_month)),
@@ -263,7 +263,7 @@ def _ablation_sql() -> str:
     )
     sizes = " ".join(f"WHEN '{n}' THEN {len(cols)}" for n, cols in GROUPS.items())
     return f""", P0 AS (SELECT *, CAST(quarter(period_month) AS DOUBLE) AS quarter,
-    CAST(month(period_month) IN (6, 7, 8) AS DOUBLE) AS is_summer FROM AR WHERE target IS NOT NULL),
+    CAST(month(period_month) IN (6, 7, 8) AS DOUBLE) AS is_summer FROM ARP WHERE target IS NOT NULL),
 P AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY period_month) - 1 AS pos, count(*) OVER (PARTITION BY area) AS cnt FROM P0),
 SPLIT AS (SELECT *, CASE WHEN pos < cnt - 2 * CAST(floor(cnt * CAST(0.15 AS DOUBLE)) AS BIGINT) THEN 'train'
   WHEN pos < cnt - CAST(floor(cnt * CAST(0.15 AS DOUBLE)) AS BIGINT) THEN 'valid' ELSE 'test' END AS split FROM P),
