@@ -55,18 +55,21 @@ def daily_price_lags(
     return lagged.select(*by, out, *[f"{c}_lag_1m" for c in DAILY_LAGGED])
 
 
-def _pivot(df: DataFrame, index: Sequence[str], cat: str, value: str, values: Sequence[str], agg) -> DataFrame:
-    cells = [agg(F.when(F.col(cat) == v, F.col(value))).alias(v) for v in values]
-    return df.groupBy(*index).agg(*cells)
+def _pivot(df: DataFrame, index: Sequence[str], cat: str, value: str, values: Sequence[str], agg: str) -> DataFrame:
+    def cell(v: str) -> str:
+        label = v.replace("\\", "\\\\").replace("'", "\\'")
+        return f"{agg}(CASE WHEN `{cat}` = '{label}' THEN `{value}` END) AS `{v}`"
+
+    return df.groupBy(*index).agg(*[F.expr(cell(v)) for v in values])
 
 
 def pivot_sum(df: DataFrame, index: Sequence[str], cat: str, value: str, values: Sequence[str]) -> DataFrame:
     """One column per known category in one pass; a cell without rows is null."""
-    return _pivot(df, index, cat, value, values, F.sum)
+    return _pivot(df, index, cat, value, values, "sum")
 
 
 def pivot_mean(df: DataFrame, index: Sequence[str], cat: str, value: str, values: Sequence[str]) -> DataFrame:
-    return _pivot(df, index, cat, value, values, F.avg)
+    return _pivot(df, index, cat, value, values, "avg")
 
 
 # fixed values: fuel categories

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 MONTH = "month"
 HOUR = "hour"
 
-_ROLLING = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+_ROLLING = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
 
 
 @dataclass(frozen=True)
@@ -55,6 +55,16 @@ def roll_specs(
     return [RollSpec(column, n, agg, f"{stem}_rolling_{n}{unit}_{agg}") for n, agg in windows]
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _over(group: Sequence[str], ts: str, frame: str = "") -> str:
+    """Window of a series in time order, as SQL: wide tables are planned from one text per column."""
+    part = f"PARTITION BY {', '.join(map(_q, group))} " if group else ""
+    return f"OVER ({part}ORDER BY {_q(ts)} ASC NULLS LAST{' ' + frame if frame else ''})"
+
+
 def _step(unit: str) -> Column:
     return F.expr(f"interval 1 {unit}")
 
@@ -64,27 +74,23 @@ def _ordered(group: Sequence[str], ts: str):
 
 
 def _fill_grid(df: DataFrame, group: Sequence[str], ts: str, unit: str, extend: int) -> DataFrame:
-    rows = df.where(F.col(ts).isNotNull())
-    ts_type = rows.schema[ts].dataType.simpleString()
-    shift = (lambda c, n: F.add_months(c, n)) if unit == MONTH else (
-        lambda c, n: c + F.expr(f"interval {n} {unit}")
-    )
-    following = F.lead(ts).over(_ordered(group, ts))
-    until = (
-        F.when(following.isNull(), shift(F.col(ts), extend))
-        .when(following > F.col(ts), shift(following, -1))
-        .otherwise(F.raise_error(F.lit(f"more than one row per {[*group, ts]}")))
-    ).cast(ts_type)
-    values = [c for c in rows.columns if c not in {*group, ts}]
-    slots = rows.withColumn("_until", until).select(
-        *rows.columns, F.explode(F.sequence(F.col(ts), F.col("_until"), _step(unit))).alias("_slot")
-    )
-    observed = F.col("_slot") == F.col(ts)
-    return slots.select(
-        *group,
-        F.col("_slot").alias(ts),
-        *[F.when(observed, F.col(c)).alias(c) for c in values],
+    columns, t = df.columns, _q(ts)
+    ts_type = df.schema[ts].dataType.simpleString()
+
+    def shift(what: str, n: int) -> str:
+        return f"add_months({what}, {n})" if unit == MONTH else f"{what} + interval {n} {unit}"
+
+    following = f"lead({t}) {_over(group, ts)}"
+    repeated = f"raise_error('more than one row per {', '.join([*group, ts])}')"
+    last = f"""cast(CASE WHEN _next IS NULL THEN {shift(t, extend)} WHEN _next > {t} THEN {shift('_next', -1)}
+        ELSE {repeated} END AS {ts_type})"""
+    slots = (
+        df.where(f"{t} IS NOT NULL")
+        .selectExpr(*map(_q, columns), f"{following} AS _next")
+        .selectExpr(*map(_q, columns), f"explode(sequence({t}, {last}, interval 1 {unit})) AS _slot")
     )
+    values = [f"CASE WHEN _slot = {t} THEN {_q(c)} END AS {_q(c)}" for c in columns if c not in {*group, ts}]
+    return slots.selectExpr(*map(_q, group), f"_slot AS {t}", *values)
 
 
 def monthly_grid(df: DataFrame, group: Sequence[str], ts: str = "period_month", extend: int = 0) -> DataFrame:
@@ -115,36 +121,37 @@ def _need_columns(df: DataFrame, columns: Sequence[str], what: str) -> None:
         raise KeyError(f"{what} source column missing: {missing}")
 
 
-def lag_columns(group: Sequence[str], ts: str, specs: Sequence[LagSpec]) -> dict[str, Column]:
+def lag_sql(group: Sequence[str], ts: str, specs: Sequence[LagSpec]) -> list[str]:
     bad = [s for s in specs if s.periods <= 0]
     if bad:
         raise ValueError(f"a lag must look at the past, so periods must be > 0: {bad}")
-    window = _ordered(group, ts)
-    return {s.name: F.lag(s.column, s.periods).over(window) for s in specs}
+    return [f"lag({_q(s.column)}, {s.periods}) {_over(group, ts)} AS {_q(s.name)}" for s in specs]
 
 
-def roll_columns(group: Sequence[str], ts: str, specs: Sequence[RollSpec]) -> dict[str, Column]:
+def roll_sql(group: Sequence[str], ts: str, specs: Sequence[RollSpec]) -> list[str]:
     """Statistics over the ``n`` grid rows before each row; null unless all ``n`` are present."""
-    out: dict[str, Column] = {}
+    out = []
     for s in specs:
         if s.window <= 0:
             raise ValueError(f"window must be > 0: {s}")
         if s.agg not in _ROLLING:
             raise ValueError(f"unsupported rolling statistic {s.agg!r}; one of {sorted(_ROLLING)}")
-        frame = _ordered(group, ts).rowsBetween(-s.window, -1)
-        full = F.count(s.column).over(frame) == s.window
-        out[s.name] = F.when(full, _ROLLING[s.agg](s.column).over(frame))
+        over = _over(group, ts, f"ROWS BETWEEN {s.window} PRECEDING AND 1 PRECEDING")
+        c = _q(s.column)
+        out.append(
+            f"CASE WHEN count({c}) {over} = {s.window} THEN {_ROLLING[s.agg]}({c}) {over} END AS {_q(s.name)}"
+        )
     return out
 
 
 def add_lags(grid: DataFrame, group: Sequence[str], ts: str, specs: Sequence[LagSpec]) -> DataFrame:
     _need_columns(grid, [s.column for s in specs], "lag")
-    return grid.withColumns(lag_columns(group, ts, specs))
+    return grid.selectExpr("*", *lag_sql(group, ts, specs))
 
 
 def add_rolls(grid: DataFrame, group: Sequence[str], ts: str, specs: Sequence[RollSpec]) -> DataFrame:
     _need_columns(grid, [s.column for s in specs], "rolling")
-    return grid.withColumns(roll_columns(group, ts, specs))
+    return grid.selectExpr("*", *roll_sql(group, ts, specs))
 
 
 def add_lags_and_rolls(
@@ -152,7 +159,7 @@ def add_lags_and_rolls(
 ) -> DataFrame:
     """All lags and rolling statistics over one sort of the gridded series."""
     _need_columns(grid, [s.column for s in [*lags, *rolls]], "feature")
-    return grid.withColumns({**lag_columns(group, ts, lags), **roll_columns(group, ts, rolls)})
+    return grid.selectExpr("*", *lag_sql(group, ts, lags), *roll_sql(group, ts, rolls))
 
 
 def lead_target(
@@ -175,12 +182,10 @@ def exogenous_lag(
 
     The extra month keeps the newest observation visible in the month after it.
     """
-    means = df.groupBy(*group, ts).agg(*[F.avg(c).alias(c) for c in columns])
+    means = df.groupBy(*group, ts).agg(*[F.expr(f"avg({_q(c)}) AS {_q(c)}") for c in columns])
     grid = monthly_grid(means, group, ts, extend=periods)
-    lagged = add_lags(
-        grid, group, ts, [LagSpec(c, periods, f"{c}_lag_{periods}m") for c in columns]
-    )
-    return lagged.select(*group, ts, *[f"{c}_lag_{periods}m" for c in columns])
+    specs = [LagSpec(c, periods, f"{c}_lag_{periods}m") for c in columns]
+    return grid.selectExpr(*map(_q, [*group, ts]), *lag_sql(group, ts, specs))
 
 
 def price_lags(df: DataFrame, column: str, group: Sequence[str] = (), ts: str = "period_month") -> DataFrame:
@@ -205,10 +210,9 @@ def expanding_stats(
     df: DataFrame, columns: Sequence[str], group: Sequence[str], ts: str, prefix: str = "sum"
 ) -> DataFrame:
     """Row count, sums and cross products of ``columns`` over all rows before each row."""
-    past = _ordered(group, ts).rowsBetween(Window.unboundedPreceding, -1)
-    out: dict[str, Column] = {"n_past": F.count("*").over(past)}
+    past = _over(group, ts, "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+    out = [f"count(*) {past} AS n_past"]
     for i, a in enumerate(columns):
-        out[f"{prefix}_{a}"] = F.sum(a).over(past)
-        for b in columns[i:]:
-            out[f"{prefix}_{a}_{b}"] = F.sum(F.col(a) * F.col(b)).over(past)
-    return df.withColumns(out)
+        out.append(f"sum({_q(a)}) {past} AS {_q(f'{prefix}_{a}')}")
+        out += [f"sum({_q(a)} * {_q(b)}) {past} AS {_q(f'{prefix}_{a}_{b}')}" for b in columns[i:]]
+    return df.selectExpr("*", *out)

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,26 +122,25 @@ def standardise(df: DataFrame, by: Sequence[str], columns: Sequence[str], is_tra
 
 
 def _complete(columns: Sequence[str]) -> Column:
-    ok = F.lit(True)
-    for c in columns:
-        ok = ok & F.col(c).isNotNull()
-    return ok
+    return F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
+
 
+def _stat_sql(columns: Sequence[str], over: str = "") -> list[str]:
+    """Row count, sums and upper-triangle cross products of the rows marked ``_keep``."""
 
-def _stat_columns(columns: Sequence[str], keep: Column, total) -> list[Column]:
-    """Row count, sums and upper-triangle cross products, in that order."""
-    kept = [F.when(keep, F.col(c)) for c in columns]
-    sums = [total(x) for x in kept]
-    cross = [total(kept[i] * F.col(columns[j])) for i in range(len(columns)) for j in range(i, len(columns))]
-    return [total(F.when(keep, F.lit(1.0))), F.array(*sums), F.array(*cross)]
+    def total(x: str) -> str:
+        return f"sum(CASE WHEN _keep THEN {x} END) {over}"
+
+    sums = ", ".join(total(f"`{c}`") for c in columns)
+    cross = ", ".join(total(f"`{a}` * `{b}`") for i, a in enumerate(columns) for b in columns[i:])
+    return [f"coalesce({total('1.0D')}, 0.0D) AS n", f"array({sums}) AS sums", f"array({cross}) AS cross"]
 
 
 def gram_stats(df: DataFrame, by: Sequence[str], columns: Sequence[str], is_train: Column | None = None) -> DataFrame:
     """``by``, ``n``, ``sums``, ``cross`` over the complete training rows of each cell."""
     keep = _complete(columns) if is_train is None else _complete(columns) & is_train
-    rows = df.where(keep)
-    n, sums, cross = _stat_columns(columns, F.lit(True), F.sum)
-    return rows.groupBy(*by).agg(n.alias("n"), sums.alias("sums"), cross.alias("cross"))
+    rows = df.where(keep).withColumn("_keep", F.lit(True))
+    return rows.groupBy(*by).agg(*[F.expr(e) for e in _stat_sql(columns)])
 
 
 def expanding_gram(
@@ -153,9 +152,9 @@ def expanding_gram(
     ``horizon - 1`` rows before the current one are not trained on.
     """
     names = [*columns, target]
-    past = Window.partitionBy(*group).orderBy(ts).rowsBetween(Window.unboundedPreceding, -horizon)
-    n, sums, cross = _stat_columns(names, _complete(names), lambda c: F.sum(c).over(past))
-    return df.withColumns({"n": F.coalesce(n, F.lit(0.0)), "sums": sums, "cross": cross})
+    part = f"PARTITION BY {', '.join(f'`{g}`' for g in group)} " if group else ""
+    over = f"OVER ({part}ORDER BY `{ts}` ROWS BETWEEN UNBOUNDED PRECEDING AND {horizon} PRECEDING)"
+    return df.withColumn("_keep", _complete(names)).selectExpr("*", *_stat_sql(names, over)).drop("_keep")
 
 
 @dataclass(frozen=True)
@@ -237,10 +236,10 @@ def ridge_from_stats(
 
 def linear_prediction(coef: str, spec: Ridge) -> Column:
     """Prediction of one fitted model on the columns of the current row, in generated code."""
-    out = F.get(F.col(coef), 0)
-    for i, f in enumerate(spec.features):
-        out = out + F.get(F.col(coef), i + 1) * F.col(f)
-    return out + F.col(spec.delta_from) if spec.delta_from else out
+    terms = [f"get(`{coef}`, 0)"] + [f"get(`{coef}`, {i + 1}) * `{f}`" for i, f in enumerate(spec.features)]
+    if spec.delta_from:
+        terms.append(f"`{spec.delta_from}`")
+    return F.expr(" + ".join(terms))
 
 
 # --- Spark ML --------------------------------------------------------------------------

@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arithmetic import unit_price
-from tidemark.operators.joins import common_keys
+from tidemark.functions.calendar import calendar_monthly, forecast_contract
+from tidemark.operators import checks
+from tidemark.operators.aggregates import pivot_mean
+from tidemark.operators.grids import (
+    MONTHLY_LAGS, MONTHLY_ROLLS, LagSpec, RollSpec, add_lags_and_rolls, exogenous_lag, lead_target, monthly_grid,
+)
+from tidemark.operators.joins import common_keys, missing_keys
+from tidemark.operators.revisions import dedup_log, dedup_revisions
+
+PERIOD = "period_month"
+TARGET = "target_t_plus_h_months"
+OBSERVED = "t_observed"
 
 
 def price_block(
-    volume: DataFrame, amount: DataFrame, pairs: Mapping[str, tuple[str, str]], key: str = "period_month"
+    volume: DataFrame, amount: DataFrame, pairs: Mapping[str, tuple[str, str]], key: str = PERIOD
 ) -> DataFrame:
     """Unit prices from lagged amounts and volumes over the months both blocks have.
 
@@ -25,9 +37,111 @@ def price_block(
     return joined.select(key, *[unit_price(F.col(a), F.col(v)).alias(n) for n, (a, v) in pairs.items()])
 
 
-def overlap_info(volume: DataFrame, amount: DataFrame, key: str = "period_month") -> DataFrame:
+def overlap_info(volume: DataFrame, amount: DataFrame, key: str = PERIOD) -> DataFrame:
     """How many months the two blocks share and the warning that follows from none."""
     shared = common_keys(volume, amount, [key]).agg(F.count("*").alias("overlap_months"))
     return shared.withColumn(
         "warning", F.when(F.col("overlap_months") == 0, "no overlap of volume and amount: no price features")
     )
+
+
+@dataclass(frozen=True)
+class MonthlyInputs:
+    """Revisions of the target series, settlement prices, and optional month-grained blocks.
+
+    Blocks hold ``period_month`` once per month and only columns that were observable by the
+    end of that month; yearly blocks are keyed by month already.
+    """
+
+    revisions: DataFrame
+    value: str = "price"
+    settlement: DataFrame | None = None
+    settlement_category: str = "fuel"
+    settlement_value: str = "price"
+    settlement_categories: Sequence[str] = ()
+    blocks: Mapping[str, DataFrame] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class MonthlyFeatures:
+    """The table, and its side information as small frames that are planned on demand."""
+
+    table: DataFrame
+    kept: DataFrame
+    baseline_features: list[str]
+    inputs: MonthlyInputs
+    keys: list[str]
+
+    @property
+    def features(self) -> list[str]:
+        return self.baseline_features + [c for b in self.inputs.blocks.values() for c in b.columns if c != PERIOD]
+
+    def dedup_log(self) -> DataFrame:
+        return dedup_log(self.inputs.revisions, self.keys)
+
+    def canary(self) -> DataFrame:
+        return checks.leakage_canary(self.kept, TARGET, self.baseline_features)
+
+    def block_info(self) -> DataFrame:
+        return _block_info(self.kept, self.inputs.blocks)
+
+
+def _join_by_month(base: DataFrame, block: DataFrame) -> DataFrame:
+    """Left join of a block with one row per calendar month.
+
+    Month starts are few by nature (twelve a year over the range of dates), so the block is
+    bounded and sent to where the rows are; the base keeps its partitioning.
+    """
+    unique = block.groupBy(PERIOD).agg(*[F.max(c).alias(c) for c in block.columns if c != PERIOD])
+    return base.join(F.broadcast(unique), PERIOD, "left")
+
+
+def _block_info(base: DataFrame, blocks: Mapping[str, DataFrame]) -> DataFrame:
+    """Per block its range and how many base months it lacks."""
+    out: DataFrame | None = None
+    for name, block in blocks.items():
+        lacking = missing_keys(base, block, [PERIOD]).agg(F.count("*")).scalar()
+        row = block.agg(
+            F.lit(name).alias("block"), F.min(PERIOD).alias("period_min"), F.max(PERIOD).alias("period_max")
+        ).withColumn("missing_periods", lacking)
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        return base.select(F.lit("").alias("block")).limit(0)
+    return out
+
+
+def monthly_feature_table(
+    inputs: MonthlyInputs, horizon: int = 1, group: Sequence[str] = ("area",), check: bool = False
+) -> MonthlyFeatures:
+    """Revisions to features, target and forecast contract, for every series at once.
+
+    The baseline columns decide which rows stay; optional blocks are joined afterwards and
+    can neither add nor remove a row. With ``check`` a feature that equals the target stops
+    the build.
+    """
+    keys = [PERIOD, *group]
+    value = inputs.value
+    current = dedup_revisions(inputs.revisions, keys).select(*keys, value)
+    grid = monthly_grid(current, group, PERIOD)
+    lags = [LagSpec(value, k, f"{value}_lag_{k}m") for k in MONTHLY_LAGS]
+    rolls = [RollSpec(value, n, agg, f"{value}_rolling_{n}m_{agg}") for n, agg in MONTHLY_ROLLS]
+    wide = lead_target(
+        add_lags_and_rolls(grid, group, PERIOD, lags, rolls), group, PERIOD, value, horizon, TARGET
+    ).withColumn(OBSERVED, F.col(value))
+    dated = calendar_monthly(wide, PERIOD)
+    if inputs.settlement is not None:
+        names = {c: f"settlement_unit_price_{c}" for c in inputs.settlement_categories}
+        pivoted = pivot_mean(
+            inputs.settlement, [PERIOD], inputs.settlement_category, inputs.settlement_value, list(names)
+        ).withColumnsRenamed(names)
+        dated = _join_by_month(dated, exogenous_lag(pivoted, list(names.values())))
+    book = {*keys, value, TARGET}
+    baseline = [c for c in dated.columns if c not in book]
+    kept = checks.drop_warmup(dated, baseline, TARGET)
+    table = kept
+    for block in inputs.blocks.values():
+        table = _join_by_month(table, block)
+    table = forecast_contract(table, horizon, PERIOD)
+    if check:
+        checks.assert_no_leakage(table, TARGET, baseline)
+    return MonthlyFeatures(table, kept, baseline, inputs, keys)
