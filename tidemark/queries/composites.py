@@ -8,6 +8,7 @@ from tidemark.operators import aggregates as a
 from tidemark.operators import joins as j
 from tidemark.operators.grids import MONTHLY_LAGS, MONTHLY_ROLLS, price_lags
 from tidemark.plans import hourly, monthly, shapes
+from tidemark.plans.leaderboard import NAIVE, naive_leaderboard
 from tidemark.plans.shapes import read_table, with_shapes
 from tidemark.queries import aggregates as qa
 from tidemark.queries.registry import query
@@ -206,3 +207,38 @@ def hourly_feature_table(spark, d):
     holidays = spark.createDataFrame([("2024-01-08",), ("2024-01-15",)], "holiday_date string")
     rows = shapes.hourly_price(spark, d, by_area=False)
     return rounded(hourly.hourly_feature_table(rows, holidays=holidays).table, 4)
+
+
+def _leaderboard_sql() -> str:
+    lags = ", ".join(f"lag(price, {k}) OVER w AS price_lag_{k}m" for k in MONTHLY_LAGS)
+    rolls = ", ".join(
+        full_window({"mean": "avg", "std": "stddev_samp"}[g], n, f"price_rolling_{n}m_{g}", "period_month")
+        for n, g in MONTHLY_ROLLS
+    )
+    needed = [f"price_lag_{k}m" for k in MONTHLY_LAGS] + [f"price_rolling_{n}m_{g}" for n, g in MONTHLY_ROLLS]
+    keep = " AND ".join(f"{c} IS NOT NULL" for c in [*needed, "price", "y_true"])
+    union = " UNION ALL ".join(
+        f"SELECT area, period_month, y_true, '{m}' AS model, {c} AS y_pred FROM U" for m, c in NAIVE.items()
+    )
+    return (
+        with_shapes("SNAP") + RANKED + f""", B AS (SELECT period_month, area, price FROM R WHERE rn = 1),
+BS AS (SELECT area, min(period_month) AS lo, max(period_month) AS hi FROM B GROUP BY 1),
+BG AS (SELECT g.area, CAST(g.t AS DATE) AS period_month, B.price FROM (
+  SELECT area, unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 MONTH)) AS t FROM BS) g
+  LEFT JOIN B ON B.area = g.area AND B.period_month = CAST(g.t AS DATE)),
+FE AS (SELECT area, period_month, price, {lags}, {rolls}, lead(price) OVER w AS y_true FROM BG
+  WINDOW w AS (PARTITION BY area ORDER BY period_month)),
+U AS (SELECT * FROM FE WHERE {keep}), L AS ({union}),
+ST AS (SELECT *, CAST(sign(y_true - lag(y_true) OVER w) = sign(y_pred - lag(y_pred) OVER w) AS DOUBLE) AS same
+  FROM L WINDOW w AS (PARTITION BY model, area ORDER BY period_month))
+SELECT area AS split, model, round(avg(abs(y_true - y_pred)), 4) AS mae, round(sqrt(avg((y_true - y_pred) ** 2)), 4) AS rmse,
+  round(avg(abs((y_true - y_pred) / y_true)) * 100, 4) AS mape,
+  round(avg(abs(y_true - y_pred) / ((abs(y_true) + abs(y_pred)) / 2)) * 100, 4) AS smape,
+  round(1 - sum((y_true - y_pred) ** 2) / (var_pop(y_true) * count(*)), 4) AS r2, count(*) AS n,
+  round(avg(same), 4) AS directional_accuracy FROM ST GROUP BY 1, 2"""
+    )
+
+
+@query("flagship_leaderboard", _leaderboard_sql())
+def leaderboard(spark, d):
+    return rounded(naive_leaderboard(shapes.revisions(spark, d)), 4)
