@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.parsing import lookup
 from tidemark.operators import aggregates as a
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.revisions import dedup_log
@@ -111,15 +112,13 @@ _HOLES = (
 
 
 def named_fuel(spark, d):
-    from tidemark.functions.parsing import lookup
-
     return monthly_fuel(spark, d).where(_HOLES).select(
         "period_month", lookup(F.col("fuel"), FUEL_NAMES).alias("fuel"), "volume", "amount"
     )
 
 
-def with_total(spark, d):
-    long = named_fuel(spark, d).select("period_month", "fuel", "volume")
+def with_total(named):
+    long = named.select("period_month", "fuel", "volume")
     total = long.groupBy("period_month").agg(F.sum("volume").alias("volume")).withColumn("fuel", F.lit("total"))
     return long.unionByName(total)
 
@@ -172,7 +171,7 @@ RENEWABLE = ["renewable_solar", "renewable_wind"]
     with_shapes("FUEL") + NAMED + "," + _wide_sql("volume") + "," + _current_sql(CAPACITY_SQL) + "," + _lag_sql(CAPACITY_SQL),
 )
 def capacity_mix(spark, d):
-    out = a.capacity_mix(with_total(spark, d), "volume", "fuel", ["nuclear", "lng", "total"], RENEWABLE)
+    out = a.capacity_mix(with_total(named_fuel(spark, d)), "volume", "fuel", ["nuclear", "lng", "total"], RENEWABLE)
     return rounded(out, 6)
 
 
@@ -202,7 +201,7 @@ TYPE_SQL = {
 )
 def capacity_type_mix(spark, d):
     out = a.capacity_type_mix(
-        with_total(spark, d), "volume", "fuel", TYPE_GROUPS, TYPE_SINGLES, "total", TYPE_SHARES
+        with_total(named_fuel(spark, d)), "volume", "fuel", TYPE_GROUPS, TYPE_SINGLES, "total", TYPE_SHARES
     )
     return rounded(out, 6)
 

@@ -13,20 +13,26 @@ from tidemark.plans.shapes import read_table, with_shapes
 from tidemark.queries import aggregates as qa
 from tidemark.queries.registry import query
 from tidemark.queries.tools import rounded
-from tidemark.queries.windows import H0GRID, HGRID, RANKED, full_window
+from tidemark.queries.windows import H0GRID, RANKED, full_window
+from tidemark.session import materialise
 
 SETTLED = ["nuclear", "lng"]
 
 
 def monthly_inputs(spark, d) -> monthly.MonthlyInputs:
-    named = qa.named_fuel(spark, d)
-    volume = a.trade_mix(named, "volume", "fuel", "transaction_volume", "mwh", qa.RENEWABLE, single_renewable=None)
-    amount = a.trade_mix(named, "amount", "fuel", "transaction_amount", "krw", qa.RENEWABLE, single_renewable=None)
-    total = qa.with_total(spark, d)
+    # the facts are read once: what the blocks share is the small monthly table
+    named = materialise(qa.named_fuel(spark, d), "monthly_facts")
+    volume = materialise(
+        a.trade_mix(named, "volume", "fuel", "transaction_volume", "mwh", qa.RENEWABLE, single_renewable=None), "volume"
+    )
+    amount = materialise(
+        a.trade_mix(named, "amount", "fuel", "transaction_amount", "krw", qa.RENEWABLE, single_renewable=None), "amount"
+    )
+    total = qa.with_total(named)
     yearly = read_table(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("period_year")).agg(
         F.sum("l_quantity").alias("capacity_yearly_total_mw")
     )
-    prices = shapes.monthly_price(spark, d)
+    prices = materialise(shapes.monthly_price(spark, d), "monthly_prices")
     months = prices.select("period_month").distinct()
     gas = prices.where("area = '1-URGENT'").select("period_month", F.col("price").alias("gas_price"))
     curve = shapes.futures_curve(spark, d)

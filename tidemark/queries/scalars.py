@@ -226,10 +226,15 @@ def _redact_sql(column: str) -> str:
     space = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
     inner = space[1:-1]
     out = column
+    # the general pattern with the whole name in it, as a check of the shorter one in use
+    credential = (
+        r"""("?[A-Za-z0-9_-]*(?:""" + red.CREDENTIAL_WORDS + r""")[A-Za-z0-9_-]*"?\s*(?:[=:]\s*"?))"""
+        r"""([^"'&\s,;}\]<]+)"""
+    )
     for pattern, repl, flags in (
         (red.AUTH_JSON, r"\1<REDACTED>\3", "gi"),
         (red.AUTH_HTTP, r"\1<REDACTED>", "gi"),
-        (red.CREDENTIAL, r"\1<REDACTED>", "gi"),
+        (credential, r"\1<REDACTED>", "gi"),
         (red.JWT, "<REDACTED>", "g"),
     ):
         re2 = pattern.replace(r"""&\s,""", "&" + inner + ",").replace(r"\s*", space + "*").replace(

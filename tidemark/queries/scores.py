@@ -9,6 +9,7 @@ from tidemark.plans import shapes
 from tidemark.plans.shapes import with_shapes
 from tidemark.queries.registry import query
 from tidemark.queries.tools import rounded
+from tidemark.session import materialise
 
 BY = ["model", "version"]
 # every ninth prediction is missing, so that the pair rule shows
@@ -162,7 +163,7 @@ def version_table(spark, d):
 
 
 def annotated(spark, d):
-    cells = version_table(spark, d).withColumn("skipped", F.col("mae").isNull())
+    cells = materialise(version_table(spark, d).withColumn("skipped", F.col("mae").isNull()), "cells")
     return s.annotate_status(cells, [1996, 1997, 1998, 1999], 2000)
 
 
