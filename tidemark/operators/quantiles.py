@@ -57,6 +57,9 @@ def exact_quantiles(
     Nulls do not count; a group without values is absent. ``rounds`` of narrowing are chosen
     from the largest group unless given; the result is the same for any number.
     """
+    if not by:
+        one = df.withColumn("_all", F.lit(1))
+        return exact_quantiles(one, ["_all"], value, probs, rounds).drop("_all")
     rows = df.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
     freq = materialise(rows.groupBy(*by, value).agg(F.count("*").alias("n")), "values")
     spans = freq.groupBy(*by).agg(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.calendar import calendar_monthly
 from tidemark.operators import grids as g
 from tidemark.operators import revisions as r
 from tidemark.plans import shapes
@@ -34,6 +33,9 @@ MGG AS (
 
 def full_window(agg: str, n: int, name: str, order: str, column: str = "price", digits: int = 4) -> str:
     frame = f"(PARTITION BY area ORDER BY {order} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    if agg in ("min", "max"):
+        # an observed value comes through as it is
+        return f"CASE WHEN count({column}) OVER {frame} = {n} THEN {agg}({column}) OVER {frame} END AS {name}"
     return (
         f"round(CASE WHEN count({column}) OVER {frame} = {n} THEN {agg}({column}) OVER {frame} END, "
         f"{digits}) AS {name}"
@@ -119,7 +121,7 @@ def roll_hourly(spark, d):
     grid = g.hourly_grid(shapes.hourly_price(spark, d), ["area"])
     specs = g.roll_specs("price", [(24, a) for a in ("mean", "std", "min", "max")], "h")
     out = g.add_rolls(grid, ["area"], "interval_end", specs).drop("price", "demand")
-    return rounded(out, 4)
+    return rounded(out, 4, ("price_rolling_24h_min", "price_rolling_24h_max"))
 
 
 @query(

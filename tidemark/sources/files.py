@@ -72,7 +72,8 @@ def _body(
         .withColumn("_seq", F.monotonically_increasing_id())
     )
     heads = raw.where("_at = 0").groupBy("_file").agg(F.min("_seq").alias("_first"))
-    kept = raw.join(heads, "_file", "left").where(
+    # one row per file, and the list of files is in the driver's index already
+    kept = raw.join(F.broadcast(heads), "_file", "left").where(
         (F.col("_at") > 0) | (F.col("_seq") - F.col("_first") >= skip)
     )
     return kept.select(*[F.col(c).alias(n) for c, n in zip(columns, names)])
