@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +33,17 @@ class Period:
 
 @dataclass(frozen=True)
 class Melt:
-    """Wide to long: a fixed list of columns, or every other one split into two levels."""
+    """Wide to long: a fixed list of columns, or every other one split into two levels.
+
+    ``joined`` keeps the levels as one key as well.
+    """
 
     value: str
     columns: tuple[str, ...] = ()
     var: str = "category_raw"
     level1: str = "level1"
     level2: str = "level2"
+    joined: str | None = None
 
 
 @dataclass(frozen=True)
@@ -122,12 +128,18 @@ def conform_source(
         out = c.drop_missing(out.withColumn(spec.hour, p.number(F.col(spec.hour)).cast("int")), [spec.hour])
         out = out.withColumn("interval_end", p.interval_end(F.col(spec.period.out), F.col(spec.hour)))
     if spec.melt and spec.melt.columns:
-        out = c.melt(out, spec.ids, spec.melt.columns, spec.melt.var, spec.melt.value)
+        present = [n for n in spec.melt.columns if n in out.columns]
+        if not present:
+            raise ValueError(f"none of the value columns {list(spec.melt.columns)} in {out.columns}")
+        out = c.melt(out, spec.ids, present, spec.melt.var, spec.melt.value)
         out = c.coerce_numeric(out, [spec.melt.value])
     elif spec.melt:
         used = set(spec.ids)
         spent = set(spec.period.columns if spec.period else ()) - used
         out = c.melt_hier(out.drop(*spent), list(spec.ids), spec.melt.value, spec.melt.level1, spec.melt.level2)
+        if spec.melt.joined:
+            key = p.hier_key(F.col(spec.melt.level1), F.col(spec.melt.level2))
+            out = out.withColumn(spec.melt.joined, key)
     if spec.contract:
         label, code, quote = (F.col(n) for n in spec.contract)
         out = out.withColumn("contract_month", p.contract_month(label, code, quote))
@@ -141,6 +153,18 @@ def conform_source(
             out = out.where(F.col(rule.out).isNotNull())
     if spec.zero_is_missing:
         out = c.zero_is_missing(out, spec.zero_is_missing)
-    out = c.drop_missing(out, spec.required) if spec.required else out
+    if spec.required:
+        # blank labels are missing labels
+        out = out.where(
+            reduce(and_, [F.trim(F.coalesce(F.col(n).cast("string"), F.lit(""))) != "" for n in spec.required])
+        )
     out = c.stamp_provenance(out, spec.source_id, collected_at, file_name, sha256, spec.priority)
     return c.conform(out, T.StructType.fromDDL(spec.schema))
+
+
+def load_source(
+    spark: SparkSession, spec: SourceSpec, path: str, collected_at: Column, file_name: str, sha256: Column
+) -> DataFrame:
+    """Read one vendor file and conform it; a file that yields nothing is an error."""
+    out = conform_source(read_source(spark, spec, path), spec, collected_at, F.lit(file_name), sha256)
+    return c.require_rows(out, f"{spec.source_id}: {file_name}")
