@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 from tidemark.operators.revisions import keep_last
 
 
+def one_row_per_date(block: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Mark a block that is unique on one date column for broadcast.
+
+    Its size is bounded by the calendar, whatever the data: months or days are thousands. A
+    shuffle join on such a key would also run in as many tasks as there are dates.
+    """
+    on_date = len(key) == 1 and block.schema[key[0]].dataType.simpleString() == "date"
+    return F.broadcast(block) if on_date else block
+
+
 def join_blocks(
     base: DataFrame,
     blocks: Sequence[DataFrame],
@@ -19,14 +29,15 @@ def join_blocks(
 ) -> DataFrame:
     """Left join optional blocks, each first cut to its last row per key.
 
-    The base row count cannot change. Blocks are period-grained and small after their own
-    aggregation; the planner broadcasts them by their measured size.
+    The base row count cannot change. A block keyed by date is sent to the base rows; for any
+    other key the planner decides by size.
     """
     out = base
     for i, block in enumerate(blocks):
         within = list(order[i]) if order else []
         ties = within or [c for c in block.columns if c not in key]
-        out = out.join(keep_last(block, key, ties), list(key), "left")
+        unique = keep_last(block, key, ties)
+        out = out.join(one_row_per_date(unique, key), list(key), "left")
     return out
 
 
@@ -56,6 +67,9 @@ def broadcast_yearly(
         *[F.col(v).alias(f"{v}_lag_1y") for v in values],
     )
     keyed = months.withColumn("_year", F.year(period))
+    if not key:
+        # one row per calendar year
+        lagged = F.broadcast(lagged.groupBy("_year").agg(*[F.max(c).alias(c) for c in lagged.columns if c != "_year"]))
     return keyed.join(lagged, [*key, "_year"], "left").drop("_year")
 
 

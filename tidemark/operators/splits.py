@@ -121,40 +121,61 @@ def _day(text: str | None):
     return F.lit(text).cast("date")
 
 
-def fixed_holdout(
-    df: DataFrame, versions: Sequence[Version], horizon: int, target: str = "target", period: str = "period_month"
-) -> DataFrame:
-    """One row per (version, role, row): train on labels known at the cutoff, test on the months after."""
-    p, labelled = F.col(period), F.col(target).isNotNull()
-    cells = []
-    for v in versions:
-        train = (F.add_months(p, horizon) <= _day(v.cutoff)) & (p <= _day(v.train_end))
-        test = (p >= _day(v.test_start)) & (p <= _day(v.test_end))
-        for role, inside in (("train", train), ("test", test)):
-            cells.append(
-                F.struct(F.lit(v.name).alias("version"), F.when(inside & labelled, F.lit(role)).alias("role"))
-            )
-    kept = F.filter(F.array(*cells), lambda c: c["role"].isNotNull())
-    return df.select(*df.columns, F.inline(kept))
+def _role_cell(version, eval_month, role):
+    return F.struct(
+        F.lit(version).alias("version"), eval_month.cast("date").alias("eval_month"), role.alias("role")
+    )
 
 
-def rolling_validation(
-    df: DataFrame, cutoff: str, window: int, horizon: int, target: str = "target", period: str = "period_month"
-) -> DataFrame:
-    """One row per (evaluation month, role, row) for the last months whose label is known.
+def _fixed_cells(v: Version, horizon: int, period: str):
+    """Train on labels known at the cutoff; test on the months after, known only in hindsight."""
+    p = F.col(period)
+    train = (F.add_months(p, horizon) <= _day(v.cutoff)) & (p <= _day(v.train_end))
+    test = (p >= _day(v.test_start)) & (p <= _day(v.test_end))
+    return F.array(
+        *[_role_cell(v.name, F.lit(None), F.when(inside, F.lit(role))) for role, inside in (("train", train), ("test", test))]
+    )
 
-    A month is evaluated with a model trained on rows whose target month lies strictly
-    before it.
-    """
+
+def _rolling_cells(v: Version, horizon: int, period: str):
+    """Train on rows whose target month lies strictly before the evaluated month."""
     p = F.col(period)
-    last = F.add_months(_day(cutoff), -horizon)
-    months = F.sequence(F.add_months(last, -(window - 1)), last, F.expr("interval 1 month"))
-    cells = F.transform(
+    last = F.add_months(_day(v.cutoff), -horizon)
+    months = F.sequence(F.add_months(last, -(v.window - 1)), last, F.expr("interval 1 month"))
+    return F.transform(
         months,
-        lambda m: F.struct(
-            m.alias("eval_month"),
-            F.when(F.add_months(p, horizon) < m, F.lit("train")).when(p == m, F.lit("test")).alias("role"),
+        lambda m: _role_cell(
+            v.name, m, F.when(F.add_months(p, horizon) < m, F.lit("train")).when(p == m, F.lit("test"))
         ),
     )
+
+
+def version_cells(
+    df: DataFrame, versions: Sequence[Version], horizon: int, target: str = "target", period: str = "period_month"
+) -> DataFrame:
+    """One row per (version, evaluation month, role, row) of all versions, in one pass over the rows.
+
+    The evaluation month is null for a fixed holdout.
+    """
+    cells = F.concat(
+        *[(_rolling_cells if v.window else _fixed_cells)(v, horizon, period) for v in versions]
+    )
     kept = F.filter(cells, lambda c: c["role"].isNotNull())
     return df.where(F.col(target).isNotNull()).select(*df.columns, F.inline(kept))
+
+
+def fixed_holdout(
+    df: DataFrame, versions: Sequence[Version], horizon: int, target: str = "target", period: str = "period_month"
+) -> DataFrame:
+    """One row per (version, role, row)."""
+    if any(v.window for v in versions):
+        raise ValueError("a rolling version has no fixed holdout")
+    return version_cells(df, versions, horizon, target, period).drop("eval_month")
+
+
+def rolling_validation(
+    df: DataFrame, cutoff: str, window: int, horizon: int, target: str = "target", period: str = "period_month"
+) -> DataFrame:
+    """One row per (evaluation month, role, row) for the last months whose label is known."""
+    version = Version("rolling", cutoff, cutoff, window=window)
+    return version_cells(df, [version], horizon, target, period).drop("version")

@@ -16,7 +16,7 @@ from tidemark.operators import scores as sc
 from tidemark.operators.models import (
     Ridge, expanding_gram, gram_stats, impute_median, linear_prediction, ridge_from_stats,
 )
-from tidemark.operators.splits import Version, fixed_holdout, rolling_validation, split_chronological, ts_folds
+from tidemark.operators.splits import Version, split_chronological, ts_folds, version_cells
 
 
 @dataclass(frozen=True)
@@ -78,27 +78,6 @@ def walk_forward(
     )
 
 
-def _cells(panel: DataFrame, versions: Sequence[Version], target: str, horizon: int, period: str) -> DataFrame:
-    """Train and test rows of all versions; a rolling version has one cell per evaluated month."""
-    fixed = [v for v in versions if not v.window]
-    parts = []
-    if fixed:
-        parts.append(
-            fixed_holdout(panel, fixed, horizon, target, period).withColumn("eval_month", F.lit(None).cast("date"))
-        )
-    for v in versions:
-        if v.window:
-            parts.append(
-                rolling_validation(panel, v.cutoff, v.window, horizon, target, period).withColumn(
-                    "version", F.lit(v.name)
-                )
-            )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def _train_pool(panel: DataFrame, versions: Sequence[Version], horizon: int, group: Sequence[str], period: str) -> DataFrame:
     """Rows per version and group that could be trained on at its cutoff."""
     p = F.col(period)
@@ -120,7 +99,7 @@ def backtest_predictions(
     horizon: int = 1, period: str = "period_month",
 ) -> DataFrame:
     """Predictions of every (version, model) on its test rows."""
-    cells = _cells(panel, versions, target, horizon, period)
+    cells = version_cells(panel, versions, horizon, target, period)
     key = ["version", "eval_month", *group]
     # an absent evaluation month must still match in the join below
     keyed = cells.withColumn("eval_month", F.coalesce("eval_month", F.lit("1900-01-01").cast("date")))

@@ -15,7 +15,7 @@ from tidemark.operators.aggregates import pivot_mean
 from tidemark.operators.grids import (
     MONTHLY_LAGS, MONTHLY_ROLLS, LagSpec, RollSpec, add_lags_and_rolls, exogenous_lag, lead_target, monthly_grid,
 )
-from tidemark.operators.joins import common_keys, missing_keys
+from tidemark.operators.joins import common_keys, missing_keys, one_row_per_date
 from tidemark.operators.revisions import dedup_log, dedup_revisions
 
 PERIOD = "period_month"
@@ -87,13 +87,9 @@ class MonthlyFeatures:
 
 
 def _join_by_month(base: DataFrame, block: DataFrame) -> DataFrame:
-    """Left join of a block with one row per calendar month.
-
-    Month starts are few by nature (twelve a year over the range of dates), so the block is
-    bounded and sent to where the rows are; the base keeps its partitioning.
-    """
-    unique = block.groupBy(PERIOD).agg(*[F.max(c).alias(c) for c in block.columns if c != PERIOD])
-    return base.join(F.broadcast(unique), PERIOD, "left")
+    """Left join of a block made unique on its month; the base keeps its rows and partitioning."""
+    unique = block.groupBy(PERIOD).agg(*[F.expr(f"max(`{c}`) AS `{c}`") for c in block.columns if c != PERIOD])
+    return base.join(one_row_per_date(unique, [PERIOD]), PERIOD, "left")
 
 
 def _block_info(base: DataFrame, blocks: Mapping[str, DataFrame]) -> DataFrame:
