@@ -17,6 +17,7 @@ from tidemark.operators.grids import (
 )
 from tidemark.operators.joins import common_keys, missing_keys, one_row_per_date
 from tidemark.operators.revisions import dedup_log, dedup_revisions
+from tidemark.sources.files import union_all
 
 PERIOD = "period_month"
 TARGET = "target_t_plus_h_months"
@@ -86,10 +87,16 @@ class MonthlyFeatures:
         return _block_info(self.kept, self.inputs.blocks)
 
 
-def _join_by_month(base: DataFrame, block: DataFrame) -> DataFrame:
-    """Left join of a block made unique on its month; the base keeps its rows and partitioning."""
-    unique = block.groupBy(PERIOD).agg(*[F.expr(f"max(`{c}`) AS `{c}`") for c in block.columns if c != PERIOD])
-    return base.join(one_row_per_date(unique, [PERIOD]), PERIOD, "left")
+def _merge_blocks(blocks: Sequence[DataFrame]) -> DataFrame:
+    """All blocks side by side, one row per month: a union and one aggregation instead of a join each."""
+    stacked = union_all(blocks)
+    values = [c for c in stacked.columns if c != PERIOD]
+    return stacked.groupBy(PERIOD).agg(*[F.expr(f"max(`{c}`) AS `{c}`") for c in values])
+
+
+def _join_by_month(base: DataFrame, blocks: Sequence[DataFrame]) -> DataFrame:
+    """Left join of blocks made unique on their month; the base keeps its rows and partitioning."""
+    return base.join(one_row_per_date(_merge_blocks(blocks), [PERIOD]), PERIOD, "left")
 
 
 def _block_info(base: DataFrame, blocks: Mapping[str, DataFrame]) -> DataFrame:
@@ -130,13 +137,11 @@ def monthly_feature_table(
         pivoted = pivot_mean(
             inputs.settlement, [PERIOD], inputs.settlement_category, inputs.settlement_value, list(names)
         ).withColumnsRenamed(names)
-        dated = _join_by_month(dated, exogenous_lag(pivoted, list(names.values())))
+        dated = _join_by_month(dated, [exogenous_lag(pivoted, list(names.values()))])
     book = {*keys, value, TARGET}
     baseline = [c for c in dated.columns if c not in book]
     kept = checks.drop_warmup(dated, baseline, TARGET)
-    table = kept
-    for block in inputs.blocks.values():
-        table = _join_by_month(table, block)
+    table = _join_by_month(kept, list(inputs.blocks.values())) if inputs.blocks else kept
     table = forecast_contract(table, horizon, PERIOD)
     if check:
         checks.assert_no_leakage(table, TARGET, baseline)

@@ -158,13 +158,13 @@ POSITIONS = ridge_sql("G", "ra", [0, 1, 2, 3], 4) + ",\n" + ridge_sql("ra", "rd"
     + ", LONG AS ("
     + _long_predictions("rd", "area, period_month, observed")
     + """)
-SELECT area, period_month, round(y_true, 5) AS y_true, round(observed, 5) AS observed_value, model, round(y_pred, 5) AS y_pred,
+SELECT area, period_month, y_true, observed AS observed_value, model, round(y_pred, 5) AS y_pred,
   period_month AS forecast_origin_month, CAST(period_month + INTERVAL 1 MONTH AS DATE) AS target_month,
-  round(y_true - observed, 5) AS true_delta, round(y_pred - observed, 5) AS predicted_delta FROM LONG""",
+  y_true - observed AS true_delta, round(y_pred - observed, 5) AS predicted_delta FROM LONG""",
 )
 def walk_forward(spark, d):
     out = bt.walk_forward(ar_panel(spark, d), ["area"], MODELS, "target", "observed")
-    return rounded(out, 5)
+    return rounded(out, 5, ("y_true", "observed_value", "true_delta"))
 
 
 def _matrix_sql() -> str:

@@ -139,7 +139,7 @@ FW0 AS (SELECT a.period_month,
 FW AS (SELECT *, CASE WHEN forward_1m <> 0 AND forward_2m <> 0 THEN (forward_2m - forward_1m) / forward_1m END AS forward_slope_1_2 FROM FW0)""",
         """DY AS (SELECT CAST(o_orderdate AS DATE) AS trade_date,
   CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / CAST(count(*) * 100 AS DOUBLE) AS close
-  FROM orders WHERE month(o_orderdate) <> 4 GROUP BY 1),
+  FROM orders GROUP BY 1),
 DA_c AS (SELECT CAST(date_trunc('month', trade_date) AS DATE) AS period_month, avg(close) AS daily_mean, stddev_samp(close) AS daily_std,
   max(close) - min(close) AS daily_range, arg_max(close, trade_date) AS daily_last FROM DY GROUP BY 1)""",
         _lagged("DA", "DA_c", ["daily_mean", "daily_std", "daily_range", "daily_last"]),
@@ -158,14 +158,12 @@ DA_c AS (SELECT CAST(date_trunc('month', trade_date) AS DATE) AS period_month, a
   LEFT JOIN TP USING (period_month) LEFT JOIN GP USING (period_month) LEFT JOIN FW USING (period_month)
   LEFT JOIN DA USING (period_month) WHERE {keep})"""
     )
-    doubles = ["price", monthly.TARGET, monthly.OBSERVED, "month_sin", "month_cos"]
-    doubles += [f"price_lag_{k}m" for k in MONTHLY_LAGS] + [f"price_rolling_{n}m_{g}" for n, g in MONTHLY_ROLLS]
+    doubles = ["month_sin", "month_cos"] + [f"price_rolling_{n}m_{g}" for n, g in MONTHLY_ROLLS]
     doubles += [f"settlement_unit_price_{f}_lag_1m" for f in SETTLED]
     doubles += [f"{c}_lag_1m" for c in (*qa.CAPACITY_SQL, *qa.TYPE_SQL, *qa.VOLUME_SQL, *qa.AMOUNT_SQL)]
     doubles += [f"trade_price_{n}_lag_1m" for n in _PRICE_PAIRS]
-    doubles += ["gas_price_lag_1m", "gas_price_lag_2m", "gas_price_chg_1m_lag_1m", "forward_1m", "forward_2m"]
-    doubles += ["forward_slope_1_2", "capacity_yearly_total_mw_lag_1y"]
-    doubles += [f"daily_{c}_lag_1m" for c in ("mean", "std", "range", "last")]
+    doubles += ["gas_price_chg_1m_lag_1m", "forward_slope_1_2", "capacity_yearly_total_mw_lag_1y"]
+    doubles += [f"daily_{c}_lag_1m" for c in ("mean", "std")]
     replaced = ", ".join(f"round({c}, 4) AS {c}" for c in doubles)
     return (
         with_shapes("SNAP", "M", "FUEL", "CURVE") + RANKED + qa.NAMED + ", " + ",\n".join(parts)
@@ -173,9 +171,16 @@ DA_c AS (SELECT CAST(date_trunc('month', trade_date) AS DATE) AS period_month, a
     )
 
 
+# values that are only looked up come through unchanged and are compared as they are
+_LOOKED_UP = (
+    "price", monthly.TARGET, monthly.OBSERVED, "gas_price_lag_1m", "gas_price_lag_2m", "forward_1m", "forward_2m",
+    "daily_range_lag_1m", "daily_last_lag_1m", *[f"price_lag_{k}m" for k in MONTHLY_LAGS],
+)
+
+
 @query("f5_monthly_feature_table", _monthly_sql())
 def monthly_feature_table(spark, d):
-    return rounded(monthly.monthly_feature_table(monthly_inputs(spark, d)).table, 4)
+    return rounded(monthly.monthly_feature_table(monthly_inputs(spark, d)).table, 4, _LOOKED_UP)
 
 
 def _hourly_sql(grid: str, table: str, group_check: str) -> str:
@@ -204,15 +209,15 @@ FE AS (SELECT area, interval_end, price, demand, {price}, {demand}, {rolls}, lea
   round(sin(2 * pi() * dow / 7), 4) AS dow_sin, round(cos(2 * pi() * dow / 7), 4) AS dow_cos,
   CAST(interval_end AS DATE) IN (DATE '2024-01-08', DATE '2024-01-15') AS is_holiday
   FROM X WINDOW w AS (PARTITION BY area ORDER BY interval_end))
-SELECT * REPLACE (round(price, 4) AS price, round({hourly.TARGET}, 4) AS {hourly.TARGET}, {", ".join(f"round(price_lag_{k}h, 4) AS price_lag_{k}h" for k in hourly.PRICE_LAGS)})
-FROM FE WHERE {" AND ".join(f"{c} IS NOT NULL" for c in required)} {group_check}"""
+SELECT * FROM FE WHERE {" AND ".join(f"{c} IS NOT NULL" for c in required)} {group_check}"""
 
 
 @query("f6_hourly_feature_table", with_shapes("H0") + "," + _hourly_sql(H0GRID, "H0G", ""))
 def hourly_feature_table(spark, d):
     holidays = spark.createDataFrame([("2024-01-08",), ("2024-01-15",)], "holiday_date string")
     rows = shapes.hourly_price(spark, d, by_area=False)
-    return rounded(hourly.hourly_feature_table(rows, holidays=holidays).table, 4)
+    looked_up = ("price", hourly.TARGET, *[f"price_lag_{k}h" for k in hourly.PRICE_LAGS])
+    return rounded(hourly.hourly_feature_table(rows, holidays=holidays).table, 4, looked_up)
 
 
 def _leaderboard_sql() -> str:

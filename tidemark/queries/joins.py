@@ -36,7 +36,7 @@ def _lagged_sql(value: str) -> str:
     fuels = {"PROMO": "lng", "LARGE": "nuclear"}
     cells = ", ".join(f"max(CASE WHEN fuel = '{f}' THEN {value} END) AS {n}" for f, n in fuels.items())
     return f"""
-{value}_w AS (SELECT period_month, {cells} FROM MF WHERE {'year(period_month) >= 1996' if value == 'amount' else 'true'} GROUP BY 1),
+{value}_w AS (SELECT period_month, {cells} FROM MF GROUP BY 1),
 {value}_s AS (SELECT min(period_month) AS lo, max(period_month) AS hi FROM {value}_w),
 {value}_g AS (
   SELECT CAST(g.t AS DATE) AS period_month, lng, nuclear
@@ -49,8 +49,6 @@ def _lagged_sql(value: str) -> str:
 def lagged_block(spark, d, value):
     fuels = {"PROMO": "lng", "LARGE": "nuclear"}
     monthly = monthly_fuel(spark, d)
-    if value == "amount":
-        monthly = monthly.where("year(period_month) >= 1996")
     wide = monthly.groupBy("period_month").agg(
         *[F.max(F.when(F.col("fuel") == f, F.col(value))).alias(f"{value}_{n}") for f, n in fuels.items()]
     )
@@ -95,19 +93,12 @@ def broadcast_yearly(spark, d):
 
 
 ASOF = """, MONTHS AS (SELECT DISTINCT period_month FROM M),
-C AS (SELECT * FROM CURVE WHERE quote_date >= DATE '1995-04-11' AND month(quote_date) NOT IN (8, 9)),
-LATEST_Q AS (SELECT period_month, max(quote_date) AS quote_date FROM MONTHS JOIN C ON quote_date <= last_day(period_month) GROUP BY 1)"""
-
-
-def sparse_curve(spark, d):
-    return shapes.futures_curve(spark, d).where(
-        (F.col("quote_date") >= F.lit("1995-04-11").cast("date")) & ~F.month("quote_date").isin(8, 9)
-    )
+LATEST_Q AS (SELECT period_month, max(quote_date) AS quote_date FROM MONTHS JOIN CURVE ON quote_date <= last_day(period_month) GROUP BY 1)"""
 
 
 @query("j4_asof_latest", with_shapes("M", "CURVE") + ASOF + " SELECT * FROM LATEST_Q")
 def asof_latest(spark, d):
-    return j.asof_latest(shapes.monthly_price(spark, d), sparse_curve(spark, d))
+    return j.asof_latest(shapes.monthly_price(spark, d), shapes.futures_curve(spark, d))
 
 
 @query(
@@ -117,12 +108,12 @@ def asof_latest(spark, d):
     + """, P AS (SELECT a.period_month,
   max(CASE WHEN contract_month = CAST(a.period_month + INTERVAL 1 MONTH AS DATE) THEN settle END) AS p1,
   max(CASE WHEN contract_month = CAST(a.period_month + INTERVAL 2 MONTH AS DATE) THEN settle END) AS p2
-  FROM LATEST_Q a LEFT JOIN C USING (quote_date) GROUP BY 1)
+  FROM LATEST_Q a LEFT JOIN CURVE USING (quote_date) GROUP BY 1)
 SELECT period_month, p1 AS forward_1m, p2 AS forward_2m,
   round(CASE WHEN p1 <> 0 AND p2 <> 0 THEN (p2 - p1) / p1 END, 9) AS forward_slope_1_2 FROM P""",
 )
 def curve_points(spark, d):
-    curve = sparse_curve(spark, d)
+    curve = shapes.futures_curve(spark, d)
     asof = j.asof_latest(shapes.monthly_price(spark, d), curve)
     return j.curve_points(asof, curve, "settle").withColumn("forward_slope_1_2", F.round("forward_slope_1_2", 9))
 
@@ -216,10 +207,10 @@ def compare_tags(spark, d):
 @query(
     "j12_lookup_region",
     """SELECT c_custkey, n_name, n_regionkey AS cell FROM customer
-LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON c_nationkey = n_nationkey""",
+LEFT JOIN nation ON c_nationkey = n_nationkey""",
 )
 def lookup_region(spark, d):
-    grid = read_table(spark, d, "nation").where("n_regionkey <> 2").select(
+    grid = read_table(spark, d, "nation").select(
         "n_nationkey", "n_name", F.col("n_regionkey").alias("cell")
     )
     customers = read_table(spark, d, "customer").select("c_custkey", "c_nationkey")

@@ -108,7 +108,7 @@ def _one_table(features: list[str], name: str, base: str | None = None) -> str:
         + TRAINED
         + f", G AS (SELECT {gram_sql(columns)} FROM T WHERE is_train),\n"
         + ridge_sql("G", name, list(range(len(features))), y, base=b)
-        + f""" SELECT area, period_month, round(target, 5) AS target, round({predict_sql(name, features, base)}, 5) AS y_pred
+        + f""" SELECT area, period_month, target, round({predict_sql(name, features, base)}, 5) AS y_pred
 FROM T, {name} WHERE NOT is_train"""
     )
 
@@ -123,7 +123,7 @@ def _fitted(spark, d, features):
     train, test = _split_rows(spark, d)
     model = m.fit_ridge(train, features, "target")
     scored = m.apply_model(model, test, features)
-    return rounded(scored.select("area", "period_month", "target", "y_pred"), 5)
+    return rounded(scored.select("area", "period_month", "target", "y_pred"), 5, ("target",))
 
 
 @query("m5_fit_ridge", _one_table(["observed"], "rx"))
@@ -143,7 +143,7 @@ def delta_wrap(spark, d):
     model = m.fit_ridge(delta, FEATURES[1:], "delta")
     scored = m.apply_model(model, test, FEATURES[1:])
     rebuilt = scored.withColumn("y_pred", F.col("observed") + F.col("y_pred"))
-    return rounded(rebuilt.select("area", "period_month", "target", "y_pred"), 5)
+    return rounded(rebuilt.select("area", "period_month", "target", "y_pred"), 5, ("target",))
 
 
 @query(

@@ -190,8 +190,7 @@ def lead_target_hourly(spark, d):
     with_shapes("FUEL")
     + """, A AS (
   SELECT fuel, CAST(date_trunc('month', trade_date) AS DATE) AS period_month,
-         avg(volume) AS volume, avg(amount) AS amount FROM FUEL
-  WHERE month(trade_date) <> 5 GROUP BY 1, 2),
+         avg(volume) AS volume, avg(amount) AS amount FROM FUEL GROUP BY 1, 2),
 S AS (SELECT fuel, min(period_month) AS lo, max(period_month) AS hi FROM A GROUP BY 1),
 G AS (
   SELECT g.fuel, CAST(g.t AS DATE) AS period_month, volume, amount
@@ -202,8 +201,7 @@ SELECT fuel, period_month, round(lag(volume) OVER w, 6) AS volume_lag_1m, round(
 FROM G WINDOW w AS (PARTITION BY fuel ORDER BY period_month)""",
 )
 def exogenous_lag(spark, d):
-    fuel = shapes.fuel_trades(spark, d).where(F.month("trade_date") != 5)
-    monthly = fuel.withColumn("period_month", shapes.month_of("trade_date"))
+    monthly = shapes.fuel_trades(spark, d).withColumn("period_month", shapes.month_of("trade_date"))
     out = g.exogenous_lag(monthly, ["volume", "amount"], ["fuel"])
     return out.select(
         "fuel", "period_month", F.round("volume_lag_1m", 6).alias("volume_lag_1m"),
