@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,13 +119,15 @@ def read_snapshots(
     its file is kept, so that a row has an identity.
     """
     path = f"{root}/source_id={source_id}"
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path):
-        return None
-    df = (
-        spark.read.option("mergeSchema", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.parquet").parquet(path)
-    )
+    try:
+        df = (
+            spark.read.option("mergeSchema", True).option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "*.parquet").parquet(path)
+        )
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
     def filled(name: str, default: Column) -> Column:
         return F.coalesce(F.col(name), default) if name in df.columns else default
@@ -190,7 +193,9 @@ def quarantine_manifest(
     name: str = "file_name", path: str = "path", sha256: str = "sha256",
 ) -> DataFrame:
     """One row per file whose name says something its content does not hold."""
-    normal = files.withColumn("_name", nfc(F.col(name)))
+    # plain ASCII is in normal form already and does not need the round trip through Python
+    other = F.when(F.col(name).rlike("[^\\x00-\\x7F]"), F.col(name))
+    normal = files.withColumn("_name", F.coalesce(nfc(other), F.col(name)))
     return normal.where(glob_matches(F.col("_name"), patterns)).select(
         F.lit(source_id).alias("source_id"),
         F.lit("pending_schema_verification").alias("status"),

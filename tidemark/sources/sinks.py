@@ -8,16 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.cleaning import TIME_COLUMNS, event_date
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def write_snapshot(
     df: DataFrame, root: str, source_id: str, snapshot_id: str, times: Sequence[str] = TIME_COLUMNS
 ) -> str:
@@ -26,10 +22,13 @@ def write_snapshot(
     The date is one scalar over the snapshot, so the rows are written where they are.
     """
     path = f"{root}/source_id={source_id}/snapshot_id={snapshot_id}"
-    if path_exists(df.sparkSession, path):
-        raise FileExistsError(f"snapshot {snapshot_id} of {source_id} is already written")
     dated = df.withColumn("event_date", event_date(df, times).scalar())
-    dated.write.partitionBy("event_date").mode("errorifexists").parquet(path)
+    try:
+        dated.write.partitionBy("event_date").mode("errorifexists").parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_ALREADY_EXISTS":
+            raise FileExistsError(f"snapshot {snapshot_id} of {source_id} is already written") from exc
+        raise
     return path
 
 
@@ -51,7 +50,9 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_archive(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("source_id", "event_date").parquet(path)
+    """Ranges over date and id: few dates per task, and a full date spread over several tasks."""
+    ranged = rows.repartitionByRange("event_date", "payload_id")
+    ranged.write.mode("append").partitionBy("source_id", "event_date").parquet(path)
 
 
 def write_csv_report(df: DataFrame, path: str) -> None:
