@@ -211,27 +211,29 @@ def _solve(n, sums, cross, spec: Ridge, columns: Sequence[str], target: str) ->
 def ridge_from_stats(
     stats: DataFrame, models: Mapping[str, Ridge], columns: Sequence[str], target: str, min_rows: int = 1
 ) -> DataFrame:
-    """Add ``coef_<model>``: intercept, then slopes; null with fewer than ``min_rows`` rows."""
-    names = [*columns, target]
+    """Add ``coef_<model>``: intercept, then slopes; null with fewer than ``min_rows`` rows.
 
-    def solver(spec: Ridge):
-        def solve(n: pd.Series, sums: pd.Series, cross: pd.Series) -> pd.Series:
-            ok = (n >= max(min_rows, 1)).to_numpy()
-            out = np.full(len(n), None, dtype=object)
-            if ok.any():
-                found = _solve(
-                    n[ok].to_numpy(dtype=float), np.stack(sums[ok].to_list()), np.stack(cross[ok].to_list()),
-                    spec, names, target,
-                )
-                for i, row in zip(np.flatnonzero(ok), found):
-                    out[i] = row
-            return pd.Series(out)
-
-        return F.pandas_udf(solve, T.ArrayType(T.DoubleType()))
-
-    return stats.withColumns(
-        {f"coef_{m}": solver(spec)("n", "sums", "cross") for m, spec in models.items()}
-    )
+    All models are solved in one call per batch, as they share the statistics.
+    """
+    if not models:
+        return stats
+    names = [*columns, target]
+    fields = [f"coef_{m}" for m in models]
+
+    def solve(n: pd.Series, sums: pd.Series, cross: pd.Series) -> pd.DataFrame:
+        usable = np.flatnonzero(n.to_numpy() >= max(min_rows, 1))
+        out = {f: np.full(len(n), None, dtype=object) for f in fields}
+        if len(usable):
+            picked = [np.stack(s.iloc[usable].to_list()) for s in (sums, cross)]
+            counts = n.iloc[usable].to_numpy(dtype=float)
+            for f, spec in zip(fields, models.values()):
+                for i, row in zip(usable, _solve(counts, *picked, spec, names, target)):
+                    out[f][i] = row
+        return pd.DataFrame({f: pd.Series(v, dtype=object) for f, v in out.items()})
+
+    schema = T.StructType([T.StructField(f, T.ArrayType(T.DoubleType())) for f in fields])
+    solver = F.pandas_udf(solve, schema)
+    return stats.withColumn("_fit", solver("n", "sums", "cross")).select(*stats.columns, "_fit.*")
 
 
 def linear_prediction(coef: str, spec: Ridge) -> Column:
