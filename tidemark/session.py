@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +26,9 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
@@ -32,9 +36,28 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per Spark context.
+
+    Functions run by Arrow are pickled by name, so the workers must be able to import it, wherever
+    the driver was started and whatever its own search path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as staging:
+        copy = Path(staging) / "package"
+        shutil.copytree(home, copy / home.name, ignore=shutil.ignore_patterns("__pycache__"))
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='tidemark-')}/{home.name}", "zip", copy)
+    context.addPyFile(archive)
+    context._tidemark_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` as the cluster names it.
 
