@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import quality, toxicity
 from tidemark.llm.common import ORACLES, QUERIES, query, table
 from tidemark.llm.exact_dedup import exact_groups
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.packing import pack
+from tidemark.llm.quality import bucket_of, score_quality, train_quality
 from tidemark.llm.sharding import shard
+from tidemark.llm.toxicity import score_toxicity, train_toxicity
 
 __all__ = ["QUERIES", "ORACLES"]
 
@@ -82,3 +86,26 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bucket = table(spark, sf_dir, "documents"), bucket_of(F.col("doc_id"), 4)
+    detector = train_toxicity(docs, table(spark, sf_dir, "labels"), bucket != 2)
+    return score_toxicity(docs, detector).select(
+        "doc_id", (bucket == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bucket = table(spark, sf_dir, "documents"), bucket_of(F.col("doc_id"), 5)
+    model = train_quality(docs, table(spark, sf_dir, "labels"), bucket != 0)
+    return score_quality(docs, model).select(
+        "doc_id", (bucket == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
