@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -168,24 +169,42 @@ def choose_stems(counts: pd.DataFrame, toxic: int, clean: int, tried: int) -> di
 
     Among ``tried`` stems some lean to the toxic side by chance: the log-likelihood ratio against
     chance has to exceed ``log(tried) + 1``, so that less than one stem is expected to pass wrongly.
-    Of stems in a line of beginnings, the longest that still stands for (nearly) all toxic documents of the
-    shorter one is taken.
     """
     odds = (counts["toxic"] / (toxic + 1)) / ((counts["clean"] + 0.5) / (clean + 1))
     n, base = counts["toxic"] + counts["clean"], toxic / max(1, toxic + clean)
     t, c = counts["toxic"], counts["clean"]
     ratio = t * np.log((t / n).clip(lower=1e-12) / base) + c * np.log((c / n).clip(lower=1e-12) / (1 - base))
     sure = counts[(odds >= ODDS) & (ratio >= math.log(max(1, tried)) + 1)].assign(odds=odds)
-    number = dict(zip(sure["stem"], sure["toxic"]))
-    longer: dict[str, int] = {}
-    for stem, n in number.items():
-        parent = stem[:-1]
-        longer[parent] = max(longer.get(parent, 0), n)
-    chosen = {}
-    for stem, n, o in zip(sure["stem"], sure["toxic"], sure["odds"]):
-        if longer.get(stem, 0) < 0.9 * n:
-            chosen[stem] = min(1.0, 0.6 + 0.1 * math.log10(max(1.0, o)) + 0.02 * math.log2(n))
-    return dict(sorted(chosen.items(), key=lambda kv: (-kv[1], kv[0]))[:LEXICON])
+    strength = [min(1.0, 0.6 + 0.1 * math.log10(max(1.0, o)) + 0.02 * math.log2(n)) for o, n in zip(sure["odds"], sure["toxic"])]
+    return dict(zip(sure["stem"], strength))
+
+
+def text_sign(text: str | None) -> int:
+    """The smallest hash of five words in a row: equal for copies, and mostly for near copies."""
+    words = (text or "").split()
+    runs = [" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))]
+    return min(zlib.crc32(r.encode("utf-8", "surrogatepass")) for r in runs)
+
+
+def independent(found: list[tuple[int, list[str]]], sure: dict[str, float], odds: dict[str, float], least: int) -> dict[str, float]:
+    """The sure stems that stand on their own. ``found``: sign and sure stems of each toxic document.
+
+    Stems are tried by their odds, of equal ones the longest first. One is taken if ``least``
+    documents of different signs have it that have no stem taken before of which it is a beginning or
+    a longer form, and if these alone make it likely enough. So rare words of a document that was copied, and variants of a stem, add nothing.
+    """
+    holders: dict[str, set[int]] = {}
+    for i, (_, stems) in enumerate(found):
+        for stem in stems:
+            holders.setdefault(stem, set()).add(i)
+    chosen: dict[str, float] = {}
+    for stem in sorted(holders, key=lambda s: (-odds[s], -len(s), s)):
+        kin = [c for c in chosen if c.startswith(stem) or stem.startswith(c)]
+        own = holders[stem].difference(*[holders[c] for c in kin])
+        likelier = odds[stem] * len(own) / len(holders[stem])
+        if likelier >= ODDS and len({found[i][0] for i in own}) >= least and len(chosen) < LEXICON:
+            chosen[stem] = sure[stem]
+    return chosen
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, use: Column, limit: int = FIT_ROWS) -> Detector:
@@ -224,7 +243,20 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, use: Column, limit: int =
     leaning = leaning.toPandas().sort_values("stem")
     seen = totals.filter("stem = ''").toPandas()
     toxic, clean = (int(seen["toxic"].sum()), int(seen["clean"].sum())) if len(seen) else (0, 0)
-    stems = choose_stems(leaning, toxic, clean, tried) if toxic and clean else {}
+    sure = choose_stems(leaning, toxic, clean, tried) if toxic and clean else {}
+
+    odds = {r.stem: (r.toxic / (toxic + 1)) / ((r.clean + 0.5) / (clean + 1)) for r in leaning.itertuples()}
+
+    def sure_stems(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"sign": [text_sign(t) for t in frame["text"]],
+                                "stems": [sorted(stems_of(t) & sure.keys()) for t in frame["text"]]})
+
+    # at most ``limit`` toxic documents
+    rows = chosen.filter("_label = 1").mapInPandas(sure_stems, "sign long, stems array<string>").collect()
+    share = (toxic + 1) / (toxic + clean + 2)
+    least = max(SUPPORT, math.ceil((math.log(max(1, tried)) + 1) / -math.log(share)))
+    stems = independent([(r["sign"], r["stems"]) for r in rows], sure, odds, least)
     detector = Detector(stems, {}, 0.0, prior)
 
     def patterns(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
