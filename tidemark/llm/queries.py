@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import quality, toxicity
 from tidemark.llm.common import ORACLES, QUERIES, query, table
+from tidemark.llm.embeddings import link_embeddings
 from tidemark.llm.exact_dedup import exact_groups
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.packing import pack
@@ -109,3 +110,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select(
         "doc_id", (bucket == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
     )
+
+
+@query("op4_embedding_dedup")
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_embeddings(table(spark, sf_dir, "embeddings"))
