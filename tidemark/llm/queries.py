@@ -10,6 +10,7 @@ from tidemark.llm.common import ORACLES, QUERIES, query, table
 from tidemark.llm.embeddings import link_embeddings
 from tidemark.llm.exact_dedup import exact_groups
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.near_dedup import near_classes
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import bucket_of, score_quality, train_quality
 from tidemark.llm.sharding import shard
@@ -115,3 +116,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_embedding_dedup")
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_near_dedup")
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
