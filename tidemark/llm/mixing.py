@@ -53,6 +53,13 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_q", F.when(open_, F.col("_u") / (1 - F.col("_u")) / odds))
 
 
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """Adds the place of the rank, put between 0 and 1, in the two histograms."""
+    fine = F.floor(F.col("_q") / (1 + F.col("_q")) * float(BUCKETS * BUCKETS)).cast("long")
+    rows = rows.withColumn("_fine", F.when(F.col("_q").isNotNull(), F.least(fine, F.lit(BUCKETS * BUCKETS - 1))))
+    return rows.withColumn("_coarse", F.floor(F.col("_fine") / BUCKETS).cast("long"))
+
+
 def mixing_plan(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """One row per source: its target, whole copies, last rank of the sample and closing document.
 
@@ -69,10 +76,7 @@ def mixing_plan(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFra
         "_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("_copies") * F.col("source_size"))
     )
     plan = materialise(plan, "mix-targets")
-    drawn = _ranked(_with(rows, plan, ["source_size", "_rest"]))
-    fine = F.floor(F.col("_q") / (1 + F.col("_q")) * float(BUCKETS * BUCKETS)).cast("long")
-    drawn = drawn.withColumn("_fine", F.when(F.col("_q").isNotNull(), F.least(fine, F.lit(BUCKETS * BUCKETS - 1))))
-    drawn = drawn.withColumn("_coarse", F.shiftright("_fine", 12))
+    drawn = _bucketed(_ranked(_with(rows, plan, ["source_size", "_rest"])))
 
     open_rows = drawn.filter("_q IS NOT NULL")
     plan = _crossing(plan, open_rows, "_coarse", "_rest", "_c1", "_before1")
@@ -149,26 +153,23 @@ def mix_sources(
     empty table gives an empty result. Columns of ``docs`` named like the new ones are replaced.
     """
     new = ("size", "source_size", "target", "copies")
-    docs = docs.drop(*new)
-    marked = docs.withColumn("size", word_count(F.col(text_col)))
-    slim = materialise(
-        marked.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), "size",
-                      _uniform(F.col(id_col), seed).alias("_u")),
-        "mix-sizes",
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _uniform(F.col(id_col), seed).alias("_u"),
     )
-    plan = mixing_plan(slim, weights, most).withColumnRenamed("source", "_plan_source")
-    rows = marked.withColumn("_u", _uniform(F.col(id_col), seed))
-    rows = _ranked(rows.join(plan, rows[source_col].eqNullSafe(plan["_plan_source"]), "left"))
-    fine = F.floor(F.col("_q") / (1 + F.col("_q")) * float(BUCKETS * BUCKETS)).cast("long")
-    rows = rows.withColumn("_fine", F.when(F.col("_q").isNotNull(), F.least(fine, F.lit(BUCKETS * BUCKETS - 1))))
-    rows = rows.withColumn("_coarse", F.shiftright("_fine", 12)).withColumn("doc_id", F.col(id_col))
+    plan = mixing_plan(materialise(rows.drop("_row"), "mix-sizes"), weights, most)
+    columns = [c for c in plan.columns if c != "source"]
+    rows = _bucketed(_ranked(_with(rows, plan, columns)))
     closes = F.col("doc_id").eqNullSafe(F.col("_closing")["doc_id"]) & (F.col("size") == F.col("_closing")["size"])
     extra = _sampled() | (F.col("_closing").isNotNull() & closes)
     copies = F.col("_copies") + F.coalesce(extra, F.lit(False)).cast("long")
-    return rows.withColumn("copies", copies).select(*docs.columns, *new)
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in new]
+    return rows.withColumn("copies", copies).select(*kept, *new)
 
 
-def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as the mix takes it."""
-    mixed = mix_sources(docs, **settings)
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The mix itself: each row of ``docs``, with all its columns, as often as the mix takes it."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole")
+    packed = docs.select(whole, *[F.col(c).alias(a) for c, a in ((id_col, "doc_id"), (text_col, "text"), (source_col, "source"))])
+    taken = mix_sources(packed, **settings).filter("copies > 0")
+    return taken.select("_whole", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_whole.*")

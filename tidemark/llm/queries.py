@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import quality, toxicity
+from tidemark.llm.chat import branched_pairs, format_preferences
 from tidemark.llm.common import ORACLES, QUERIES, query, table
 from tidemark.llm.embeddings import link_embeddings
 from tidemark.llm.exact_dedup import exact_groups
@@ -121,3 +122,46 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_near_dedup")
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op2_chat_preferences",
+    r"""
+    WITH counts AS (SELECT conv_id, count(*) AS n, lead(conv_id) OVER (ORDER BY conv_id) AS other
+                    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    pairs AS (SELECT conv_id AS pair_id, other, conv_id % n AS branch FROM counts WHERE other IS NOT NULL),
+    turns AS (
+        SELECT p.pair_id, 'chosen' AS side, c.turn, c.role, c.text FROM conversations c JOIN pairs p ON c.conv_id = p.pair_id
+        UNION ALL
+        SELECT p.pair_id, 'rejected', c.turn, c.role, c.text FROM conversations c JOIN pairs p ON c.conv_id = p.pair_id WHERE c.turn < p.branch
+        UNION ALL
+        SELECT p.pair_id, 'rejected', c.turn, c.role, c.text FROM conversations c JOIN pairs p ON c.conv_id = p.other WHERE c.turn >= p.branch),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) AS pos FROM turns),
+    compared AS (
+        SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.pos, b.pos) AS pos,
+               a.pos IS NOT NULL AND b.pos IS NOT NULL AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text AS same
+        FROM (SELECT * FROM placed WHERE side = 'chosen') a
+        FULL JOIN (SELECT * FROM placed WHERE side = 'rejected') b ON a.pair_id = b.pair_id AND a.pos = b.pos),
+    shared AS (SELECT pair_id, coalesce(min(pos) FILTER (NOT same) - 1, max(pos)) AS shared_turns FROM compared GROUP BY pair_id),
+    written AS (
+        SELECT p.pair_id, side, pos, shared_turns, pos <= shared_turns AS in_prompt, coalesce(role = 'assistant', false) AS trained,
+               '<|' || coalesce(role, 'unknown') || '|>' || chr(10) AS head, coalesce(text, '') || '<|end|>' || chr(10) AS body
+        FROM placed p JOIN shared USING (pair_id)),
+    spans AS (
+        SELECT *, coalesce(sum(CASE WHEN NOT in_prompt THEN length(head || body) END)
+                    OVER (PARTITION BY pair_id, side ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start
+        FROM written)
+    SELECT pair_id, max(shared_turns) AS shared_turns,
+           coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (in_prompt AND side = 'chosen'), '') AS prompt,
+           coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (NOT in_prompt AND side = 'chosen'), '') AS chosen,
+           coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(body) AS BIGINT), ',' ORDER BY pos)
+                    FILTER (NOT in_prompt AND trained AND side = 'chosen'), '') AS chosen_spans,
+           coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (NOT in_prompt AND side = 'rejected'), '') AS rejected,
+           coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(body) AS BIGINT), ',' ORDER BY pos)
+                    FILTER (NOT in_prompt AND trained AND side = 'rejected'), '') AS rejected_spans
+    FROM spans GROUP BY pair_id
+    """,
+)
+def op2_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against a branch of it that ends like the next one."""
+    return format_preferences(branched_pairs(table(spark, sf_dir, "conversations")))
