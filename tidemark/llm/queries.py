@@ -15,6 +15,7 @@ from tidemark.llm.near_dedup import near_classes
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import bucket_of, score_quality, train_quality
 from tidemark.llm.sharding import shard
+from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.toxicity import score_toxicity, train_toxicity
 
 __all__ = ["QUERIES", "ORACLES"]
@@ -165,3 +166,9 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation against a branch of it that ends like the next one."""
     return format_preferences(branched_pairs(table(spark, sf_dir, "conversations")))
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
