@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise
@@ -22,8 +22,8 @@ COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (math.log(COORDINATES) + 4)
 #: an estimate from the signature this far below the threshold (four standard deviations) rules a pair out
 MARGIN = 4 * math.sqrt(SIMILAR * (1 - SIMILAR) / COORDINATES)
-#: members of a bucket that meet another such block of it in one task
-BLOCK = 1500
+#: members of a bucket that meet another such block of it in one task, and rows of buckets that share a task
+BLOCK, CELL = 1500, 2000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -158,23 +158,68 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(pairs.join(left, "a").join(right, "b").mapInPandas(_check, "a long, b long"), "near-links")
 
 
+def _counted(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    keys, counts = np.unique(run, return_counts=True)
+    return keys, counts, len(run)
+
+
+def _similar(a: tuple, b: tuple) -> bool:
+    """Whether two counted sets reach the threshold."""
+    if min(a[2], b[2]) < SIMILAR * max(a[2], b[2]):
+        return False
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    same = b[0][at] == a[0]
+    shared = int(np.minimum(a[1][same], b[1][at[same]]).sum())
+    return shared >= SIMILAR * (a[2] + b[2] - shared)
+
+
+def _joined(band: int, docs: np.ndarray, label: np.ndarray, sign: np.ndarray, sets: list, left: np.ndarray, right: np.ndarray) -> list[tuple]:
+    """Links that join the classes of a bucket's members, between its blocks ``left`` and ``right`` (positions).
+
+    Of a pair that shares several bands only the first bucket decides. A member is held against others of
+    other classes, the likeliest first, exactly, until it is in their class or they are used up; so members of
+    a class cost few comparisons, and no link that would join two classes is left out.
+    """
+    counted: dict[int, tuple] = {}
+
+    def of(i: int) -> tuple:
+        if i not in counted:
+            counted[i] = _counted(np.frombuffer(sets[i], dtype=np.uint64))
+        return counted[i]
+
+    found = []
+    diagonal = len(left) == len(right) and bool((left == right).all())
+    for n, x in enumerate(left.tolist()):
+        others = right[n + 1:] if diagonal else right
+        others = others[label[others] != label[x]]
+        equal = sign[others] == sign[x]
+        share = equal.mean(axis=1)
+        earlier = equal[:, :band * ROWS].reshape(len(others), band, ROWS).all(axis=2).any(axis=1)
+        likely = np.flatnonzero((share >= SIMILAR - MARGIN) & ~earlier)
+        for y in others[likely[np.argsort(-share[likely], kind="stable")]].tolist():
+            if label[x] != label[y] and _similar(of(x), of(y)):
+                found.append((docs[x], docs[y]))
+                label[label == label[y]] = label[x]
+    return found
+
+
 def _across(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two blocks of a bucket, of different classes and similar by their signatures, with the estimate."""
-    frame = frame.sort_values("doc_id")
-    left, right = frame[frame["_side"] == 0], frame[frame["_side"] == 1]
+    """The links of all buckets (or pairs of their blocks) of a cell."""
+    frame = frame.sort_values(["bucket", "i", "j", "doc_id"], kind="stable")
+    unit = frame[["bucket", "i", "j"]].to_numpy()
+    cuts = np.concatenate([[0], np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1, [len(unit)]])
+    docs, blocks, bands = frame["doc_id"].to_numpy(), frame["block"].to_numpy(), frame["band"].to_numpy()
+    _, label = np.unique(frame["class"].to_numpy(), return_inverse=True)
+    sign = np.frombuffer(b"".join(frame["_sign"]), dtype=">u4").astype(np.uint32).reshape(len(frame), -1)
+    sets = frame["_set"].tolist()
     out = []
-    if len(left) and len(right):
-        sign = lambda part: np.frombuffer(b"".join(part["_sign"]), dtype=">u4").astype(np.uint32).reshape(len(part), -1)
-        a, b = sign(left), sign(right)
-        ids_a, ids_b = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
-        of_a, of_b = left["class"].to_numpy(), right["class"].to_numpy()
-        for i in range(len(a)):
-            other = np.flatnonzero((of_b != of_a[i]) & (ids_b > ids_a[i] if key[1] == key[2] else ids_b != ids_a[i]))
-            same = (b[other] == a[i]).mean(axis=1)
-            near = same >= SIMILAR - MARGIN
-            out.append(pd.DataFrame({"a": np.minimum(ids_a[i], ids_b[other[near]]), "b": np.maximum(ids_a[i], ids_b[other[near]]),
-                                     "near": same[near]}))
-    return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "near": np.zeros(0)})
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        at = np.arange(lo, hi)
+        left, right = at[blocks[at] == unit[lo, 1]], at[blocks[at] == unit[lo, 2]]
+        if len(left) and len(right):
+            # classes joined in one bucket are known in the next ones of the cell as well
+            out += _joined(int(bands[lo]), docs, label, sign, sets, left, right)
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,10 +228,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Documents whose shingles are equal are one class from the start; only its smallest id goes on.
     Buckets are bands of the signature. First every member of a bucket is held against the bucket's
     smallest id: a large group of near copies is joined by as many pairs as it has members. Buckets in
-    which classes are left apart are then compared by signature, block against block, between different
-    classes only: first the two best matches of each member and class, then, after these have
-    joined what they join, all that remain. Every pair is decided by the exact weighted
-    Jaccard similarity of the whole texts' shingles.
+    which classes are left apart then go, block against block, to tasks that hold members of different
+    classes against each other and return the links that join classes, fewer than members; pairs of a bucket are
+    never emitted. Every link is decided by the exact weighted Jaccard similarity of the whole
+    texts' shingles.
 
     Null and empty texts have no shingles and each is its own class; so is a row without an id
     (``class_id`` null). Texts of fewer than five words are one shingle. Rows repeated under one id are
@@ -204,11 +249,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = materialise(same, "near-same")
     single = compared.join(same, "doc_id", "left_anti").dropDuplicates(["doc_id"])
 
-    band = F.explode(F.transform(
+    keys = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(i, F.substring("_sign", i * (4 * ROWS) + 1, F.lit(4 * ROWS))),
-    ))
-    bands = single.select("doc_id", band.alias("bucket"))
+    )
+    bands = single.select("doc_id", F.posexplode(keys).alias("band", "bucket"))
     firsts = bands.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     shared = materialise(bands.join(firsts, "bucket"), "near-buckets")
     involved = shared.select("doc_id").distinct()
@@ -226,28 +271,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .filter(agree >= SIMILAR - MARGIN).select("a", "b")
     )
     links = _verified(near, sets)
-    for best in (2, None):
-        classes = materialise(components(links), "near-class")
-        own = shared.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-            "bucket", "doc_id", "first", "members", F.coalesce("component", "doc_id").alias("class")
-        )
-        apart = own.groupBy("bucket").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).filter("_lo <> _hi").select("bucket")
-        # the bucket's first member has been held against all others
-        rest = own.join(apart, "bucket", "left_semi").filter("first <> doc_id").join(signs, "doc_id")
-        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        placed = rest.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
-        left = placed.select("bucket", F.col("_block").alias("i"), F.explode(F.sequence(F.col("_block"), F.col("_blocks") - 1)).alias("j"),
-                             F.lit(0).alias("_side"), "doc_id", "class", "_sign")
-        right = placed.select("bucket", F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("i"), F.col("_block").alias("j"),
-                              F.lit(1).alias("_side"), "doc_id", "class", "_sign")
-        found = left.unionByName(right).groupBy("bucket", "i", "j").applyInPandas(_across, "a long, b long, near double")
-        pairs = materialise(found.groupBy("a", "b").agg(F.max("near").alias("near")), "near-pairs")
-        if best:
-            of = classes.withColumnRenamed("node", "b").withColumnRenamed("component", "_cb")
-            order = Window.partitionBy("a", "_class").orderBy(F.desc("near"), "b")
-            ranked = pairs.join(of, "b", "left").withColumn("_class", F.coalesce("_cb", "b")).withColumn("_r", F.row_number().over(order))
-            pairs = ranked.filter(F.col("_r") <= best).select("a", "b")
-        links = materialise(links.unionByName(_verified(pairs.select("a", "b"), sets)), "near-all-links")
+    classes = materialise(components(links), "near-class")
+    own = shared.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id"))
+    apart = own.groupBy("bucket").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).filter("_lo <> _hi").select("bucket")
+    # the bucket's first member has been held against all others
+    rest = own.join(apart, "bucket", "left_semi").filter("first <> doc_id")
+    count = F.ceil(F.col("members") / BLOCK).cast("int")
+    placed = rest.withColumn("_blocks", count).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
+    met = placed.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
+        "bucket", "band", F.least("block", "_k").alias("i"), F.greatest("block", "_k").alias("j"), "block", "doc_id", "class"
+    )
+    met = materialise(met, "near-met")
+    cells = max(1, -(-met.count() // CELL))
+    cell = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(cells)).alias("cell")
+    found = met.join(signs, "doc_id").join(sets, "doc_id").groupBy(cell).applyInPandas(_across, "a long, b long")
+    links = links.unionByName(materialise(found, "near-rest"))
     classes = components(links.unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     out = rows.select("doc_id").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     class_id = F.coalesce("component", "doc_id")
