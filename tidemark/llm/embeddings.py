@@ -16,10 +16,10 @@ from tidemark.llm.components import components, local_roots
 
 #: the index is fitted on at most so many vectors, chosen by a hash of the id; every vector is indexed
 FIT_ROWS = 8192
-LISTS = 1024
+LISTS = 512
 PARTS, WORDS = 8, 256
 #: how many standard deviations of a random displacement the probes allow for
-REACH = 5.0
+REACH = 3.5
 #: members and queries that meet in one task
 MEMBERS, QUERIES_A_TASK = 2048, 16384
 
@@ -44,6 +44,8 @@ class ProductIndex:
     centres: np.ndarray
     words: list[np.ndarray]
     cuts: np.ndarray
+    #: lists that lie together share a group, the unit of the shuffle
+    group: np.ndarray
 
     @classmethod
     def fit(cls, rows: np.ndarray, lists: int, seed: int = 11) -> ProductIndex:
@@ -52,25 +54,29 @@ class ProductIndex:
         rest = rows - centres[np.argmax(rows @ centres.T - 0.5 * (centres * centres).sum(axis=1), axis=1)]
         cuts = np.linspace(0, rows.shape[1], min(PARTS, rows.shape[1]) + 1).astype(int)
         words = [_means(rest[:, a:b], WORDS, 8, rng) for a, b in zip(cuts[:-1], cuts[1:])]
-        return cls(centres, words, cuts)
+        heart = _means(centres, max(1, lists // 16), 12, rng)
+        group = np.argmax(centres @ heart.T - 0.5 * (heart * heart).sum(axis=1), axis=1)
+        return cls(centres, words, cuts, group)
 
-    def place(self, rows: np.ndarray, threshold: float) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The list of each unit vector, and the lists that hold what is similar to it.
+    def place(self, rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """The list of each unit vector, and for each list whether it is to be probed.
 
         A vector at the threshold is ``threshold`` times this one plus a displacement orthogonal to
         it. A list is probed if the displacement, in a random direction, may bring the vector
         closer to its centre than to this one's with ``REACH`` standard deviations.
         """
-        gain = rows @ self.centres.T - 0.5 * (self.centres * self.centres).sum(axis=1)
-        own = np.argmax(gain, axis=1)
-        spread = np.linalg.norm(self.centres[:, None] - self.centres[None], axis=2)[own]
         off = math.sqrt(max(0.0, 1 - threshold * threshold)) / math.sqrt(max(1, rows.shape[1] - 1))
-        dots = rows @ self.centres.T
         half = 0.5 * (self.centres * self.centres).sum(axis=1)
-        # over all lengths of the displacement up to the threshold's, the margin is least at one of the two ends
-        near = (dots[np.arange(len(rows)), own] - half[own])[:, None] - (dots - half)
-        far = (threshold * dots[np.arange(len(rows)), own] - half[own])[:, None] - (threshold * dots - half)
-        return own, [np.flatnonzero(m) for m in np.minimum(near, far) <= REACH * off * spread + 1e-12]
+        apart = np.linalg.norm(self.centres[:, None] - self.centres[None], axis=2)
+        own, probed = np.zeros(len(rows), dtype=np.int64), np.zeros((len(rows), len(half)), dtype=bool)
+        for lo in range(0, len(rows), 1024):
+            dots = rows[lo:lo + 1024] @ self.centres.T
+            at = own[lo:lo + 1024] = np.argmax(dots - half, axis=1)
+            mine = dots[np.arange(len(dots)), at][:, None]
+            # over all displacements up to the threshold's, the margin is least at one of the two ends
+            near = np.minimum(mine - dots, threshold * (mine - dots)) - (half[at][:, None] - half)
+            probed[lo:lo + 1024] = near <= REACH * off * apart[at] + 1e-12
+        return own, probed
 
     def encode(self, rows: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes, and how far each vector is from what its code says."""
@@ -120,8 +126,8 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     """One row per vector: ``vec_id, n_links, component_id, kept``.
 
     Equal vectors are one class: only its smallest id is searched, weighted by its copies. Every
-    class is indexed and asks all lists that may hold something similar. Lists of any size are cut in blocks of
-    members and of queries, each pair of blocks a task; a task returns counts and one link of
+    class is indexed and asks all lists that may hold something similar. Lists that lie together form a group;
+    groups of any size are cut in blocks of members and of queries, each pair of blocks a task; a task returns counts and one link of
     each node to the smallest node it reaches there, never pairs. Components come from these links.
 
     A vector that is null, empty, zero, or holds null or non-finite components, and one without an
@@ -140,9 +146,11 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     lengths = sample.map(len)
     dim = int(lengths.mode().iloc[0]) if len(sample) else 1
     fitted = _unit(sample[lengths == dim]) if len(sample) else np.ones((1, 1))
-    lists = max(1, min(LISTS, len(fitted), round(math.sqrt(n) / 8)))
+    lists = max(1, min(LISTS, len(fitted), len(fitted) // 16, round(2 * math.sqrt(n))))
     shared = spark.sparkContext.broadcast(ProductIndex.fit(fitted, lists))
 
+    columns = ["rep", "copies", "_v", "list", "own", "asks", "code", "error"]
+
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
         for frame in frames:
@@ -150,53 +158,65 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
             out = frame[~usual].copy()
             if len(out):
                 out["list"] = [-len(v) for v in out["_v"]]
-                out["probes"], out["code"], out["error"] = pd.Series([[x] for x in out["list"]], out.index), b"", 0.0
-                yield out[["rep", "copies", "_v", "list", "probes", "code", "error"]]
+                out["own"] = out["list"]
+                out["asks"], out["code"], out["error"] = pd.Series([[x] for x in out["list"]], out.index), b"", 0.0
+                yield out[columns]
             part = frame[usual].copy()
             if len(part):
                 unit = _unit(part["_v"])
-                own, probes = index.place(unit, threshold)
+                own, probed = index.place(unit, threshold)
                 codes, error = index.encode(unit, own)
-                part["list"], part["probes"] = own, pd.Series([p.tolist() for p in probes], part.index, dtype=object)
+                asks = [sorted(set(index.group[p].tolist())) for p in probed]
+                part["list"], part["own"], part["asks"] = own, index.group[own], pd.Series(asks, part.index, dtype=object)
                 part["code"], part["error"] = pd.Series([c.tobytes() for c in codes], part.index, dtype=object), error
-                yield part[["rep", "copies", "_v", "list", "probes", "code", "error"]]
+                yield part[columns]
 
     kind = dict(classes.dtypes)["_v"]
     indexed = materialise(
-        classes.mapInPandas(assign, f"rep long, copies long, _v {kind}, list int, probes array<int>, code binary, error double"),
+        classes.mapInPandas(assign, f"rep long, copies long, _v {kind}, list int, own int, asks array<int>, code binary, error double"),
         "vector-index",
     )
-    # blocks of a list, from its size: a row per list
-    sizes = indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
-    asked = indexed.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("q"))
-    blocks = sizes.join(asked, "list").select(
-        "list", F.ceil(F.col("n") / MEMBERS).cast("int").alias("_mb"), F.ceil(F.col("q") / QUERIES_A_TASK).cast("int").alias("_qb")
+    # blocks of a group of lists, from its size
+    sizes = indexed.groupBy(F.col("own").alias("group")).agg(F.count(F.lit(1)).alias("n"))
+    asked = indexed.select(F.explode("asks").alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("q"))
+    blocks = sizes.join(asked, "group").select(
+        "group", F.ceil(F.col("n") / MEMBERS).cast("int").alias("_mb"), F.ceil(F.col("q") / QUERIES_A_TASK).cast("int").alias("_qb")
     )
     salt = lambda count: F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
-    members = indexed.join(blocks, "list").select(
-        "list", salt("_mb").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("_qb") - 1)).alias("qb"),
-        F.lit(True).alias("member"), "rep", "copies", "_v", "code", "error",
+    members = indexed.withColumn("group", F.col("own")).join(blocks, "group").select(
+        "group", salt("_mb").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("_qb") - 1)).alias("qb"),
+        F.lit(True).alias("member"), "rep", "copies", "_v", "list", "code", "error",
     )
-    queries = indexed.withColumn("list", F.explode("probes")).join(blocks, "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("_mb") - 1)).alias("mb"), salt("_qb").alias("qb"),
-        F.lit(False).alias("member"), "rep", "copies", "_v", F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("error"),
+    queries = indexed.withColumn("group", F.explode("asks")).join(blocks, "group").select(
+        "group", F.explode(F.sequence(F.lit(0), F.col("_mb") - 1)).alias("mb"), salt("_qb").alias("qb"),
+        F.lit(False).alias("member"), "rep", "copies", "_v", "list", F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("error"),
     )
 
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        index, at = shared.value, int(key[0])
+        index, group = shared.value, int(key[0])
         inside = frame["member"].to_numpy()
-        mine, asks = frame[inside].sort_values("rep"), frame[~inside].sort_values("rep")
+        mine, asks = frame[inside].sort_values(["list", "rep"]), frame[~inside].sort_values("rep")
         nothing = pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
         if not len(mine) or not len(asks):
             return nothing
         m, q = _unit(mine["_v"]), _unit(asks["_v"])
         m_id, q_id, weight = mine["rep"].to_numpy(), asks["rep"].to_numpy(), mine["copies"].to_numpy()
-        if at < 0:
-            whole = ProductIndex(np.zeros((1, m.shape[1])), [], np.array([0]))
-            found = whole.similar(q, m, np.zeros((len(m), 0), np.uint8), np.full(len(m), 2.0), 0, threshold)
-        else:
+
+        def links_found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            if group < 0:
+                whole = ProductIndex(np.zeros((1, m.shape[1])), [], np.array([0]), np.array([0]))
+                yield from whole.similar(q, m, np.zeros((len(m), 0), np.uint8), np.full(len(m), 2.0), 0, threshold)
+                return
             codes = np.frombuffer(b"".join(mine["code"]), dtype=np.uint8).reshape(len(m), -1)
-            found = index.similar(q, m, codes, mine["error"].to_numpy(), at, threshold)
+            error, lists_of = mine["error"].to_numpy(), mine["list"].to_numpy()
+            _, probed = index.place(q, threshold)
+            for at in np.unique(lists_of).tolist():
+                lo, hi = np.searchsorted(lists_of, [at, at + 1])
+                asking = np.flatnonzero(probed[:, at])
+                for a, b in index.similar(q[asking], m[lo:hi], codes[lo:hi], error[lo:hi], at, threshold):
+                    yield asking[a], lo + b
+
+        found = links_found()
         ids = np.union1d(m_id, q_id)
         m_at, q_at = np.searchsorted(ids, m_id), np.searchsorted(ids, q_id)
         links = np.zeros(len(ids), dtype=np.int64)
@@ -216,7 +236,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         return pd.DataFrame({"rep": ids[told], "links": links[told], "root": ids[root[told]]})
 
     found = materialise(
-        members.unionByName(queries).groupBy("list", "mb", "qb").applyInPandas(compare, "rep long, links long, root long"),
+        members.unionByName(queries).groupBy("group", "mb", "qb").applyInPandas(compare, "rep long, links long, root long"),
         "vector-links",
     )
     linked = found.groupBy("rep").agg(F.sum("links").alias("_links"))
