@@ -28,7 +28,7 @@ PLACES = LENGTH - PREFIX + 1
 #: one anchor in so many ends a chunk; equal chunks are settled as a whole
 CHUNK = 12
 #: bytes of text that a part of the index, a block of documents or a group of contexts stands for
-PART_BYTES, BLOCK_BYTES, GROUP_BYTES = 1 << 24, 1 << 24, 1 << 22
+PART_BYTES, BLOCK_BYTES, GROUP_BYTES = 1 << 23, 1 << 23, 1 << 21
 #: documents of one batch that hold an anchor; from more, only the first and last go to the index
 HELD = 4
 
@@ -270,8 +270,8 @@ def _contexts(key: tuple, texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFra
             by_doc.setdefault(doc, []).append(p[order][lo:hi])
     for doc, x, y in zip(told["doc_id"][~heard], told["x"][~heard], told["y"][~heard]):
         spans[int(doc)] = list(zip(x.tolist(), y.tolist()))
-    rows = []
-    for doc, text in texts.drop_duplicates("doc_id")[["doc_id", "_bytes"]].itertuples(index=False):
+    rows, smallest = [], {}
+    for doc, text in texts.drop_duplicates("doc_id").sort_values("doc_id")[["doc_id", "_bytes"]].itertuples(index=False):
         if doc not in by_doc:
             continue
         found, prints = anchors(_array(text))
@@ -279,45 +279,57 @@ def _contexts(key: tuple, texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFra
         known = np.concatenate([[0], np.cumsum(~_settled(len(text), spans.get(doc, ())))])
         first = np.maximum(found - (PLACES - 1), 0)
         last = np.minimum(found + 1, max(0, len(text) - LENGTH + 1))
-        open_ = (last > first) & (known[np.maximum(last, first)] > known[first])
-        for p, h in zip(found[shared & open_].tolist(), prints[shared & open_].tolist()):
+        open_ = shared & (last > first) & (known[np.maximum(last, first)] > known[first])
+        for p, h, lo, hi in zip(found[open_].tolist(), prints[open_].tolist(), first[open_].tolist(), last[open_].tolist()):
             left = min(p, PLACES - 1)
-            rows.append((h, doc, p, left, text[p - left:p + LENGTH]))
-    out = pd.DataFrame(rows, columns=["print", "doc_id", "pos", "left", "context"])
-    return out.astype({"print": "int64", "doc_id": "int64", "pos": "int64", "left": "int32", "context": object})
+            context = text[p - left:p + LENGTH]
+            if smallest.setdefault((left, context), doc) < doc:
+                # a smaller id of this block stands for this one: all its windows here are repeats
+                rows.append((h, doc, p, left, None, sum(1 << (p - s) for s in range(lo, hi))))
+            else:
+                rows.append((h, doc, p, left, context, 0))
+    out = pd.DataFrame(rows, columns=["print", "doc_id", "pos", "left", "context", "mask"])
+    return out.astype({"print": "int64", "doc_id": "int64", "pos": "int64", "left": "int32", "context": object, "mask": "int64"})
 
 
 def _masks(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """For each anchor, as bits, the windows around it that a document with a smaller id has.
 
-    Bit o stands for the window that begins o bytes before the anchor. All windows of the group that hold the
-    same bytes meet by their hash; a second hash has to agree as well.
+    Bit o stands for the window that begins o bytes before the anchor. Equal windows hold the anchor at the same
+    place, so one place is looked at after the other; windows meet by their hash, and a second hash has to
+    agree as well. Rows that are decided already pass.
     """
+    ready = frame["mask"].to_numpy() != 0
+    out = [frame.loc[ready, ["doc_id", "pos", "mask"]]]
+    frame = frame[~ready]
     docs, left = frame["doc_id"].to_numpy(), frame["left"].to_numpy()
-    size = np.array([len(c) for c in frame["context"]])
+    size = np.array([len(c) for c in frame["context"]], dtype=np.int64)
     width = PLACES - 1 + LENGTH
-    data = np.zeros((len(frame), width), dtype=np.uint8)
     column = np.arange(width)
-    start = (PLACES - 1 - left)[:, None]
-    filled = (column >= start) & (column < start + size[:, None])
-    data[filled] = _array(b"".join(frame["context"]))
-    # window w begins at column w, that is PLACES - 1 - w bytes before the anchor
-    w = np.arange(PLACES)
-    valid = (w >= start) & (w + LENGTH <= start + size[:, None])
-    row, at = np.nonzero(valid)
-    if not len(row):
-        return pd.DataFrame({"block": [], "doc_id": [], "pos": [], "mask": []}).astype("int64")
-    h = window_hashes(data, LENGTH)[valid]
-    g = window_hashes(data, LENGTH, 0xC2B2AE3D27D4EB4F)[valid]
-    order = np.argsort(h, kind="stable")
-    h, g, row, at = h[order], g[order], row[order], at[order]
-    begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
-    least = np.repeat(np.minimum.reduceat(docs[row], begin), np.diff(np.append(begin, len(h))))
-    later = least < docs[row]
+    hashes = np.zeros((2, PLACES, len(frame)), dtype=np.uint64)
+    for lo in range(0, len(frame), 2048):
+        part = slice(lo, lo + 2048)
+        start = (PLACES - 1 - left[part])[:, None]
+        data = np.zeros((len(start), width), dtype=np.uint8)
+        data[(column >= start) & (column < start + size[part][:, None])] = _array(b"".join(frame["context"].iloc[part]))
+        for n, base in enumerate((_BASE, 0xC2B2AE3D27D4EB4F)):
+            hashes[n, :, part] = window_hashes(data, LENGTH, base).T
     mask = np.zeros(len(frame), dtype=np.int64)
-    np.bitwise_or.at(mask, row[later], np.int64(1) << (PLACES - 1 - at[later]).astype(np.int64))
+    for back in range(PLACES):
+        # the window begins ``back`` bytes before the anchor, that is in this column
+        at = PLACES - 1 - back
+        row = np.flatnonzero((back <= left) & (at + LENGTH <= PLACES - 1 - left + size))
+        h = hashes[0, at, row]
+        order = np.argsort(h, kind="stable")
+        row, h = row[order], h[order]
+        g = hashes[1, at, row]
+        begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])) if len(row) else row
+        if len(begin) < len(row):
+            least = np.repeat(np.minimum.reduceat(docs[row], begin), np.diff(np.append(begin, len(row))))
+            mask[row[least < docs[row]]] |= np.int64(1) << np.int64(back)
     hit = mask != 0
-    return pd.DataFrame({"doc_id": docs[hit], "pos": frame["pos"].to_numpy()[hit], "mask": mask[hit]})
+    out.append(pd.DataFrame({"doc_id": docs[hit], "pos": frame["pos"].to_numpy()[hit], "mask": mask[hit]}))
+    return pd.concat(out)
 
 
 def _cut(key: tuple, texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -397,7 +409,7 @@ def remove_repeats(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", te
     told = told.withColumnRenamed("key", "block").unionByName(settled, allowMissingColumns=True)
     texts = blocked.select("block", "doc_id", "_bytes").groupBy("block")
     contexts = texts.cogroup(told.groupBy("block")).applyInPandas(
-        _contexts, "print long, doc_id long, pos long, left int, context binary"
+        _contexts, "print long, doc_id long, pos long, left int, context binary, mask long"
     )
     masks = contexts.groupBy(F.pmod(F.xxhash64("print"), F.lit(groups)).alias("group")).applyInPandas(_masks, "doc_id long, pos long, mask long")
     masks = masks.withColumn("block", F.pandas_udf(place, "int")("doc_id"))
