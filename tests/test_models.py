@@ -81,7 +81,7 @@ def test_horizon_keeps_unknown_targets_out(spark):
 def test_boosted_trees_beat_the_mean_and_rank_features(spark, data):
     _, y, _, df = data
     flagged = df.withColumn("inner", F.rand(1) < 0.15)
-    model = m.fit_boosted_trees(flagged, ["x0", "x1", "x2"], "y", inner="inner", rounds=40)
+    model = m.fit_boosted_trees(flagged, ["x0", "x1", "x2"], "y", inner="inner", settings=m.BoostSettings(rounds=40))
     mse = m.apply_model(model, df, ["x0", "x1", "x2"]).agg(F.avg((F.col("y") - F.col("y_pred")) ** 2)).collect()[0][0]
     assert mse < 0.5 * y.var()
     gains = [r[1] for r in m.feature_importance(spark, model, ["x0", "x1", "x2"]).collect()]

@@ -15,6 +15,10 @@ CASES = [
     ("a=token=abc", "a=token=<REDACTED>"),
     ("nothing to see, keys are fine", "nothing to see, keys are fine"),
     ("KEY = 'v'", "KEY = 'v'"),
+    # values far beyond what a recursive match could take
+    ('{"Authorization": "' + "x" * 100_000 + '"}', '{"Authorization": "<REDACTED>"}'),
+    ('{"Authorization": "' + "x\\\"" * 20_000 + '"}', '{"Authorization": "<REDACTED>"}'),
+    ("Authorization: Basic " + "y" * 100_000, "Authorization: <REDACTED> <REDACTED>"),
 ]
 
 

@@ -150,11 +150,10 @@ def test_naming_contract_of_lagged_columns():
     assert unlagged_columns(["period_month", "a_lag_1m", "b_lag_1y", "c"], exempt=["period_month"]) == ["c"]
 
 
-def test_unknown_area_names_what_exists(spark):
+def test_unknown_area_and_areas_without_rows(spark):
     df = spark.createDataFrame([("mainland",)], "area string")
     aliases = {"육지": "mainland", "제주": "jeju"}
     assert c.filter_area(df, "육지", aliases).count() == 1
     with pytest.raises(ValueError, match="unknown area"):
         c.filter_area(df, "moon", aliases)
-    with pytest.raises(ValueError, match="mainland"):
-        c.filter_area(df, "제주", aliases)
+    assert [r[0] for r in c.missing_areas(df, aliases).collect()] == ["jeju"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -216,21 +215,18 @@ def series_rows(
     ).na.drop(subset=["period_month", "value"])
 
 
-def filter_area(
-    df: DataFrame, area: str, aliases: Mapping[str, str], column: str = "area", check: bool = True
-) -> DataFrame:
-    """Rows of one area given by canonical name or alias.
-
-    An unknown name is an error, and so is an area without rows; both list what exists.
-    """
+def filter_area(df: DataFrame, area: str, aliases: Mapping[str, str], column: str = "area") -> DataFrame:
+    """Rows of one area given by canonical name or alias; a name that is neither is an error."""
     canonical = aliases.get(area, area)
     if canonical not in set(aliases.values()):
         raise ValueError(f"unknown area {area!r}; known: {sorted(set(aliases.values()))}")
-    out = df.where(F.col(column) == canonical)
-    if check and out.isEmpty():
-        found = [row[0] for row in df.select(column).distinct().limit(50).collect()]
-        raise ValueError(f"no rows for area {canonical!r}; some of those present: {sorted(map(str, found))}")
-    return out
+    return df.where(F.col(column) == canonical)
+
+
+def missing_areas(df: DataFrame, aliases: Mapping[str, str], column: str = "area") -> DataFrame:
+    """The canonical areas without rows, as a table."""
+    known = df.sparkSession.createDataFrame([(a,) for a in sorted(set(aliases.values()))], f"`{column}` string")
+    return known.join(df.select(column).distinct(), column, "left_anti")
 
 
 # fixed values: time columns in order of preference
@@ -262,12 +258,3 @@ def numeric_matrix(df: DataFrame, target: str, bookkeeping: Sequence[str] = (),
     """Numeric and boolean columns as doubles, without the target and bookkeeping columns."""
     features = numeric_columns(df, [target, *bookkeeping, *keep])
     return df.select(*keep, *[F.col(c).cast("double").alias(c) for c in features])
-
-
-@dataclass(frozen=True)
-class Labels:
-    """Names for the two-level melt of capacity-like tables."""
-
-    level1: str = "capacity_category_level1"
-    level2: str = "capacity_category_level2"
-    measure: str = "capacity_mw"

@@ -275,30 +275,33 @@ def apply_model(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
     return model.transform(_assembled(df, features)).drop("_features")
 
 
-# fixed values: rounds of the boosted trees, and what counts as small data
-BOOST_ROUNDS = 200
-SMALL_DATA = 500
+@dataclass(frozen=True)
+class BoostSettings:
+    """Settings of the boosted trees; the caller chooses them, the number of rows changes nothing."""
+
+    rounds: int = 200
+    depth: int = 4
+    step: float = 0.05
+    leaf_rows: int = 10
+    row_share: float = 0.8
+    feature_share: float = 0.8
+    seed: int = 7
 
 
 def fit_boosted_trees(
     train: DataFrame, features: Sequence[str], target: str, inner: str | None = None,
-    rounds: int = BOOST_ROUNDS, seed: int = 7,
+    settings: BoostSettings = BoostSettings(),
 ) -> GBTRegressionModel:
-    """Boosted trees with stronger regularisation on small data.
+    """Boosted trees on the complete rows.
 
     Rows flagged by ``inner`` stop the boosting early; they come from the training set.
     """
     rows = train.where(_complete([*features, target]))
-    n = rows.count()
-    small = n < SMALL_DATA
     params = dict(
-        featuresCol="_features", labelCol=target, predictionCol="y_pred", seed=seed,
-        maxIter=min(rounds, BOOST_ROUNDS) if small else rounds,
-        maxDepth=3 if small else 5,
-        stepSize=0.03 if small else 0.05,
-        minInstancesPerNode=max(10, n // 15) if small else 50,
-        subsamplingRate=0.8,
-        featureSubsetStrategy="0.6" if small else "0.8",
+        featuresCol="_features", labelCol=target, predictionCol="y_pred", seed=settings.seed,
+        maxIter=settings.rounds, maxDepth=settings.depth, stepSize=settings.step,
+        minInstancesPerNode=settings.leaf_rows, subsamplingRate=settings.row_share,
+        featureSubsetStrategy=str(settings.feature_share) if settings.feature_share < 1 else "all",
     )
     if inner:
         params["validationIndicatorCol"] = inner

@@ -4,8 +4,9 @@ The built-in exact percentile keeps every distinct value of a group in one aggre
 buffer. Here equal values are collapsed first, then each group is narrowed to the value
 bins that hold the wanted ranks: a bin count is a plain partial aggregation, and only rows
 of those bins go on. Two rounds of a thousand bins leave about a millionth of a group for
-the final ordered scan; groups that are small anyway are scanned at once. The collapsed values and each round's few wanted ranges are written
-out, so that no round repeats the work before it.
+the final ordered scan. The number of rounds is fixed: the plan is the same for any data. The collapsed
+values and each round's few wanted ranges are written out, so that no round repeats the
+work before it.
 """
 
 from __future__ import annotations
@@ -19,8 +20,7 @@ from tidemark.session import materialise
 
 BINS = 1024
 
-# distinct values of one group that a single ordered scan may hold
-ONE_SCAN = 2_000_000
+ROUNDS = 2
 
 
 def _ranges_to_bins(freq: DataFrame, wanted: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -50,12 +50,12 @@ def _narrow(freq: DataFrame, wanted: DataFrame, by: Sequence[str], value: str) -
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], rounds: int | None = None
+    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], rounds: int = ROUNDS
 ) -> DataFrame:
     """Linearly interpolated quantiles: ``by`` columns, ``prob``, ``quantile``.
 
-    Nulls do not count; a group without values is absent. ``rounds`` of narrowing are chosen
-    from the largest group unless given; the result is the same for any number.
+    Nulls do not count; a group without values is absent. The result is the same
+    for any number of narrowing ``rounds``.
     """
     if not by:
         one = df.withColumn("_all", F.lit(1))
@@ -63,13 +63,8 @@ def exact_quantiles(
     rows = df.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
     freq = materialise(rows.groupBy(*by, value).agg(F.count("*").alias("n")), "values")
     spans = freq.groupBy(*by).agg(
-        F.sum("n").alias("total"), F.count("*").alias("values"), F.min(value).alias("lo"), F.max(value).alias("hi")
+        F.sum("n").alias("total"), F.min(value).alias("lo"), F.max(value).alias("hi")
     )
-    if rounds is None:
-        largest = spans.agg(F.max("values")).head()[0] or 0
-        rounds = 0
-        while largest > ONE_SCAN and rounds < 3:
-            largest, rounds = largest // BINS + 1, rounds + 1
     prob = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("prob")
     position = (F.col("total") - 1) * F.col("prob")
     asked = spans.select(*by, "total", "lo", "hi", prob).withColumn("pos", position)

@@ -169,7 +169,7 @@ def _boosted(spark, d):
         ar_panel(spark, d).na.drop(subset=[*FEATURES, "target"]), ["area"], "period_month"
     )
     train = split.where("split <> 'test'").withColumn("is_inner", F.col("split") == "valid")
-    model = m.fit_boosted_trees(train, FEATURES, "target", inner="is_inner", rounds=30)
+    model = m.fit_boosted_trees(train, FEATURES, "target", inner="is_inner", settings=m.BoostSettings(rounds=30))
     return model, split.where("split = 'test'")
 
 

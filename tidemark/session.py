@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # whole texts go to Python in batches: a bound on rows is a bound on a worker's memory
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # vendor files in regional code pages (cp949) are decoded by the JVM charset table
     "spark.sql.legacy.javaCharsets": "true",
 }
@@ -61,12 +63,15 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where it is unset (a bare local session, as in tests) a temporary folder is made.
+    Where it is unset a temporary folder is made for a local session, as in tests. Any other
+    master needs the setting: executors would not see a folder of the driver's machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
