@@ -74,3 +74,19 @@ def test_keep_last_and_upsert(spark, rows):
     incoming = spark.createDataFrame([("a", 9.0), ("c", 8.0)], "k string, v double")
     assert rows(upsert(target, incoming, ["k"]), "k") == [("a", 9.0), ("b", 3.0), ("c", 8.0)]
     assert upsert(target, incoming.limit(0), ["k"]).count() == 3
+
+
+def test_log_selects_the_row_that_is_kept(spark):
+    schema = "k int, price double, source_priority int, collected_at timestamp_ntz, source_file_sha256 string, parsed_path string"
+    rows = [
+        (1, 1.0, 1, None, None, "b"), (1, 2.0, 1, None, "s", "a"),  # null sha loses
+        (2, 5.0, 1, None, "s", None), (2, 5.0, 1, None, "s", None),  # exact copies
+        (3, 7.0, 2, None, "s", None), (3, 8.0, 2, None, "s", "p"),  # null path loses
+        (4, 9.0, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    kept = {r["k"]: r["price"] for r in dedup_revisions(df, ["k"]).collect()}
+    log = dedup_log(df, ["k"]).collect()
+    chosen = [(r["k"], r["price"]) for r in log if r["role"] == "selected"]
+    assert sorted(chosen) == [(1, kept[1]), (2, kept[2]), (3, kept[3])] and len(log) == 6
+    assert kept == {1: 2.0, 2: 5.0, 3: 8.0, 4: 9.0}

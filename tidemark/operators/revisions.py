@@ -25,17 +25,18 @@ class RevisionColumns:
     path: str = "parsed_path"
     row: str = "parsed_row"
 
+    def ties(self, df: DataFrame) -> list[str]:
+        """Columns that decide between equal revisions: sha, path, row, then all others by name."""
+        first = [c for c in (self.sha256, self.path, self.row) if c in df.columns]
+        return first + sorted(set(df.columns) - {*first, self.priority, self.collected_at})
+
     def order(self, df: DataFrame) -> list[Column]:
-        """Lowest priority number, latest collection (unknown last), then sha, path, row."""
-        order = [
+        """Lowest priority number, latest collection (unknown last), then the ties; nulls last."""
+        return [
             F.col(self.priority).asc_nulls_last(),
             F.col(self.collected_at).desc_nulls_last(),
-            F.col(self.sha256).asc_nulls_last(),
-            F.col(self.path).asc_nulls_last(),
+            *[F.col(c).asc_nulls_last() for c in self.ties(df)],
         ]
-        if self.row in df.columns:
-            order.append(F.col(self.row).asc_nulls_last())
-        return order
 
     def rank_struct(self, df: DataFrame) -> Column:
         """The same order as one comparable value: smaller wins."""
@@ -47,11 +48,9 @@ class RevisionColumns:
             F.col(self.priority).alias("priority"),
             at.isNull().alias("no_time"),
             (-micros).alias("newest_first"),
-            F.col(self.sha256).alias("sha"),
-            F.col(self.path).alias("path"),
         ]
-        if self.row in df.columns:
-            parts.append(F.col(self.row).alias("row"))
+        for c in self.ties(df):
+            parts += [F.col(c).isNull().alias(f"no_{c}"), F.col(c).alias(f"tie_{c}")]
         return F.struct(*parts)
 
 
@@ -71,8 +70,8 @@ def dedup_revisions(df: DataFrame, keys: Sequence[str], meta: RevisionColumns =
 def dedup_log(df: DataFrame, keys: Sequence[str], meta: RevisionColumns = REVISION) -> DataFrame:
     """Every candidate of each contested key with its role and the reason it lost.
 
-    A row is identified by its file and its position in it, so exactly one candidate per
-    key is selected.
+    The order is that of ``dedup_revisions``, so the selected candidate is the row kept there.
+    Of rows that are equal in every column one is selected and the others are dropped.
     """
     ranked = df.withColumn("_order", meta.rank_struct(df))
     contested = (
@@ -85,8 +84,10 @@ def dedup_log(df: DataFrame, keys: Sequence[str], meta: RevisionColumns = REVISI
     on = same_key[0]
     for condition in same_key[1:]:
         on = on & condition
-    joined = ranked.join(contested, on, "inner")
-    selected = F.col("_order") == F.col("_best")
+    # equal rows are counted and listed again, so that only one of them can be selected
+    joined = ranked.join(contested, on, "inner").groupBy(*df.columns, "_order", "_best").agg(F.count("*").alias("_copies"))
+    joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    selected = (F.col("_order") == F.col("_best")) & (F.col("_copy") == 1)
     lower = F.col(meta.priority) > F.col("_best.priority")
     return joined.select(
         *df.columns,

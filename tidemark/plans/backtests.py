@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,24 @@ class ModelSet:
         used = [c for s in self.linear.values() for c in (*s.features, *([s.delta_from] if s.delta_from else []))]
         return list(dict.fromkeys(used))
 
+    def parts(self, one_by_one: bool = False) -> list[ModelSet]:
+        """Sets of models that need the same columns; the naive ones, which fit nothing, come first.
+
+        What one set lacks does not cost another its rows. ``one_by_one`` also parts the naive models.
+        """
+        if one_by_one:
+            naive = [ModelSet({m: c}, {}, self.min_train) for m, c in self.naive.items()]
+        else:
+            naive = [ModelSet(self.naive, {}, self.min_train)] if self.naive else []
+        by_columns: dict[frozenset, dict[str, Ridge]] = {}
+        for m, spec in self.linear.items():
+            by_columns.setdefault(frozenset(ModelSet(linear={m: spec}).columns), {})[m] = spec
+        return naive + [ModelSet({}, linear, self.min_train) for linear in by_columns.values()]
+
+
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
 
 def _predictions(df: DataFrame, models: ModelSet, keep: Sequence[str]) -> DataFrame:
     """Long table of all models' predictions on rows that carry their coefficients."""
@@ -56,11 +75,20 @@ def walk_forward(
     """Predict every row from ``min_train`` known rows on by models fitted on all rows before it.
 
     ``panel`` is a gridded series per group. A row is trained on only when its target was
-    known at the row to predict, which for one step ahead is every earlier row.
+    known at the row to predict, which for one step ahead is every earlier row. Models that need other
+    columns do not matter to a model: its steps and training rows are those complete for itself.
     """
+    settings = (target, observed, horizon, min_train, start, period)
+    return _union([_walk(panel, group, part, *settings) for part in models.parts()])
+
+
+def _walk(
+    panel: DataFrame, group: Sequence[str], models: ModelSet, target: str, observed: str, horizon: int,
+    min_train: int, start: str | None, period: str,
+) -> DataFrame:
     stats = expanding_gram(panel, group, period, models.columns, target, horizon)
     complete = F.lit(True)
-    for c in [*models.columns, *models.naive.values(), target]:
+    for c in [*models.columns, target]:
         complete = complete & F.col(c).isNotNull()
     steps = stats.where(complete & (F.col("n") >= min_train))
     if start:
@@ -68,7 +96,7 @@ def walk_forward(
     fitted = ridge_from_stats(steps, models.linear, models.columns, target)
     keep = [*group, period, "y_true", "observed_value"]
     named = fitted.withColumns({"y_true": F.col(target).cast("double"), "observed_value": F.col(observed).cast("double")})
-    return _predictions(named, models, keep).withColumns(
+    return _predictions(named, models, keep).where("y_pred IS NOT NULL").withColumns(
         {
             "forecast_origin_month": F.col(period),
             "target_month": F.add_months(F.col(period), horizon),
@@ -103,11 +131,17 @@ def backtest_predictions(
     key = ["version", "eval_month", *group]
     # an absent evaluation month must still match in the join below
     keyed = cells.withColumn("eval_month", F.coalesce("eval_month", F.lit("1900-01-01").cast("date")))
-    stats = gram_stats(keyed, key, [*models.columns, target], F.col("role") == "train")
-    fitted = ridge_from_stats(stats, models.linear, models.columns, target)
-    test = keyed.where("role = 'test'").join(fitted.drop("n", "sums", "cross"), key)
-    named = test.withColumn("y_true", F.col(target).cast("double"))
-    return _predictions(named, models, ["version", *group, period, "y_true"])
+    test = keyed.where("role = 'test'").withColumn("y_true", F.col(target).cast("double"))
+    keep = ["version", *group, period, "y_true"]
+    out = []
+    for part in models.parts():
+        if part.linear:
+            stats = gram_stats(keyed, key, [*part.columns, target], F.col("role") == "train")
+            fitted = ridge_from_stats(stats, part.linear, part.columns, target).drop("n", "sums", "cross")
+            out.append(_predictions(test.join(fitted, key), part, keep))
+        else:
+            out.append(_predictions(test, part, keep))
+    return _union(out)
 
 
 def backtest_matrix(
@@ -196,17 +230,27 @@ def cross_validate(
     panel: DataFrame, group: Sequence[str], models: ModelSet, target: str, k: int = 5, embargo: int = 1,
     period: str = "period_month",
 ) -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold predictions with their fold, and the metrics per fold with its size and range."""
+    """Out-of-fold predictions with their fold, and the metrics per fold with its size and range.
+
+    Folds are laid over the rows that are complete for the model.
+    """
+    parts = [_folds_of(panel, group, part, target, k, embargo, period) for part in models.parts(one_by_one=True)]
+    return _union([p for p, _ in parts]), _union([m for _, m in parts])
+
+
+def _folds_of(
+    panel: DataFrame, group: Sequence[str], models: ModelSet, target: str, k: int, embargo: int, period: str
+) -> tuple[DataFrame, DataFrame]:
     used = [*models.columns, *models.naive.values(), target]
     complete = panel.na.drop(subset=list(dict.fromkeys(used)))
     folds = ts_folds(complete, group, period, k, embargo)
     key = [*group, "fold"]
     is_train = F.col("role") == "train"
-    stats = gram_stats(folds, key, [*models.columns, target], is_train)
-    fitted = ridge_from_stats(stats, models.linear, models.columns, target).drop("n", "sums", "cross")
-    held_out = folds.where("role = 'valid'").join(fitted, key)
-    named = held_out.withColumn("y_true", F.col(target).cast("double"))
-    predicted = _predictions(named, models, [*key, period, "y_true"])
+    held_out = folds.where("role = 'valid'").withColumn("y_true", F.col(target).cast("double"))
+    if models.linear:
+        stats = gram_stats(folds, key, [*models.columns, target], is_train)
+        held_out = held_out.join(ridge_from_stats(stats, models.linear, models.columns, target).drop("n", "sums", "cross"), key)
+    predicted = _predictions(held_out, models, [*key, period, "y_true"])
     ranges = folds.groupBy(*key).agg(
         F.count_if(is_train).alias("train_n"),
         F.min(F.when(is_train, F.col(period))).alias("train_from"),

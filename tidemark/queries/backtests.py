@@ -128,18 +128,16 @@ def rolling_validation(spark, d):
     return sp.rolling_validation(panel, "2000-12-01", 6, 1).drop("target")
 
 
-def _long_predictions(source: str, keep: str, extra: str = "") -> str:
-    """Five models' predictions from a CTE that holds the features and both sets of coefficients."""
-    exprs = {
-        "persistence_monthly": "observed",
-        "naive_lag_1m": "lag_1m",
-        "seasonal_naive_lag_12m": "lag_12m",
-        "monthly_ar_ridge": predict_sql("ra", FEATURES),
-        "delta_ar_ridge": predict_sql("rd", FEATURES[1:], "observed"),
-    }
-    return " UNION ALL ".join(
-        f"SELECT {keep}, target AS y_true, '{m}' AS model, {e} AS y_pred{extra} FROM {source}" for m, e in exprs.items()
-    )
+def _linear_predictions(source: str, keep: str) -> str:
+    """The linear models' predictions from a CTE that holds the features and both sets of coefficients."""
+    exprs = {"monthly_ar_ridge": predict_sql("ra", FEATURES), "delta_ar_ridge": predict_sql("rd", FEATURES[1:], "observed")}
+    return " UNION ALL ".join(f"SELECT {keep}, target AS y_true, '{m}' AS model, {e} AS y_pred FROM {source}" for m, e in exprs.items())
+
+
+def _long_predictions(naive: str, linear: str, keep: str) -> str:
+    """Five models' predictions: naive ones from one CTE, linear ones from one with their coefficients."""
+    repeated = [f"SELECT {keep}, target AS y_true, '{m}' AS model, {c} AS y_pred FROM {naive}" for m, c in MODELS.naive.items()]
+    return " UNION ALL ".join([*repeated, _linear_predictions(linear, keep)])
 
 
 POSITIONS = ridge_sql("G", "ra", [0, 1, 2, 3], 4) + ",\n" + ridge_sql("ra", "rd", [1, 2, 3], 4, base=0)
@@ -155,16 +153,31 @@ POSITIONS = ridge_sql("G", "ra", [0, 1, 2, 3], 4) + ",\n" + ridge_sql("ra", "rd"
   QUALIFY count(*) OVER w >= 24),
 """
     + POSITIONS
-    + ", LONG AS ("
-    + _long_predictions("rd", "area, period_month, observed")
-    + """)
-SELECT area, period_month, y_true, observed AS observed_value, model, round(y_pred, 5) AS y_pred,
+    + """, NAIVE AS (SELECT * FROM (SELECT *, count(target) OVER (PARTITION BY area ORDER BY period_month
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM ARP) WHERE target IS NOT NULL AND known >= 24),
+LONG AS (SELECT * FROM ("""
+    + _long_predictions("NAIVE", "rd", "area, period_month, observed")
+    + """) WHERE y_pred IS NOT NULL)
+SELECT area, period_month, y_true, observed AS observed_value, model, round(y_pred, 6) AS y_pred,
   period_month AS forecast_origin_month, CAST(period_month + INTERVAL 1 MONTH AS DATE) AS target_month,
-  y_true - observed AS true_delta, round(y_pred - observed, 5) AS predicted_delta FROM LONG""",
+  y_true - observed AS true_delta, round(y_pred - observed, 6) AS predicted_delta FROM LONG""",
 )
 def walk_forward(spark, d):
     out = bt.walk_forward(ar_panel(spark, d), ["area"], MODELS, "target", "observed")
-    return rounded(out, 5, ("y_true", "observed_value", "true_delta"))
+    return rounded(out, 6, ("y_true", "observed_value", "true_delta"))
+
+
+HOLES = "CASE WHEN month(period_month) % 4 = 0 THEN NULL ELSE roll_3m END AS roll_3m"
+
+
+def holed_panel(spark, d):
+    """The panel without one feature in every fourth month: naive models must not notice."""
+    hole = F.when(F.month("period_month") % 4 == 0, None).otherwise(F.col("roll_3m"))
+    return ar_panel(spark, d).withColumn("roll_3m", hole)
+
+
+def _holed(sql: str) -> str:
+    return sql.replace("ARC AS (SELECT * FROM ARP", f"ARH AS (SELECT * REPLACE ({HOLES}) FROM ARP),\nARC AS (SELECT * FROM ARH")
 
 
 def _matrix_sql() -> str:
@@ -199,7 +212,7 @@ TEST AS (SELECT * FROM ({' UNION ALL '.join(test)}) WHERE target IS NOT NULL),
 G AS (SELECT version, eval_month, area, {gram_sql([*FEATURES, 'target'])} FROM TRAIN GROUP BY ALL),
 {POSITIONS},
 J AS (SELECT TEST.*, rd.* EXCLUDE (version, eval_month, area) FROM TEST JOIN rd USING (version, eval_month, area)),
-LONG AS (SELECT * FROM ({_long_predictions('J', 'version, area, period_month')}) WHERE y_pred IS NOT NULL),
+LONG AS (SELECT * FROM ({_long_predictions('TEST', 'J', 'version, area, period_month')}) WHERE y_pred IS NOT NULL),
 STEP AS (SELECT *, CAST(sign(y_true - lag(y_true) OVER w) = sign(y_pred - lag(y_pred) OVER w) AS DOUBLE) AS same
   FROM LONG WINDOW w AS (PARTITION BY version, model, area ORDER BY period_month)),
 S AS (SELECT version, model, area, count(*) AS n, avg(abs(y_true - y_pred)) AS mae,
@@ -227,6 +240,16 @@ def backtest_matrix(spark, d):
     return rounded(bt.backtest_matrix(ar_panel(spark, d), ["area"], VERSIONS, MODELS, "target"), 5)
 
 
+@query(
+    "b7_backtest_matrix_with_holes",
+    with_shapes("M", "MGRID") + _holed(AR_SQL) + _matrix_sql().replace("ARP.*", "ARH.*").replace("FROM ARP", "FROM ARH")
+    + f"SELECT {MATRIX_COLUMNS} FROM OUT",
+)
+def backtest_matrix_with_holes(spark, d):
+    """Each model is fitted and scored on the rows that it can use itself."""
+    return rounded(bt.backtest_matrix(holed_panel(spark, d), ["area"], VERSIONS, MODELS, "target"), 5)
+
+
 GROUPS = {
     "observed_only": ["observed"],
     "lags_without_observed": ["lag_1m", "lag_12m", "roll_3m"],

@@ -13,7 +13,7 @@ from tidemark.plans import backtests as bt
 from tidemark.plans import shapes
 from tidemark.plans.shapes import with_shapes
 from tidemark.queries.backtests import (
-    AR_SQL, FEATURES, MODELS, POSITIONS, _long_predictions, ar_panel,
+    AR_SQL, FEATURES, MODELS, POSITIONS, _linear_predictions, ar_panel,
 )
 from tidemark.queries.linear import gram_sql, predict_sql, ridge_sql
 from tidemark.queries.registry import query
@@ -198,12 +198,24 @@ G AS (SELECT area, fold, """
     + POSITIONS
     + """,
 J AS (SELECT F.*, rd.* EXCLUDE (area, fold) FROM F JOIN rd USING (area, fold) WHERE role = 'valid'),
-L AS ("""
-    + _long_predictions("J", "area, fold, period_month")
+NP AS ("""
+    + " UNION ALL ".join(
+        f"SELECT '{m}' AS model, area, period_month, target, {c} AS y_pred FROM ARP WHERE target IS NOT NULL AND {c} IS NOT NULL"
+        for m, c in MODELS.naive.items()
+    )
     + """),
-R AS (SELECT area, fold, count(*) FILTER (role = 'train') AS train_n, min(period_month) FILTER (role = 'train') AS train_from,
+NQ AS (SELECT *, row_number() OVER (PARTITION BY model, area ORDER BY period_month) - 1 AS pos, count(*) OVER (PARTITION BY model, area) AS cnt FROM NP),
+NK AS (SELECT NQ.*, CAST(f AS INTEGER) AS fold, cnt - (5 - f + 1) * (cnt // 6) AS start FROM NQ, range(1, 6) r(f)),
+NF AS (SELECT * FROM (SELECT *, CASE WHEN pos < start - 1 THEN 'train' WHEN pos >= start AND pos < start + cnt // 6 THEN 'valid' END AS role FROM NK)
+  WHERE role IS NOT NULL),
+L AS (SELECT area, fold, period_month, y_true, model, y_pred FROM ("""
+    + _linear_predictions("J", "area, fold, period_month")
+    + """) UNION ALL SELECT area, fold, period_month, target, model, y_pred FROM NF WHERE role = 'valid'),
+A AS (SELECT m.model, area, fold, role, period_month FROM F CROSS JOIN (VALUES ('monthly_ar_ridge'), ('delta_ar_ridge')) m(model)
+  UNION ALL SELECT model, area, fold, role, period_month FROM NF),
+R AS (SELECT area, fold, model, count(*) FILTER (role = 'train') AS train_n, min(period_month) FILTER (role = 'train') AS train_from,
   max(period_month) FILTER (role = 'train') AS train_to, min(period_month) FILTER (role = 'valid') AS valid_from,
-  max(period_month) FILTER (role = 'valid') AS valid_to FROM F GROUP BY 1, 2),
+  max(period_month) FILTER (role = 'valid') AS valid_to FROM A GROUP BY 1, 2, 3),
 S AS (SELECT area, fold, model, sqrt(avg((y_true - y_pred) ** 2)) AS rmse,
   avg(abs((y_true - y_pred) / greatest(abs(y_true), 1e-8))) * 100 AS mape, avg(abs(y_true - y_pred)) AS mae, count(*) AS valid_n
   FROM L GROUP BY 1, 2, 3)
@@ -214,7 +226,7 @@ S AS (SELECT area, fold, model, sqrt(avg((y_true - y_pred) ** 2)) AS rmse,
 @query(
     "m11_cross_validate",
     CV + """ SELECT area, fold, model, round(rmse, 5) AS rmse, round(mape, 5) AS mape, round(mae, 5) AS mae, valid_n,
-  train_n, train_from, train_to, valid_from, valid_to FROM S JOIN R USING (area, fold)""",
+  train_n, train_from, train_to, valid_from, valid_to FROM S JOIN R USING (area, fold, model)""",
 )
 def cross_validate(spark, d):
     _, metrics = bt.cross_validate(ar_panel(spark, d), ["area"], MODELS, "target")

@@ -232,10 +232,10 @@ def _redact_sql(column: str) -> str:
         r"""([^"'&\s,;}\]<]+)"""
     )
     for pattern, repl, flags in (
-        (red.AUTH_JSON, r"\1<REDACTED>\3", "gi"),
-        (red.AUTH_HTTP, r"\1<REDACTED>", "gi"),
+        (r"""(["']authorization["']\s*:\s*["'])(?:[^"'\\]+|\\["'\\])+(["'])""", r"\1<REDACTED>\2", "gi"),
+        (r"(authorization\s*:\s*[A-Za-z0-9_+-]+\s+)[^\r\n]+", r"\1<REDACTED>", "gi"),
         (credential, r"\1<REDACTED>", "gi"),
-        (red.JWT, "<REDACTED>", "g"),
+        (r"\beyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,}){2}", "<REDACTED>", "g"),
     ):
         re2 = pattern.replace(r"""&\s,""", "&" + inner + ",").replace(r"\s*", space + "*").replace(
             r"\s+", space + "+"
@@ -276,6 +276,20 @@ def redact_headers(spark, d):
     return shapes.read_table(spark, d, "pages").select("page_id", red.redact_credentials(text).alias("text"))
 
 
+_LONG = """CASE doc_id % 40 WHEN 0 THEN concat('{{"Authorization": "', repeat('x', 100000), '"}} ', text)
+  WHEN 1 THEN concat('{{"Authorization": "', repeat(concat('y', chr(92), chr(34)), 30000), '"}} ', text) ELSE text END"""
+
+
+@query(
+    "x12_redact_long_values",
+    f"SELECT doc_id, {_redact_sql('text')} AS text FROM (SELECT doc_id, {_LONG.format()} AS text FROM documents)",
+)
+def redact_long_values(spark, d):
+    """All documents, some of them behind header values of 100,000 characters, plain and escaped."""
+    text = F.expr(_LONG.format())
+    return shapes.read_table(spark, d, "documents").select("doc_id", red.redact_credentials(text).alias("text"))
+
+
 def _mask_sql(column: str) -> str:
     out = column
     for form in red.secret_forms(SECRETS):
