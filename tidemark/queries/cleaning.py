@@ -108,12 +108,11 @@ def to_trade_date(spark, d):
 
 @query(
     "p7_period_from_filename",
-    """SELECT page_id, CAST(regexp_extract(url, '/(\\d{3,4})', 1) AS INTEGER) AS period_year FROM pages
-WHERE regexp_matches(url, '/(\\d{3,4})')""",
+    """SELECT page_id, CAST(nullif(regexp_extract(url, '/(\\d{3,4})', 1), '') AS INTEGER) AS period_year FROM pages""",
 )
 def period_from_filename(spark, d):
-    pages = read_table(spark, d, "pages").where(F.col("url").rlike(r"/(\d{3,4})"))
-    return pages.select("page_id", p.from_filename(F.col("url"), r"/(\d{3,4})").cast("int").alias("period_year"))
+    pages = read_table(spark, d, "pages")
+    return pages.select("page_id", p.from_filename(F.col("url"), r"/(\d{3,4})", strict=False).cast("int").alias("period_year"))
 
 
 TYPE_MAP = {"ECONOMY": "coal", "LARGE": "nuclear", "PROMO": "lng", "SMALL": "oil"}
@@ -374,10 +373,10 @@ def event_date(spark, d):
 PRICE_SPEC = SourceSpec(
     source_id="wide_price_file",
     schema="source_id string, period_month date, area string, price double, source_priority int, source_file string",
-    mapping={"period": "Period", "mainland": "A", "jeju": "B", "integrated": "C"},
+    mapping={"period": "Period", "mainland": "A", "jeju": "B", "integrated": "C", "island": "D", "north": "E"},
     period=Period("month", ("period",), "%Y/%m"),
     ids=("period_month",),
-    melt=Melt("price", ("mainland", "jeju", "integrated"), var="area"),
+    melt=Melt("price", ("mainland", "jeju", "integrated", "island", "north"), var="area"),
     zero_is_missing="price",
     priority=1,
 )
@@ -409,17 +408,19 @@ CAPACITY_SPEC = SourceSpec(
     with_shapes("M")
     + """, W AS (SELECT period_month, area, CASE WHEN month(period_month) = 6 THEN 0 ELSE price END AS price FROM M)
 SELECT 'wide_price_file' AS source_id, period_month,
-  CASE area WHEN '1-URGENT' THEN 'mainland' WHEN '2-HIGH' THEN 'jeju' ELSE 'integrated' END AS area, price,
+  CASE area WHEN '1-URGENT' THEN 'mainland' WHEN '2-HIGH' THEN 'jeju' WHEN '3-MEDIUM' THEN 'integrated'
+    WHEN '4-NOT SPECIFIED' THEN 'island' ELSE 'north' END AS area, price,
   1 AS source_priority, 'price.csv' AS source_file
-FROM W WHERE area IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AND price <> 0""",
+FROM W WHERE price <> 0""",
 )
 def conform_price(spark, d):
     prices = shapes.monthly_price(spark, d)
     zeroed = prices.withColumn("price", F.when(F.month("period_month") == 6, 0.0).otherwise(F.col("price")))
-    wide = pivot_sum(zeroed, ["period_month"], "area", "price", ["1-URGENT", "2-HIGH", "3-MEDIUM"])
+    areas = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    wide = pivot_sum(zeroed, ["period_month"], "area", "price", areas)
     vendor = wide.select(
         F.date_format("period_month", "yyyy/MM").alias("Period"),
-        *[F.col(f"`{a}`").cast("string").alias(n) for a, n in zip(("1-URGENT", "2-HIGH", "3-MEDIUM"), "ABC")],
+        *[F.col(f"`{a}`").cast("string").alias(n) for a, n in zip(areas, "ABCDE")],
     )
     return conform_source(vendor, PRICE_SPEC, F.lit(COLLECTED), F.lit("price.csv"), F.lit("0"))
 

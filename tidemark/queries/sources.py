@@ -12,7 +12,7 @@ from tidemark.queries.registry import query
 from tidemark.session import apply_settings, scratch_path
 from tidemark.sources import files, payloads, sinks
 
-AREAS = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+AREAS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 def _one_file(lines):
@@ -78,7 +78,7 @@ def read_multi_header(spark, d):
         F.lit(1).alias("part"),
     )
     head = spark.createDataFrame(
-        [("period,price,,,other", -2), ("," + ",".join(AREAS) + ",", -1)], "line string, part int"
+        [("period,price" + "," * len(AREAS) + "other", -2), ("," + ",".join(AREAS) + ",", -1)], "line string, part int"
     )
     _one_file(head.unionByName(body)).write.text(path)
     df = files.read_multi_header(spark, path, header_rows=2, file_format="csv")

@@ -229,7 +229,7 @@ def price_lags(spark, d):
     return out.withColumn("price_chg_1m_lag_1m", F.round("price_chg_1m_lag_1m", 9))
 
 
-PANEL_SERIES = {"gas": "1-URGENT", "oil": "2-HIGH", "fx": "3-MEDIUM"}
+PANEL_SERIES = {"gas": "1-URGENT", "oil": "2-HIGH", "fx": "3-MEDIUM", "coal": "4-NOT SPECIFIED", "power": "5-LOW"}
 
 
 def panel_series(spark, d):
