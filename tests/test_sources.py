@@ -157,3 +157,22 @@ def test_unknown_area_and_areas_without_rows(spark):
     with pytest.raises(ValueError, match="unknown area"):
         c.filter_area(df, "moon", aliases)
     assert [r[0] for r in c.missing_areas(df, aliases).collect()] == ["jeju"]
+
+
+def test_inbox_takes_names_with_blanks_and_signs(spark, tmp_path):
+    from tidemark.sources.spec import Period, SourceSpec
+    from tidemark.streaming.inbox import ingest_inbox
+
+    spec = SourceSpec(
+        source_id="x", schema="source_id string, trade_date date, price double, source_file string, source_file_sha256 string",
+        mapping={"trade_date": "day", "price": "price"}, period=Period("day", ("trade_date",), "%Y-%m-%d", out="trade_date"), measures=("price",),
+    )
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for name in ("a b.csv", "c+d%20.csv", "한글.csv"):
+        (inbox / name).write_text("day,price\n2024-01-01,1.5\n")
+    for _ in range(2):
+        ingest_inbox(spark, spec, str(inbox), str(tmp_path / "table"), str(tmp_path / "state"), "day string, price string").awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "table")).collect()
+    assert sorted(r["source_file"] for r in rows) == ["a b.csv", "c+d%20.csv", "한글.csv"]
+    assert len({r["source_file_sha256"] for r in rows}) == 3

@@ -242,9 +242,18 @@ def fingerprints(spark, d):
     )
 
 
-@query("s12_file_fingerprints")
+@query(
+    "s12_file_fingerprints",
+    "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, strlen(n_name) + 1 AS bytes, sha256(n_name || chr(10)) AS sha256 FROM nation",
+)
 def file_fingerprints(spark, d):
-    return files.file_fingerprints(spark, d, ("parquet",)).select("file_name", "bytes", "sha256")
+    """A folder with a text file per nation."""
+    path = scratch_path(spark, "nations")
+    names = read_table(spark, d, "nation").select("n_nationkey", "n_name")
+    names.repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    found = files.file_fingerprints(spark, path, ("txt",))
+    key = F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int")
+    return found.select(key.alias("n_nationkey"), "bytes", "sha256")
 
 
 @query(

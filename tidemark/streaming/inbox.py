@@ -14,12 +14,6 @@ def batch_path(table: str, epoch: int) -> str:
     return f"{table}/batch_id={epoch}"
 
 
-def _fingerprints(batch: DataFrame, paths: list[str]) -> DataFrame:
-    """Digest of each file of one micro-batch; their number is bounded by the trigger."""
-    files = batch.sparkSession.read.format("binaryFile").load(paths)
-    return files.select(F.col("path").alias("_file"), F.sha2("content", 256).alias("_sha"))
-
-
 def ingest_inbox(
     spark: SparkSession, spec: SourceSpec, inbox: str, table: str, checkpoint: str, schema: StructType,
     file_format: str = "csv", glob: str | None = None, files_per_batch: int = 100,
@@ -34,15 +28,14 @@ def ingest_inbox(
         reader = reader.option("header", True).option("encoding", spec.encoding)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    stream = reader.load(inbox).select("*", F.col("_metadata.file_path").alias("_file"))
+    # a file is known by its place, size and time; its content is read once, as rows
+    meta = F.col("_metadata")
+    identity = F.concat_ws("|", meta["file_path"], meta["file_size"], meta["file_modification_time"])
+    plain = F.url_decode(F.replace(meta["file_name"], F.lit("+"), F.lit("%2B")))
+    stream = reader.load(inbox).select("*", plain.alias("_name"), F.sha2(identity, 256).alias("_sha"))
 
     def load(batch: DataFrame, epoch: int) -> None:
-        paths = [row[0] for row in batch.select("_file").distinct().collect()]
-        if not paths:
-            return
-        marked = batch.join(F.broadcast(_fingerprints(batch, paths)), "_file", "left")
-        name = F.element_at(F.split("_file", "/"), -1)
-        canonical = conform_source(marked, spec, F.current_timestamp(), name, F.col("_sha"))
+        canonical = conform_source(batch, spec, F.current_timestamp(), F.col("_name"), F.col("_sha"))
         canonical.write.mode("overwrite").parquet(batch_path(table, epoch))
 
     return (
