@@ -266,8 +266,9 @@ def _contexts(key: tuple, texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFra
     for a, b in zip(told["a"][heard], told["b"][heard]):
         p, d = _unpack(a, b)
         order = np.argsort(d, kind="stable")
+        p = p[order]
         for doc, lo, hi in _spans(d[order]):
-            by_doc.setdefault(doc, []).append(p[order][lo:hi])
+            by_doc.setdefault(doc, []).append(p[lo:hi])
     for doc, x, y in zip(told["doc_id"][~heard], told["x"][~heard], told["y"][~heard]):
         spans[int(doc)] = list(zip(x.tolist(), y.tolist()))
     rows, smallest = [], {}
