@@ -23,7 +23,7 @@ SOME = [
     "a8_volume_mix", "o5_except_keys", "v1_duplicate_keys", "b7_backtest_matrix", "m8_ridge_from_stats",
     "e11_annotate_status", "f1_next_forecast", "f6_hourly_feature_table", "g1_ingest_inbox", "g2_current_view",
 ]
-# the ranges of the operator inventory; v7 looks at column names only and has no table
+# the ranges of the operator inventory
 INVENTORY = {"s": 15, "p": 27, "x": 15, "w": 18, "j": 12, "a": 20, "o": 5, "v": 8, "b": 8, "m": 11, "e": 13, "f": 6, "g": 2}
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="test tables are not here")
@@ -42,7 +42,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_operator_of_the_inventory_has_a_query():
     heads = {name.split("_")[0] for name in QUERIES}
-    wanted = {f"{letter}{i}" for letter, n in INVENTORY.items() for i in range(1, n + 1)} - {"v7"}
+    wanted = {f"{letter}{i}" for letter, n in INVENTORY.items() for i in range(1, n + 1)}
     assert not wanted - heads
     assert set(ORACLES) <= set(QUERIES)
 
@@ -52,4 +52,4 @@ def test_entry_points(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
-    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLES)
+    assert set(entry.queries()) >= set(QUERIES) and set(entry.oracle_sql()) >= set(ORACLES)

@@ -118,6 +118,15 @@ def unlagged_columns(columns: Sequence[str], exempt: Sequence[str] = ()) -> list
     return [c for c in columns if c not in exempt and not c.endswith(LAGGED_SUFFIXES)]
 
 
+def suffix_findings(df: DataFrame, exempt: Sequence[str] = ()) -> DataFrame:
+    """The columns that break the contract, each with its number of values."""
+    broken = unlagged_columns(df.columns, exempt)
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in broken])
+    return counts.unpivot([], broken, "column_name", "n_values") if broken else df.sparkSession.createDataFrame(
+        [], "column_name string, n_values bigint"
+    )
+
+
 def observable_only(df: DataFrame, cutoff, horizon: int = 0, period: str = "period_month") -> DataFrame:
     """Rows known at the cutoff; with a horizon the label must have been known too."""
     if horizon < 0:

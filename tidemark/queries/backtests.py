@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import checks as ck
 from tidemark.operators import splits as sp
 from tidemark.operators.grids import LagSpec, RollSpec, add_lags_and_rolls, lead_target, monthly_grid
 from tidemark.operators.models import Ridge
@@ -311,3 +312,15 @@ def ablation(spark, d):
         {"quarter": F.quarter("period_month"), "is_summer": F.month("period_month").isin(6, 7, 8)}
     )
     return rounded(bt.ablation(panel, ["area"], GROUPS, "target", "observed"), 5)
+
+
+@query(
+    "v7_suffix_contract",
+    with_shapes("M", "MGRID") + AR_SQL + " " + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count({c}) AS n_values FROM ARP" for c in ("observed", "lag_12m", "roll_3m", "target")
+    ),
+)
+def suffix_contract(spark, d):
+    """Columns of the autoregressive panel whose name does not say that they lag, with the values they hold."""
+    named = ar_panel(spark, d).withColumnRenamed("lag_1m", "price_lag_1m")
+    return ck.suffix_findings(named, ["area", "period_month"])
