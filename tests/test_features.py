@@ -139,3 +139,16 @@ def test_profile_keeps_the_mean(spark):
     out = hourly_profile(month, "v")
     assert out.count() == 24
     assert out.agg(F.avg("predicted")).first()[0] == pytest.approx(240.0)
+
+
+def test_blocks_keep_whole_rows(spark):
+    import datetime
+
+    from tidemark.plans.monthly import _merge_blocks
+
+    month = datetime.date(2024, 1, 1)
+    one = spark.createDataFrame([(month, 1.0, 9.0), (month, 2.0, 3.0)], "period_month date, a double, b double")
+    two = spark.createDataFrame([(month, None)], "period_month date, c double")
+    assert [tuple(r) for r in _merge_blocks([one, two]).collect()] == [(month, 2.0, 3.0, None)]
+    with pytest.raises(ValueError, match="share"):
+        _merge_blocks([one, one])

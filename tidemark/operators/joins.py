@@ -68,8 +68,9 @@ def broadcast_yearly(
     )
     keyed = months.withColumn("_year", F.year(period))
     if not key:
-        # one row per calendar year
-        lagged = F.broadcast(lagged.groupBy("_year").agg(*[F.max(c).alias(c) for c in lagged.columns if c != "_year"]))
+        # one row per calendar year: of repeated ones the last in the order of the values, never a mixture
+        whole = F.struct(*[c for c in lagged.columns if c != "_year"])
+        lagged = F.broadcast(lagged.groupBy("_year").agg(F.max(whole).alias("_row")).select("_year", "_row.*"))
     return keyed.join(lagged, [*key, "_year"], "left").drop("_year")
 
 

@@ -88,10 +88,21 @@ class MonthlyFeatures:
 
 
 def _merge_blocks(blocks: Sequence[DataFrame]) -> DataFrame:
-    """All blocks side by side, one row per month: a union and one aggregation instead of a join each."""
-    stacked = union_all(blocks)
-    values = [c for c in stacked.columns if c != PERIOD]
-    return stacked.groupBy(PERIOD).agg(*[F.expr(f"max(`{c}`) AS `{c}`") for c in values])
+    """All blocks side by side, one row per month: a union and one aggregation instead of a join each.
+
+    Of a block's rows for a month the last in the order of its values stays, as a whole. A column name
+    that two blocks share is an error.
+    """
+    names = [c for block in blocks for c in block.columns if c != PERIOD]
+    if len(set(names)) < len(names):
+        raise ValueError(f"blocks share columns: {sorted({c for c in names if names.count(c) > 1})}")
+    whole = [
+        block.select(PERIOD, F.struct(*[c for c in block.columns if c != PERIOD]).alias(f"_block{i}"))
+        for i, block in enumerate(blocks)
+    ]
+    rows = [f"_block{i}" for i in range(len(blocks))]
+    last = union_all(whole).groupBy(PERIOD).agg(*[F.max(r).alias(r) for r in rows])
+    return last.select(PERIOD, *[f"{r}.*" for r in rows])
 
 
 def _join_by_month(base: DataFrame, blocks: Sequence[DataFrame]) -> DataFrame:
