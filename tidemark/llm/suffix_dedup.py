@@ -28,7 +28,7 @@ PLACES = LENGTH - PREFIX + 1
 #: one anchor in so many ends a chunk; equal chunks are settled as a whole
 CHUNK = 12
 #: bytes of text that a part of the index, a block of documents or a group of contexts stands for
-PART_BYTES, BLOCK_BYTES, GROUP_BYTES = 1 << 23, 1 << 23, 1 << 21
+PART_BYTES, BLOCK_BYTES, GROUP_BYTES = 1 << 23, 1 << 22, 1 << 20
 #: documents of one batch that hold an anchor; from more, only the first and last go to the index
 HELD = 4
 
@@ -86,7 +86,8 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(turns):
         near = (turns[:, None] + np.arange(-LENGTH, LENGTH)).ravel()
         found = np.unique(np.concatenate([found, near[(near >= 0) & (near < len(key))]]))
-    return found, key[found] >> np.uint64(24)
+    # the least hashes of windows crowd near zero: mixed again they are even, and so are the parts of the index
+    return found, _mixed(key[found]) >> np.uint64(24)
 
 
 def chunk_ends(found: np.ndarray, prints: np.ndarray, size: int) -> np.ndarray:
@@ -165,7 +166,7 @@ class SuffixLevels:
         free = next((k for k, level in enumerate(self.levels) if level is None), len(self.levels))
 
         def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
+            for frame in _parts(frames):
                 prints, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for doc, text in zip(frame["doc_id"], frame["_bytes"]):
                     _, p = anchors(_array(text))
@@ -231,9 +232,16 @@ def _spans(keys: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(keys[lo]), int(lo), int(hi)) for lo, hi in zip(cuts[:-1], cuts[1:])]
 
 
+def _parts(frames: Iterator[pd.DataFrame], size: int = 1000) -> Iterator[pd.DataFrame]:
+    """The same rows, fewer at once."""
+    for frame in frames:
+        for lo in range(0, len(frame), size):
+            yield frame.iloc[lo:lo + size]
+
+
 def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Hash and place of every chunk together with the bytes that windows starting in it reach into."""
-    for frame in frames:
+    for frame in _parts(frames):
         rows = []
         for doc, block, text in zip(frame["doc_id"], frame["block"], frame["_bytes"]):
             if len(text) < LENGTH:
