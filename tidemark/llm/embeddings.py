@@ -65,19 +65,25 @@ class ProductIndex:
         it. A list is probed if the displacement, in a random direction, may bring the vector
         closer to its centre than to this one's with ``REACH`` standard deviations.
         """
-        off = math.sqrt(max(0.0, 1 - threshold * threshold)) / math.sqrt(max(1, rows.shape[1] - 1))
         half = 0.5 * (self.centres * self.centres).sum(axis=1)
-        apart = np.linalg.norm(self.centres[:, None] - self.centres[None], axis=2)
         own, probed = np.zeros(len(rows), dtype=np.int64), np.zeros((len(rows), len(half)), dtype=bool)
+        every = np.arange(len(half))
         for lo in range(0, len(rows), 1024):
-            dots = rows[lo:lo + 1024] @ self.centres.T
-            at = own[lo:lo + 1024] = np.argmax(dots - half, axis=1)
-            mine = dots[np.arange(len(dots)), at][:, None]
-            # over all displacements up to the threshold's, the margin is least at one of the two ends
-            near = np.minimum(mine - dots, threshold * (mine - dots)) - (half[at][:, None] - half)
-            probed[lo:lo + 1024] = near <= REACH * off * apart[at] + 1e-12
+            part = rows[lo:lo + 1024]
+            own[lo:lo + 1024] = np.argmax(part @ self.centres.T - half, axis=1)
+            probed[lo:lo + 1024] = self.probes(part, own[lo:lo + 1024], every, threshold)
         return own, probed
 
+    def probes(self, rows: np.ndarray, own: np.ndarray, lists: np.ndarray, threshold: float) -> np.ndarray:
+        """Which of some lists each vector, whose own list is known, has to probe."""
+        off = math.sqrt(max(0.0, 1 - threshold * threshold)) / math.sqrt(max(1, rows.shape[1] - 1))
+        half = 0.5 * (self.centres * self.centres).sum(axis=1)
+        apart = np.linalg.norm(self.centres[:, None] - self.centres[lists][None], axis=2)
+        lead = np.einsum("ij,ij->i", rows, self.centres[own])[:, None] - rows @ self.centres[lists].T
+        # over all displacements up to the threshold's, the margin is least at one of the two ends
+        near = np.minimum(lead, threshold * lead) - (half[own][:, None] - half[lists])
+        return near <= REACH * off * apart[own] + 1e-12
+
     def encode(self, rows: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes, and how far each vector is from what its code says."""
         rest = rows - self.centres[own]
@@ -209,10 +215,11 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                 return
             codes = np.frombuffer(b"".join(mine["code"]), dtype=np.uint8).reshape(len(m), -1)
             error, lists_of = mine["error"].to_numpy(), mine["list"].to_numpy()
-            _, probed = index.place(q, threshold)
-            for at in np.unique(lists_of).tolist():
+            here = np.unique(lists_of)
+            probed = index.probes(q, asks["list"].to_numpy(), here, threshold)
+            for column, at in enumerate(here.tolist()):
                 lo, hi = np.searchsorted(lists_of, [at, at + 1])
-                asking = np.flatnonzero(probed[:, at])
+                asking = np.flatnonzero(probed[:, column])
                 for a, b in index.similar(q[asking], m[lo:hi], codes[lo:hi], error[lo:hi], at, threshold):
                     yield asking[a], lo + b
 
