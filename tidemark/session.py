@@ -90,5 +90,5 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     the planner the true size for its choice of join.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
