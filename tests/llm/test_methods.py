@@ -58,6 +58,33 @@ def test_repeats_equal_brute_force(spark, batches):
     assert got == brute_repeats(docs)
 
 
+def test_a_hot_anchor_is_not_held_by_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = lambda n: bytes(rng.integers(97, 123, n))
+    rule, tails = b"-" * 8 + letters(24) + b"-" * 8, [letters(60) for _ in range(40)]
+    docs = {i: letters(int(rng.integers(30, 90))) + rule + tails[i % 40 if i % 3 else 0][:int(rng.integers(0, 60))] + letters(40) for i in range(300)}
+    docs[300] = b"".join(letters(20) + rule for _ in range(200))
+    docs[301] = letters(9) + docs[300][777:3333]
+    frame = spark.createDataFrame([(k, v.decode()) for k, v in docs.items()], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(suffix_dedup, "HOT", 250)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4096)
+    seen, masks = spark.sparkContext.accumulator(0), suffix_dedup._masks
+    largest = spark.sparkContext.accumulator(0)
+
+    def counted(key, rows):
+        alone = rows[rows["left"] >= 0]
+        alone = alone[alone["mask"] == 0]
+        sizes = alone.groupby("print").size()
+        largest.add(int((sizes > 250).sum()))
+        seen.add(int((rows["left"] < 0).sum()))
+        return masks(key, rows)
+
+    monkeypatch.setattr(suffix_dedup, "_masks", counted)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(frame).collect()}
+    assert got == brute_repeats(docs)
+    assert largest.value == 0 and seen.value > 1
+
+
 def test_every_window_holds_an_anchor_that_depends_on_it_alone(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_POSITION", np.uint64((1 << 24) - 1))
     rng = np.random.default_rng(1)

@@ -31,9 +31,14 @@ CHUNK = 12
 PART_BYTES, BLOCK_BYTES, GROUP_BYTES = 1 << 23, 1 << 22, 1 << 20
 #: documents of one batch that hold an anchor; from more, only the first and last go to the index
 HELD = 4
+#: an anchor that stands in more places than this is hot: its windows meet by their own hash, not by the anchor
+HOT = 1 << 14
+#: counters of the first look for hot anchors, and windows of hot anchors that meet in one task
+COUNTERS, WINDOWS = 1 << 18, 1 << 20
 
 _POSITION = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
+_BASES = (_BASE, 0xC2B2AE3D27D4EB4F)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -159,6 +164,7 @@ class SuffixLevels:
         self.parts, self.blocks = parts, blocks
         self.levels: list[DataFrame | None] = []
         self.found: list[DataFrame] = []
+        self.often: list[DataFrame] = []
 
     def add(self, batch: DataFrame, last: bool = False) -> None:
         """``batch``: ``doc_id``, ``_bytes``. After the ``last`` batch no level is written."""
@@ -168,11 +174,17 @@ class SuffixLevels:
         def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in _parts(frames):
                 prints, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                again, more = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for doc, text in zip(frame["doc_id"], frame["_bytes"]):
                     _, p = anchors(_array(text))
-                    p = np.unique(p)
+                    p, places = np.unique(p, return_counts=True)
                     prints.append(p)
                     docs.append(np.full(len(p), doc, dtype=np.int64))
+                    again.append(p[places > 1])
+                    more.append(places[places > 1] - 1)
+                # places of an anchor beyond one a document, for the count of its places
+                again, at = np.unique(np.concatenate(again), return_inverse=True)
+                more = np.bincount(at, weights=np.concatenate(more), minlength=len(again)).astype(np.int64)
                 p, d = np.concatenate(prints), np.concatenate(docs)
                 order = np.lexsort((d, p))
                 p, d = p[order], d[order]
@@ -187,6 +199,8 @@ class SuffixLevels:
                 ends[begin] = True
                 ends[np.append(begin, len(p))[1:] - 1] = True
                 rows = _told(p[many], d[many], blocks)
+                if len(again):
+                    rows.append(("often", 0, *_pack(again, more)))
                 p, d = p[~many | ends], d[~many | ends]
                 part = (p * np.uint64(parts)) >> np.uint64(40)
                 for k, lo, hi in _spans(part):
@@ -200,7 +214,7 @@ class SuffixLevels:
 
         def scan(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             if key[1]:
-                return frame[["kind", "key", "a", "b"]]  # told by a batch already
+                return frame[["kind", "key", "a", "b"]]  # told by a batch already, or counts
             runs = [(kind, *_unpack(a, b)) for kind, a, b in zip(frame["kind"], frame["a"], frame["b"])]
             p = np.concatenate([r[1] for r in runs])
             d = np.concatenate([r[2] for r in runs])
@@ -217,13 +231,62 @@ class SuffixLevels:
                 out.append(("level", int(key[0]), *_pack(p[move], d[move])))
             return _runs(out)
 
-        done = materialise(rows.groupBy("key", (F.col("kind") == "told").alias("told")).applyInPandas(scan, _RUN), "suffix-level")
+        pass_ = F.col("kind").isin("told", "often").alias("pass")
+        # counts need not meet here: they are dealt out like the rest
+        key = F.when(F.col("kind") == "often", F.pmod(F.xxhash64("a"), F.lit(parts)).cast("int")).otherwise(F.col("key")).alias("key")
+        done = materialise(rows.select("kind", key, "a", "b").groupBy("key", pass_).applyInPandas(scan, _RUN), "suffix-level")
         self.found.append(done.filter("kind = 'told'"))
+        self.often.append(done.filter("kind = 'often'"))
         self.levels += [None] * (free + 1 - len(self.levels))
         self.levels[:free] = [None] * free
         self.levels[free] = done.filter("kind = 'level'")
 
 
+    def hot(self) -> tuple[np.ndarray, int]:
+        """The anchors with more than ``HOT`` places, sorted, and how many places they have in all.
+
+        Places are first counted by a part of the hash; only where such a count is above the bound are
+        the anchors themselves counted. So what is exchanged does not grow with the number of anchors.
+        """
+        runs = None
+        for table in [*self.found, *self.often]:
+            runs = table.select("kind", "a", "b") if runs is None else runs.unionByName(table.select("kind", "a", "b"))
+        slices = 16
+
+        def places(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for kind, a, b in zip(frame["kind"], frame["a"], frame["b"]):
+                p, d = _unpack(a, b)
+                yield p, (d if kind == "often" else np.ones(len(p), dtype=np.int64))
+
+        def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            counts = np.zeros(COUNTERS, dtype=np.int64)
+            for frame in frames:
+                for p, n in places(frame):
+                    np.add.at(counts, (p % np.uint64(COUNTERS)).astype(np.int64), n)
+            if counts.any():
+                yield pd.DataFrame([(k, zlib.compress(x.tobytes(), 1)) for k, x in enumerate(np.split(counts, slices))], columns=["slice", "counts"])
+
+        def above(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(zlib.decompress(c), dtype=np.int64) for c in frame["counts"])
+            return pd.DataFrame({"counter": np.flatnonzero(total > HOT) + int(key[0]) * (COUNTERS // slices)}).astype("int64")
+
+        counters = runs.mapInPandas(tally, "slice int, counts binary").groupBy("slice").applyInPandas(above, "counter long").toPandas()["counter"]
+        if not len(counters):
+            return np.zeros(0, dtype=np.uint64), 0
+        busy = np.zeros(COUNTERS, dtype=bool)
+        busy[counters.to_numpy(dtype=np.int64)] = True
+
+        def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for p, n in places(frame):
+                    here = busy[(p % np.uint64(COUNTERS)).astype(np.int64)]
+                    p, at = np.unique(p[here], return_inverse=True)
+                    yield pd.DataFrame({"print": p.astype(np.int64), "n": np.bincount(at, weights=n[here], minlength=len(p)).astype(np.int64)})
+
+        found = runs.mapInPandas(count, "print long, n long").groupBy("print").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT).toPandas()
+        return np.sort(found["print"].to_numpy(dtype=np.int64)).astype(np.uint64), int(found["n"].sum())
+
+
 def _spans(keys: np.ndarray) -> list[tuple[int, int, int]]:
     """(key, from, to) of the runs of equal keys."""
     if not len(keys):
@@ -266,8 +329,11 @@ def _settled(size: int, spans) -> np.ndarray:
     return known
 
 
-def _contexts(key: tuple, texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-    """The surroundings of the anchors of a block's documents that other documents have too."""
+def _contexts(texts: pd.DataFrame, told: pd.DataFrame, hot: np.ndarray, hot_groups: int) -> pd.DataFrame:
+    """The surroundings of the anchors of a block's documents that other documents have too.
+
+    Around ``hot`` anchors (sorted) the windows themselves go on, by their hash, in packed rows (``left`` -1).
+    """
     by_doc: dict[int, list] = {}
     spans: dict[int, list] = {}
     heard = told["kind"] == "told"
@@ -279,7 +345,7 @@ def _contexts(key: tuple, texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFra
             by_doc.setdefault(doc, []).append(p[lo:hi])
     for doc, x, y in zip(told["doc_id"][~heard], told["x"][~heard], told["y"][~heard]):
         spans[int(doc)] = list(zip(x.tolist(), y.tolist()))
-    rows, smallest = [], {}
+    rows, smallest, windows = [], {}, []
     for doc, text in texts.drop_duplicates("doc_id").sort_values("doc_id")[["doc_id", "_bytes"]].itertuples(index=False):
         if doc not in by_doc:
             continue
@@ -289,6 +355,16 @@ def _contexts(key: tuple, texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFra
         first = np.maximum(found - (PLACES - 1), 0)
         last = np.minimum(found + 1, max(0, len(text) - LENGTH + 1))
         open_ = shared & (last > first) & (known[np.maximum(last, first)] > known[first])
+        dense = open_ & np.isin(prints, hot)
+        if dense.any():
+            edge = np.zeros(len(text) + 1, dtype=np.int64)
+            np.add.at(edge, first[dense], 1)
+            np.add.at(edge, last[dense], -1)
+            # a window known to be repeated has a smaller id that sends it
+            at = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (np.diff(known) > 0))
+            h, g = (window_hashes(_array(text), LENGTH, base)[at] for base in _BASES)
+            windows.append((h, g, np.full(len(at), doc, dtype=np.int64), at))
+            open_ &= ~dense
         for p, h, lo, hi in zip(found[open_].tolist(), prints[open_].tolist(), first[open_].tolist(), last[open_].tolist()):
             left = min(p, PLACES - 1)
             context = text[p - left:p + LENGTH]
@@ -297,19 +373,68 @@ def _contexts(key: tuple, texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFra
                 rows.append((h, doc, p, left, None, sum(1 << (p - s) for s in range(lo, hi))))
             else:
                 rows.append((h, doc, p, left, context, 0))
+    if windows:
+        h, g, docs, at = (np.concatenate(x) for x in zip(*windows))
+        # as with contexts, only the smallest id of the block asks the others
+        later = _later(h, g, docs)
+        rows += [(0, doc, pos, 0, None, mask) for doc, pos, mask in _bits(docs[later], at[later])]
+        part = (h % np.uint64(hot_groups)).astype(np.int64)
+        order = np.flatnonzero(~later)
+        order = order[np.argsort(part[order], kind="stable")]
+        for k, lo, hi in _spans(part[order]):
+            mine = order[lo:hi]
+            packed = zlib.compress(b"".join(x[mine].tobytes() for x in (h, g, docs, at)), 1)
+            rows.append((k, 0, 0, -1, packed, 0))
     out = pd.DataFrame(rows, columns=["print", "doc_id", "pos", "left", "context", "mask"])
     return out.astype({"print": "int64", "doc_id": "int64", "pos": "int64", "left": "int32", "context": object, "mask": "int64"})
 
 
+def _later(h: np.ndarray, g: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which windows, by their two hashes, a document with a smaller id has too."""
+    order = np.lexsort((g, h))
+    h, g, d = h[order], g[order], docs[order]
+    begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])) if len(h) else order
+    out = np.zeros(len(h), dtype=bool)
+    if len(begin) < len(h):
+        out[order] = np.repeat(np.minimum.reduceat(d, begin), np.diff(np.append(begin, len(d)))) < d
+    return out
+
+
+def _bits(docs: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+    """Starts of windows as (document, place, mask) rows: bit o stands for the window o bytes before."""
+    place = at // PLACES * PLACES + PLACES - 1
+    order = np.lexsort((at, docs))
+    docs, at, place = docs[order], at[order], place[order]
+    if not len(at):
+        return []
+    begin = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (place[1:] != place[:-1])]))
+    mask = np.bitwise_or.reduceat(np.int64(1) << (place - at), begin)
+    return list(zip(docs[begin].tolist(), place[begin].tolist(), mask.tolist()))
+
+
+def _unpacked(packed: list[bytes]) -> list[np.ndarray]:
+    """Hashes, documents and starts of the windows of packed rows."""
+    parts = [np.frombuffer(zlib.decompress(x), dtype=np.int64).reshape(4, -1) for x in packed]
+    h, g, docs, at = np.concatenate(parts, axis=1)
+    return [h.view(np.uint64), g.view(np.uint64), docs, at]
+
+
 def _masks(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """For each anchor, as bits, the windows around it that a document with a smaller id has.
 
     Bit o stands for the window that begins o bytes before the anchor. Equal windows hold the anchor at the same
     place, so one place is looked at after the other; windows meet by their hash, and a second hash has to
-    agree as well. Rows that are decided already pass.
+    agree as well. Rows that are decided already pass. Packed windows of hot anchors meet by both hashes.
     """
+    dense = frame["left"].to_numpy() < 0
+    packed, frame = frame[dense], frame[~dense]
+    met = []
+    for _, rows in packed.groupby("print"):
+        h, g, docs, at = _unpacked(rows["context"].tolist())
+        later = _later(h, g, docs)
+        met += _bits(docs[later], at[later])
     ready = frame["mask"].to_numpy() != 0
-    out = [frame.loc[ready, ["doc_id", "pos", "mask"]]]
+    out = [frame.loc[ready, ["doc_id", "pos", "mask"]], pd.DataFrame(met, columns=["doc_id", "pos", "mask"]).astype("int64")]
     frame = frame[~ready]
     docs, left = frame["doc_id"].to_numpy(), frame["left"].to_numpy()
     size = np.array([len(c) for c in frame["context"]], dtype=np.int64)
@@ -321,7 +446,7 @@ def _masks(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         start = (PLACES - 1 - left[part])[:, None]
         data = np.zeros((len(start), width), dtype=np.uint8)
         data[(column >= start) & (column < start + size[part][:, None])] = _array(b"".join(frame["context"].iloc[part]))
-        for n, base in enumerate((_BASE, 0xC2B2AE3D27D4EB4F)):
+        for n, base in enumerate(_BASES):
             hashes[n, :, part] = window_hashes(data, LENGTH, base).T
     mask = np.zeros(len(frame), dtype=np.int64)
     for back in range(PLACES):
@@ -386,7 +511,9 @@ def remove_repeats(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", te
        a chunk that a smaller id has too is settled, and so are its copies however many.
     2. The suffix levels tell every document which of its anchors others have.
     3. For those anchors, where not all is settled, the bytes around them are grouped by anchor, and the
-       smallest id of each window found there. Windows of one text are only met at their anchors.
+       smallest id of each window found there. Windows of one text are only met at their anchors. Around
+       an anchor with more than ``HOT`` places the windows are grouped by their own hash instead, each block
+       sending a window once; so no task holds all places of an anchor.
 
     Null and empty texts give zero counts and the digest of no bytes; so do null ids (whose texts are kept and
     not compared). Rows repeated under one id are not repeats of each other. No rows give no
@@ -417,8 +544,14 @@ def remove_repeats(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", te
         told = told.unionByName(more)
     told = told.withColumnRenamed("key", "block").unionByName(settled, allowMissingColumns=True)
     texts = blocked.select("block", "doc_id", "_bytes").groupBy("block")
+    hot, places = levels.hot()
+    hot_groups = max(1, -(-places * PLACES // WINDOWS))
+
+    def around(key: tuple, block: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
+        return _contexts(block, heard, hot, hot_groups)
+
     contexts = texts.cogroup(told.groupBy("block")).applyInPandas(
-        _contexts, "print long, doc_id long, pos long, left int, context binary, mask long"
+        around, "print long, doc_id long, pos long, left int, context binary, mask long"
     )
     masks = contexts.groupBy(F.pmod(F.xxhash64("print"), F.lit(groups)).alias("group")).applyInPandas(_masks, "doc_id long, pos long, mask long")
     masks = masks.withColumn("block", F.pandas_udf(place, "int")("doc_id"))
