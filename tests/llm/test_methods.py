@@ -85,6 +85,23 @@ def test_a_hot_anchor_is_not_held_by_one_task(spark, monkeypatch):
     assert largest.value == 0 and seen.value > 1
 
 
+@pytest.mark.parametrize("hot", [1 << 14, 3])
+def test_two_texts_under_one_id_are_cut_each_by_itself(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = np.random.default_rng(6)
+    letters = lambda n: bytes(rng.integers(97, 123, n))
+    first, second = letters(700), letters(700)
+    rows = [(1, first), (2, second), (5, letters(500) + first[40:300]), (5, first[:90]), (5, second[10:90] + letters(20)), (6, letters(80) + first[500:])]
+    rows += [(7, b"n" + letters(60)), (7, letters(40))] + [(8 + i, letters(30) + first[300:340] + letters(30)) for i in range(9)]
+    frame = spark.createDataFrame([(k, v.decode()) for k, v in rows], "doc_id long, text string").repartition(4)
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(frame).collect())
+    want = []
+    for doc, text in rows:
+        # the other texts of the id are not there for this one
+        want.append((doc, *brute_repeats({**{i: t for i, (d, t) in enumerate(rows) if d < doc}, 1000: text})[1000]))
+    assert got == sorted(want)
+
+
 def test_every_window_holds_an_anchor_that_depends_on_it_alone(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_POSITION", np.uint64((1 << 24) - 1))
     rng = np.random.default_rng(1)

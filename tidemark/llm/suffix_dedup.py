@@ -306,16 +306,16 @@ def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Hash and place of every chunk together with the bytes that windows starting in it reach into."""
     for frame in _parts(frames):
         rows = []
-        for doc, block, text in zip(frame["doc_id"], frame["block"], frame["_bytes"]):
+        for doc, text_key, block, text in zip(frame["doc_id"], frame["text_key"], frame["block"], frame["_bytes"]):
             if len(text) < LENGTH:
                 continue
             begin = 0
             for end in chunk_ends(*anchors(_array(text)), len(text)).tolist():
                 if begin + LENGTH <= len(text):
-                    rows.append((xxhash.xxh3_128_digest(text[begin:end + LENGTH - 1]), doc, block, begin, end))
+                    rows.append((xxhash.xxh3_128_digest(text[begin:end + LENGTH - 1]), doc, text_key, block, begin, end))
                 begin = end
-        out = pd.DataFrame(rows, columns=["hash", "doc_id", "block", "begin", "end"])
-        yield out.astype({"hash": object, "doc_id": "int64", "block": "int32", "begin": "int64", "end": "int64"})
+        out = pd.DataFrame(rows, columns=["hash", "doc_id", "text_key", "block", "begin", "end"])
+        yield out.astype({"hash": object, "doc_id": "int64", "text_key": "int64", "block": "int32", "begin": "int64", "end": "int64"})
 
 
 def _settled(size: int, spans) -> np.ndarray:
@@ -329,13 +329,22 @@ def _settled(size: int, spans) -> np.ndarray:
     return known
 
 
+def _numbered(texts: pd.DataFrame) -> list[tuple[int, int, int, bytes]]:
+    """Id, key, number (by key, among the texts of the id) and bytes of each different text of a block.
+
+    A block holds all texts of an id, so the number, mostly 0, can go where the key would cost a hash a row.
+    """
+    each = texts.drop_duplicates(["doc_id", "text_key"]).sort_values(["doc_id", "text_key"])
+    return list(zip(each["doc_id"].tolist(), each["text_key"].tolist(), each.groupby("doc_id").cumcount().tolist(), each["_bytes"]))
+
+
 def _contexts(texts: pd.DataFrame, told: pd.DataFrame, hot: np.ndarray, hot_groups: int) -> pd.DataFrame:
     """The surroundings of the anchors of a block's documents that other documents have too.
 
     Around ``hot`` anchors (sorted) the windows themselves go on, by their hash, in packed rows (``left`` -1).
     """
     by_doc: dict[int, list] = {}
-    spans: dict[int, list] = {}
+    spans: dict[tuple[int, int], list] = {}
     heard = told["kind"] == "told"
     for a, b in zip(told["a"][heard], told["b"][heard]):
         p, d = _unpack(a, b)
@@ -343,15 +352,15 @@ def _contexts(texts: pd.DataFrame, told: pd.DataFrame, hot: np.ndarray, hot_grou
         p = p[order]
         for doc, lo, hi in _spans(d[order]):
             by_doc.setdefault(doc, []).append(p[lo:hi])
-    for doc, x, y in zip(told["doc_id"][~heard], told["x"][~heard], told["y"][~heard]):
-        spans[int(doc)] = list(zip(x.tolist(), y.tolist()))
+    for doc, text_key, x, y in zip(*(told[c][~heard] for c in ("doc_id", "text_key", "x", "y"))):
+        spans[int(doc), int(text_key)] = list(zip(x.tolist(), y.tolist()))
     rows, smallest, windows = [], {}, []
-    for doc, text in texts.drop_duplicates("doc_id").sort_values("doc_id")[["doc_id", "_bytes"]].itertuples(index=False):
+    for doc, text_key, nth, text in _numbered(texts):
         if doc not in by_doc:
             continue
         found, prints = anchors(_array(text))
         shared = np.isin(prints, np.concatenate(by_doc[doc]))
-        known = np.concatenate([[0], np.cumsum(~_settled(len(text), spans.get(doc, ())))])
+        known = np.concatenate([[0], np.cumsum(~_settled(len(text), spans.get((doc, text_key), ())))])
         first = np.maximum(found - (PLACES - 1), 0)
         last = np.minimum(found + 1, max(0, len(text) - LENGTH + 1))
         open_ = shared & (last > first) & (known[np.maximum(last, first)] > known[first])
@@ -363,30 +372,30 @@ def _contexts(texts: pd.DataFrame, told: pd.DataFrame, hot: np.ndarray, hot_grou
             # a window known to be repeated has a smaller id that sends it
             at = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (np.diff(known) > 0))
             h, g = (window_hashes(_array(text), LENGTH, base)[at] for base in _BASES)
-            windows.append((h, g, np.full(len(at), doc, dtype=np.int64), at))
+            windows.append((h, g, *(np.full(len(at), x, dtype=np.int64) for x in (doc, nth)), at))
             open_ &= ~dense
         for p, h, lo, hi in zip(found[open_].tolist(), prints[open_].tolist(), first[open_].tolist(), last[open_].tolist()):
             left = min(p, PLACES - 1)
             context = text[p - left:p + LENGTH]
             if smallest.setdefault((left, context), doc) < doc:
                 # a smaller id of this block stands for this one: all its windows here are repeats
-                rows.append((h, doc, p, left, None, sum(1 << (p - s) for s in range(lo, hi))))
+                rows.append((h, doc, nth, p, left, None, sum(1 << (p - s) for s in range(lo, hi))))
             else:
-                rows.append((h, doc, p, left, context, 0))
+                rows.append((h, doc, nth, p, left, context, 0))
     if windows:
-        h, g, docs, at = (np.concatenate(x) for x in zip(*windows))
+        h, g, docs, nths, at = (np.concatenate(x) for x in zip(*windows))
         # as with contexts, only the smallest id of the block asks the others
         later = _later(h, g, docs)
-        rows += [(0, doc, pos, 0, None, mask) for doc, pos, mask in _bits(docs[later], at[later])]
+        rows += [(0, doc, nth, pos, 0, None, mask) for doc, nth, pos, mask in _bits(docs[later], nths[later], at[later])]
         part = (h % np.uint64(hot_groups)).astype(np.int64)
         order = np.flatnonzero(~later)
         order = order[np.argsort(part[order], kind="stable")]
         for k, lo, hi in _spans(part[order]):
             mine = order[lo:hi]
-            packed = zlib.compress(b"".join(x[mine].tobytes() for x in (h, g, docs, at)), 1)
-            rows.append((k, 0, 0, -1, packed, 0))
-    out = pd.DataFrame(rows, columns=["print", "doc_id", "pos", "left", "context", "mask"])
-    return out.astype({"print": "int64", "doc_id": "int64", "pos": "int64", "left": "int32", "context": object, "mask": "int64"})
+            packed = zlib.compress(b"".join(x[mine].tobytes() for x in (h, g, docs, nths, at)), 1)
+            rows.append((k, 0, 0, 0, -1, packed, 0))
+    out = pd.DataFrame(rows, columns=["print", "doc_id", "nth", "pos", "left", "context", "mask"])
+    return out.astype({"print": "int64", "doc_id": "int64", "nth": "int64", "pos": "int64", "left": "int32", "context": object, "mask": "int64"})
 
 
 def _later(h: np.ndarray, g: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -400,23 +409,23 @@ def _later(h: np.ndarray, g: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bits(docs: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
-    """Starts of windows as (document, place, mask) rows: bit o stands for the window o bytes before."""
+def _bits(docs: np.ndarray, nths: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Starts of windows as (document, text, place, mask) rows: bit o stands for the window o bytes before."""
     place = at // PLACES * PLACES + PLACES - 1
-    order = np.lexsort((at, docs))
-    docs, at, place = docs[order], at[order], place[order]
+    order = np.lexsort((at, nths, docs))
+    docs, nths, at, place = docs[order], nths[order], at[order], place[order]
     if not len(at):
         return []
-    begin = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (place[1:] != place[:-1])]))
+    begin = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (nths[1:] != nths[:-1]) | (place[1:] != place[:-1])]))
     mask = np.bitwise_or.reduceat(np.int64(1) << (place - at), begin)
-    return list(zip(docs[begin].tolist(), place[begin].tolist(), mask.tolist()))
+    return list(zip(docs[begin].tolist(), nths[begin].tolist(), place[begin].tolist(), mask.tolist()))
 
 
 def _unpacked(packed: list[bytes]) -> list[np.ndarray]:
-    """Hashes, documents and starts of the windows of packed rows."""
-    parts = [np.frombuffer(zlib.decompress(x), dtype=np.int64).reshape(4, -1) for x in packed]
-    h, g, docs, at = np.concatenate(parts, axis=1)
-    return [h.view(np.uint64), g.view(np.uint64), docs, at]
+    """Hashes, documents, texts and starts of the windows of packed rows."""
+    parts = [np.frombuffer(zlib.decompress(x), dtype=np.int64).reshape(5, -1) for x in packed]
+    h, g, *rest = np.concatenate(parts, axis=1)
+    return [h.view(np.uint64), g.view(np.uint64), *rest]
 
 
 def _masks(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -430,11 +439,12 @@ def _masks(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     packed, frame = frame[dense], frame[~dense]
     met = []
     for _, rows in packed.groupby("print"):
-        h, g, docs, at = _unpacked(rows["context"].tolist())
+        h, g, docs, nths, at = _unpacked(rows["context"].tolist())
         later = _later(h, g, docs)
-        met += _bits(docs[later], at[later])
+        met += _bits(docs[later], nths[later], at[later])
     ready = frame["mask"].to_numpy() != 0
-    out = [frame.loc[ready, ["doc_id", "pos", "mask"]], pd.DataFrame(met, columns=["doc_id", "pos", "mask"]).astype("int64")]
+    columns = ["doc_id", "nth", "pos", "mask"]
+    out = [frame.loc[ready, columns], pd.DataFrame(met, columns=columns).astype("int64")]
     frame = frame[~ready]
     docs, left = frame["doc_id"].to_numpy(), frame["left"].to_numpy()
     size = np.array([len(c) for c in frame["context"]], dtype=np.int64)
@@ -462,19 +472,20 @@ def _masks(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             least = np.repeat(np.minimum.reduceat(docs[row], begin), np.diff(np.append(begin, len(row))))
             mask[row[least < docs[row]]] |= np.int64(1) << np.int64(back)
     hit = mask != 0
-    out.append(pd.DataFrame({"doc_id": docs[hit], "pos": frame["pos"].to_numpy()[hit], "mask": mask[hit]}))
+    out.append(pd.DataFrame({"doc_id": docs[hit], "nth": frame["nth"].to_numpy()[hit], "pos": frame["pos"].to_numpy()[hit], "mask": mask[hit]}))
     return pd.concat(out)
 
 
 def _cut(key: tuple, texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """What is removed from, and left of, each document of a block."""
     spans, masks = {}, {}
-    for doc, kind, x, y in zip(known["doc_id"], known["kind"], known["x"], known["y"]):
-        (spans if kind == "chunk" else masks)[doc] = list(zip(x.tolist(), y.tolist()))
+    for doc, which, kind, x, y in zip(*(known[c] for c in ("doc_id", "text_key", "kind", "x", "y"))):
+        (spans if kind == "chunk" else masks)[doc, which] = list(zip(x.tolist(), y.tolist()))
     rows = []
-    for doc, text in texts[["doc_id", "_bytes"]].itertuples(index=False):
-        starts = _settled(len(text), spans.get(doc, ()))
-        for pos, mask in masks.get(doc, ()):
+    number = {(doc, text_key): nth for doc, text_key, nth, _ in _numbered(texts)}
+    for doc, text_key, text in texts[["doc_id", "text_key", "_bytes"]].itertuples(index=False):
+        starts = _settled(len(text), spans.get((doc, text_key), ()))
+        for pos, mask in masks.get((doc, number[doc, text_key]), ()):
             back = np.flatnonzero([(mask >> o) & 1 for o in range(PLACES)])
             starts[pos - back] = True
         at = np.flatnonzero(starts)
@@ -493,10 +504,10 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def _collected(rows: DataFrame, kind: str, x: str, y: str) -> DataFrame:
-    """Pairs of numbers of each document in two arrays; a document has fewer of them than bytes."""
+    """Pairs of numbers of each text of a document in two arrays; a document has fewer of them than bytes."""
     both = F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
-    lists = rows.groupBy("block", "doc_id").agg(both.alias("pairs"))
-    return lists.select("block", "doc_id", F.lit(kind).alias("kind"), F.col("pairs.x").alias("x"), F.col("pairs.y").alias("y"))
+    lists = rows.groupBy("block", "doc_id", "text_key").agg(both.alias("pairs"))
+    return lists.select("block", "doc_id", "text_key", F.lit(kind).alias("kind"), F.col("pairs.x").alias("x"), F.col("pairs.y").alias("y"))
 
 
 def remove_repeats(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -516,8 +527,8 @@ def remove_repeats(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", te
        sending a window once; so no task holds all places of an anchor.
 
     Null and empty texts give zero counts and the digest of no bytes; so do null ids (whose texts are kept and
-    not compared). Rows repeated under one id are not repeats of each other. No rows give no
-    rows. Other columns are ignored. Long texts are whole in one task.
+    not compared). Rows under one id, equal or not, are not repeats of each other, and each text
+    has its own spans. No rows give no rows. Other columns are ignored. Long texts are whole in one task.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_bytes"))
     known = rows.filter("doc_id IS NOT NULL")
@@ -532,18 +543,18 @@ def remove_repeats(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", te
         for ids in frames:
             yield pd.Series(doc_blocks(ids.to_numpy(dtype=np.int64), blocks).astype(np.int32))
 
-    blocked = known.withColumn("block", F.pandas_udf(place, "int")("doc_id"))
-    chunks = blocked.mapInPandas(_chunks, "hash binary, doc_id long, block int, begin long, end long")
+    blocked = known.withColumn("block", F.pandas_udf(place, "int")("doc_id")).withColumn("text_key", F.xxhash64("_bytes"))
+    chunks = blocked.mapInPandas(_chunks, "hash binary, doc_id long, text_key long, block int, begin long, end long")
     chunks = materialise(chunks, "suffix-chunks")
     firsts = chunks.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last")
-    again = chunks.join(firsts, "hash").filter("doc_id > first").select("block", "doc_id", "begin", "end").distinct()
+    again = chunks.join(firsts, "hash").filter("doc_id > first").select("block", "doc_id", "text_key", "begin", "end").distinct()
     settled = materialise(_collected(again, "chunk", "begin", "end"), "suffix-settled")
 
     told = levels.found[0]
     for more in levels.found[1:]:
         told = told.unionByName(more)
     told = told.withColumnRenamed("key", "block").unionByName(settled, allowMissingColumns=True)
-    texts = blocked.select("block", "doc_id", "_bytes").groupBy("block")
+    texts = blocked.select("block", "doc_id", "text_key", "_bytes").groupBy("block")
     hot, places = levels.hot()
     hot_groups = max(1, -(-places * PLACES // WINDOWS))
 
@@ -551,11 +562,13 @@ def remove_repeats(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", te
         return _contexts(block, heard, hot, hot_groups)
 
     contexts = texts.cogroup(told.groupBy("block")).applyInPandas(
-        around, "print long, doc_id long, pos long, left int, context binary, mask long"
+        around, "print long, doc_id long, nth long, pos long, left int, context binary, mask long"
+    )
+    masks = contexts.groupBy(F.pmod(F.xxhash64("print"), F.lit(groups)).alias("group")).applyInPandas(
+        _masks, "doc_id long, nth long, pos long, mask long"
     )
-    masks = contexts.groupBy(F.pmod(F.xxhash64("print"), F.lit(groups)).alias("group")).applyInPandas(_masks, "doc_id long, pos long, mask long")
     masks = masks.withColumn("block", F.pandas_udf(place, "int")("doc_id"))
-    everything = _collected(masks, "mask", "pos", "mask").unionByName(settled)
+    everything = _collected(masks.withColumnRenamed("nth", "text_key"), "mask", "pos", "mask").unionByName(settled)
     result = texts.cogroup(everything.groupBy("block")).applyInPandas(_cut, _RESULT)
     nameless = rows.filter("doc_id IS NULL").select(
         "doc_id", F.octet_length("_bytes").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
