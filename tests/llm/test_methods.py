@@ -102,6 +102,24 @@ def test_two_texts_under_one_id_are_cut_each_by_itself(spark, monkeypatch, hot):
     assert got == sorted(want)
 
 
+def test_batches_grow_with_the_bytes_and_levels_merge(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    shared = bytes(rng.integers(97, 123, 90))
+    docs = {i: bytes(rng.integers(97, 123, 110)) + shared[i % 7:] for i in range(50)}
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", sum(map(len, docs.values())) // 4)
+    occupied, add = [], suffix_dedup.SuffixLevels.add
+
+    def watched(self, batch, last=False):
+        add(self, batch, last)
+        occupied.append([level is not None for level in self.levels])
+
+    monkeypatch.setattr(suffix_dedup.SuffixLevels, "add", watched)
+    frame = spark.createDataFrame([(k, v.decode()) for k, v in docs.items()], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(frame).collect()}
+    assert got == brute_repeats(docs)
+    assert occupied[:4] == [[True], [False, True], [True, True], [False, False, True]]
+
+
 def test_every_window_holds_an_anchor_that_depends_on_it_alone(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_POSITION", np.uint64((1 << 24) - 1))
     rng = np.random.default_rng(1)

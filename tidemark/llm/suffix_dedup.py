@@ -29,6 +29,8 @@ PLACES = LENGTH - PREFIX + 1
 CHUNK = 12
 #: bytes of text that a part of the index, a block of documents or a group of contexts stands for
 PART_BYTES, BLOCK_BYTES, GROUP_BYTES = 1 << 23, 1 << 22, 1 << 20
+#: bytes of text of a batch of the index; from four batches on, levels of equal size merge
+BATCH_BYTES = 1 << 31
 #: documents of one batch that hold an anchor; from more, only the first and last go to the index
 HELD = 4
 #: an anchor that stands in more places than this is hot: its windows meet by their own hash, not by the anchor
@@ -510,13 +512,13 @@ def _collected(rows: DataFrame, kind: str, x: str, y: str) -> DataFrame:
     return lists.select("block", "doc_id", "text_key", F.lit(kind).alias("kind"), F.col("pairs.x").alias("x"), F.col("pairs.y").alias("y"))
 
 
-def remove_repeats(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept``.
 
     A byte goes if a string of ``LENGTH`` bytes over it also begins in a document with a smaller
     id; strings are judged on the input. ``spans`` lists begin and end of each removed run, ``kept`` is
-    what is left. Documents come to the index in ``batches`` by a hash of their id; as the smaller id
-    is looked up at the end, their order does not matter.
+    what is left. Documents come to the index in ``batches`` (unless given, one for ``BATCH_BYTES`` and at least
+    two) by a hash of their id; as the smaller id is looked up at the end, their order does not matter.
 
     1. Chunks cut at content-defined places are hashed, with what windows starting in them reach into:
        a chunk that a smaller id has too is settled, and so are its copies however many.
@@ -534,6 +536,7 @@ def remove_repeats(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", te
     known = rows.filter("doc_id IS NOT NULL")
     total = known.agg(F.coalesce(F.sum(F.octet_length("_bytes")), F.lit(0))).first()[0]
     blocks, groups = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // GROUP_BYTES))
+    batches = batches or max(2, -(-total // BATCH_BYTES))
     levels = SuffixLevels(max(16, -(-total // PART_BYTES)), blocks)
     for i in range(batches):
         mine = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(batches)) == i)
