@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import suffix_dedup
+from tidemark.llm import near_dedup, suffix_dedup
 from tidemark.llm.common import QUERIES
 from tidemark.llm.components import components, local_roots
 from tidemark.llm.near_dedup import WordHash, dart_signatures, near_classes, shingles, weighted_jaccard
@@ -157,6 +157,21 @@ def test_near_classes_equal_brute_force(spark):
     assert [got[i] for i in range(150)] == root.tolist()
 
 
+def test_pairs_are_ruled_out_by_their_sets_not_by_signatures(spark, monkeypatch):
+    def unlike(sets):
+        # all share the first band only, though their texts are alike
+        sign = np.arange(len(sets) * near_dedup.COORDINATES, dtype=np.uint32).reshape(len(sets), -1)
+        sign = sign + np.array([len(s) * 100_003 + int(s[0] % np.uint64(1 << 20)) if len(s) else 0 for s in sets], dtype=np.uint32)[:, None]
+        sign[:, :near_dedup.ROWS] = 7
+        return sign
+
+    texts = [" ".join(f"{g}w{i}" for i in range(100 + extra)) for g, extra in [("c", 0), ("a", 0), ("a", 1), ("b", 0), ("b", 2), ("c", 3)]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "dart_signatures", unlike)
+    got = {r["doc_id"]: r["class_id"] for r in near_classes(frame).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 3, 4: 3, 5: 0}
+
+
 def test_queue_finds_the_cheapest_cuts():
     rng = np.random.default_rng(4)
     for _ in range(30):

@@ -20,8 +20,6 @@ BANDS, ROWS = 20, 4
 COORDINATES = BANDS * ROWS
 #: darts that a document keeps before the earliest per coordinate is taken
 DARTS = COORDINATES * (math.log(COORDINATES) + 4)
-#: an estimate from the signature this far below the threshold (four standard deviations) rules a pair out
-MARGIN = 4 * math.sqrt(SIMILAR * (1 - SIMILAR) / COORDINATES)
 #: members of a bucket that meet another such block of it in one task, and rows of buckets that share a task
 BLOCK, CELL = 1500, 2000
 
@@ -195,8 +193,8 @@ def _joined(band: int, docs: np.ndarray, label: np.ndarray, sign: np.ndarray, se
         equal = sign[others] == sign[x]
         share = equal.mean(axis=1)
         earlier = equal[:, :band * ROWS].reshape(len(others), band, ROWS).all(axis=2).any(axis=1)
-        likely = np.flatnonzero((share >= SIMILAR - MARGIN) & ~earlier)
-        for y in others[likely[np.argsort(-share[likely], kind="stable")]].tolist():
+        fresh = np.flatnonzero(~earlier)
+        for y in others[fresh[np.argsort(-share[fresh], kind="stable")]].tolist():
             if label[x] != label[y] and _similar(of(x), of(y)):
                 found.append((docs[x], docs[y]))
                 label[label == label[y]] = label[x]
@@ -261,14 +259,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     signs = single.select("doc_id", "_sign")
     stars = shared.filter("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    agree = F.size(F.filter(
-        F.sequence(F.lit(0), F.lit(COORDINATES - 1)),
-        lambda i: F.substring("_ga", i * 4 + 1, F.lit(4)) == F.substring("_gb", i * 4 + 1, F.lit(4)),
-    )) / COORDINATES
+    # sets whose sizes differ too much cannot be similar; all others are compared
+    words = single.select("doc_id", "_words")
     near = (
-        stars.join(signs.select(F.col("doc_id").alias("a"), F.col("_sign").alias("_ga")), "a")
-        .join(signs.select(F.col("doc_id").alias("b"), F.col("_sign").alias("_gb")), "b")
-        .filter(agree >= SIMILAR - MARGIN).select("a", "b")
+        stars.join(words.select(F.col("doc_id").alias("a"), F.col("_words").alias("_na")), "a")
+        .join(words.select(F.col("doc_id").alias("b"), F.col("_words").alias("_nb")), "b")
+        .filter(5 * F.least("_na", "_nb") >= 4 * F.greatest("_na", "_nb")).select("a", "b")
     )
     links = _verified(near, sets)
     classes = materialise(components(links), "near-class")
