@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import near_dedup, suffix_dedup
 from tidemark.llm.common import QUERIES
 from tidemark.llm.components import components, local_roots
+from tidemark.llm.embeddings import ProductIndex
 from tidemark.llm.near_dedup import WordHash, dart_signatures, near_classes, shingles, weighted_jaccard
 from tidemark.llm.packing import Encoder, best_cuts, candidates, padding
 from tidemark.llm.quality import FactorisationMachine
@@ -172,6 +173,17 @@ def test_pairs_are_ruled_out_by_their_sets_not_by_signatures(spark, monkeypatch)
     assert got == {0: 0, 1: 1, 2: 1, 3: 3, 4: 3, 5: 0}
 
 
+def test_probes_reach_similar_vectors_that_vary_in_few_directions():
+    rng = np.random.default_rng(12)
+    scale = np.where(np.arange(64) < 6, 1.0, 0.02)
+    rows = rng.normal(size=(4000, 64)) * scale
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    index = ProductIndex.fit(rows, 120)
+    own, probed = index.place(rows, 0.9)
+    a, b = np.nonzero(rows @ rows.T >= 0.9)
+    assert len(a) > 2 * len(rows) and probed[a, own[b]].mean() > 0.9999
+
+
 def test_queue_finds_the_cheapest_cuts():
     rng = np.random.default_rng(4)
     for _ in range(30):

@@ -19,7 +19,7 @@ FIT_ROWS = 8192
 LISTS = 512
 PARTS, WORDS = 8, 256
 #: how many standard deviations of a random displacement the probes allow for
-REACH = 3.5
+REACH = 5.0
 #: members and queries that meet in one task
 MEMBERS, QUERIES_A_TASK = 2048, 16384
 
@@ -46,6 +46,8 @@ class ProductIndex:
     cuts: np.ndarray
     #: lists that lie together share a group, the unit of the shuffle
     group: np.ndarray
+    #: covariance of what is left of a vector after its centre, with trace 1
+    spread: np.ndarray | None = None
 
     @classmethod
     def fit(cls, rows: np.ndarray, lists: int, seed: int = 11) -> ProductIndex:
@@ -56,14 +58,16 @@ class ProductIndex:
         words = [_means(rest[:, a:b], WORDS, 8, rng) for a, b in zip(cuts[:-1], cuts[1:])]
         heart = _means(centres, max(1, lists // 16), 12, rng)
         group = np.argmax(centres @ heart.T - 0.5 * (heart * heart).sum(axis=1), axis=1)
-        return cls(centres, words, cuts, group)
+        spread = rest.T @ rest
+        return cls(centres, words, cuts, group, spread / max(np.trace(spread), 1e-300))
 
     def place(self, rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """The list of each unit vector, and for each list whether it is to be probed.
 
         A vector at the threshold is ``threshold`` times this one plus a displacement orthogonal to
-        it. A list is probed if the displacement, in a random direction, may bring the vector
-        closer to its centre than to this one's with ``REACH`` standard deviations.
+        it. A list is probed if the displacement may bring the vector closer to its centre than to this
+        one's with ``REACH`` standard deviations, along the line of the centres: those of a random
+        direction, or of the residuals of the fitting sample if they spread more along that line.
         """
         half = 0.5 * (self.centres * self.centres).sum(axis=1)
         own, probed = np.zeros(len(rows), dtype=np.int64), np.zeros((len(rows), len(half)), dtype=bool)
@@ -76,9 +80,15 @@ class ProductIndex:
 
     def probes(self, rows: np.ndarray, own: np.ndarray, lists: np.ndarray, threshold: float) -> np.ndarray:
         """Which of some lists each vector, whose own list is known, has to probe."""
-        off = math.sqrt(max(0.0, 1 - threshold * threshold)) / math.sqrt(max(1, rows.shape[1] - 1))
+        off = math.sqrt(max(0.0, 1 - threshold * threshold))
         half = 0.5 * (self.centres * self.centres).sum(axis=1)
-        apart = np.linalg.norm(self.centres[:, None] - self.centres[lists][None], axis=2)
+        line = self.centres[:, None] - self.centres[lists][None]
+        apart = np.linalg.norm(line, axis=2) / math.sqrt(max(1, rows.shape[1] - 1))
+        if self.spread is not None:
+            turned = self.centres @ self.spread
+            own_part = np.einsum("ij,ij->i", turned, self.centres)
+            along = own_part[:, None] + own_part[lists][None] - 2 * turned @ self.centres[lists].T
+            apart = np.maximum(apart, np.sqrt(np.maximum(along, 0.0)))
         lead = np.einsum("ij,ij->i", rows, self.centres[own])[:, None] - rows @ self.centres[lists].T
         # over all displacements up to the threshold's, the margin is least at one of the two ends
         near = np.minimum(lead, threshold * lead) - (half[own][:, None] - half[lists])
