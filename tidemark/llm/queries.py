@@ -10,6 +10,8 @@ from tidemark.llm.chat import branched_pairs, format_preferences
 from tidemark.llm.common import ORACLES, QUERIES, query, table
 from tidemark.llm.embeddings import link_embeddings
 from tidemark.llm.exact_dedup import exact_groups
+from tidemark.llm.filter_audit import audit_filters
+from tidemark.llm.importance import resample
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.near_dedup import near_classes
 from tidemark.llm.packing import pack
@@ -172,3 +174,50 @@ def op2_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query(
+    "op12_filter_audit",
+    r"""
+    WITH marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+    texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+    worded AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM texts),
+    failed AS (
+        SELECT d.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+               len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+               100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c,
+               regexp_matches(t, '[#$%&*|]') AS d, coalesce(d.doc_id > least, false) AS e
+        FROM worded d LEFT JOIN marks m ON d.doc_id = m.doc_id),
+    masks AS (
+        SELECT part, MAP {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} AS fails, CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) + CAST(d AS INT) + CAST(e AS INT) AS many,
+               CAST(count(*) AS BIGINT) AS n, CAST(sum(good) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS toxic
+        FROM failed GROUP BY ALL),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+    orders AS (
+        SELECT a.l || b.l || c.l || d.l || e.l AS o FROM letters a, letters b, letters c, letters d, letters e
+        WHERE length(replace(replace(replace(replace(replace(a.l || b.l || c.l || d.l || e.l, 'A', ''), 'B', ''), 'C', ''), 'D', ''), 'E', '')) = 0
+          AND len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+    placed AS (
+        SELECT part, o, step, m.fails, many, n, good, toxic, fails[substr(o, step, 1)] AS hit,
+               len(list_filter(range(1, step), lambda k: fails[substr(o, k, 1)])) > 0 AS earlier
+        FROM masks m, orders, (SELECT unnest(range(1, 6)) AS step)),
+    counted AS (
+        SELECT part, o AS filter_order, CAST(step AS INT) AS step, CAST(coalesce(sum(n) FILTER (NOT hit AND NOT earlier), 0) AS BIGINT) AS kept,
+               CAST(coalesce(sum(n) FILTER (hit AND NOT earlier), 0) AS BIGINT) AS removed,
+               CAST(coalesce(sum(n) FILTER (hit AND earlier), 0) AS BIGINT) AS redundant,
+               CAST(coalesce(sum(n) FILTER (hit AND many = 1), 0) AS BIGINT) AS unique_fails,
+               CAST(coalesce(sum(good) FILTER (hit AND NOT earlier), 0) AS BIGINT) AS good_lost,
+               CAST(coalesce(sum(toxic) FILTER (hit AND NOT earlier), 0) AS BIGINT) AS toxic_lost
+        FROM placed GROUP BY part, o, step)
+    SELECT *, CAST(sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)) AS BIGINT) AS shapley FROM counted
+    """,
+)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_importance")
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the benchmark's texts."""
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
