@@ -19,6 +19,7 @@ from tidemark.llm.quality import bucket_of, score_quality, train_quality
 from tidemark.llm.sharding import shard
 from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.toxicity import score_toxicity, train_toxicity
+from tidemark.llm.window_dedup import remove_repeated_windows
 
 __all__ = ["QUERIES", "ORACLES"]
 
@@ -221,3 +222,28 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn towards the benchmark's texts."""
     drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query(
+    "op11_window_dedup",
+    r"""
+    WITH worded AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM worded WHERE len(w) >= 35),
+    windows AS (SELECT doc_id, p, array_to_string(w[p:p + 34], ' ') AS win FROM starts),
+    repeated AS (SELECT doc_id, p FROM windows QUALIFY count(*) OVER (PARTITION BY win) > 1),
+    words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM worded),
+    marked AS (
+        SELECT a.doc_id, a.p, a.word,
+               coalesce(max(CAST(r.p IS NOT NULL AS INT)) OVER (PARTITION BY a.doc_id ORDER BY a.p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) = 1 AS gone
+        FROM words a LEFT JOIN repeated r ON a.doc_id = r.doc_id AND a.p = r.p),
+    cut AS (
+        SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT gone), '') AS kept
+        FROM marked GROUP BY doc_id)
+    SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+           sha256(coalesce(kept, '')) AS kept_sha256
+    FROM documents d LEFT JOIN cut c ON d.doc_id = c.doc_id
+    """,
+)
+def op11_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeated_windows(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
