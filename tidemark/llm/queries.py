@@ -217,7 +217,42 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op13_importance")
+@query(
+    "op13_importance",
+    r"""
+    WITH worded AS (
+        SELECT 'd' AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        UNION ALL
+        SELECT 'b', 0, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+    runs AS (
+        SELECT side, doc_id, unnest(w) AS f FROM worded
+        UNION ALL
+        SELECT side, doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM worded WHERE len(w) > 1),
+    counted AS (SELECT side, doc_id, f, count(*) AS n FROM runs GROUP BY ALL),
+    tab AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, x)) AS t),
+    crcs AS (
+        SELECT f, xor(4294967295, list_reduce(
+            list_transform(range(strlen(f)), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS BIGINT)),
+            lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256), 4294967295)) % 10000 AS bucket
+        FROM (SELECT DISTINCT f FROM counted), tab),
+    placed AS (SELECT side, doc_id, bucket, sum(n) AS n FROM counted JOIN crcs USING (f) GROUP BY ALL),
+    sums AS (SELECT bucket, sum(n) FILTER (side = 'd') AS s, sum(n) FILTER (side = 'b') AS t FROM placed GROUP BY bucket),
+    totals AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS s_all, CAST(coalesce(sum(t), 0) AS DOUBLE) AS t_all FROM sums),
+    gains AS (
+        SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (s_all + 10000) / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * (t_all + 10000)))) AS BIGINT) AS g
+        FROM sums, totals),
+    weighed AS (
+        SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * g) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight
+        FROM placed JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+    scored AS (
+        SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+               coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || w.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+        FROM worded w LEFT JOIN weighed USING (doc_id) WHERE side = 'd'),
+    drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS fit FROM scored WHERE n_words >= 20)
+    SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= 25 * fit // 100 THEN rank END AS rank
+    FROM scored s LEFT JOIN drawn d ON s.doc_id = d.doc_id
+    """,
+)
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn towards the benchmark's texts."""
     drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -200,10 +200,10 @@ def _meet(kind: str):
         again[order[1:][same]] = again[order[:-1][same]] = True
         cuts = np.cumsum([len(a) for a in arrays])[:-1]
         marks = np.split(again, cuts)
-        told = [i for i, m in enumerate(marks) if m.any()]
+        told = pa.array([i for i, m in enumerate(marks) if m.any()], pa.int64())
         columns = [
-            pa.array([kind] * len(told)), group.column("part").take(told).combine_chunks(), group.column("block").take(told).combine_chunks(),
-            pa.array([np.packbits(marks[i]).tobytes() for i in told], pa.binary()),
+            pa.array([kind] * len(told), pa.string()), group.column("part").take(told).combine_chunks(), group.column("block").take(told).combine_chunks(),
+            pa.array([np.packbits(marks[i]).tobytes() for i in told.to_pylist()], pa.binary()),
         ]
         return pa.Table.from_arrays(columns, schema=schema)
 
