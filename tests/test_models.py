@@ -52,11 +52,98 @@ def test_delta_model_equals_a_fit_on_the_change(data):
         m.Ridge(("x0",), delta_from="x0")
 
 
-def test_library_ridge_equals_closed_form(data):
+def test_one_table_is_fitted_and_applied_in_one_plan(data):
     x, y, _, df = data
-    model = m.fit_ridge(df, ["x0", "x1", "x2"], "y", alpha=2.0)
-    want = closed_form(x, y, 2.0)
-    assert np.allclose([model.intercept, *model.coefficients], want, rtol=1e-8, atol=1e-8)
+    train = F.col("x1") < -15
+    spec = m.Ridge(("x0", "x1", "x2"), 2.0)
+    rows = m.fit_predict(df, [], {"r": spec, "d": m.delta_wrap(spec, "x0")}, "y", train).select("x0", "x1", "x2", "y_pred_r", "y_pred_d").collect()
+    kept = x[:, 1] < -15
+    for k, use in (("y_pred_r", [0, 1, 2]), ("y_pred_d", [1, 2])):
+        base = 0 if k == "y_pred_r" else x[kept, 0]
+        want = closed_form(x[kept][:, use], y[kept] - base, 2.0)
+        for r in rows:
+            assert r[k] == pytest.approx(want[0] + sum(w * r[f"x{i}"] for w, i in zip(want[1:], use)) + (0 if k == "y_pred_r" else r["x0"]))
+
+
+def test_cell_without_training_rows_predicts_null(data):
+    *_, df = data
+    out = m.fit_predict(df, ["g"], {"r": m.Ridge(("x0",))}, "y", F.col("g") == "a")
+    counts = dict(out.groupBy("g").agg(F.count("y_pred")).collect())
+    assert counts["b"] == 0 and counts["a"] == 100
+    assert m.fit_predict(df, [], {"r": m.Ridge(("x0",))}, "y", F.lit(False)).agg(F.count("y_pred")).head()[0] == 0
+
+
+def test_large_amounts_with_little_spread(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2)) * [3.0, 50.0]
+    y = np.round(x @ [4.0, -0.25] * 128) / 128 + 8
+    big = np.array([1e13, 3e13])
+    shifted = np.round(x * 256) / 256 + big
+    exact = shifted - big
+    rows = [(i, *map(float, r), float(t + 2e13)) for i, (r, t) in enumerate(zip(shifted, y))]
+    df = spark.createDataFrame(rows, "t int, a double, b double, y double").repartition(8)
+    want = closed_form(exact, y)
+    spec = m.Ridge(("a", "b"))
+    coef = m.ridge_from_stats(m.gram_stats(df, [], ["a", "b", "y"]), {"r": spec}, ["a", "b"], "y").select("coef_r").head()[0]
+    assert np.allclose(coef[1:], want[1:], rtol=1e-6)
+    for stats in (m.expanding_gram(df, [], "t", ["a", "b"], "y"), m.expanding_gram_imputed(df, [], "t", ["a", "b"], "y")):
+        last = m.ridge_from_stats(stats, {"r": spec}, ["a", "b"], "y").where("t = 399").select("coef_r").head()[0]
+        assert np.allclose(last[1:], closed_form(exact[:399], y[:399])[1:], rtol=1e-6)
+
+
+@pytest.mark.parametrize("horizon", [1, 3])
+def test_imputed_statistics_equal_a_refit_of_every_step(spark, horizon):
+    rng = np.random.default_rng(horizon)
+    x = np.round(rng.normal(size=(70, 3)) * [1, 100, 5] + [0, 1e4, -3], 2)
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:25, 2] = np.nan
+    y = np.nansum(x * [3, 0.01, 1], axis=1) + rng.normal(size=70)
+    y[[10, 11, 69]] = np.nan
+    rows = [("s", i, *[None if np.isnan(v) else float(v) for v in (*x[i], y[i])]) for i in range(70)]
+    rows += [("other", i, 1.0, None, 2.0, 3.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, t int, a double, b double, c double, y double").repartition(5)
+    names = ["a", "b", "c"]
+    fitted = m.ridge_from_stats(m.expanding_gram_imputed(df, ["g"], "t", names, "y", horizon), {"r": m.Ridge(tuple(names))}, names, "y", 5)
+    got = {r["t"]: r for r in fitted.where("g = 's'").collect()}
+    for t in range(70):
+        train = [i for i in range(t - horizon + 1) if not np.isnan(y[i])]
+        assert got[t]["n"] == len(train)
+        if len(train) < 5:
+            assert got[t]["coef_r"] is None
+            continue
+        part = x[train]
+        med = np.array([np.median(c[~np.isnan(c)]) if (~np.isnan(c)).any() else 0.0 for c in part.T])
+        want = closed_form(np.where(np.isnan(part), med, part), y[train])
+        assert np.allclose(got[t]["coef_r"], want, rtol=1e-8, atol=1e-8)
+        assert np.allclose([got[t][f"in_{c}"] for c in names], np.where(np.isnan(x[t]), med, x[t]))
+
+
+def test_imputed_statistics_of_long_series_in_stretches():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(500, 2)), rng.normal(size=500)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    for whole, parts in zip(m._imputed_stats(x, y, 2), m._imputed_stats(x, y, 2, chunk=17)):
+        assert np.allclose(whole, parts, atol=1e-12)
+
+
+def test_running_medians():
+    rng = np.random.default_rng(9)
+    values, known = np.round(rng.normal(size=200), 1), rng.random(200) < 0.7
+    got = m.running_medians(values, known)
+    for k in range(201):
+        part = values[:k][known[:k]]
+        assert np.isnan(got[k]) if not len(part) else got[k] == pytest.approx(np.median(part))
+
+
+def test_series_medians_come_from_training_rows(spark):
+    df = spark.createDataFrame(
+        [("a", 1.0, None, True), ("a", 4.0, None, True), ("a", None, None, False), ("a", 100.0, 3.0, False), ("b", None, 5.0, True)],
+        "g string, v double, w double, t boolean",
+    )
+    out = m.impute_series(df, ["g"], ["v", "w"], F.col("t"))
+    assert sorted((r.g, r.v, r.w) for r in out.collect()) == [
+        ("a", 1.0, 0.0), ("a", 2.5, 0.0), ("a", 4.0, 0.0), ("a", 100.0, 3.0), ("b", 0.0, 5.0),
+    ]
 
 
 def test_expanding_fit_equals_refit(spark, data):

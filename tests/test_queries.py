@@ -20,7 +20,7 @@ SF_DIR = "/root/testdata/sf0.01"
 SOME = [
     "flagship_leaderboard", "s1_read_delimited_offsets", "s5_explode_json_items", "p19_contract_month",
     "p25_conform_source_capacity", "x12_redact_headers", "w4_lag_hourly", "w13_dedup_log", "j5_curve_points",
-    "a8_volume_mix", "o5_except_keys", "v1_duplicate_keys", "b7_backtest_matrix", "m8_ridge_from_stats",
+    "a8_volume_mix", "o5_except_keys", "v1_duplicate_keys", "b7_backtest_matrix", "m8_ridge_from_stats", "b6_walk_forward_imputed", "b7_backtest_matrix_imputed", "m11_cross_validate_imputed",
     "e11_annotate_status", "f1_next_forecast", "f6_hourly_feature_table", "g1_ingest_inbox", "g2_current_view",
 ]
 # the ranges of the operator inventory

@@ -206,13 +206,17 @@ def step_diff(df: DataFrame, group: Sequence[str], ts: str, out: str = "step_sec
     return df.withColumn(out, F.timestamp_diff("SECOND", previous, F.col(ts)))
 
 
-def expanding_stats(
-    df: DataFrame, columns: Sequence[str], group: Sequence[str], ts: str, prefix: str = "sum"
-) -> DataFrame:
-    """Row count, sums and cross products of ``columns`` over all rows before each row."""
+def expanding_stats(df: DataFrame, columns: Sequence[str], group: Sequence[str], ts: str) -> DataFrame:
+    """Row count, means and covariances of ``columns`` over all rows before each row.
+
+    They are updated about a value of the series, so large values with little spread keep their digits.
+    """
     past = _over(group, ts, "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+    whole = _over(group, ts, "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING")
+    about = df.selectExpr("*", *[f"first({_q(c)}, true) {whole} AS {_q(f'_ref_{c}')}" for c in columns])
+    near = {c: f"({_q(c)} - {_q(f'_ref_{c}')})" for c in columns}
     out = [f"count(*) {past} AS n_past"]
     for i, a in enumerate(columns):
-        out.append(f"sum({_q(a)}) {past} AS {_q(f'{prefix}_{a}')}")
-        out += [f"sum({_q(a)} * {_q(b)}) {past} AS {_q(f'{prefix}_{a}_{b}')}" for b in columns[i:]]
-    return df.selectExpr("*", *out)
+        out.append(f"{_q(f'_ref_{a}')} + avg({near[a]}) {past} AS {_q(f'mean_{a}')}")
+        out += [f"covar_pop({near[a]}, {near[b]}) {past} AS {_q(f'cov_{a}_{b}')}" for b in columns[i:]]
+    return about.selectExpr("*", *out).drop(*[f"_ref_{c}" for c in columns])

@@ -21,12 +21,12 @@ def next_forecast(
     columns = list(dict.fromkeys([*spec.features, *([spec.delta_from] if spec.delta_from else [])]))
     fitted = ridge_from_stats(gram_stats(panel, group, [*columns, target]), {"m": spec}, columns, target)
     newest = keep_last(panel.na.drop(subset=columns), group, [period])
-    scored = newest.join(fitted.select(*group, "coef_m"), list(group))
+    scored = newest.join(fitted.select(*group, "coef_m", "mid_m"), list(group))
     return scored.select(
         *group,
         F.col(period).alias("forecast_origin_month"),
         F.add_months(F.col(period), horizon).alias("target_month"),
-        F.round(linear_prediction("coef_m", spec), 3).alias("predicted"),
+        F.round(linear_prediction("m", spec), 3).alias("predicted"),
         F.round(F.col(observed), 3).alias("most_recent_actual"),
     )
 

@@ -7,7 +7,7 @@ sufficient statistics, so a grid is one aggregation followed by one scan, not a
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import scores as sc
 from tidemark.operators.models import (
-    Ridge, expanding_gram, gram_stats, impute_median, linear_prediction, ridge_from_stats,
+    Ridge, expanding_gram, expanding_gram_imputed, gram_sets, gram_stats, impute_series,
+    linear_prediction, ridge_from_stats, with_refs,
 )
 from tidemark.operators.splits import Version, split_chronological, ts_folds, version_cells
 
@@ -41,62 +42,93 @@ class ModelSet:
         used = [c for s in self.linear.values() for c in (*s.features, *([s.delta_from] if s.delta_from else []))]
         return list(dict.fromkeys(used))
 
-    def parts(self, one_by_one: bool = False) -> list[ModelSet]:
-        """Sets of models that need the same columns; the naive ones, which fit nothing, come first.
-
-        What one set lacks does not cost another its rows. ``one_by_one`` also parts the naive models.
-        """
-        if one_by_one:
-            naive = [ModelSet({m: c}, {}, self.min_train) for m, c in self.naive.items()]
-        else:
-            naive = [ModelSet(self.naive, {}, self.min_train)] if self.naive else []
+    def column_sets(self) -> list[ModelSet]:
+        """The linear models by the columns they need: what one set lacks does not cost another its rows."""
         by_columns: dict[frozenset, dict[str, Ridge]] = {}
         for m, spec in self.linear.items():
             by_columns.setdefault(frozenset(ModelSet(linear={m: spec}).columns), {})[m] = spec
-        return naive + [ModelSet({}, linear, self.min_train) for linear in by_columns.values()]
+        return [ModelSet({}, linear, self.min_train) for linear in by_columns.values()]
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _predictions(df: DataFrame, models: ModelSet, keep: Sequence[str]) -> DataFrame:
-    """Long table of all models' predictions on rows that carry their coefficients."""
+def _predictions(df: DataFrame, models: ModelSet, keep: Sequence[str], inputs: str = "", steps: Mapping[str, Column] | None = None) -> DataFrame:
+    """Long table of all models' predictions on rows that carry their coefficients.
+
+    ``inputs`` is put before the linear models' feature names; ``steps`` says where a model predicts at all.
+    """
     cols: dict[str, Column] = {m: F.col(c).cast("double") for m, c in models.naive.items()}
-    cols |= {m: linear_prediction(f"coef_{m}", s) for m, s in models.linear.items()}
-    wide = df.select(*keep, *[c.alias(m) for m, c in cols.items()])
+    cols |= {m: linear_prediction(m, s, inputs) for m, s in models.linear.items()}
+    allowed = {m: F.when(steps[m], c) if steps and m in steps else c for m, c in cols.items()}
+    wide = df.select(*keep, *[c.alias(m) for m, c in allowed.items()])
     return wide.unpivot(list(keep), list(cols), "model", "y_pred")
 
 
+def _fitted(df: DataFrame, models: ModelSet, key: Sequence[str], target: str, is_train: Column) -> DataFrame:
+    """Coefficients of all linear models per cell: one aggregation for all column sets, each over its own complete rows."""
+    sets = models.column_sets()
+    stats = gram_sets(df, key, [[*s.columns, target] for s in sets], is_train)
+    for k, part in enumerate(sets):
+        stats = ridge_from_stats(stats, part.linear, part.columns, target, suffix=str(k))
+    return stats.select(*key, *[f"{p}_{m}" for m in models.linear for p in ("coef", "mid")])
+
+
+def _known(columns: Sequence[str]) -> Column:
+    return F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
+
+
+def _with_inputs(df: DataFrame, models: ModelSet, cell: Sequence[str], is_train: Column, target: str, period: str) -> DataFrame:
+    """``in_<column>``: the linear models' columns with holes filled from the training rows of the cell."""
+    names = [f"in_{c}" for c in models.columns]
+    copies = df.withColumns({n: F.col(c) for n, c in zip(names, models.columns)})
+    return with_refs(impute_series(copies, cell, names, is_train), [*names, target], cell, period)
+
+
+def _on_inputs(models: ModelSet) -> ModelSet:
+    """The same models on the filled columns; naive ones stay on what was observed."""
+    linear = {
+        m: replace(s, features=tuple(f"in_{f}" for f in s.features), delta_from=s.delta_from and f"in_{s.delta_from}")
+        for m, s in models.linear.items()
+    }
+    return ModelSet(models.naive, linear, models.min_train)
+
+
 def walk_forward(
     panel: DataFrame, group: Sequence[str], models: ModelSet, target: str, observed: str,
     horizon: int = 1, min_train: int = 24, start: str | None = None, period: str = "period_month",
+    impute: bool = False,
 ) -> DataFrame:
     """Predict every row from ``min_train`` known rows on by models fitted on all rows before it.
 
     ``panel`` is a gridded series per group. A row is trained on only when its target was
     known at the row to predict, which for one step ahead is every earlier row. Models that need other
     columns do not matter to a model: its steps and training rows are those complete for itself.
-    """
-    settings = (target, observed, horizon, min_train, start, period)
-    return _union([_walk(panel, group, part, *settings) for part in models.parts()])
 
+    ``impute`` fills holes in features with the median of the step's training rows instead, as a linear
+    model would do by itself: all rows with a known target are then trained on.
 
-def _walk(
-    panel: DataFrame, group: Sequence[str], models: ModelSet, target: str, observed: str, horizon: int,
-    min_train: int, start: str | None, period: str,
-) -> DataFrame:
-    stats = expanding_gram(panel, group, period, models.columns, target, horizon)
-    complete = F.lit(True)
-    for c in [*models.columns, target]:
-        complete = complete & F.col(c).isNotNull()
-    steps = stats.where(complete & (F.col("n") >= min_train))
+    All models share one scan and one running window.
+    """
+    sets = models.column_sets()
+    part = f"PARTITION BY {', '.join(f'`{g}`' for g in group)} " if group else ""
+    known = F.expr(f"count(`{target}`) OVER ({part}ORDER BY `{period}` ROWS BETWEEN UNBOUNDED PRECEDING AND {horizon} PRECEDING)")
+    stats, steps, inputs = panel.withColumn("_known", known), {m: F.col("_known") >= min_train for m in models.naive}, ""
+    if impute and sets:
+        stats, inputs = expanding_gram_imputed(stats, group, period, models.columns, target, horizon), "in_"
+        stats = ridge_from_stats(stats, models.linear, models.columns, target, min_train)
+    else:
+        for k, some in enumerate(sets):
+            stats = expanding_gram(stats, group, period, some.columns, target, horizon, str(k))
+        for k, some in enumerate(sets):
+            stats = ridge_from_stats(stats, some.linear, some.columns, target, min_train, str(k))
+    rows = stats.where(F.col(target).isNotNull())
     if start:
-        steps = steps.where(F.col(period) >= F.lit(start).cast("date"))
-    fitted = ridge_from_stats(steps, models.linear, models.columns, target)
+        rows = rows.where(F.col(period) >= F.lit(start).cast("date"))
+    named = rows.withColumns({"y_true": F.col(target).cast("double"), "observed_value": F.col(observed).cast("double")})
     keep = [*group, period, "y_true", "observed_value"]
-    named = fitted.withColumns({"y_true": F.col(target).cast("double"), "observed_value": F.col(observed).cast("double")})
-    return _predictions(named, models, keep).where("y_pred IS NOT NULL").withColumns(
+    return _predictions(named, models, keep, inputs, steps).where("y_pred IS NOT NULL").withColumns(
         {
             "forecast_origin_month": F.col(period),
             "target_month": F.add_months(F.col(period), horizon),
@@ -124,36 +156,37 @@ def _train_pool(panel: DataFrame, versions: Sequence[Version], horizon: int, gro
 
 def backtest_predictions(
     panel: DataFrame, group: Sequence[str], versions: Sequence[Version], models: ModelSet, target: str,
-    horizon: int = 1, period: str = "period_month",
+    horizon: int = 1, period: str = "period_month", impute: bool = False,
 ) -> DataFrame:
-    """Predictions of every (version, model) on its test rows."""
-    cells = version_cells(panel, versions, horizon, target, period)
+    """Predictions of every (version, model) on its test rows, all from one aggregation of the cells.
+
+    ``impute`` fills holes in the linear models' features with the median of the cell's training rows.
+    """
+    own = [] if impute else list(dict.fromkeys([*models.columns, target]))
+    cells = version_cells(with_refs(panel, own, group, period), versions, horizon, target, period)
     key = ["version", "eval_month", *group]
     # an absent evaluation month must still match in the join below
     keyed = cells.withColumn("eval_month", F.coalesce("eval_month", F.lit("1900-01-01").cast("date")))
+    if impute and models.linear:
+        keyed, models = _with_inputs(keyed, models, key, F.col("role") == "train", target, period), _on_inputs(models)
     test = keyed.where("role = 'test'").withColumn("y_true", F.col(target).cast("double"))
     keep = ["version", *group, period, "y_true"]
-    out = []
-    for part in models.parts():
-        if part.linear:
-            stats = gram_stats(keyed, key, [*part.columns, target], F.col("role") == "train")
-            fitted = ridge_from_stats(stats, part.linear, part.columns, target).drop("n", "sums", "cross")
-            out.append(_predictions(test.join(fitted, key), part, keep))
-        else:
-            out.append(_predictions(test, part, keep))
-    return _union(out)
+    if not models.linear:
+        return _predictions(test, models, keep)
+    fitted = _fitted(keyed, models, key, target, F.col("role") == "train")
+    return _predictions(test.join(fitted, key, "left"), models, keep)
 
 
 def backtest_matrix(
     panel: DataFrame, group: Sequence[str], versions: Sequence[Version], models: ModelSet, target: str,
-    horizon: int = 1, period: str = "period_month",
+    horizon: int = 1, period: str = "period_month", impute: bool = False,
 ) -> DataFrame:
     """One row per version, model and series: metrics, or the reason the cell was skipped.
 
     A cell short of training rows, without test rows or without a usable prediction is a row
     with a reason; it never stops the others.
     """
-    predicted = backtest_predictions(panel, group, versions, models, target, horizon, period)
+    predicted = backtest_predictions(panel, group, versions, models, target, horizon, period, impute)
     key = ["version", "model", *group]
     steps = sc.with_steps(sc.pairs(predicted), key, [], period)
     scored = steps.groupBy(*key).agg(*sc.error_aggs(), sc.direction_agg())
@@ -198,7 +231,7 @@ def ablation(
     columns = list(dict.fromkeys(c for cols in groups.values() for c in cols))
     rows = split_chronological(panel.where(F.col(target).isNotNull()), group, period, valid, test, min_train)
     doubles = rows.withColumns({c: F.col(c).cast("double") for c in columns})
-    filled = impute_median(doubles, group, columns, F.col("split") == "train")
+    filled = impute_series(doubles, group, columns, F.col("split") == "train")
     linear: dict[str, Ridge] = {}
     naive: dict[str, str] = {}
     for name, cols in groups.items():
@@ -210,7 +243,7 @@ def ablation(
                 linear[f"{name}:delta_ridge"] = Ridge(rest, alpha, observed)
     models = ModelSet(naive, linear)
     stats = gram_stats(filled, group, [*columns, target], F.col("split") == "train")
-    fitted = ridge_from_stats(stats, linear, columns, target).drop("n", "sums", "cross")
+    fitted = ridge_from_stats(stats, linear, columns, target).drop("n", "means", "cov")
     tested = filled.where("split = 'test'").join(fitted, list(group))
     named = tested.withColumns({"y_true": F.col(target).cast("double"), "_observed": F.col(observed)})
     predicted = _predictions(named, models, [*group, period, "y_true", "_observed"])
@@ -228,34 +261,38 @@ def ablation(
 
 def cross_validate(
     panel: DataFrame, group: Sequence[str], models: ModelSet, target: str, k: int = 5, embargo: int = 1,
-    period: str = "period_month",
+    period: str = "period_month", impute: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold predictions with their fold, and the metrics per fold with its size and range.
 
-    Folds are laid over the rows that are complete for the model.
+    Folds are laid over the rows that are complete for the model. Models that need the same columns
+    share them, and every set of columns is a value of ``_set`` in one scan. With ``impute``
+    holes do not make a row incomplete for a linear model: they are filled with the median of the fold's training rows.
     """
-    parts = [_folds_of(panel, group, part, target, k, embargo, period) for part in models.parts(one_by_one=True)]
-    return _union([p for p, _ in parts]), _union([m for _, m in parts])
-
-
-def _folds_of(
-    panel: DataFrame, group: Sequence[str], models: ModelSet, target: str, k: int, embargo: int, period: str
-) -> tuple[DataFrame, DataFrame]:
-    used = [*models.columns, *models.naive.values(), target]
-    complete = panel.na.drop(subset=list(dict.fromkeys(used)))
-    folds = ts_folds(complete, group, period, k, embargo)
-    key = [*group, "fold"]
-    is_train = F.col("role") == "train"
+    sets = [([c], {m: c}, {}) for m, c in models.naive.items()]
+    sets += [([] if impute else s.columns, {}, s.linear) for s in models.column_sets()]
+    usable = [F.when(_known([*cols, target]), F.lit(i)) for i, (cols, _, _) in enumerate(sets)]
+    own = [] if impute or not models.linear else list(dict.fromkeys([*models.columns, target]))
+    rows = with_refs(panel, own, group, period).withColumn("_set", F.explode(F.array_compact(F.array(*usable))))
+    folds = ts_folds(rows, [*group, "_set"], period, k, embargo)
+    key, is_train = [*group, "_set", "fold"], F.col("role") == "train"
+    if impute and models.linear:
+        folds, models = _with_inputs(folds, models, key, is_train, target, period), _on_inputs(models)
     held_out = folds.where("role = 'valid'").withColumn("y_true", F.col(target).cast("double"))
     if models.linear:
-        stats = gram_stats(folds, key, [*models.columns, target], is_train)
-        held_out = held_out.join(ridge_from_stats(stats, models.linear, models.columns, target).drop("n", "sums", "cross"), key)
-    predicted = _predictions(held_out, models, [*key, period, "y_true"])
+        first_linear = len(models.naive)
+        fitted = _fitted(folds.where(F.col("_set") >= first_linear), models, key, target, is_train)
+        held_out = held_out.join(fitted, key, "left")
+    own = {m: F.col("_set") == i for i, (_, naive, linear) in enumerate(sets) for m in (*naive, *linear)}
+    predicted = _predictions(held_out, models, [*group, "_set", "fold", period, "y_true"], steps=own)
+    of_set = F.element_at(F.array(*[F.array(*[F.lit(m) for m in (*naive, *linear)]) for _, naive, linear in sets]), F.col("_set") + 1)
+    predicted = predicted.where(F.array_contains(of_set, F.col("model"))).drop("_set")
     ranges = folds.groupBy(*key).agg(
         F.count_if(is_train).alias("train_n"),
         F.min(F.when(is_train, F.col(period))).alias("train_from"),
         F.max(F.when(is_train, F.col(period))).alias("train_to"),
         F.min(F.when(~is_train, F.col(period))).alias("valid_from"),
         F.max(F.when(~is_train, F.col(period))).alias("valid_to"),
-    )
-    return predicted, sc.rmse_mape(predicted, [*key, "model"]).join(ranges, key)
+    ).withColumn("model", F.explode(of_set)).drop("_set")
+    named = [*group, "fold", "model"]
+    return predicted, sc.rmse_mape(predicted, named).join(ranges, named)

@@ -15,14 +15,13 @@ from tidemark.queries.linear import gram_sql, predict_sql, ridge_sql
 from tidemark.queries.registry import query
 from tidemark.queries.tools import rounded
 
-# prices in thousands keep the cross products small in both engines
 FEATURES = ["observed", "lag_1m", "roll_3m", "lag_12m"]
 
 
 def ar_panel(spark, d, gaps: bool = False):
-    """Gridded panel with the autoregressive features and a one-month target, in thousands."""
+    """Gridded panel with the autoregressive features and a one-month target."""
     prices = shapes.monthly_price_with_gaps(spark, d) if gaps else shapes.monthly_price(spark, d)
-    grid = monthly_grid(prices.withColumn("observed", F.col("price") / 1000).drop("price"), ["area"])
+    grid = monthly_grid(prices.withColumnRenamed("price", "observed"), ["area"])
     lagged = add_lags_and_rolls(
         grid, ["area"], "period_month",
         [LagSpec("observed", 1, "lag_1m"), LagSpec("observed", 12, "lag_12m")],
@@ -34,7 +33,7 @@ def ar_panel(spark, d, gaps: bool = False):
 AR_SQL = """, ARP AS (
   SELECT area, period_month, observed, lag(observed, 1) OVER w AS lag_1m, lag(observed, 12) OVER w AS lag_12m,
     CASE WHEN count(observed) OVER r = 3 THEN avg(observed) OVER r END AS roll_3m, lead(observed, 1) OVER w AS target
-  FROM (SELECT area, period_month, price / 1000 AS observed FROM MGRID)
+  FROM (SELECT area, period_month, price AS observed FROM MGRID)
   WINDOW w AS (PARTITION BY area ORDER BY period_month),
          r AS (PARTITION BY area ORDER BY period_month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
 ARC AS (SELECT * FROM ARP WHERE observed IS NOT NULL AND lag_1m IS NOT NULL AND lag_12m IS NOT NULL
@@ -181,7 +180,51 @@ def _holed(sql: str) -> str:
     return sql.replace("ARC AS (SELECT * FROM ARP", f"ARH AS (SELECT * REPLACE ({HOLES}) FROM ARP),\nARC AS (SELECT * FROM ARH")
 
 
-def _matrix_sql() -> str:
+_CELL = "version, eval_month, area"
+
+
+def filled_sql(medians: str) -> str:
+    """Select-list of the rows ``t`` with holes in the features filled from ``medians`` (``m_<feature>``)."""
+    fills = ", ".join(f"coalesce(t.{c}, {medians}.m_{c}, 0) AS {c}" for c in FEATURES)
+    return f"t.* REPLACE ({fills})"
+
+
+MEDIANS = ", ".join(f"median({c}) AS m_{c}" for c in FEATURES)
+
+
+@query(
+    "b6_walk_forward_imputed",
+    with_shapes("M", "MGRID")
+    + _holed(AR_SQL)
+    + ", MEDS AS (SELECT *, "
+    + ", ".join(f"median(CASE WHEN target IS NOT NULL THEN {c} END) OVER w AS m_{c}" for c in FEATURES)
+    + """ FROM ARH WINDOW w AS (PARTITION BY area ORDER BY period_month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+PAST AS (SELECT s.area, s.period_month, """
+    + ", ".join(f"coalesce(t.{c}, s.m_{c}, 0) AS {c}" for c in FEATURES)
+    + """, t.target FROM MEDS s JOIN ARH t ON t.area = s.area AND t.period_month < s.period_month AND t.target IS NOT NULL),
+G AS (SELECT area, period_month, """
+    + gram_sql([*FEATURES, "target"])
+    + " FROM PAST GROUP BY area, period_month HAVING count(*) >= 24),\n"
+    + POSITIONS
+    + ", J AS (SELECT s.area, s.period_month, s.target, s.observed AS seen, "
+    + ", ".join(f"coalesce(s.{c}, s.m_{c}, 0) AS {c}" for c in FEATURES)
+    + """, rd.* EXCLUDE (area, period_month) FROM MEDS s JOIN rd USING (area, period_month) WHERE s.target IS NOT NULL),
+NAIVE AS (SELECT *, observed AS seen FROM (SELECT *, count(target) OVER (PARTITION BY area ORDER BY period_month
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM ARH) WHERE target IS NOT NULL AND known >= 24),
+LONG AS (SELECT * FROM ("""
+    + _long_predictions("NAIVE", "J", "area, period_month, seen")
+    + """) WHERE y_pred IS NOT NULL)
+SELECT area, period_month, y_true, seen AS observed_value, model, round(y_pred, 5) AS y_pred,
+  period_month AS forecast_origin_month, CAST(period_month + INTERVAL 1 MONTH AS DATE) AS target_month,
+  y_true - seen AS true_delta, round(y_pred - seen, 5) AS predicted_delta FROM LONG""",
+)
+def walk_forward_imputed(spark, d):
+    """Holes are filled, step by step, with the median of the rows known by then; every step is predicted."""
+    out = bt.walk_forward(holed_panel(spark, d), ["area"], MODELS, "target", "observed", impute=True)
+    return rounded(out, 5, ("y_true", "observed_value", "true_delta"))
+
+
+def _matrix_sql(impute: bool = False) -> str:
     train, test = [], []
     for v in VERSIONS:
         if v.window:
@@ -208,11 +251,20 @@ def _matrix_sql() -> str:
     )
     complete = " AND ".join(f"{c} IS NOT NULL" for c in [*FEATURES, "target"])
     needs = ", ".join(f"('{m}', {MODELS.min_train[m]})" for m in MODELS.names)
-    return f""", TRAIN AS (SELECT * FROM ({' UNION ALL '.join(train)}) WHERE {complete}),
+    rows = f"SELECT * FROM ({' UNION ALL '.join(train)}) WHERE"
+    if impute:
+        known = f"""TRAIN0 AS ({rows} target IS NOT NULL),
+MED AS (SELECT {_CELL}, {MEDIANS} FROM TRAIN0 GROUP BY ALL),
+TRAIN AS (SELECT {filled_sql('MED')} FROM TRAIN0 t JOIN MED USING ({_CELL}))"""
+        joined = f"SELECT {filled_sql('MED')}, rd.* EXCLUDE ({_CELL}) FROM TEST t JOIN MED USING ({_CELL}) JOIN rd USING ({_CELL})"
+    else:
+        known = f"TRAIN AS ({rows} {complete})"
+        joined = f"SELECT TEST.*, rd.* EXCLUDE ({_CELL}) FROM TEST JOIN rd USING ({_CELL})"
+    return f""", {known},
 TEST AS (SELECT * FROM ({' UNION ALL '.join(test)}) WHERE target IS NOT NULL),
 G AS (SELECT version, eval_month, area, {gram_sql([*FEATURES, 'target'])} FROM TRAIN GROUP BY ALL),
 {POSITIONS},
-J AS (SELECT TEST.*, rd.* EXCLUDE (version, eval_month, area) FROM TEST JOIN rd USING (version, eval_month, area)),
+J AS ({joined}),
 LONG AS (SELECT * FROM ({_long_predictions('TEST', 'J', 'version, area, period_month')}) WHERE y_pred IS NOT NULL),
 STEP AS (SELECT *, CAST(sign(y_true - lag(y_true) OVER w) = sign(y_pred - lag(y_pred) OVER w) AS DOUBLE) AS same
   FROM LONG WINDOW w AS (PARTITION BY version, model, area ORDER BY period_month)),
@@ -251,6 +303,16 @@ def backtest_matrix_with_holes(spark, d):
     return rounded(bt.backtest_matrix(holed_panel(spark, d), ["area"], VERSIONS, MODELS, "target"), 5)
 
 
+@query(
+    "b7_backtest_matrix_imputed",
+    with_shapes("M", "MGRID") + _holed(AR_SQL) + _matrix_sql(impute=True).replace("ARP.*", "ARH.*").replace("FROM ARP", "FROM ARH")
+    + f"SELECT {MATRIX_COLUMNS} FROM OUT",
+)
+def backtest_matrix_imputed(spark, d):
+    """Linear models fill holes with the medians of their own training rows, as in service."""
+    return rounded(bt.backtest_matrix(holed_panel(spark, d), ["area"], VERSIONS, MODELS, "target", impute=True), 5)
+
+
 GROUPS = {
     "observed_only": ["observed"],
     "lags_without_observed": ["lag_1m", "lag_12m", "roll_3m"],

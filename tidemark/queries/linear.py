@@ -1,6 +1,6 @@
 """SQL of the closed-form ridge, so that DuckDB can check fitted models.
 
-A chain of common table expressions turns sums and cross products into coefficients by a
+A chain of common table expressions turns means and covariances into coefficients by a
 Cholesky factorisation of the scaled, penalised normal equations.
 """
 
@@ -10,12 +10,12 @@ from collections.abc import Sequence
 
 
 def gram_sql(columns: Sequence[str], window: str = "") -> str:
-    """Select-list with n, sums and cross products of the columns; ``window`` makes them running."""
+    """Select-list with n, means and covariances of the columns; ``window`` makes them running."""
     over = f" OVER {window}" if window else ""
     parts = [f"CAST(count(*){over} AS DOUBLE) AS n"]
-    parts += [f"sum({c}){over} AS s{i}" for i, c in enumerate(columns)]
+    parts += [f"avg({c}){over} AS s{i}" for i, c in enumerate(columns)]
     for i, a in enumerate(columns):
-        parts += [f"sum({a} * {columns[j]}){over} AS g{i}_{j}" for j in range(i, len(columns))]
+        parts += [f"covar_pop({a}, {columns[j]}){over} AS g{i}_{j}" for j in range(i, len(columns))]
     return ", ".join(parts)
 
 
@@ -32,33 +32,21 @@ def ridge_sql(
     """
     p = range(len(features))
     xy = [_g(f, y) + (f" - {_g(f, base)}" if base is not None else "") for f in features]
-    sum_y = f"s{y}" + (f" - s{base}" if base is not None else "")
-    steps = []
-    first = [f"({sum_y}) / n AS {out}_my"]
-    for i in p:
-        first.append(f"s{features[i]} / n AS {out}_m{i}")
-    steps.append(first)
-    steps.append(
-        [f"{_g(features[i], features[i])} / n - {out}_m{i} * {out}_m{i} AS {out}_v{i}" for i in p]
-    )
+    steps = [[f"s{y}" + (f" - s{base}" if base is not None else "") + f" AS {out}_my"]]
+    steps[0] += [f"s{features[i]} AS {out}_m{i}" for i in p]
     steps.append(
         [
-            f"CASE WHEN {out}_v{i} <= 1e-12 * greatest({_g(features[i], features[i])} / n, 1e-300) "
-            f"THEN 1.0 ELSE sqrt({out}_v{i}) END AS {out}_d{i}"
+            f"CASE WHEN {_g(features[i], features[i])} <= (2e-15 * {out}_m{i}) ** 2 THEN 1.0 "
+            f"ELSE sqrt({_g(features[i], features[i])}) END AS {out}_d{i}"
             for i in p
         ]
     )
     scaled = []
     for i in p:
-        scaled.append(
-            f"({xy[i]} - n * {out}_m{i} * {out}_my) / {out}_d{i} AS {out}_r{i}"
-        )
+        scaled.append(f"n * ({xy[i]}) / {out}_d{i} AS {out}_r{i}")
         for j in range(i + 1):
             pen = f" + {alpha}" if i == j else ""
-            scaled.append(
-                f"({_g(features[i], features[j])} - n * {out}_m{i} * {out}_m{j}) / {out}_d{i} / {out}_d{j}{pen} "
-                f"AS {out}_a{i}_{j}"
-            )
+            scaled.append(f"n * {_g(features[i], features[j])} / {out}_d{i} / {out}_d{j}{pen} AS {out}_a{i}_{j}")
     steps.append(scaled)
     for j in p:
         left = "".join(f" - {out}_l{j}_{k} * {out}_l{j}_{k}" for k in range(j))
@@ -87,5 +75,6 @@ def ridge_sql(
 
 
 def predict_sql(out: str, columns: Sequence[str], base: str | None = None) -> str:
-    value = f"{out}_b0" + "".join(f" + {out}_b{i + 1} * {c}" for i, c in enumerate(columns))
+    """The fitted value, about the means that ``ridge_sql`` left in its columns."""
+    value = f"{out}_my" + "".join(f" + {out}_b{i + 1} * ({c} - {out}_m{i})" for i, c in enumerate(columns))
     return f"{value} + {base}" if base else value

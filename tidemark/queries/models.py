@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.arithmetic import delta_target
 from tidemark.operators import models as m
 from tidemark.operators.aggregates import fold_summary
 from tidemark.operators.grids import add_lags, hourly_grid, lag_specs, lead_target
@@ -13,8 +12,9 @@ from tidemark.plans import backtests as bt
 from tidemark.plans import shapes
 from tidemark.plans.shapes import with_shapes
 from tidemark.queries.backtests import (
-    AR_SQL, FEATURES, MODELS, POSITIONS, _linear_predictions, ar_panel,
+    AR_SQL, FEATURES, MEDIANS, MODELS, POSITIONS, _holed, _linear_predictions, ar_panel, filled_sql,
 )
+from tidemark.queries.backtests import holed_panel as gapped_panel
 from tidemark.queries.linear import gram_sql, predict_sql, ridge_sql
 from tidemark.queries.registry import query
 from tidemark.queries.tools import rounded
@@ -113,37 +113,27 @@ FROM T, {name} WHERE NOT is_train"""
     )
 
 
-def _split_rows(spark, d):
+def _fitted(spark, d, spec):
+    """One table of all areas: fitted on the rows before 2000, applied to the later ones."""
     panel = ar_panel(spark, d).na.drop(subset=[*FEATURES, "target"])
     is_train = F.col("period_month") < F.lit("2000-01-01").cast("date")
-    return panel.where(is_train), panel.where(~is_train)
-
-
-def _fitted(spark, d, features):
-    train, test = _split_rows(spark, d)
-    model = m.fit_ridge(train, features, "target")
-    scored = m.apply_model(model, test, features)
+    scored = m.fit_predict(panel, [], {"ridge": spec}, "target", is_train).where(~is_train)
     return rounded(scored.select("area", "period_month", "target", "y_pred"), 5, ("target",))
 
 
 @query("m5_fit_ridge", _one_table(["observed"], "rx"))
 def fit_ridge(spark, d):
-    return _fitted(spark, d, ["observed"])
+    return _fitted(spark, d, m.Ridge(("observed",)))
 
 
 @query("m6_fit_ar_ridge", _one_table(FEATURES, "rx"))
 def fit_ar_ridge(spark, d):
-    return _fitted(spark, d, FEATURES)
+    return _fitted(spark, d, m.Ridge(tuple(FEATURES)))
 
 
 @query("m7_delta_wrap", _one_table(FEATURES[1:], "rx", "observed"))
 def delta_wrap(spark, d):
-    train, test = _split_rows(spark, d)
-    delta = train.withColumn("delta", delta_target(F.col("target"), F.col("observed")))
-    model = m.fit_ridge(delta, FEATURES[1:], "delta")
-    scored = m.apply_model(model, test, FEATURES[1:])
-    rebuilt = scored.withColumn("y_pred", F.col("observed") + F.col("y_pred"))
-    return rounded(rebuilt.select("area", "period_month", "target", "y_pred"), 5, ("target",))
+    return _fitted(spark, d, m.delta_wrap(m.Ridge(tuple(FEATURES)), "observed"))
 
 
 @query(
@@ -185,32 +175,42 @@ def feature_importance(spark, d):
     return m.feature_importance(spark, model, FEATURES)
 
 
-CV = (
-    with_shapes("M", "MGRID")
-    + AR_SQL
-    + """, P AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY period_month) - 1 AS pos, count(*) OVER (PARTITION BY area) AS cnt FROM ARC),
+def _cv(panel: str, linear_rows: str, impute: bool = False) -> str:
+    """CTEs up to R (fold ranges) and S (scores) of five models; ``linear_rows``: what linear models are laid over."""
+    key = "area, fold"
+    filled = (
+        f"""FM AS (SELECT {key}, {MEDIANS} FROM F1 WHERE role = 'train' GROUP BY ALL),
+F AS (SELECT {filled_sql('FM')} FROM F1 t JOIN FM USING ({key}))"""
+        if impute else "F AS (SELECT * FROM F1)"
+    )
+    naive_rows = "ARH" if impute else "ARP"
+    return (
+        with_shapes("M", "MGRID")
+        + panel
+        + """, P AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY period_month) - 1 AS pos, count(*) OVER (PARTITION BY area) AS cnt FROM """ + linear_rows + """),
 K AS (SELECT P.*, CAST(f AS INTEGER) AS fold, cnt - (5 - f + 1) * (cnt // 6) AS start FROM P, range(1, 6) r(f)),
 F0 AS (SELECT *, CASE WHEN pos < start - 1 THEN 'train' WHEN pos >= start AND pos < start + cnt // 6 THEN 'valid' END AS role FROM K),
-F AS (SELECT * FROM F0 WHERE role IS NOT NULL),
+F1 AS (SELECT * FROM F0 WHERE role IS NOT NULL),
+""" + filled + """,
 G AS (SELECT area, fold, """
-    + gram_sql([*FEATURES, "target"])
-    + " FROM F WHERE role = 'train' GROUP BY area, fold),\n"
-    + POSITIONS
-    + """,
+        + gram_sql([*FEATURES, "target"])
+        + " FROM F WHERE role = 'train' GROUP BY area, fold),\n"
+        + POSITIONS
+        + """,
 J AS (SELECT F.*, rd.* EXCLUDE (area, fold) FROM F JOIN rd USING (area, fold) WHERE role = 'valid'),
 NP AS ("""
-    + " UNION ALL ".join(
-        f"SELECT '{m}' AS model, area, period_month, target, {c} AS y_pred FROM ARP WHERE target IS NOT NULL AND {c} IS NOT NULL"
-        for m, c in MODELS.naive.items()
+        + " UNION ALL ".join(
+            f"SELECT '{m}' AS model, area, period_month, target, {c} AS y_pred FROM {naive_rows} WHERE target IS NOT NULL AND {c} IS NOT NULL"
+            for m, c in MODELS.naive.items()
     )
-    + """),
+        + """),
 NQ AS (SELECT *, row_number() OVER (PARTITION BY model, area ORDER BY period_month) - 1 AS pos, count(*) OVER (PARTITION BY model, area) AS cnt FROM NP),
 NK AS (SELECT NQ.*, CAST(f AS INTEGER) AS fold, cnt - (5 - f + 1) * (cnt // 6) AS start FROM NQ, range(1, 6) r(f)),
 NF AS (SELECT * FROM (SELECT *, CASE WHEN pos < start - 1 THEN 'train' WHEN pos >= start AND pos < start + cnt // 6 THEN 'valid' END AS role FROM NK)
   WHERE role IS NOT NULL),
 L AS (SELECT area, fold, period_month, y_true, model, y_pred FROM ("""
-    + _linear_predictions("J", "area, fold, period_month")
-    + """) UNION ALL SELECT area, fold, period_month, target, model, y_pred FROM NF WHERE role = 'valid'),
+        + _linear_predictions("J", "area, fold, period_month")
+        + """) UNION ALL SELECT area, fold, period_month, target, model, y_pred FROM NF WHERE role = 'valid'),
 A AS (SELECT m.model, area, fold, role, period_month FROM F CROSS JOIN (VALUES ('monthly_ar_ridge'), ('delta_ar_ridge')) m(model)
   UNION ALL SELECT model, area, fold, role, period_month FROM NF),
 R AS (SELECT area, fold, model, count(*) FILTER (role = 'train') AS train_n, min(period_month) FILTER (role = 'train') AS train_from,
@@ -220,7 +220,10 @@ S AS (SELECT area, fold, model, sqrt(avg((y_true - y_pred) ** 2)) AS rmse,
   avg(abs((y_true - y_pred) / greatest(abs(y_true), 1e-8))) * 100 AS mape, avg(abs(y_true - y_pred)) AS mae, count(*) AS valid_n
   FROM L GROUP BY 1, 2, 3)
 """
-)
+    )
+
+
+CV = _cv(AR_SQL, "ARC")
 
 
 @query(
@@ -233,6 +236,17 @@ def cross_validate(spark, d):
     return rounded(metrics, 5)
 
 
+@query(
+    "m11_cross_validate_imputed",
+    _cv(_holed(AR_SQL), "ARH WHERE target IS NOT NULL", impute=True)
+    + """ SELECT area, fold, model, round(rmse, 5) AS rmse, round(mape, 5) AS mape, round(mae, 5) AS mae, valid_n,
+  train_n, train_from, train_to, valid_from, valid_to FROM S JOIN R USING (area, fold, model)""",
+)
+def cross_validate_imputed(spark, d):
+    _, metrics = bt.cross_validate(gapped_panel(spark, d), ["area"], MODELS, "target", impute=True)
+    return rounded(metrics, 5)
+
+
 @query(
     "m11_cross_validation_summary",
     CV + """ SELECT area, model, count(*) AS n_folds, round(avg(rmse), 5) AS rmse_mean, round(stddev_pop(rmse), 5) AS rmse_std,

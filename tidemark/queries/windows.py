@@ -375,21 +375,15 @@ def best_row(spark, d):
 @query(
     "w18_expanding_stats",
     with_shapes("PANEL")
-    + """, B AS (SELECT area, period_month, observed / 1000 AS x, target / 1000 AS y FROM PANEL
-  WHERE observed IS NOT NULL AND target IS NOT NULL)
-SELECT area, period_month, x, y, count(*) OVER w AS n_past, round(sum(x) OVER w, 6) AS sum_x,
-  round(sum(y) OVER w, 6) AS sum_y, round(sum(x * x) OVER w, 4) AS sum_x_x,
-  round(sum(x * y) OVER w, 4) AS sum_x_y, round(sum(y * y) OVER w, 4) AS sum_y_y
+    + """, B AS (SELECT area, period_month, observed AS x, target AS y FROM PANEL WHERE observed IS NOT NULL AND target IS NOT NULL)
+SELECT area, period_month, x, y, count(*) OVER w AS n_past, round(avg(x) OVER w, 5) AS mean_x, round(avg(y) OVER w, 5) AS mean_y,
+  round(covar_pop(x, x) OVER w, 1) AS cov_x_x, round(covar_pop(x, y) OVER w, 1) AS cov_x_y, round(covar_pop(y, y) OVER w, 1) AS cov_y_y
 FROM B WINDOW w AS (PARTITION BY area ORDER BY period_month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 )
 def expanding_stats(spark, d):
     panel = shapes.backtest_panel(spark, d).na.drop(subset=["observed", "target"]).select(
-        "area", "period_month", (F.col("observed") / 1000).alias("x"), (F.col("target") / 1000).alias("y")
+        "area", "period_month", F.col("observed").alias("x"), F.col("target").alias("y")
     )
     out = g.expanding_stats(panel, ["x", "y"], ["area"], "period_month")
-    return out.withColumns(
-        {
-            **{c: F.round(c, 6) for c in ("sum_x", "sum_y")},
-            **{c: F.round(c, 4) for c in ("sum_x_x", "sum_x_y", "sum_y_y")},
-        }
-    )
+    digits = {"mean_x": 5, "mean_y": 5, "cov_x_x": 1, "cov_x_y": 1, "cov_y_y": 1}
+    return out.withColumns({c: F.round(c, n) for c, n in digits.items()})
