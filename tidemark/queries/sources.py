@@ -10,7 +10,7 @@ from tidemark.plans import shapes
 from tidemark.plans.shapes import read_table, with_shapes
 from tidemark.queries.registry import query
 from tidemark.session import apply_settings, scratch_path
-from tidemark.sources import files, payloads, sinks
+from tidemark.sources import files, payloads, sinks, tables
 
 AREAS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
@@ -235,6 +235,27 @@ def upsert_orders(spark, d):
     return upsert(orders, incoming, ["o_orderkey"])
 
 
+@query(
+    "s11_upsert_committed",
+    """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN -1.0 WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice
+FROM orders UNION ALL SELECT o_orderkey + 1000000000, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 5 = 0""",
+)
+def upsert_committed(spark, d):
+    """The table in a folder: loaded, changed twice, and the first change sent again."""
+    root = scratch_path(spark, "orders_table")
+    orders = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    tables.create_table(spark, root, orders.schema, ["o_orderkey"], buckets=16)
+    fifth = orders.where("o_orderkey % 5 = 0")
+    changes = [
+        orders,
+        fifth.withColumn("o_totalprice", F.col("o_totalprice") + 1).unionByName(fifth.withColumn("o_orderkey", F.col("o_orderkey") + 1000000000)),
+        orders.where("o_orderkey % 7 = 0").withColumn("o_totalprice", F.lit(-1.0)),
+    ]
+    for n, change in [*enumerate(changes), (1, changes[1])]:
+        tables.upsert_table(change, root, ("orders", n))
+    return tables.read_table(spark, root)
+
+
 @query("s12_fingerprints", "SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes FROM documents")
 def fingerprints(spark, d):
     return read_table(spark, d, "documents").select(
