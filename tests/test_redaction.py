@@ -37,6 +37,22 @@ def test_cases_and_idempotence(redacted, i):
     assert twice[i] == once[i]
 
 
+def test_the_twin_spells_out_the_same_rule():
+    import duckdb
+
+    from tidemark.queries.scalars import _redacted
+
+    more = [
+        ("key: token: abc", "key: <REDACTED> abc"), ("token==abc x", "token=<REDACTED> x"), ('token="" y', 'token="" y'),
+        ("token=", "token="), ("my_key=a=b,c auth: d", "my_key=<REDACTED>,c auth: <REDACTED>"),
+    ]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INT, text VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", [(i, c[0]) for i, c in enumerate(CASES + more)])
+    got = con.sql(f"WITH {_redacted('t', 'i')} SELECT text FROM CLEAN ORDER BY i").fetchall()
+    assert [r[0] for r in got] == [c[1] for c in CASES + more]
+
+
 def test_known_values_longest_form_first(spark):
     secret = "abc/def+ghi=12345"
     text = "raw abc/def+ghi=12345 enc abc%2Fdef%2Bghi%3D12345 short tiny"

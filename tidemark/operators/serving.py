@@ -60,12 +60,11 @@ BAND_NIGHT = "야간/심야"
 BAND_BETWEEN = "이행기"
 
 
-def _band(hour: int, cf: float) -> str:
-    if cf > 0.30:
-        return BAND_DAYTIME
-    if hour in SURGE_HOURS:
-        return BAND_EVENING
-    return BAND_NIGHT if cf == 0.0 else BAND_BETWEEN
+#: first and last hour of each part of the day; the bands tile it
+BANDS = (
+    (0, 5, BAND_NIGHT), (6, 8, BAND_BETWEEN), (9, 15, BAND_DAYTIME), (16, 16, BAND_BETWEEN),
+    (17, 21, BAND_EVENING), (22, 23, BAND_NIGHT),
+)
 
 
 def hourly_profile(monthly: DataFrame, value: str) -> DataFrame:
@@ -78,7 +77,7 @@ def hourly_profile(monthly: DataFrame, value: str) -> DataFrame:
                 F.lit(h).alias("hour"),
                 F.lit(cf).alias("solar_capacity_factor"),
                 F.lit(raw[h] / mean).alias("multiplier"),
-                F.lit(_band(h, cf)).alias("band"),
+                F.lit(next(label for first, last, label in BANDS if first <= h <= last)).alias("band"),
             )
             for h, cf in enumerate(SOLAR_CF)
         ]

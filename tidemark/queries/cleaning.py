@@ -160,21 +160,26 @@ def melt(spark, d):
     return c.melt(wide, ["period_month"], FUELS, "fuel", "volume")
 
 
+#: nested headers of all fuels
+HEADERS = {
+    "ECONOMY": "thermal|coal", "LARGE": "nuclear", "MEDIUM": "renewable|hydro", "PROMO": "thermal|gas|peak",
+    "SMALL": "renewable|solar", "STANDARD": "thermal|oil",
+}
+
+
 @query(
     "p11_melt_hier",
     with_shapes("FUEL") + MONTHLY_FUEL + """ SELECT m.period_month, split_part(f.name, '|', 1) AS level1,
   CASE WHEN position('|' IN f.name) = 0 THEN '' ELSE substr(f.name, position('|' IN f.name) + 1) END AS level2, m2.volume
 FROM (SELECT DISTINCT period_month FROM MF) m
-CROSS JOIN (VALUES ('ECONOMY', 'thermal|coal'), ('LARGE', 'nuclear'), ('PROMO', 'thermal|gas|peak')) f(fuel, name)
+CROSS JOIN (VALUES """ + ", ".join(f"('{f}', '{n}')" for f, n in HEADERS.items()) + """) f(fuel, name)
 LEFT JOIN MF m2 ON m2.period_month = m.period_month AND m2.fuel = f.fuel""",
 )
 def melt_hier(spark, d):
     wide = pivot_sum(monthly_fuel(spark, d), ["period_month"], "fuel", "volume", FUELS)
     named = wide.select(
         "period_month",
-        F.col("ECONOMY").cast("string").alias("thermal|coal"),
-        F.col("LARGE").cast("string").alias("nuclear"),
-        F.col("PROMO").cast("string").alias("thermal|gas|peak"),
+        *[F.col(f).cast("string").alias(n) for f, n in HEADERS.items()],
     )
     return c.melt_hier(named, ["period_month"], "volume")
 
@@ -451,17 +456,16 @@ def conform_volume(spark, d):
     "p25_conform_source_capacity",
     with_shapes("FUEL") + MONTHLY_FUEL + """ SELECT 'capacity_file' AS source_id, m.period_month, f.level1, f.level2,
   f.kind, m.volume AS capacity_mw
-FROM MF m JOIN (VALUES ('ECONOMY', 'thermal', 'coal', 'steam'), ('LARGE', 'nuclear', '', NULL),
-  ('PROMO', 'thermal', 'gas', 'combined')) f(fuel, level1, level2, kind) ON m.fuel = f.fuel""",
+FROM MF m JOIN (VALUES ('ECONOMY', 'thermal', 'coal', 'steam'), ('LARGE', 'nuclear', '', NULL), ('MEDIUM', 'renewable', 'hydro', NULL),
+  ('PROMO', 'thermal', 'gas', 'combined'), ('SMALL', 'renewable', 'solar', NULL), ('STANDARD', 'thermal', 'oil', 'steam')) f(fuel, level1, level2, kind)
+  ON m.fuel = f.fuel""",
 )
 def conform_capacity(spark, d):
     wide = pivot_sum(monthly_fuel(spark, d), ["period_month"], "fuel", "volume", FUELS)
     vendor = wide.select(
         F.date_format("period_month", "yyyyMM").alias("Period"),
         F.explode(F.array(F.lit("all"), F.lit("north"))).alias("Region"),
-        F.format_number("ECONOMY", 2).alias("thermal|coal"),
-        F.format_number("LARGE", 2).alias("nuclear"),
-        F.format_number("PROMO", 2).alias("thermal|gas"),
+        *[F.format_number(f, 2).alias(n.removesuffix("|peak")) for f, n in HEADERS.items()],
     )
     return conform_source(vendor, CAPACITY_SPEC, F.lit(COLLECTED), F.lit("capacity.csv"), F.lit("0"))
 

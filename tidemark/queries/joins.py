@@ -32,27 +32,29 @@ def join_blocks(spark, d):
     )
 
 
+#: short names of all fuels
+NAMES = {"ECONOMY": "coal", "LARGE": "nuclear", "MEDIUM": "hydro", "PROMO": "lng", "SMALL": "solar", "STANDARD": "wind"}
+
+
 def _lagged_sql(value: str) -> str:
-    fuels = {"PROMO": "lng", "LARGE": "nuclear"}
-    cells = ", ".join(f"max(CASE WHEN fuel = '{f}' THEN {value} END) AS {n}" for f, n in fuels.items())
+    cells = ", ".join(f"max(CASE WHEN fuel = '{f}' THEN {value} END) AS {n}" for f, n in NAMES.items())
+    lags = ", ".join(f"lag({n}) OVER (ORDER BY period_month) AS {n}" for n in NAMES.values())
     return f"""
 {value}_w AS (SELECT period_month, {cells} FROM MF GROUP BY 1),
 {value}_s AS (SELECT min(period_month) AS lo, max(period_month) AS hi FROM {value}_w),
 {value}_g AS (
-  SELECT CAST(g.t AS DATE) AS period_month, lng, nuclear
+  SELECT CAST(g.t AS DATE) AS period_month, {value}_w.* EXCLUDE (period_month)
   FROM (SELECT unnest(generate_series(CAST(lo AS TIMESTAMP), hi + INTERVAL 1 MONTH, INTERVAL 1 MONTH)) AS t FROM {value}_s) g
   LEFT JOIN {value}_w ON {value}_w.period_month = CAST(g.t AS DATE)),
-{value}_l AS (SELECT period_month, lag(lng) OVER (ORDER BY period_month) AS lng,
-  lag(nuclear) OVER (ORDER BY period_month) AS nuclear FROM {value}_g)"""
+{value}_l AS (SELECT period_month, {lags} FROM {value}_g)"""
 
 
 def lagged_block(spark, d, value):
-    fuels = {"PROMO": "lng", "LARGE": "nuclear"}
     monthly = monthly_fuel(spark, d)
     wide = monthly.groupBy("period_month").agg(
-        *[F.max(F.when(F.col("fuel") == f, F.col(value))).alias(f"{value}_{n}") for f, n in fuels.items()]
+        *[F.max(F.when(F.col("fuel") == f, F.col(value))).alias(f"{value}_{n}") for f, n in NAMES.items()]
     )
-    return exogenous_lag(wide, [f"{value}_{n}" for n in fuels.values()])
+    return exogenous_lag(wide, [f"{value}_{n}" for n in NAMES.values()])
 
 
 @query(
@@ -63,15 +65,12 @@ def lagged_block(spark, d, value):
     + _lagged_sql("volume")
     + ","
     + _lagged_sql("amount")
-    + """ SELECT period_month,
-  round(CASE WHEN v.lng > 0 THEN a.lng / v.lng END / 1000, 9) AS trade_price_lng_lag_1m,
-  round(CASE WHEN v.nuclear > 0 THEN a.nuclear / v.nuclear END / 1000, 9) AS trade_price_nuclear_lag_1m
-FROM volume_l v JOIN amount_l a USING (period_month)""",
+    + " SELECT period_month, "
+    + ", ".join(f"round(CASE WHEN v.{n} > 0 THEN a.{n} / v.{n} END / 1000, 9) AS trade_price_{n}_lag_1m" for n in NAMES.values())
+    + " FROM volume_l v JOIN amount_l a USING (period_month)",
 )
 def price_block_query(spark, d):
-    pairs = {
-        f"trade_price_{n}_lag_1m": (f"amount_{n}_lag_1m", f"volume_{n}_lag_1m") for n in ("lng", "nuclear")
-    }
+    pairs = {f"trade_price_{n}_lag_1m": (f"amount_{n}_lag_1m", f"volume_{n}_lag_1m") for n in NAMES.values()}
     block = price_block(lagged_block(spark, d, "volume"), lagged_block(spark, d, "amount"), pairs)
     return rounded(block, 9)
 
@@ -137,8 +136,8 @@ def align_outer(spark, d):
     + _lagged_sql("volume")
     + ","
     + _lagged_sql("amount")
-    + """ SELECT period_month FROM volume_l WHERE lng IS NOT NULL OR nuclear IS NOT NULL
-INTERSECT SELECT period_month FROM amount_l WHERE lng IS NOT NULL OR nuclear IS NOT NULL""",
+    + f""" SELECT period_month FROM volume_l WHERE coalesce({', '.join(NAMES.values())}) IS NOT NULL
+INTERSECT SELECT period_month FROM amount_l WHERE coalesce({', '.join(NAMES.values())}) IS NOT NULL""",
 )
 def common_keys(spark, d):
     return j.common_keys(lagged_block(spark, d, "volume"), lagged_block(spark, d, "amount"), ["period_month"])

@@ -221,33 +221,63 @@ def _sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def _redact_sql(column: str) -> str:
-    # RE2 counts only ASCII as \s; the JVM pattern runs with Unicode classes
-    space = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-    inner = space[1:-1]
-    out = column
-    # the general pattern with the whole name in it, as a check of the shorter one in use
-    credential = (
-        r"""("?[A-Za-z0-9_-]*(?:""" + red.CREDENTIAL_WORDS + r""")[A-Za-z0-9_-]*"?\s*(?:[=:]\s*"?))"""
-        r"""([^"'&\s,;}\]<]+)"""
-    )
-    for pattern, repl, flags in (
-        (r"""(["']authorization["']\s*:\s*["'])(?:[^"'\\]+|\\["'\\])+(["'])""", r"\1<REDACTED>\2", "gi"),
-        (r"(authorization\s*:\s*[A-Za-z0-9_+-]+\s+)[^\r\n]+", r"\1<REDACTED>", "gi"),
-        (credential, r"\1<REDACTED>", "gi"),
-        (r"\beyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,}){2}", "<REDACTED>", "g"),
-    ):
-        re2 = pattern.replace(r"""&\s,""", "&" + inner + ",").replace(r"\s*", space + "*").replace(
-            r"\s+", space + "+"
-        )
-        out = f"regexp_replace({out}, {_sql_text(re2)}, {_sql_text(repl)}, '{flags}')"
-    return out
-
-
-@query(
-    "x12_redact_credentials",
-    f"SELECT doc_id, {_redact_sql('text')} AS text FROM documents",
-)
+# RE2 counts only ASCII as white space; Spark's functions run with Unicode classes
+_SPACES = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _redacted(source: str, key: str) -> str:
+    """CTEs from ``source`` (``key``, ``text``) to ``CLEAN``: the rule for credentials, spelled out piece by piece.
+
+    Texts are cut at the word Authorization, then at every ``=`` and ``:``. What stands left of a cut is looked
+    at as a name, what stands right of it as a value: mode 1 says that a value is due, 2 that one goes on across the cut.
+    """
+    some, none = f"[{_SPACES}]+", f"[{_SPACES}]*"
+    stops = f"\"'&,;}}\\]<{_SPACES}"
+    words = ", ".join(_sql_text(w) for w in red.CREDENTIAL_WORDS.split("|"))
+    # escaped characters of a quoted value are hidden at equal length, so that the next quote ends it
+    hidden = "g.body"
+    for escape in ("\\\\", '\\"', "\\'"):
+        hidden = f"replace({hidden}, {_sql_text(escape)}, '~~')"
+    quoted, line = f"^[\"']{none}:{none}[\"']", f"^{none}:{none}[A-Za-z0-9_+-]+{some}"
+    value, stop, start = (_sql_text(p) for p in (f"^[^{stops}]+", f"[{stops}]", f"^[^{stops}]"))
+    name = _sql_text(f'([A-Za-z0-9_-]*)"?{none}$')
+    behind = "substr(p[i], length(lead[i]) + 1)"
+    left = f"""CASE acc.mode WHEN 2 THEN regexp_replace(p[i], {value}, '') WHEN 1 THEN regexp_replace({behind}, {value}, '') ELSE p[i] END"""
+    return f"""CUT AS (
+  SELECT {key}, regexp_split_to_array(text, '(?i)authorization') AS part, regexp_extract_all(text, '(?i)authorization') AS word FROM {source}),
+HEADED AS (
+  SELECT {key}, part, word, list_transform(range(2, len(part) + 1), lambda i: {{
+    'before': right(part[i - 1], 1), 'text': part[i], 'quoted': regexp_extract(part[i], {_sql_text(quoted)}),
+    'line': regexp_extract(part[i], {_sql_text(line)})}}) AS found FROM CUT),
+BODIED AS (
+  SELECT {key}, part, word, list_transform(found, lambda f: {{'f': f, 'body': substr(f.text, length(f.quoted) + 1)}}) AS found FROM HEADED),
+VALUED AS (
+  SELECT {key}, part, word, list_transform(found, lambda g: {{
+    'f': g.f, 'body': g.body, 'ends': length(regexp_extract({hidden}, {_sql_text("^[^\"'" + chr(92) * 2 + "]*")}))}}) AS found FROM BODIED),
+HEADERS AS (
+  SELECT {key}, part[1] || array_to_string(list_transform(list_zip(word, found), lambda z: z[1] || CASE
+    WHEN z[2].f.quoted <> '' AND z[2].f.before IN ('"', '''') AND z[2].ends > 0 AND substr(z[2].body, z[2].ends + 1, 1) IN ('"', '''')
+      THEN z[2].f.quoted || '<REDACTED>' || substr(z[2].body, z[2].ends + 1)
+    WHEN z[2].f.line <> '' AND length(z[2].f.text) > length(z[2].f.line)
+      THEN z[2].f.line || '<REDACTED>' || regexp_extract(substr(z[2].f.text, length(z[2].f.line) + 1), '[\\r\\n](?s:.*)$')
+    ELSE z[2].f.text END), '') AS text FROM VALUED),
+SPLIT AS (SELECT {key}, text, regexp_split_to_array(text, '[=:]') AS p, regexp_extract_all(text, '[=:]') AS s FROM HEADERS),
+NAMED AS (SELECT {key}, p, s, list_transform(p, lambda x: regexp_extract(x, {_sql_text(f'^{none}"?')})) AS lead FROM SPLIT),
+WALKED AS (
+  SELECT {key}, list_reduce(range(1, len(p) + 1), lambda acc, i: {{
+    'out': acc.out || CASE WHEN i = 1 OR acc.mode = 2 THEN '' ELSE s[i - 1] END || CASE
+      WHEN acc.mode = 2 THEN {left}
+      WHEN acc.mode = 1 AND ({behind} = '' AND i < len(p) OR regexp_matches({behind}, {start})) THEN lead[i] || '<REDACTED>' || {left}
+      ELSE p[i] END,
+    'mode': CASE
+      WHEN acc.mode = 2 AND NOT regexp_matches(p[i], {stop}) OR acc.mode = 1 AND NOT regexp_matches({behind}, {stop}) THEN 2
+      WHEN len(list_filter([{words}], lambda w: contains(lower(regexp_extract({left}, {name}, 1)), w))) > 0 THEN 1 ELSE 0 END}},
+    {{'out': '', 'mode': 0}}).out AS text FROM NAMED),
+CLEAN AS (
+  SELECT {key}, regexp_replace(text, '\\beyJ[A-Za-z0-9_-]{{8,}}[.][A-Za-z0-9_-]{{8,}}[.][A-Za-z0-9_-]{{8,}}', '<REDACTED>', 'g') AS text FROM WALKED)"""
+
+
+@query("x12_redact_credentials", f"WITH {_redacted('documents', 'doc_id')} SELECT doc_id, text FROM CLEAN")
 def redact_credentials(spark, d):
     return shapes.read_table(spark, d, "documents").select(
         "doc_id", red.redact_credentials(F.col("text")).alias("text")
@@ -261,8 +291,8 @@ def redact_credentials(spark, d):
     """WHEN 1 THEN 'Authorization: Basic ' || md5(url) || chr(10) || url """
     """WHEN 2 THEN url || '&api_key=' || md5(url) || '&x=1' """
     """WHEN 3 THEN 'error eyJ' || md5(url) || '.' || md5(html) || '.' || md5(url) || ' ' || html """
-    """ELSE html || ' session: ' || md5(url) END AS text FROM pages) """
-    f"SELECT page_id, {_redact_sql('text')} AS text FROM T",
+    """ELSE html || ' session: ' || md5(url) END AS text FROM pages), """
+    f"{_redacted('T', 'page_id')} SELECT page_id, text FROM CLEAN",
 )
 def redact_headers(spark, d):
     text = F.expr(
@@ -282,7 +312,7 @@ _LONG = """CASE doc_id % 40 WHEN 0 THEN concat('{{"Authorization": "', repeat('x
 
 @query(
     "x12_redact_long_values",
-    f"SELECT doc_id, {_redact_sql('text')} AS text FROM (SELECT doc_id, {_LONG.format()} AS text FROM documents)",
+    f"WITH T AS (SELECT doc_id, {_LONG.format()} AS text FROM documents), {_redacted('T', 'doc_id')} SELECT doc_id, text FROM CLEAN",
 )
 def redact_long_values(spark, d):
     """All documents, some of them behind header values of 100,000 characters, plain and escaped."""
