@@ -115,10 +115,12 @@ def best_row(df: DataFrame, by: str, lower_is_better: bool = True, ties: Sequenc
     return df.where(F.col(by).isNotNull()).orderBy(first, *[F.col(c) for c in ties]).limit(1)
 
 
-def upsert(target: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
+def upsert(target: DataFrame, incoming: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
     """Rows of ``target`` whose key does not occur in ``incoming``, plus all of ``incoming``.
 
-    An empty ``incoming`` leaves the target as it is.
+    An empty ``incoming`` leaves the target as it is. A null in a key matches nothing, or with
+    ``null_safe`` another null.
     """
-    touched = incoming.select(*keys).distinct()
-    return target.join(touched, list(keys), "left_anti").select(*target.columns).unionByName(incoming)
+    touched = incoming.select(*[F.col(k).alias(f"_in_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_in_{k}")) if null_safe else F.col(k) == F.col(f"_in_{k}") for k in keys]
+    return target.join(touched, same, "left_anti").unionByName(incoming)

@@ -57,4 +57,4 @@ def current(spark, d):
     for part in (newer, f"NOT ({newer})"):
         snap.where(part).write.mode("append").parquet(inbox)
         follow_revisions(spark, inbox, snap.schema, keys, table, state).awaitTermination()
-    return current_view(spark, table, keys)
+    return current_view(spark, table)

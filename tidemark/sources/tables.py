@@ -127,14 +127,14 @@ def read_table(spark: SparkSession, root: str, version: int | None = None) -> Da
 
 
 def upsert_table(
-    incoming: DataFrame, root: str, batch: tuple[str, int] | None = None
+    incoming: DataFrame, root: str, batch: tuple[str, int] | None = None, null_safe: bool = False
 ) -> Manifest:
     """Replace the rows whose key occurs in ``incoming`` and add all rows of ``incoming``.
 
     Only buckets with a key of ``incoming`` are read and written; all others keep their files. With ``batch``,
     the writer's name and its rising number, a batch that is already in the table is left out. Until the
     manifest is published nothing has changed; if another writer was first, ``ConflictError`` is raised.
-    Null keys match nothing, so such rows are only added.
+    Null keys match nothing, so such rows are only added, or with ``null_safe`` match each other.
     """
     spark = incoming.sparkSession
     now = read_manifest(spark, root)
@@ -146,7 +146,7 @@ def upsert_table(
     touched = sorted(str(r[0]) for r in fresh.select(now.of(now.keys)).distinct().collect())
     if not touched:
         return now
-    merged = upsert(_rows(spark, root, now, touched), fresh, now.keys)
+    merged = upsert(_rows(spark, root, now, touched), fresh, now.keys, null_safe)
     folder = f"data/{now.version + 1:012d}-{uuid.uuid4().hex}"
     merged.withColumn(_BUCKET, now.of(now.keys)).repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(f"{root}/{folder}")
     data = {**now.data, **{b: f"{folder}/{_BUCKET}={b}" for b in touched}}
