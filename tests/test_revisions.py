@@ -90,3 +90,19 @@ def test_log_selects_the_row_that_is_kept(spark):
     chosen = [(r["k"], r["price"]) for r in log if r["role"] == "selected"]
     assert sorted(chosen) == [(1, kept[1]), (2, kept[2]), (3, kept[3])] and len(log) == 6
     assert kept == {1: 2.0, 2: 5.0, 3: 8.0, 4: 9.0}
+
+
+def test_log_moves_whole_rows_once_and_takes_map_columns(spark, rows):
+    df = spark.range(5000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 700).cast("string"))).alias("k"),
+        (F.col("id") % 11).cast("double").alias("v"), (F.col("id") % 2).cast("int").alias("source_priority"),
+        F.lit(AT).cast("timestamp_ntz").alias("collected_at"), (F.col("id") % 5).cast("string").alias("source_file_sha256"),
+        F.lit("p").alias("parsed_path"), F.lit(None).cast("bigint").alias("parsed_row"), F.create_map(F.lit("a"), F.col("id")).alias("extra"),
+    )
+    log = dedup_log(df, ["k"])
+    plain = df.drop("extra")
+    want = sorted((r[0], r[1]) for r in dedup_revisions(plain, ["k"]).select("k", "v").collect())
+    assert sorted((r[0], r[1]) for r in log.where("role = 'selected'").select("k", "v").collect()) == want
+    assert log.count() == 5000
+    by_reason = dict(log.groupBy("reason").count().collect())
+    assert by_reason[""] == len(want) and by_reason["lower_priority"] > 0 and by_reason["older_revision"] > 0

@@ -13,6 +13,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: cells that a key's candidates are dealt over
+SALTS = 64
+
+
+def _ordered(kind: T.DataType) -> bool:
+    """Maps and variants have no order."""
+    return not any(word in kind.simpleString() for word in ("map<", "variant"))
 
 
 @dataclass(frozen=True)
@@ -26,9 +36,9 @@ class RevisionColumns:
     row: str = "parsed_row"
 
     def ties(self, df: DataFrame) -> list[str]:
-        """Columns that decide between equal revisions: sha, path, row, then all others by name."""
+        """Columns that decide between equal revisions: sha, path, row, then all others by name that have an order."""
         first = [c for c in (self.sha256, self.path, self.row) if c in df.columns]
-        return first + sorted(set(df.columns) - {*first, self.priority, self.collected_at})
+        return first + sorted(f.name for f in df.schema if _ordered(f.dataType) and f.name not in {*first, self.priority, self.collected_at})
 
     def order(self, df: DataFrame) -> list[Column]:
         """Lowest priority number, latest collection (unknown last), then the ties; nulls last."""
@@ -67,32 +77,30 @@ def dedup_revisions(df: DataFrame, keys: Sequence[str], meta: RevisionColumns =
     return first_per_key(df, keys, meta.order(df))
 
 
-def dedup_log(df: DataFrame, keys: Sequence[str], meta: RevisionColumns = REVISION) -> DataFrame:
+def dedup_log(df: DataFrame, keys: Sequence[str], meta: RevisionColumns = REVISION, salts: int = SALTS) -> DataFrame:
     """Every candidate of each contested key with its role and the reason it lost.
 
     The order is that of ``dedup_revisions``, so the selected candidate is the row kept there.
     Of rows that are equal in every column one is selected and the others are dropped.
+    A key's rows are dealt over ``salts`` cells by a hash of what orders them, so equal rows stay together
+    and no task holds a hot key. Rows are ranked in their cell and do not move again: of each cell only its first row
+    and its size are compared with the key's other cells, and the verdict comes back to the cell.
     """
-    ranked = df.withColumn("_order", meta.rank_struct(df))
-    contested = (
-        ranked.groupBy(*keys)
-        .agg(F.min("_order").alias("_best"), F.count("*").alias("_candidates"))
-        .where("_candidates > 1")
-        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_best")
-    )
-    same_key = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-    on = same_key[0]
-    for condition in same_key[1:]:
-        on = on & condition
-    # equal rows are counted and listed again, so that only one of them can be selected
-    joined = ranked.join(contested, on, "inner").groupBy(*df.columns, "_order", "_best").agg(F.count("*").alias("_copies"))
-    joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    selected = (F.col("_order") == F.col("_best")) & (F.col("_copy") == 1)
-    lower = F.col(meta.priority) > F.col("_best.priority")
+    places = [meta.priority, meta.collected_at, *meta.ties(df)]
+    salt = F.pmod(F.xxhash64(*places), F.lit(salts))
+    dealt = df.withColumn("_cell", F.struct(*keys, salt.alias("_salt")))
+    cell = Window.partitionBy("_cell")
+    ranked = dealt.withColumns({"_n": F.count("*").over(cell), "_place": F.row_number().over(cell.orderBy(*meta.order(df)))})
+    firsts = ranked.where("_place = 1").select("_cell", F.struct(*[f"_cell.{k}" for k in keys]).alias("_key"), meta.rank_struct(df).alias("_order"), "_n")
+    whole = Window.partitionBy("_key")
+    best = firsts.withColumns({"_best": F.min("_order").over(whole), "_all": F.sum("_n").over(whole)}).where("_all > 1")
+    verdict = best.select(F.col("_cell").alias("_of"), (F.col("_order") == F.col("_best")).alias("_holds"), F.col("_best.priority").alias("_top"))
+    joined = ranked.join(verdict, F.col("_cell") == F.col("_of"))
+    selected = F.col("_holds") & (F.col("_place") == 1)
     return joined.select(
         *df.columns,
         F.when(selected, "selected").otherwise("dropped").alias("role"),
-        F.when(selected, "").when(lower, "lower_priority").otherwise("older_revision").alias("reason"),
+        F.when(selected, "").when(F.col(meta.priority) > F.col("_top"), "lower_priority").otherwise("older_revision").alias("reason"),
     )
 
 
