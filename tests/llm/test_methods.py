@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import near_dedup, suffix_dedup
 from tidemark.llm.common import QUERIES
 from tidemark.llm.components import components, local_roots
-from tidemark.llm.embeddings import ProductIndex
-from tidemark.llm.near_dedup import WordHash, dart_signatures, near_classes, shingles, weighted_jaccard
+from tidemark.llm.embeddings import ProductIndex, link_embeddings
+from tidemark.llm.near_dedup import WordHash, dart_signatures, drop_near, near_classes, shingles, weighted_jaccard
 from tidemark.llm.packing import Encoder, best_cuts, candidates, padding
 from tidemark.llm.quality import FactorisationMachine
 from tidemark.llm.sharding import place
@@ -293,3 +293,36 @@ def test_embedding_links_equal_brute_force(spark):
     found = sum(n for n, _ in got.values())
     assert found >= 0.999 * linked.sum() and found <= linked.sum()
     assert np.mean([got[i] == (linked[i].sum(), root[i]) for i in range(len(rows))]) > 0.99
+
+
+def test_texts_under_one_id_have_their_own_fates(spark):
+    rng = np.random.default_rng(2)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 200)]
+    near = [*base[:150], "changed", *base[151:]]
+    other = [f"u{i}" for i in rng.integers(0, 5000, 200)]
+    rows = [(1, " ".join(base)), (7, " ".join(near)), (7, " ".join(other)), (9, " ".join(other[:199])), (None, " ".join(base)), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r["doc_id"]), str(r["class_id"]), r["kept"]) for r in near_classes(df).collect())
+    assert got == sorted([("1", "1", True), ("7", "1", False), ("7", "7", True), ("9", "7", False), ("None", "None", True), ("3", "3", True)])
+    left = sorted((str(r["doc_id"]), r["text"]) for r in drop_near(df).collect())
+    assert left == sorted([("1", rows[0][1]), ("7", rows[2][1]), ("None", rows[4][1]), ("3", None)])
+
+
+def test_vectors_of_any_size_keep_all_links(spark):
+    """Planted groups in few directions, with recall against brute force through the whole query."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(300, 32)) * np.linspace(3, 0.1, 32)
+    rows = np.repeat(centres, 4, axis=0) + rng.normal(size=(1200, 32)) * 0.12
+    rows = np.concatenate([rows, rng.normal(size=(1800, 32))])
+    scale = np.ones(len(rows))
+    scale[[5, 400, 2000]] = 1e-200
+    scale[[6, 401, 2001]] = 1e200
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, (r * k).tolist()) for i, (r, k) in enumerate(zip(rows, scale))], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in link_embeddings(df.repartition(5)).collect()}
+    want = near.sum(axis=1)
+    assert want.sum() > 1000
+    assert all(got[i] <= want[i] for i in range(len(rows))) and sum(got.values()) >= 0.99 * want.sum()
+    assert all(got[i] == want[i] for i in (5, 6, 400, 401))

@@ -128,11 +128,13 @@ class ProductIndex:
 
 def _unit(frame: pd.Series) -> np.ndarray:
     rows = np.array(frame.tolist(), dtype=np.float64)
+    # the largest component becomes 1 first: squares of tiny or huge ones would leave the range of doubles
+    rows /= np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def _usable(vector: Column) -> Column:
-    """Not null or empty, all components there and finite, some of them not zero, norm finite."""
+    """Not null or empty, all components there and finite, some of them not zero; of any size."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     some = F.exists(vector, lambda x: x != 0)
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite & some, F.lit(False))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise
@@ -124,7 +124,7 @@ def _sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sets = [shingles(t, words) for t in part["_text"]]
             sign = dart_signatures(sets)
             yield pd.DataFrame({
-                "doc_id": part["doc_id"],
+                "_id": part["_id"], "_hash": part["_hash"],
                 "_key": pd.Series([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], part.index, dtype=object),
                 "_words": [len(s) for s in sets],
                 "_sign": pd.Series([r.astype(">u4").tobytes() for r in sign], part.index, dtype=object),
@@ -223,6 +223,8 @@ def _across(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``class_id`` (the smallest id of its class) and ``kept``.
 
+    A document is an id with its text: different texts under one id are told apart and have fates of their own.
+
     Documents whose shingles are equal are one class from the start; only its smallest id goes on.
     Buckets are bands of the signature. First every member of a bucket is held against the bucket's
     smallest id: a large group of near copies is joined by as many pairs as it has members. Buckets in
@@ -232,20 +234,33 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts' shingles.
 
     Null and empty texts have no shingles and each is its own class; so is a row without an id
-    (``class_id`` null). Texts of fewer than five words are one shingle. Rows repeated under one id are
-    one document. No rows give no rows. Other columns are ignored.
+    (``class_id`` null). Texts of fewer than five words are one shingle. Rows repeated under one id with
+    the same text share their fate. No rows give no rows. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    signed = materialise(
-        rows.filter("doc_id IS NOT NULL").mapInPandas(_sign, "doc_id long, _key binary, _words long, _sign binary"), "near-signatures"
+    none = docs.filter(F.col(id_col).isNull()).select(
+        F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept")
+    )
+    return _classes(docs, id_col, text_col).select(F.col("_id").alias("doc_id"), "class_id", "kept").unionByName(none)
+
+
+def _text_hash(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_id, _hash, class_id, kept`` of every row with an id. ``doc_id`` is the row's number from here on."""
+    rows = docs.filter(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), _text_hash(F.col(text_col)).alias("_hash")
     )
+    numbered = rows.mapInPandas(_sign, "_id long, _hash binary, _key binary, _words long, _sign binary")
+    signed = materialise(numbered.withColumn("doc_id", F.monotonically_increasing_id()), "near-signatures")
     compared = signed.filter("_words > 0")
     copies = materialise(
         compared.groupBy("_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "near-copies"
     )
     same = compared.select("doc_id", "_key").join(copies, "_key").select("doc_id", "rep").filter("doc_id <> rep").distinct()
     same = materialise(same, "near-same")
-    single = compared.join(same, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    single = compared.join(same, "doc_id", "left_anti")
 
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
@@ -254,8 +269,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bands = single.select("doc_id", F.posexplode(keys).alias("band", "bucket"))
     firsts = bands.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     shared = materialise(bands.join(firsts, "bucket"), "near-buckets")
-    involved = shared.select("doc_id").distinct()
-    sets = materialise(rows.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(_runs, "doc_id long, _set binary"), "near-sets")
+    involved = single.select("doc_id", "_id", "_hash").join(shared.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = rows.join(involved, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"])
+    sets = materialise(held.select("doc_id", "_text").mapInPandas(_runs, "doc_id long, _set binary"), "near-sets")
 
     signs = single.select("doc_id", "_sign")
     stars = shared.filter("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -283,12 +299,17 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = met.join(signs, "doc_id").join(sets, "doc_id").groupBy(cell).applyInPandas(_across, "a long, b long")
     links = links.unionByName(materialise(found, "near-rest"))
     classes = components(links.unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    out = rows.select("doc_id").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    class_id = F.coalesce("component", "doc_id")
-    return out.select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+    placed = signed.select("doc_id", "_id", "_hash").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    least = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("_id").alias("_least"))
+    out = placed.join(least, "component", "left")
+    class_id = F.coalesce("_least", "_id")
+    return out.select("_id", "_hash", class_id.alias("class_id"), (class_id == F.col("_id")).alias("kept"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class, with all their columns."""
-    lost = near_classes(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")
+    """The rows of ``docs`` whose id is the smallest of their class, with all their columns.
+
+    The verdict travels by id and hash of the text; rows without an id stay.
+    """
+    lost = _classes(docs, id_col, text_col).filter("NOT kept").select(F.col("_id").alias("_lost"), F.col("_hash").alias("_lost_hash")).distinct()
+    return docs.join(lost, (docs[id_col] == lost["_lost"]) & (_text_hash(docs[text_col]) == lost["_lost_hash"]), "left_anti")
