@@ -1,12 +1,9 @@
-"""Exact quantiles by counting, for groups of any size.
+"""Exact quantiles in two scans, for groups of any size.
 
 The built-in exact percentile keeps every distinct value of a group in one aggregation
-buffer. Here equal values are collapsed first, then each group is narrowed to the value
-bins that hold the wanted ranks: a bin count is a plain partial aggregation, and only rows
-of those bins go on. Two rounds of a thousand bins leave about a millionth of a group for
-the final ordered scan. The number of rounds is fixed: the plan is the same for any data. The collapsed
-values and each round's few wanted ranges are written out, so that no round repeats the
-work before it.
+buffer. Here a mergeable sketch first brackets every wanted rank between two values; a second
+scan counts what lies below each bracket and the equal values inside it, with map-side sums. Only the
+brackets, a few ten-thousandths of a large group, are then ordered. Both scans are parts of one lazy plan.
 """
 
 from __future__ import annotations
@@ -16,81 +13,67 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise
+#: the sketch is off by at most one rank in so many
+ACCURACY = 10_000
 
-BINS = 1024
 
-ROUNDS = 2
-
-
-def _ranges_to_bins(freq: DataFrame, wanted: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Counts per bin of every wanted value range, with the smallest and largest value seen."""
-    ranges = wanted.select(*by, "lo", "hi").distinct()
-    inside = freq.join(ranges, list(by)).where(F.col(value).between(F.col("lo"), F.col("hi")))
-    span = F.col("hi") - F.col("lo")
-    at = F.when(span > 0, F.floor((F.col(value) - F.col("lo")) / F.when(span > 0, span) * BINS)).otherwise(0)
-    return inside.groupBy(*by, "lo", "hi", F.least(at, F.lit(BINS - 1)).alias("bin")).agg(
-        F.sum("n").alias("n"), F.min(value).alias("bin_lo"), F.max(value).alias("bin_hi")
-    )
-
-
-def _narrow(freq: DataFrame, wanted: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Replace each wanted range by the bin in which its rank falls."""
-    # at most BINS rows per range, so this window is small whatever the group size
-    before = Window.partitionBy(*by, "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = _ranges_to_bins(freq, wanted, by, value).withColumn("skipped", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    joined = wanted.join(bins, [*by, "lo", "hi"])
-    offset = F.col("rank") - F.col("below")
-    hit = joined.where((offset >= F.col("skipped")) & (offset < F.col("skipped") + F.col("n")))
-    return hit.select(
-        *by, "prob", "weight", "rank",
-        (F.col("below") + F.col("skipped")).alias("below"),
-        F.col("bin_lo").alias("lo"), F.col("bin_hi").alias("hi"),
+def _brackets(rows: DataFrame, value: str, probs: Sequence[float], accuracy: int) -> DataFrame:
+    """Per group its size and, for each probability, two values between which its ranks lie."""
+    # one share for the sketch's error, one for the rank beside the wanted one, one to spare
+    margin = 3.0 / accuracy
+    asked = [min(max(p + side * margin, 0.0), 1.0) for p in probs for side in (-1, 1)]
+    sketch = F.percentile_approx(value, F.array(*[F.lit(a) for a in asked]), accuracy)
+    found = rows.groupBy("_group").agg(
+        F.count(F.lit(1)).alias("_total"), F.min(value).alias("_min"), F.max(value).alias("_max"), sketch.alias("_cuts")
     )
+    # of a small group the ranks beside each other are further apart than the margin: all of it is kept
+    small = F.col("_total") < 4 * accuracy
+    ends = [
+        F.struct(
+            F.when(small | F.lit(asked[2 * i] == 0.0), F.col("_min")).otherwise(F.get("_cuts", F.lit(2 * i))).alias("lo"),
+            F.when(small | F.lit(asked[2 * i + 1] == 1.0), F.col("_max")).otherwise(F.get("_cuts", F.lit(2 * i + 1))).alias("hi"),
+        )
+        for i in range(len(probs))
+    ]
+    return found.select(F.col("_group").alias("_of"), "_total", F.array(*ends).alias("_ends"))
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], rounds: int = ROUNDS
+    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], accuracy: int = ACCURACY
 ) -> DataFrame:
     """Linearly interpolated quantiles: ``by`` columns, ``prob``, ``quantile``.
 
-    Nulls do not count; a group without values is absent. The result is the same
-    for any number of narrowing ``rounds``.
+    Nulls do not count; a group without values is absent, and null keys are a group. The result is the same
+    for any ``accuracy`` of the sketch.
     """
-    if not by:
-        one = df.withColumn("_all", F.lit(1))
-        return exact_quantiles(one, ["_all"], value, probs, rounds).drop("_all")
-    rows = df.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
-    freq = materialise(rows.groupBy(*by, value).agg(F.count("*").alias("n")), "values")
-    spans = freq.groupBy(*by).agg(
-        F.sum("n").alias("total"), F.min(value).alias("lo"), F.max(value).alias("hi")
-    )
-    prob = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("prob")
-    position = (F.col("total") - 1) * F.col("prob")
-    asked = spans.select(*by, "total", "lo", "hi", prob).withColumn("pos", position)
-    low, share = F.floor("pos"), F.col("pos") - F.floor("pos")
-    ends = F.array(
-        F.struct(low.alias("rank"), (1 - share).alias("weight")),
-        F.struct(F.ceil("pos").alias("rank"), share.alias("weight")),
-    )
-    wanted = asked.select(*by, "prob", "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.inline(ends))
-    for _ in range(rounds):
-        wanted = materialise(_narrow(freq, wanted, by, value), "ranges")
-    settled = wanted.where("lo = hi").select(*by, "prob", "rank", "weight", F.col("lo").alias("_v"))
-    open_ranges = wanted.where("lo < hi")
-    ranges = open_ranges.select(*by, "lo", "hi", "below").distinct()
-    inside = freq.join(ranges, list(by)).where(F.col(value).between(F.col("lo"), F.col("hi")))
-    upto = Window.partitionBy(*by, "lo", "hi").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = inside.withColumn("upto", F.col("below") + F.sum("n").over(upto))
-    found = open_ranges.drop("below").join(placed, [*by, "lo", "hi"]).where(
-        (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
-    )
-    exact = settled.unionByName(found.select(*by, "prob", "rank", "weight", F.col(value).alias("_v")))
-    lo_end, hi_end = F.min_by("_v", "rank"), F.max_by("_v", "rank")
-    return exact.groupBy(*by, "prob").agg(
-        (lo_end + (hi_end - lo_end) * F.max_by("weight", "rank")).alias("_q"),
-        F.min("rank").alias("_r0"), F.max("rank").alias("_r1"), lo_end.alias("_v0"),
-    ).select(*by, "prob", F.when(F.col("_r0") == F.col("_r1"), F.col("_v0")).otherwise(F.col("_q")).alias("quantile"))
+    probs = list(dict.fromkeys(float(p) for p in probs))
+    group = F.struct(*by, F.lit(0).alias("_"))
+    rows = df.where(F.col(value).isNotNull()).select(group.alias("_group"), F.col(value).cast("double").alias("_value"))
+    brackets = _brackets(rows, "_value", probs, accuracy)
+    # below a bracket only the number counts; beyond it nothing does
+    x = F.col("_value")
+    places = [
+        F.when(x < F.get("_ends", F.lit(i))["lo"], F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("v")))
+        .when(x <= F.get("_ends", F.lit(i))["hi"], F.struct(F.lit(i).alias("i"), x.alias("v")))
+        for i in range(len(probs))
+    ]
+    placed = rows.join(brackets, F.col("_group") == F.col("_of")).select("_group", "_total", F.explode(F.array_compact(F.array(*places))).alias("_p"))
+    counted = placed.groupBy("_group", "_total", F.col("_p.i").alias("_i"), F.col("_p.v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("_group", "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    prob = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)
+    ranked = counted.withColumns({"_upto": F.sum("_n").over(upto), "prob": prob}).withColumn("_pos", (F.col("_total") - 1) * F.col("prob"))
+
+    def at(rank):
+        return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")), F.col("_v")))
+
+    low, high = at(F.floor("_pos")), at(F.ceil("_pos"))
+    share = F.max(F.col("_pos") - F.floor("_pos"))
+    settled = ranked.groupBy("_group", "prob").agg(low.alias("_low"), high.alias("_high"), share.alias("_share"))
+    missed = F.col("_low").isNull() | F.col("_high").isNull()
+    quantile = F.when(missed, F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")).when(
+        F.col("_low") == F.col("_high"), F.col("_low")
+    ).otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_share"))
+    return settled.select(*[F.col(f"_group.{c}").alias(c) for c in by], "prob", quantile.alias("quantile"))
 
 
 def medians(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
