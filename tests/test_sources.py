@@ -1,3 +1,4 @@
+import hashlib
 import unicodedata
 from datetime import date, datetime
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import cleaning as c
 from tidemark.operators.checks import unlagged_columns
-from tidemark.sources import files, payloads, sinks
+from tidemark.sources import digests, files, payloads, sinks
 from tidemark.sources.catalog import SETTLEMENT_FUELS, SPECS
 from tidemark.sources.spec import load_source
 
@@ -176,3 +177,33 @@ def test_inbox_takes_names_with_blanks_and_signs(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "table")).collect()
     assert sorted(r["source_file"] for r in rows) == ["a b.csv", "c+d%20.csv", "한글.csv"]
     assert len({r["source_file_sha256"] for r in rows}) == 3
+
+
+def test_fingerprints_of_files_with_odd_names(spark, tmp_path):
+    contents = {"a.csv": b"x", "b c+%41é.CSV": bytes(range(256)) * 40, "empty.csv": b"", "deep/d.csv": b"1\n2", "skip.txt": b"no"}
+    (tmp_path / "deep").mkdir()
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r["file_name"]: (r["bytes"], r["sha256"]) for r in digests.file_fingerprints(spark, str(tmp_path), ("csv",)).collect()}
+    assert got == {n.split("/")[-1]: (len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items() if c and n != "skip.txt"}
+    assert digests.file_fingerprints(spark, str(tmp_path), ("none",)).collect() == []
+
+
+def test_a_file_above_two_gigabytes(spark, tmp_path):
+    size = (1 << 31) + 12_345
+    with open(tmp_path / "big.csv", "wb") as out:
+        # without blocks on disk
+        out.truncate(size)
+    digest = hashlib.sha256()
+    for _ in range(size // (1 << 20)):
+        digest.update(bytes(1 << 20))
+    digest.update(bytes(size % (1 << 20)))
+    row = digests.file_fingerprints(spark, str(tmp_path), ("csv",)).collect()[0]
+    assert (row["bytes"], row["sha256"]) == (size, digest.hexdigest())
+
+
+def test_stores_that_tasks_cannot_open_are_left_to_spark(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_bytes(b"abc")
+    monkeypatch.setattr(digests, "reachable", lambda _: False)
+    row = digests.file_fingerprints(spark, str(tmp_path), ("csv",)).collect()[0]
+    assert (row["file_name"], row["bytes"], row["sha256"]) == ("a.csv", 3, hashlib.sha256(b"abc").hexdigest())

@@ -10,7 +10,7 @@ from tidemark.plans import shapes
 from tidemark.plans.shapes import read_table, with_shapes
 from tidemark.queries.registry import query
 from tidemark.session import apply_settings, scratch_path
-from tidemark.sources import files, payloads, sinks, tables
+from tidemark.sources import digests, files, payloads, sinks, tables
 
 AREAS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
@@ -265,16 +265,18 @@ def fingerprints(spark, d):
 
 @query(
     "s12_file_fingerprints",
-    "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, strlen(n_name) + 1 AS bytes, sha256(n_name || chr(10)) AS sha256 FROM nation",
+    """SELECT CAST((doc_id * 2654435761) % 64 AS INTEGER) AS part, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes,
+  sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY 1""",
 )
 def file_fingerprints(spark, d):
-    """A folder with a text file per nation."""
-    path = scratch_path(spark, "nations")
-    names = read_table(spark, d, "nation").select("n_nationkey", "n_name")
-    names.repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
-    found = files.file_fingerprints(spark, path, ("txt",))
-    key = F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int")
-    return found.select(key.alias("n_nationkey"), "bytes", "sha256")
+    """All documents in 64 text files by a hash of their id."""
+    path = scratch_path(spark, "texts")
+    part = (F.col("doc_id") * 2654435761 % 64).cast("int")
+    texts = read_table(spark, d, "documents").select(part.alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    placed = texts.repartition("part").sortWithinPartitions("part", "doc_id")
+    placed.select("part", "value").write.partitionBy("part").text(path)
+    found = digests.file_fingerprints(spark, path, ("txt",))
+    return found.select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("int").alias("part"), "bytes", "sha256")
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Delimited vendor files, parquet snapshots and file fingerprints."""
+"""Delimited vendor files, parquet snapshots and files held back."""
 
 from __future__ import annotations
 
@@ -154,18 +154,6 @@ def read_sources(
     return union_all(present)
 
 
-def file_fingerprints(spark: SparkSession, path: str, suffixes: Sequence[str] = ("csv", "tsv", "json", "xml")) -> DataFrame:
-    """Files with an allowed suffix, their size and the sha256 of their bytes."""
-    allowed = "(?i)\\.(" + "|".join(suffixes) + ")$"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.where(F.col("path").rlike(allowed)).select(
-        "path",
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
-
-
 @F.pandas_udf(T.StringType())
 def nfc(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode NFC form; Spark has no built-in for it."""
