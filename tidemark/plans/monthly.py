@@ -15,7 +15,7 @@ from tidemark.operators.aggregates import pivot_mean
 from tidemark.operators.grids import (
     MONTHLY_LAGS, MONTHLY_ROLLS, LagSpec, RollSpec, add_lags_and_rolls, exogenous_lag, lead_target, monthly_grid,
 )
-from tidemark.operators.joins import common_keys, missing_keys, one_row_per_date
+from tidemark.operators.joins import common_keys, one_row_per_date
 from tidemark.operators.revisions import dedup_log, dedup_revisions
 from tidemark.sources.files import union_all
 
@@ -111,17 +111,18 @@ def _join_by_month(base: DataFrame, blocks: Sequence[DataFrame]) -> DataFrame:
 
 
 def _block_info(base: DataFrame, blocks: Mapping[str, DataFrame]) -> DataFrame:
-    """Per block its range and how many base months it lacks."""
-    out: DataFrame | None = None
-    for name, block in blocks.items():
-        lacking = missing_keys(base, block, [PERIOD]).agg(F.count("*")).scalar()
-        row = block.agg(
-            F.lit(name).alias("block"), F.min(PERIOD).alias("period_min"), F.max(PERIOD).alias("period_max")
-        ).withColumn("missing_periods", lacking)
-        out = row if out is None else out.unionByName(row)
-    if out is None:
-        return base.select(F.lit("").alias("block")).limit(0)
-    return out
+    """Per block its range and how many base months it lacks: every block and the base are read once."""
+    named = [block.select(F.lit(name).alias("block"), PERIOD) for name, block in blocks.items()]
+    # one row per month: the names of the blocks that have it, of which there are few
+    months = union_all([base.select(F.lit(None).cast("string").alias("block"), PERIOD), *named]).groupBy(PERIOD).agg(
+        F.bool_or(F.col("block").isNull()).alias("_asked"), F.collect_set("block").alias("_in")
+    )
+    every = F.array(*[F.lit(name) for name in blocks]).cast("array<string>")
+    held = months.select("*", F.explode(every).alias("block")).withColumn("_has", F.array_contains("_in", F.col("block")))
+    return held.groupBy("block").agg(
+        F.min(F.when(F.col("_has"), F.col(PERIOD))).alias("period_min"), F.max(F.when(F.col("_has"), F.col(PERIOD))).alias("period_max"),
+        F.count_if(F.col("_asked") & ~F.col("_has")).alias("missing_periods"),
+    )
 
 
 def monthly_feature_table(

@@ -11,28 +11,23 @@ from tidemark.plans import hourly, monthly, shapes
 from tidemark.plans.leaderboard import NAIVE, naive_leaderboard
 from tidemark.plans.shapes import read_table, with_shapes
 from tidemark.queries import aggregates as qa
-from tidemark.queries.registry import query
+from tidemark.queries.registry import ORACLES, query
 from tidemark.queries.tools import rounded
 from tidemark.queries.windows import H0GRID, RANKED, full_window
-from tidemark.session import materialise
 
 SETTLED = ["nuclear", "lng"]
 
 
 def monthly_inputs(spark, d) -> monthly.MonthlyInputs:
-    # the facts are read once: what the blocks share is the small monthly table
-    named = materialise(qa.named_fuel(spark, d), "monthly_facts")
-    volume = materialise(
-        a.trade_mix(named, "volume", "fuel", "transaction_volume", "mwh", qa.RENEWABLE, single_renewable=None), "volume"
-    )
-    amount = materialise(
-        a.trade_mix(named, "amount", "fuel", "transaction_amount", "krw", qa.RENEWABLE, single_renewable=None), "amount"
-    )
+    # the blocks share the aggregated months: their exchange is planned once and reused
+    named = qa.named_fuel(spark, d)
+    volume = a.trade_mix(named, "volume", "fuel", "transaction_volume", "mwh", qa.RENEWABLE, single_renewable=None)
+    amount = a.trade_mix(named, "amount", "fuel", "transaction_amount", "krw", qa.RENEWABLE, single_renewable=None)
     total = qa.with_total(named)
     yearly = read_table(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("period_year")).agg(
         F.sum("l_quantity").alias("capacity_yearly_total_mw")
     )
-    prices = materialise(shapes.monthly_price(spark, d), "monthly_prices")
+    prices = shapes.monthly_price(spark, d)
     months = prices.select("period_month").distinct()
     gas = prices.where("area = '1-URGENT'").select("period_month", F.col("price").alias("gas_price"))
     curve = shapes.futures_curve(spark, d)
@@ -91,7 +86,8 @@ _CAL = """CAST(year(period_month) AS INTEGER) AS year, CAST(month(period_month)
 _PRICE_PAIRS = ("lng", "nuclear", "coal_total", "renewable_total")
 
 
-def _monthly_sql() -> str:
+def _monthly_ctes() -> str:
+    """Up to T: the table before anything is rounded."""
     lags = ", ".join(f"lag(price, {k}) OVER w AS price_lag_{k}m" for k in MONTHLY_LAGS)
     rolls = ", ".join(
         full_window({"mean": "avg", "std": "stddev_samp"}[g], n, f"price_rolling_{n}m_{g}", "period_month", digits=9)
@@ -158,6 +154,10 @@ DA_c AS (SELECT CAST(date_trunc('month', trade_date) AS DATE) AS period_month, a
   LEFT JOIN TP USING (period_month) LEFT JOIN GP USING (period_month) LEFT JOIN FW USING (period_month)
   LEFT JOIN DA USING (period_month) WHERE {keep})"""
     )
+    return with_shapes("SNAP", "M", "FUEL", "CURVE") + RANKED + qa.NAMED + ", " + ",\n".join(parts)
+
+
+def _monthly_sql() -> str:
     doubles = ["month_sin", "month_cos"] + [f"price_rolling_{n}m_{g}" for n, g in MONTHLY_ROLLS]
     doubles += [f"settlement_unit_price_{f}_lag_1m" for f in SETTLED]
     doubles += [f"{c}_lag_1m" for c in (*qa.CAPACITY_SQL, *qa.TYPE_SQL, *qa.VOLUME_SQL, *qa.AMOUNT_SQL)]
@@ -165,10 +165,7 @@ DA_c AS (SELECT CAST(date_trunc('month', trade_date) AS DATE) AS period_month, a
     doubles += ["gas_price_chg_1m_lag_1m", "forward_slope_1_2", "capacity_yearly_total_mw_lag_1y"]
     doubles += [f"daily_{c}_lag_1m" for c in ("mean", "std")]
     replaced = ", ".join(f"round({c}, 4) AS {c}" for c in doubles)
-    return (
-        with_shapes("SNAP", "M", "FUEL", "CURVE") + RANKED + qa.NAMED + ", " + ",\n".join(parts)
-        + f" SELECT * REPLACE ({replaced}) FROM T"
-    )
+    return _monthly_ctes() + f" SELECT * REPLACE ({replaced}) FROM T"
 
 
 # values that are only looked up come through unchanged and are compared as they are
@@ -183,6 +180,69 @@ def monthly_feature_table(spark, d):
     return rounded(monthly.monthly_feature_table(monthly_inputs(spark, d)).table, 4, _LOOKED_UP)
 
 
+#: the months of each block in the twin
+_BLOCK_MONTHS = {
+    "capacity_fuel": "CF", "capacity_type": "CT", "capacity_yearly": "M", "transaction_volume": "TV", "transaction_amount": "TA",
+    "transaction_price": "TP", "gas_price": "GP", "forward": "FW", "daily": "DA",
+}
+
+
+@query(
+    "f5_block_info",
+    _monthly_ctes() + " " + " UNION ALL ".join(
+        f"SELECT '{name}' AS block, min(period_month) AS period_min, max(period_month) AS period_max, "
+        f"(SELECT count(DISTINCT period_month) FROM T WHERE period_month NOT IN (SELECT period_month FROM {cte})) AS missing_periods FROM {cte}"
+        for name, cte in _BLOCK_MONTHS.items()
+    ),
+)
+def monthly_block_info(spark, d):
+    return monthly.monthly_feature_table(monthly_inputs(spark, d)).block_info()
+
+
+_BASELINE = (
+    [f"price_lag_{k}m" for k in MONTHLY_LAGS] + [f"price_rolling_{n}m_{g}" for n, g in MONTHLY_ROLLS]
+    + [monthly.OBSERVED, "year", "month", "quarter", "is_summer", "is_winter", "is_peak_season", "month_sin", "month_cos"]
+    + [f"settlement_unit_price_{f}_lag_1m" for f in SETTLED]
+)
+
+
+@query(
+    "f5_leakage_canary",
+    _monthly_ctes() + " SELECT *, pairs >= 6 AND pairs = equal_pairs AS suspect FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, count({f}) FILTER ({monthly.TARGET} IS NOT NULL) AS pairs, "
+        f"count(*) FILTER (CAST({f} AS DOUBLE) = {monthly.TARGET}) AS equal_pairs FROM T"
+        for f in _BASELINE
+    )
+    + ")",
+)
+def monthly_canary(spark, d):
+    return monthly.monthly_feature_table(monthly_inputs(spark, d)).canary()
+
+
+@query("f5_dedup_log", ORACLES["w13_dedup_log"])
+def monthly_dedup_log(spark, d):
+    return monthly.monthly_feature_table(monthly_inputs(spark, d)).dedup_log()
+
+
+@query(
+    "f5_overlap_info",
+    _monthly_ctes() + f""", SHARED AS (
+  SELECT period_month FROM TV WHERE coalesce({", ".join(f"{c}_lag_1m" for c in qa.VOLUME_SQL)}) IS NOT NULL
+  INTERSECT SELECT period_month FROM TA WHERE coalesce({", ".join(f"{c}_lag_1m" for c in qa.AMOUNT_SQL)}) IS NOT NULL)
+SELECT 'as loaded' AS case, count(*) AS overlap_months, CAST(NULL AS VARCHAR) AS warning FROM SHARED
+UNION ALL SELECT 'amounts a century later', 0, 'no overlap of volume and amount: no price features'""",
+)
+def monthly_overlap(spark, d):
+    """The months that volumes and amounts share, and what a shift of one of them would be answered with."""
+    blocks = monthly_inputs(spark, d).blocks
+    volume, amount = blocks["transaction_volume"], blocks["transaction_amount"]
+    late = amount.withColumn(monthly.PERIOD, F.add_months(monthly.PERIOD, 1200))
+    cases = {"as loaded": amount, "amounts a century later": late}
+    first, second = (monthly.overlap_info(volume, a).withColumn("case", F.lit(n)) for n, a in cases.items())
+    return first.unionByName(second)
+
+
 def _hourly_sql(grid: str, table: str, group_check: str) -> str:
     price = ", ".join(f"lag(price, {k}) OVER w AS price_lag_{k}h" for k in hourly.PRICE_LAGS)
     demand = ", ".join(f"lag(demand, {k}) OVER w AS demand_lag_{k}h" for k in hourly.DEMAND_LAGS)
