@@ -19,11 +19,12 @@ from tidemark.operators.models import (
     linear_prediction, ridge_from_stats, with_refs,
 )
 from tidemark.operators.splits import Version, split_chronological, ts_folds, version_cells
+from tidemark.operators.trees import Trees, tree_predictions
 
 
 @dataclass(frozen=True)
 class ModelSet:
-    """Naive models by the column they repeat, linear ones by their specification.
+    """Naive models by the column they repeat, linear ones and trees by their specification.
 
     ``min_train`` is the smallest number of training rows per model.
     """
@@ -31,10 +32,11 @@ class ModelSet:
     naive: Mapping[str, str] = field(default_factory=dict)
     linear: Mapping[str, Ridge] = field(default_factory=dict)
     min_train: Mapping[str, int] = field(default_factory=dict)
+    trees: Mapping[str, Trees] = field(default_factory=dict)
 
     @property
     def names(self) -> list[str]:
-        return [*self.naive, *self.linear]
+        return [*self.naive, *self.linear, *self.trees]
 
     @property
     def columns(self) -> list[str]:
@@ -92,7 +94,7 @@ def _on_inputs(models: ModelSet) -> ModelSet:
         m: replace(s, features=tuple(f"in_{f}" for f in s.features), delta_from=s.delta_from and f"in_{s.delta_from}")
         for m, s in models.linear.items()
     }
-    return ModelSet(models.naive, linear, models.min_train)
+    return replace(models, linear=linear)
 
 
 def walk_forward(
@@ -170,11 +172,15 @@ def backtest_predictions(
     if impute and models.linear:
         keyed, models = _with_inputs(keyed, models, key, F.col("role") == "train", target, period), _on_inputs(models)
     test = keyed.where("role = 'test'").withColumn("y_true", F.col(target).cast("double"))
-    keep = ["version", *group, period, "y_true"]
-    if not models.linear:
-        return _predictions(test, models, keep)
-    fitted = _fitted(keyed, models, key, target, F.col("role") == "train")
-    return _predictions(test.join(fitted, key, "left"), models, keep)
+    keep, found, is_train = ["version", *group, period, "y_true"], [], F.col("role") == "train"
+    if models.linear:
+        found.append(_predictions(test.join(_fitted(keyed, models, key, target, is_train), key, "left"), models, keep))
+    elif models.naive:
+        found.append(_predictions(test, models, keep))
+    if models.trees:
+        grown = tree_predictions(keyed, key, dict(models.trees), target, is_train).withColumn("y_true", F.col(target).cast("double"))
+        found.append(grown.unpivot(keep, list(models.trees), "model", "y_pred"))
+    return _union(found)
 
 
 def backtest_matrix(

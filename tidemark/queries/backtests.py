@@ -8,10 +8,11 @@ from tidemark.operators import checks as ck
 from tidemark.operators import splits as sp
 from tidemark.operators.grids import LagSpec, RollSpec, add_lags_and_rolls, lead_target, monthly_grid
 from tidemark.operators.models import Ridge
+from tidemark.operators.trees import Boosting, Trees
 from tidemark.plans import backtests as bt
 from tidemark.plans import shapes
 from tidemark.plans.shapes import with_shapes
-from tidemark.queries.linear import gram_sql, predict_sql, ridge_sql
+from tidemark.queries.linear import gram_sql, predict_sql, ridge_sql, stump_sql, stump_value
 from tidemark.queries.registry import query
 from tidemark.queries.tools import rounded
 
@@ -224,7 +225,8 @@ def walk_forward_imputed(spark, d):
     return rounded(out, 5, ("y_true", "observed_value", "true_delta"))
 
 
-def _matrix_sql(impute: bool = False) -> str:
+def cell_rows() -> tuple[list[str], list[str]]:
+    """Selections of the training and the test rows of every version from ARP."""
     train, test = [], []
     for v in VERSIONS:
         if v.window:
@@ -243,6 +245,11 @@ def _matrix_sql(impute: bool = False) -> str:
                 f"SELECT '{v.name}' AS version, DATE '1900-01-01' AS eval_month, ARP.* FROM ARP WHERE "
                 f"period_month BETWEEN DATE '{v.test_start}' AND DATE '{v.test_end}'"
             )
+    return train, test
+
+
+def _matrix_sql(impute: bool = False) -> str:
+    train, test = cell_rows()
     pool = " UNION ALL ".join(
         f"SELECT area, '{v.name}' AS version, '{v.mode}' AS evaluation_mode, count(*) FILTER ("
         f"CAST(period_month + INTERVAL 1 MONTH AS DATE) <= DATE '{v.cutoff}' AND period_month <= DATE '{v.train_end}') AS n_train "
@@ -368,6 +375,28 @@ SELECT area, feature_group, model, round(avg(abs(y_true - y_pred)), 5) AS mae, r
 FROM L GROUP BY 1, 2, 3"""
 
 
+STUMP = Boosting(rounds=1, depth=1, step=1.0, leaf_rows=5)
+STUMPS = {"stump": Trees(tuple(FEATURES), STUMP), "delta_stump": Trees(tuple(FEATURES), STUMP).delta_wrap("observed")}
+
+
+@query(
+    "b7_backtest_stumps",
+    with_shapes("M", "MGRID") + AR_SQL
+    + f""", TRAIN AS ({' UNION ALL '.join(cell_rows()[0]).replace('ARP', 'ARC')}),
+TEST AS ({' UNION ALL '.join(cell_rows()[1]).replace('ARP', 'ARC')}),
+{stump_sql('TRAIN', 'S', FEATURES, _CELL, 'target', 5)},
+{stump_sql('TRAIN', 'D', FEATURES[1:], _CELL, 'target - observed', 5)}
+SELECT version, area, period_month, target AS y_true, 'stump' AS model, round({stump_value('S', FEATURES)}, 5) AS y_pred
+FROM TEST t JOIN S USING ({_CELL})
+UNION ALL SELECT version, area, period_month, target, 'delta_stump', round(observed + {stump_value('D', FEATURES[1:])}, 5)
+FROM TEST t JOIN D USING ({_CELL})""",
+)
+def backtest_stumps(spark, d):
+    """Trees in the version grid, plain and under the delta wrap; of one split each, so that SQL can follow."""
+    panel = ar_panel(spark, d).na.drop(subset=[*FEATURES, "target"])
+    return rounded(bt.backtest_predictions(panel, ["area"], VERSIONS, bt.ModelSet(trees=STUMPS), "target"), 5, ("y_true",))
+
+
 @query("b8_ablation", with_shapes("M", "MGRID") + AR_SQL + _ablation_sql())
 def ablation(spark, d):
     panel = ar_panel(spark, d).withColumns(

@@ -1,4 +1,4 @@
-"""SQL of the closed-form ridge, so that DuckDB can check fitted models.
+"""SQL of the closed-form ridge and of the best single split, so that DuckDB can check fitted models.
 
 A chain of common table expressions turns means and covariances into coefficients by a
 Cholesky factorisation of the scaled, penalised normal equations.
@@ -78,3 +78,24 @@ def predict_sql(out: str, columns: Sequence[str], base: str | None = None) -> st
     """The fitted value, about the means that ``ridge_sql`` left in its columns."""
     value = f"{out}_my" + "".join(f" + {out}_b{i + 1} * ({c} - {out}_m{i})" for i, c in enumerate(columns))
     return f"{value} + {base}" if base else value
+
+
+def stump_sql(source: str, out: str, features: Sequence[str], key: str, y: str, leaf_rows: int) -> str:
+    """CTEs from ``source`` to ``out``: per ``key`` the split with the most gain, as ``feature``, ``cut``, ``lo``, ``hi``, ``gain``."""
+    long = " UNION ALL ".join(f"SELECT {key}, {i} AS feature, {c} AS x, {y} AS y FROM {source}" for i, c in enumerate(features))
+    return f"""{out}_long AS ({long}),
+{out}_mean AS (SELECT {key}, feature, avg(y) AS m, count(*) AS n FROM {out}_long GROUP BY ALL),
+{out}_runs AS (SELECT {key}, feature, x, sum(y - m) AS r, count(*) AS k FROM {out}_long JOIN {out}_mean USING ({key}, feature) GROUP BY ALL),
+{out}_cuts AS (
+  SELECT *, sum(r) OVER w AS sl, sum(k) OVER w AS nl, lead(x) OVER (PARTITION BY {key}, feature ORDER BY x) AS above,
+    sum(r) OVER (PARTITION BY {key}, feature) AS s FROM {out}_runs WINDOW w AS (PARTITION BY {key}, feature ORDER BY x)),
+{out} AS (
+  SELECT {key}, feature, x + (above - x) / 2 AS cut, m + sl / nl AS lo, m + (s - sl) / (n - nl) AS hi
+  FROM {out}_cuts JOIN {out}_mean USING ({key}, feature) WHERE above IS NOT NULL AND nl >= {leaf_rows} AND n - nl >= {leaf_rows}
+  QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, feature, x) = 1)"""
+
+
+def stump_value(out: str, features: Sequence[str], row: str = "t") -> str:
+    """The value of the split of ``out`` for the features of ``row``."""
+    x = "CASE {o}.feature {cases} END".format(o=out, cases=" ".join(f"WHEN {i} THEN {row}.{c}" for i, c in enumerate(features)))
+    return f"CASE WHEN {x} <= {out}.cut THEN {out}.lo ELSE {out}.hi END"

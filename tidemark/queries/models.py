@@ -8,14 +8,15 @@ from tidemark.operators import models as m
 from tidemark.operators.aggregates import fold_summary
 from tidemark.operators.grids import add_lags, hourly_grid, lag_specs, lead_target
 from tidemark.operators.splits import inner_validation, split_chronological, ts_folds
+from tidemark.operators.trees import tree_gains, tree_predictions
 from tidemark.plans import backtests as bt
 from tidemark.plans import shapes
 from tidemark.plans.shapes import with_shapes
 from tidemark.queries.backtests import (
-    AR_SQL, FEATURES, MEDIANS, MODELS, POSITIONS, _holed, _linear_predictions, ar_panel, filled_sql,
+    AR_SQL, FEATURES, MEDIANS, MODELS, POSITIONS, STUMPS, _holed, _linear_predictions, ar_panel, filled_sql,
 )
 from tidemark.queries.backtests import holed_panel as gapped_panel
-from tidemark.queries.linear import gram_sql, predict_sql, ridge_sql
+from tidemark.queries.linear import gram_sql, predict_sql, ridge_sql, stump_sql, stump_value
 from tidemark.queries.registry import query
 from tidemark.queries.tools import rounded
 from tidemark.queries.windows import HGRID
@@ -175,6 +176,35 @@ def feature_importance(spark, d):
     return m.feature_importance(spark, model, FEATURES)
 
 
+_SPLIT = with_shapes("M", "MGRID") + AR_SQL + TRAINED + ", TRAIN AS (SELECT * FROM T WHERE is_train),\n" + stump_sql("TRAIN", "S", FEATURES, "area", "target", 5)
+
+
+def _marked(spark, d):
+    panel = ar_panel(spark, d).na.drop(subset=[*FEATURES, "target"])
+    return panel, F.col("period_month") < F.lit("2000-01-01").cast("date")
+
+
+@query(
+    "m9_cell_trees",
+    _SPLIT + f" SELECT area, period_month, target, round({stump_value('S', FEATURES)}, 5) AS y_pred FROM T t JOIN S USING (area) WHERE NOT is_train",
+)
+def cell_trees(spark, d):
+    """A tree of one split per area, fitted where the series is."""
+    panel, is_train = _marked(spark, d)
+    grown = tree_predictions(panel, ["area"], {"y_pred": STUMPS["stump"]}, "target", is_train)
+    return rounded(grown.select("area", "period_month", "target", "y_pred"), 5, ("target",))
+
+
+@query(
+    "m10_cell_gains",
+    _SPLIT + " SELECT area, f.feature, CAST(S.feature = f.i AS DOUBLE) AS gain FROM S, (VALUES "
+    + ", ".join(f"({i}, '{c}')" for i, c in enumerate(FEATURES)) + ") f(i, feature)",
+)
+def cell_gains(spark, d):
+    panel, is_train = _marked(spark, d)
+    return tree_gains(panel, ["area"], STUMPS["stump"], "target", is_train)
+
+
 def _cv(panel: str, linear_rows: str, impute: bool = False) -> str:
     """CTEs up to R (fold ranges) and S (scores) of five models; ``linear_rows``: what linear models are laid over."""
     key = "area, fold"
