@@ -192,3 +192,9 @@ def test_feature_pool():
         m.feature_pool(["a"], explicit=["b"])
     with pytest.raises(KeyError):
         m.feature_pool(["a"], ar_only=True)
+
+
+def test_pool_by_name():
+    table = ["area", "period_month", "price", "price_lag_12m", "price_rolling_3m_mean", "month", "is_summer", "hour_sin", "target", "capacity_lag_1y", "lagged"]
+    assert m.features_by_name(table, ["price"]) == ["price", "price_lag_12m", "price_rolling_3m_mean", "month", "is_summer", "hour_sin", "capacity_lag_1y"]
+    assert m.feature_pool(table[:5]) == ["price_lag_12m", "price_rolling_3m_mean"]

@@ -75,11 +75,11 @@ def calendar_hourly(df: DataFrame, ts: str = "interval_end") -> DataFrame:
 def add_holiday_flag(df: DataFrame, ts: str, holidays: DataFrame, day: str = "holiday_date") -> DataFrame:
     """Whether the timestamp's day is in the holiday dimension.
 
-    A calendar has at most one row per day once it is made distinct, so it is broadcast.
+    The dimension is made distinct by day; the planner broadcasts it by its measured size.
     """
     days = holidays.select(F.col(day).cast("date").alias("_holiday")).distinct()
     return (
-        df.join(F.broadcast(days), F.col(ts).cast("date") == F.col("_holiday"), "left")
+        df.join(days, F.col(ts).cast("date") == F.col("_holiday"), "left")
         .withColumn("is_holiday", F.col("_holiday").isNotNull())
         .drop("_holiday")
     )

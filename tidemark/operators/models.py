@@ -7,6 +7,7 @@ fitted in one pass, and only a p-by-p system per cell reaches Python. Trees use
 
 from __future__ import annotations
 
+import re
 from bisect import insort
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
@@ -57,6 +58,17 @@ def predict_columns(
     return wide.unpivot(list(keep), list(models), "model", out)
 
 
+#: what names of features say: a lag of some hours, days, months or years, a window, a forward price, or a part of the calendar
+FEATURE_NAMES = (
+    r"_lag_\d+[hdmy]$|_rolling_\d+[hdm]_\w+$|^forward_\w+$|^(is_\w+|(hour|dow|month)_(sin|cos)|year|quarter|month|day|hour|day_of_week)$"
+)
+
+
+def features_by_name(columns: Sequence[str], observed: Sequence[str] = ()) -> list[str]:
+    """Columns that their names mark as known at the forecast's origin, and the observed ones, in the table's order."""
+    return [c for c in columns if c in observed or re.search(FEATURE_NAMES, c)]
+
+
 def feature_pool(
     columns: Sequence[str], explicit: Sequence[str] | None = None, ar_only: bool = False,
     observed: str = OBSERVED, monthly: Sequence[str] = MONTHLY_POOL, hourly: Sequence[str] = HOURLY_POOL,
@@ -65,7 +77,8 @@ def feature_pool(
     """Feature names a linear model uses on a table with these columns.
 
     An explicit list must be there in full. Otherwise the default pool of the table's
-    granularity, and where that does not meet the table, every column.
+    granularity, and where that does not meet the table, the columns that are features by their
+    names, or if none is, every column.
     """
     if explicit is not None:
         missing = [c for c in explicit if c not in columns]
@@ -79,7 +92,7 @@ def feature_pool(
         return chosen
     is_monthly = observed in columns or any(c.endswith(MONTHLY_MARKS) for c in columns)
     chosen = [c for c in (monthly if is_monthly else hourly) if c in columns]
-    return chosen or list(columns)
+    return chosen or features_by_name(columns) or list(columns)
 
 
 def _with_cell_values(df: DataFrame, by: Sequence[str], values: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import aggregates as a
 from tidemark.operators import joins as j
 from tidemark.operators.grids import MONTHLY_LAGS, MONTHLY_ROLLS, price_lags
+from tidemark.operators.models import features_by_name
 from tidemark.plans import hourly, monthly, shapes
 from tidemark.plans.leaderboard import NAIVE, naive_leaderboard
 from tidemark.plans.shapes import read_table, with_shapes
@@ -243,6 +244,21 @@ def monthly_overlap(spark, d):
     return first.unionByName(second)
 
 
+@query(
+    "m2_feature_pool_monthly",
+    f"WITH F5 AS ({_monthly_sql()})" + r""" UNPIVOT (
+  SELECT area, period_month, CAST(COLUMNS('(_lag_\d+[hdmy]|_rolling_\d+[hdm]_[a-z]+)$|^(is_[a-z_]+|forward_[a-z0-9_]+|month_sin|month_cos|year|quarter|month|t_observed)$') AS DOUBLE)
+  FROM F5)
+ON COLUMNS(* EXCLUDE (area, period_month)) INTO NAME feature VALUE value""",
+)
+def monthly_feature_pool(spark, d):
+    """Every value of the pool that a linear model would use on the monthly table."""
+    table = rounded(monthly.monthly_feature_table(monthly_inputs(spark, d)).table, 4, _LOOKED_UP)
+    pool = features_by_name(table.columns, [monthly.OBSERVED])
+    doubles = table.select("area", monthly.PERIOD, *[F.col(c).cast("double").alias(c) for c in pool])
+    return doubles.unpivot(["area", monthly.PERIOD], pool, "feature", "value").where("value IS NOT NULL")
+
+
 def _hourly_sql(grid: str, table: str, group_check: str) -> str:
     price = ", ".join(f"lag(price, {k}) OVER w AS price_lag_{k}h" for k in hourly.PRICE_LAGS)
     demand = ", ".join(f"lag(demand, {k}) OVER w AS demand_lag_{k}h" for k in hourly.DEMAND_LAGS)
