@@ -8,7 +8,7 @@ from math import factorial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import collapsed
+from tidemark.llm.common import collapsed, materialise
 
 #: fails when the text equals that of a smaller id; the other filters look at one text alone
 COPY = "E"
@@ -140,4 +140,6 @@ def audit_filters(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     smaller id of the other. A null id is no smaller id and has none. An id with several labels is good or toxic
     if one of them says so; null labels say nothing. Empty tables give no rows. Other columns are ignored.
     """
-    return order_effects(failure_masks(docs, labels, id_col, text_col, part_col), "ABCD" + COPY)
+    # a few rows per part; written once, as both uses below would read all texts again
+    masks = materialise(failure_masks(docs, labels, id_col, text_col, part_col), "masks")
+    return order_effects(masks, "ABCD" + COPY)

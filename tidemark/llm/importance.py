@@ -107,16 +107,15 @@ def bucket_gains(source: DataFrame, target: DataFrame, buckets: int = BUCKETS) -
 
     Two histograms of ``buckets`` entries come to the driver, however large the tables are.
     """
-    counts = [dict.fromkeys(range(buckets), 0) | {r["bucket"]: r["n"] for r in h.collect()} for h in (source, target)]
-    s_all, t_all = (sum(c.values()) for c in counts)
-    return np.array(
-        [
-            math.floor(1000 * math.log(float(counts[1][b] + 1) * float(t_of) / (float(counts[0][b] + 1) * float(s_of))))
-            for t_of, s_of in [(s_all + buckets, t_all + buckets)]
-            for b in range(buckets)
-        ],
-        dtype=np.int64,
-    )
+    counts = []
+    for table in (source, target):
+        n = np.zeros(buckets)
+        for row in table.collect():
+            n[row["bucket"]] = row["n"]
+        counts.append(n)
+    s, t = counts
+    ratio = (t + 1) * (s.sum() + buckets) / ((s + 1) * (t.sum() + buckets))
+    return np.array([math.floor(1000 * math.log(r)) for r in ratio.tolist()], dtype=np.int64)
 
 
 def gumbel(doc_id: int | None, seed: int = SEED) -> int:
