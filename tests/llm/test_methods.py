@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -72,13 +73,13 @@ def test_a_hot_anchor_is_not_held_by_one_task(spark, monkeypatch):
     seen, masks = spark.sparkContext.accumulator(0), suffix_dedup._masks
     largest = spark.sparkContext.accumulator(0)
 
-    def counted(key, rows):
-        alone = rows[rows["left"] >= 0]
-        alone = alone[alone["mask"] == 0]
-        sizes = alone.groupby("print").size()
-        largest.add(int((sizes > 250).sum()))
-        seen.add(int((rows["left"] < 0).sum()))
-        return masks(key, rows)
+    def counted(key, rows, blocks):
+        if key[0] == "asked":
+            around = suffix_dedup._asked(rows["a"].tolist())[1]
+            prefixes = [bytes(r[suffix_dedup.BEFORE:suffix_dedup.BEFORE + suffix_dedup.PREFIX]) for r in around]
+            largest.add(sum(n > 250 for n in Counter(prefixes).values()))
+        seen.add(len(rows) if key[0] == "hot" else 0)
+        return masks(key, rows, blocks)
 
     monkeypatch.setattr(suffix_dedup, "_masks", counted)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(frame).collect()}
@@ -121,8 +122,9 @@ def test_batches_grow_with_the_bytes_and_levels_merge(spark, monkeypatch):
     assert occupied[:4] == [[True], [False, True], [True, True], [False, False, True]]
 
 
-def test_every_window_holds_an_anchor_that_depends_on_it_alone(monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "_POSITION", np.uint64((1 << 24) - 1))
+@pytest.mark.parametrize("turn", [7, 24])
+def test_every_window_holds_an_anchor_that_depends_on_it_alone(monkeypatch, turn):
+    monkeypatch.setattr(suffix_dedup, "_POSITION", np.uint64((1 << turn) - 1))
     rng = np.random.default_rng(1)
     data = np.concatenate([rng.integers(0, 4, 700), np.zeros(200), rng.integers(0, 4, 300)]).astype(np.uint8)
     found = set(anchors(data)[0].tolist())

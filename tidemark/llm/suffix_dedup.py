@@ -28,7 +28,9 @@ PLACES = LENGTH - PREFIX + 1
 #: one anchor in so many ends a chunk; equal chunks are settled as a whole
 CHUNK = 12
 #: bytes of text that a part of the index, a block of documents or a group of contexts stands for
-PART_BYTES, BLOCK_BYTES, GROUP_BYTES = 1 << 23, 1 << 22, 1 << 20
+PART_BYTES, BLOCK_BYTES, GROUP_BYTES = 1 << 23, 1 << 23, 1 << 21
+#: parts of the index that meet in one task as chunks
+CHUNK_PARTS = 8
 #: bytes of text of a batch of the index; from four batches on, levels of equal size merge
 BATCH_BYTES = 1 << 31
 #: documents of one batch that hold an anchor; from more, only the first and last go to the index
@@ -304,28 +306,84 @@ def _parts(frames: Iterator[pd.DataFrame], size: int = 1000) -> Iterator[pd.Data
             yield frame.iloc[lo:lo + size]
 
 
-def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hash and place of every chunk together with the bytes that windows starting in it reach into."""
-    for frame in _parts(frames):
-        rows = []
+_PACK = "kind string, key int, a binary"
+
+
+def _packs(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["kind", "key", "a"]).astype({"kind": object, "key": "int32", "a": object})
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers, the bytes of one weight together: small numbers take little."""
+    return zlib.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns), 1)
+
+
+def _unpacked(packs: list[bytes], width: int) -> np.ndarray:
+    """The columns of packs, one after the other, as signed numbers."""
+    out = [np.zeros((width, 0), dtype=np.int64)]
+    for a in packs:
+        planes = np.frombuffer(zlib.decompress(a), dtype=np.uint8).reshape(width, 8, -1)
+        out.append(np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64)[..., 0])
+    return np.concatenate(out, axis=1)
+
+
+def _dealt(kind: str, keys: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """The rows of columns as one pack a key."""
+    order = np.argsort(keys, kind="stable")
+    keys, columns = keys[order], [c[order] for c in columns]
+    return [(kind, k, _packed(*(c[lo:hi] for c in columns))) for k, lo, hi in _spans(keys)]
+
+
+def _chunks(frames: Iterator[pd.DataFrame], parts: int) -> Iterator[pd.DataFrame]:
+    """Hash and place of every chunk together with the bytes that windows starting in it reach into.
+
+    Copies of a chunk within these rows are settled here; only those of the smallest id ask the others.
+    """
+    for frame in _parts(frames, 4000):
+        prints, rows = [], []
         for doc, text_key, block, text in zip(frame["doc_id"], frame["text_key"], frame["block"], frame["_bytes"]):
             if len(text) < LENGTH:
                 continue
             begin = 0
             for end in chunk_ends(*anchors(_array(text)), len(text)).tolist():
                 if begin + LENGTH <= len(text):
-                    rows.append((xxhash.xxh3_128_digest(text[begin:end + LENGTH - 1]), doc, text_key, block, begin, end))
+                    prints.append(xxhash.xxh3_128_digest(text[begin:end + LENGTH - 1]))
+                    rows.append((doc, text_key, block, begin, end))
                 begin = end
-        out = pd.DataFrame(rows, columns=["hash", "doc_id", "text_key", "block", "begin", "end"])
-        yield out.astype({"hash": object, "doc_id": "int64", "text_key": "int64", "block": "int32", "begin": "int64", "end": "int64"})
-
-
-def _settled(size: int, spans) -> np.ndarray:
-    """Which window starts are known to be repeated, from spans of starts."""
+        if rows:
+            h, g = np.frombuffer(b"".join(prints), dtype=np.uint64).reshape(-1, 2).T
+            docs, keys, blocks, begins, ends = np.array(rows, dtype=np.int64).T
+            later = _later(h, g, docs)
+            out = _dealt("settled", blocks[later], *(x[later] for x in (docs, keys, begins, ends)))
+            part = (h % np.uint64(parts)).astype(np.int64)
+            yield _packs(out + _dealt("asked", part[~later], *(x[~later] for x in (h, g, docs, keys, blocks, begins, ends))))
+
+
+def _settle(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """Tells the blocks which of their chunks a smaller id has too."""
+    if key[0] == "settled":
+        return frame
+    h, g, docs, keys, blocks, begins, ends = _unpacked(frame["a"].tolist(), 7)
+    later = _later(h, g, docs)
+    return _packs(_dealt("settled", blocks[later], *(x[later] for x in (docs, keys, begins, ends))))
+
+
+def _by_text(packs: list[bytes]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """The last two of four columns for each pair of values of the first two."""
+    docs, which, x, y = _unpacked(packs, 4)
+    order = np.lexsort((which, docs))
+    docs, which, x, y = docs[order], which[order], x[order], y[order]
+    begin = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (which[1:] != which[:-1])])) if len(docs) else order
+    ends = np.append(begin, len(docs))[1:]
+    return {(d, w): (x[lo:hi], y[lo:hi]) for d, w, lo, hi in zip(docs[begin].tolist(), which[begin].tolist(), begin, ends)}
+
+
+def _settled(size: int, spans: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """Which window starts are known to be repeated, from begins and ends of spans of starts."""
     edge = np.zeros(size + 1, dtype=np.int64)
-    for begin, end in spans:
-        edge[min(begin, size)] += 1
-        edge[min(end, size)] -= 1
+    if spans is not None:
+        np.add.at(edge, np.minimum(spans[0], size), 1)
+        np.add.at(edge, np.minimum(spans[1], size), -1)
     known = np.cumsum(edge[:-1]) > 0
     known[max(0, size - LENGTH + 1):] = False
     return known
@@ -340,13 +398,51 @@ def _numbered(texts: pd.DataFrame) -> list[tuple[int, int, int, bytes]]:
     return list(zip(each["doc_id"].tolist(), each["text_key"].tolist(), each.groupby("doc_id").cumcount().tolist(), each["_bytes"]))
 
 
-def _contexts(texts: pd.DataFrame, told: pd.DataFrame, hot: np.ndarray, hot_groups: int) -> pd.DataFrame:
-    """The surroundings of the anchors of a block's documents that other documents have too.
+#: bytes that windows around an anchor reach before it, and the width of what stands around it
+BEFORE = PLACES - 1
+AROUND = BEFORE + LENGTH
+
+
+def _surroundings(text: bytes, at: np.ndarray) -> np.ndarray:
+    """A row of ``AROUND`` bytes for each anchor, which begins at ``BEFORE``; zeros where the text is over."""
+    padded = np.zeros(len(text) + AROUND, dtype=np.uint8)
+    padded[BEFORE:BEFORE + len(text)] = _array(text)
+    return padded[at[:, None] + np.arange(AROUND)]
+
+
+def _row_hashes(around: np.ndarray, extent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each row of bytes and of its extent."""
+    words = np.zeros((len(around), -(-AROUND // 8) * 8), dtype=np.uint8)
+    words[:, :AROUND] = around
+    words = words.view(np.uint64)
+    out = []
+    for base in _BASES:
+        h = _mixed(extent.astype(np.uint64) + np.uint64(base))
+        for j in range(words.shape[1]):
+            h = (_mixed(h ^ words[:, j])) * np.uint64(base | 1)
+        out.append(_mixed(h))
+    return out[0], out[1]
+
+
+def _extent(at: np.ndarray, size: int) -> np.ndarray:
+    """First and last column of a row of ``_surroundings`` that lie in the text, in one number."""
+    return (BEFORE - np.minimum(at, BEFORE)) * 256 + np.minimum(AROUND, BEFORE + size - at)
 
-    Around ``hot`` anchors (sorted) the windows themselves go on, by their hash, in packed rows (``left`` -1).
+
+def _whole(extent: np.ndarray) -> np.ndarray:
+    """As bits, all windows that a row holds: bit o stands for the one that begins o bytes before the anchor."""
+    start, end = extent // 256, extent % 256
+    lowest = np.maximum(0, AROUND - end)
+    return (np.int64(1) << np.maximum(lowest, BEFORE - start + 1)) - (np.int64(1) << lowest)
+
+
+def _contexts(texts: pd.DataFrame, told: pd.DataFrame, hot: np.ndarray, hot_groups: int, groups: int) -> pd.DataFrame:
+    """The surroundings of the anchors of a block's documents that other documents have too, in packs a group.
+
+    Around ``hot`` anchors (sorted) the windows themselves go on, by their hash. What a smaller id of the block
+    has is ``decided``.
     """
     by_doc: dict[int, list] = {}
-    spans: dict[tuple[int, int], list] = {}
     heard = told["kind"] == "told"
     for a, b in zip(told["a"][heard], told["b"][heard]):
         p, d = _unpack(a, b)
@@ -354,15 +450,14 @@ def _contexts(texts: pd.DataFrame, told: pd.DataFrame, hot: np.ndarray, hot_grou
         p = p[order]
         for doc, lo, hi in _spans(d[order]):
             by_doc.setdefault(doc, []).append(p[lo:hi])
-    for doc, text_key, x, y in zip(*(told[c][~heard] for c in ("doc_id", "text_key", "x", "y"))):
-        spans[int(doc), int(text_key)] = list(zip(x.tolist(), y.tolist()))
-    rows, smallest, windows = [], {}, []
+    spans = _by_text(told["a"][~heard].tolist())
+    windows, rows, around = [], [], []
     for doc, text_key, nth, text in _numbered(texts):
         if doc not in by_doc:
             continue
         found, prints = anchors(_array(text))
         shared = np.isin(prints, np.concatenate(by_doc[doc]))
-        known = np.concatenate([[0], np.cumsum(~_settled(len(text), spans.get((doc, text_key), ())))])
+        known = np.concatenate([[0], np.cumsum(~_settled(len(text), spans.get((doc, text_key))))])
         first = np.maximum(found - (PLACES - 1), 0)
         last = np.minimum(found + 1, max(0, len(text) - LENGTH + 1))
         open_ = shared & (last > first) & (known[np.maximum(last, first)] > known[first])
@@ -376,28 +471,34 @@ def _contexts(texts: pd.DataFrame, told: pd.DataFrame, hot: np.ndarray, hot_grou
             h, g = (window_hashes(_array(text), LENGTH, base)[at] for base in _BASES)
             windows.append((h, g, *(np.full(len(at), x, dtype=np.int64) for x in (doc, nth)), at))
             open_ &= ~dense
-        for p, h, lo, hi in zip(found[open_].tolist(), prints[open_].tolist(), first[open_].tolist(), last[open_].tolist()):
-            left = min(p, PLACES - 1)
-            context = text[p - left:p + LENGTH]
-            if smallest.setdefault((left, context), doc) < doc:
-                # a smaller id of this block stands for this one: all its windows here are repeats
-                rows.append((h, doc, nth, p, left, None, sum(1 << (p - s) for s in range(lo, hi))))
-            else:
-                rows.append((h, doc, nth, p, left, context, 0))
-    if windows:
-        h, g, docs, nths, at = (np.concatenate(x) for x in zip(*windows))
-        # as with contexts, only the smallest id of the block asks the others
-        later = _later(h, g, docs)
-        rows += [(0, doc, nth, pos, 0, None, mask) for doc, nth, pos, mask in _bits(docs[later], nths[later], at[later])]
-        part = (h % np.uint64(hot_groups)).astype(np.int64)
+        at = found[open_]
+        if len(at):
+            rows.append((prints[open_], *(np.full(len(at), x, dtype=np.int64) for x in (doc, nth)), at, _extent(at, len(text))))
+            around.append(_surroundings(text, at))
+    out = []
+    if rows:
+        prints, docs, nths, at, extent = (np.concatenate(x) for x in zip(*rows))
+        around = np.concatenate(around)
+        # a smaller id of this block stands for this one: all its windows here are repeats
+        later = _later(*_row_hashes(around, extent), docs)
+        if later.any():
+            out.append(("decided", int(told["block"].iloc[0]), _packed(docs[later], nths[later], at[later], _whole(extent[later]))))
+        part = (_mixed(prints) % np.uint64(groups)).astype(np.int64)
         order = np.flatnonzero(~later)
         order = order[np.argsort(part[order], kind="stable")]
         for k, lo, hi in _spans(part[order]):
             mine = order[lo:hi]
-            packed = zlib.compress(b"".join(x[mine].tobytes() for x in (h, g, docs, nths, at)), 1)
-            rows.append((k, 0, 0, 0, -1, packed, 0))
-    out = pd.DataFrame(rows, columns=["print", "doc_id", "nth", "pos", "left", "context", "mask"])
-    return out.astype({"print": "int64", "doc_id": "int64", "nth": "int64", "pos": "int64", "left": "int32", "context": object, "mask": "int64"})
+            head = _packed(docs[mine], nths[mine], at[mine], extent[mine])
+            out.append(("asked", k, len(head).to_bytes(4, "little") + head + zlib.compress(around[mine].tobytes(), 1)))
+    if windows:
+        h, g, docs, nths, at = (np.concatenate(x) for x in zip(*windows))
+        # as with contexts, only the smallest id of the block asks the others
+        later = _later(h, g, docs)
+        met = _bits(docs[later], nths[later], at[later])
+        if len(met[0]):
+            out.append(("decided", int(told["block"].iloc[0]), _packed(*met)))
+        out += _dealt("hot", (h[~later] % np.uint64(hot_groups)).astype(np.int64), *(x[~later] for x in (h, g, docs, nths, at)))
+    return _packs(out)
 
 
 def _later(h: np.ndarray, g: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -411,85 +512,71 @@ def _later(h: np.ndarray, g: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bits(docs: np.ndarray, nths: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Starts of windows as (document, text, place, mask) rows: bit o stands for the window o bytes before."""
+def _bits(docs: np.ndarray, nths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts of windows as columns document, text, place, mask: bit o stands for the window o bytes before."""
     place = at // PLACES * PLACES + PLACES - 1
     order = np.lexsort((at, nths, docs))
     docs, nths, at, place = docs[order], nths[order], at[order], place[order]
     if not len(at):
-        return []
+        return docs, nths, place, at
     begin = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (nths[1:] != nths[:-1]) | (place[1:] != place[:-1])]))
-    mask = np.bitwise_or.reduceat(np.int64(1) << (place - at), begin)
-    return list(zip(docs[begin].tolist(), nths[begin].tolist(), place[begin].tolist(), mask.tolist()))
+    return docs[begin], nths[begin], place[begin], np.bitwise_or.reduceat(np.int64(1) << (place - at), begin)
 
 
-def _unpacked(packed: list[bytes]) -> list[np.ndarray]:
-    """Hashes, documents, texts and starts of the windows of packed rows."""
-    parts = [np.frombuffer(zlib.decompress(x), dtype=np.int64).reshape(5, -1) for x in packed]
-    h, g, *rest = np.concatenate(parts, axis=1)
-    return [h.view(np.uint64), g.view(np.uint64), *rest]
+def _asked(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents, texts, places and extents, and the bytes around, of packed anchors."""
+    size = [int.from_bytes(a[:4], "little") for a in packs]
+    head = _unpacked([a[4:4 + n] for a, n in zip(packs, size)], 4)
+    around = b"".join(zlib.decompress(a[4 + n:]) for a, n in zip(packs, size))
+    return head, np.frombuffer(around, dtype=np.uint8).reshape(-1, AROUND)
 
 
-def _masks(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+def _masks(key: tuple, frame: pd.DataFrame, blocks: int) -> pd.DataFrame:
     """For each anchor, as bits, the windows around it that a document with a smaller id has.
 
-    Bit o stands for the window that begins o bytes before the anchor. Equal windows hold the anchor at the same
-    place, so one place is looked at after the other; windows meet by their hash, and a second hash has to
-    agree as well. Rows that are decided already pass. Packed windows of hot anchors meet by both hashes.
+    Equal windows hold the anchor at the same place, so one place is looked at after the other; windows meet by
+    their hash, and a second hash has to agree as well. Of equal surroundings only the smallest id's are looked at.
+    What is decided already passes; windows of hot anchors meet by both hashes.
     """
-    dense = frame["left"].to_numpy() < 0
-    packed, frame = frame[dense], frame[~dense]
-    met = []
-    for _, rows in packed.groupby("print"):
-        h, g, docs, nths, at = _unpacked(rows["context"].tolist())
-        later = _later(h, g, docs)
-        met += _bits(docs[later], nths[later], at[later])
-    ready = frame["mask"].to_numpy() != 0
-    columns = ["doc_id", "nth", "pos", "mask"]
-    out = [frame.loc[ready, columns], pd.DataFrame(met, columns=columns).astype("int64")]
-    frame = frame[~ready]
-    docs, left = frame["doc_id"].to_numpy(), frame["left"].to_numpy()
-    size = np.array([len(c) for c in frame["context"]], dtype=np.int64)
-    width = PLACES - 1 + LENGTH
-    column = np.arange(width)
-    hashes = np.zeros((2, PLACES, len(frame)), dtype=np.uint64)
-    for lo in range(0, len(frame), 2048):
-        part = slice(lo, lo + 2048)
-        start = (PLACES - 1 - left[part])[:, None]
-        data = np.zeros((len(start), width), dtype=np.uint8)
-        data[(column >= start) & (column < start + size[part][:, None])] = _array(b"".join(frame["context"].iloc[part]))
-        for n, base in enumerate(_BASES):
-            hashes[n, :, part] = window_hashes(data, LENGTH, base).T
-    mask = np.zeros(len(frame), dtype=np.int64)
-    for back in range(PLACES):
-        # the window begins ``back`` bytes before the anchor, that is in this column
-        at = PLACES - 1 - back
-        row = np.flatnonzero((back <= left) & (at + LENGTH <= PLACES - 1 - left + size))
-        h = hashes[0, at, row]
-        order = np.argsort(h, kind="stable")
-        row, h = row[order], h[order]
-        g = hashes[1, at, row]
-        begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])) if len(row) else row
-        if len(begin) < len(row):
-            least = np.repeat(np.minimum.reduceat(docs[row], begin), np.diff(np.append(begin, len(row))))
-            mask[row[least < docs[row]]] |= np.int64(1) << np.int64(back)
+    packs = frame["a"].tolist()
+    if key[0] == "decided":
+        return frame.assign(kind="mask")
+    if key[0] == "hot":
+        h, g, docs, nths, at = _unpacked(packs, 5)
+        later = _later(h.view(np.uint64), g.view(np.uint64), docs)
+        docs, nths, at, mask = _bits(docs[later], nths[later], at[later])
+    else:
+        (docs, nths, at, extent), around = _asked(packs)
+        later = _later(*_row_hashes(around, extent), docs)
+        mask = np.where(later, _whole(extent), 0)
+        rest = np.flatnonzero(~later)
+        hashes = np.zeros((2, PLACES, len(rest)), dtype=np.uint64)
+        for lo in range(0, len(rest), 2048):
+            for n, base in enumerate(_BASES):
+                hashes[n, :, lo:lo + 2048] = window_hashes(around[rest[lo:lo + 2048]], LENGTH, base).T
+        start, end = extent[rest] // 256, extent[rest] % 256
+        for back in range(PLACES):
+            # the window begins ``back`` bytes before the anchor, that is in this column
+            column = BEFORE - back
+            row = np.flatnonzero((start <= column) & (column + LENGTH <= end))
+            hit = rest[row[_later(hashes[0, column, row], hashes[1, column, row], docs[rest[row]])]]
+            mask[hit] |= np.int64(1) << np.int64(back)
     hit = mask != 0
-    out.append(pd.DataFrame({"doc_id": docs[hit], "nth": frame["nth"].to_numpy()[hit], "pos": frame["pos"].to_numpy()[hit], "mask": mask[hit]}))
-    return pd.concat(out)
+    return _packs(_dealt("mask", doc_blocks(docs[hit], blocks), *(x[hit] for x in (docs, nths, at, mask))))
 
 
 def _cut(key: tuple, texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """What is removed from, and left of, each document of a block."""
-    spans, masks = {}, {}
-    for doc, which, kind, x, y in zip(*(known[c] for c in ("doc_id", "text_key", "kind", "x", "y"))):
-        (spans if kind == "chunk" else masks)[doc, which] = list(zip(x.tolist(), y.tolist()))
+    masked = known["kind"] == "mask"
+    spans, masks = _by_text(known["a"][~masked].tolist()), _by_text(known["a"][masked].tolist())
     rows = []
     number = {(doc, text_key): nth for doc, text_key, nth, _ in _numbered(texts)}
+    back = np.arange(PLACES)
     for doc, text_key, text in texts[["doc_id", "text_key", "_bytes"]].itertuples(index=False):
-        starts = _settled(len(text), spans.get((doc, text_key), ()))
-        for pos, mask in masks.get((doc, number[doc, text_key]), ()):
-            back = np.flatnonzero([(mask >> o) & 1 for o in range(PLACES)])
-            starts[pos - back] = True
+        starts = _settled(len(text), spans.get((doc, text_key)))
+        if (doc, number[doc, text_key]) in masks:
+            at, mask = masks[doc, number[doc, text_key]]
+            starts[(at[:, None] - back)[(mask[:, None] >> back) & 1 > 0]] = True
         at = np.flatnonzero(starts)
         edge = np.zeros(len(text) + 1, dtype=np.int64)
         edge[at] += 1
@@ -505,13 +592,6 @@ def _cut(key: tuple, texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary"
 
 
-def _collected(rows: DataFrame, kind: str, x: str, y: str) -> DataFrame:
-    """Pairs of numbers of each text of a document in two arrays; a document has fewer of them than bytes."""
-    both = F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
-    lists = rows.groupBy("block", "doc_id", "text_key").agg(both.alias("pairs"))
-    return lists.select("block", "doc_id", "text_key", F.lit(kind).alias("kind"), F.col("pairs.x").alias("x"), F.col("pairs.y").alias("y"))
-
-
 def remove_repeats(docs: DataFrame, batches: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept``.
 
@@ -524,9 +604,11 @@ def remove_repeats(docs: DataFrame, batches: int | None = None, id_col: str = "d
        a chunk that a smaller id has too is settled, and so are its copies however many.
     2. The suffix levels tell every document which of its anchors others have.
     3. For those anchors, where not all is settled, the bytes around them are grouped by anchor, and the
-       smallest id of each window found there. Windows of one text are only met at their anchors. Around
-       an anchor with more than ``HOT`` places the windows are grouped by their own hash instead, each block
-       sending a window once; so no task holds all places of an anchor.
+       smallest id found there, first of the whole surroundings, then of each window. Windows of one text
+       are only met at their anchors. Around an anchor with more than ``HOT`` places the windows are grouped
+       by their own hash instead, each block sending a window once; so no task holds all places of an anchor.
+
+    What is exchanged goes in packs: one compressed row for what a block sends to a part.
 
     Null and empty texts give zero counts and the digest of no bytes; so do null ids (whose texts are kept and
     not compared). Rows under one id, equal or not, are not repeats of each other, and each text
@@ -547,11 +629,9 @@ def remove_repeats(docs: DataFrame, batches: int | None = None, id_col: str = "d
             yield pd.Series(doc_blocks(ids.to_numpy(dtype=np.int64), blocks).astype(np.int32))
 
     blocked = known.withColumn("block", F.pandas_udf(place, "int")("doc_id")).withColumn("text_key", F.xxhash64("_bytes"))
-    chunks = blocked.mapInPandas(_chunks, "hash binary, doc_id long, text_key long, block int, begin long, end long")
-    chunks = materialise(chunks, "suffix-chunks")
-    firsts = chunks.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last")
-    again = chunks.join(firsts, "hash").filter("doc_id > first").select("block", "doc_id", "text_key", "begin", "end").distinct()
-    settled = materialise(_collected(again, "chunk", "begin", "end"), "suffix-settled")
+    parts = max(16, -(-total // (CHUNK_PARTS * PART_BYTES)))
+    chunks = blocked.mapInPandas(lambda frames: _chunks(frames, parts), _PACK)
+    settled = materialise(chunks.groupBy("kind", "key").applyInPandas(_settle, _PACK), "suffix-settled").withColumnRenamed("key", "block")
 
     told = levels.found[0]
     for more in levels.found[1:]:
@@ -562,16 +642,11 @@ def remove_repeats(docs: DataFrame, batches: int | None = None, id_col: str = "d
     hot_groups = max(1, -(-places * PLACES // WINDOWS))
 
     def around(key: tuple, block: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
-        return _contexts(block, heard, hot, hot_groups)
+        return _contexts(block, heard, hot, hot_groups, groups)
 
-    contexts = texts.cogroup(told.groupBy("block")).applyInPandas(
-        around, "print long, doc_id long, nth long, pos long, left int, context binary, mask long"
-    )
-    masks = contexts.groupBy(F.pmod(F.xxhash64("print"), F.lit(groups)).alias("group")).applyInPandas(
-        _masks, "doc_id long, nth long, pos long, mask long"
-    )
-    masks = masks.withColumn("block", F.pandas_udf(place, "int")("doc_id"))
-    everything = _collected(masks.withColumnRenamed("nth", "text_key"), "mask", "pos", "mask").unionByName(settled)
+    contexts = texts.cogroup(told.groupBy("block")).applyInPandas(around, _PACK)
+    masks = contexts.groupBy("kind", "key").applyInPandas(lambda key, frame: _masks(key, frame, blocks), _PACK)
+    everything = masks.withColumnRenamed("key", "block").unionByName(settled)
     result = texts.cogroup(everything.groupBy("block")).applyInPandas(_cut, _RESULT)
     nameless = rows.filter("doc_id IS NULL").select(
         "doc_id", F.octet_length("_bytes").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
