@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.revisions import keep_last
+from tidemark.operators.sets import except_keys, intersect_keys
 
 
 def one_row_per_date(block: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -48,12 +49,13 @@ def common_keys(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
         values = [c for c in df.columns if c not in key]
         return df.na.drop("all", subset=values).select(*key)
 
-    return valued(a).intersect(valued(b))
+    return intersect_keys(valued(a), valued(b))
 
 
 def missing_keys(base: DataFrame, block: DataFrame, key: Sequence[str]) -> DataFrame:
     """Distinct base keys the block does not have."""
-    return base.select(*key).distinct().join(block.select(*key), list(key), "left_anti")
+    # a key with a null in it matches nothing, so the base keeps it
+    return except_keys(base.select(*key), block.select(*key).dropna())
 
 
 def broadcast_yearly(

@@ -22,9 +22,20 @@ def latest_rows(df: DataFrame, ts: str, n: int = 1, ties: Sequence[str] = ()) ->
     return df.orderBy(F.col(ts).desc_nulls_last(), *[F.col(t).asc() for t in ties]).limit(n)
 
 
+def _sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Each different row of either side once (nulls equal), with whether ``a`` and ``b`` hold it.
+
+    One aggregation, so a task keeps different rows only. ``intersect`` and ``subtract`` become joins with
+    every row of ``b``, repeated or not, and a broadcast of ``b`` stands in memory with all its copies.
+    """
+    names = [f"_{i}" for i in range(len(a.columns))]
+    marked = [df.toDF(*names).withColumns({"_a": F.lit(df is a), "_b": F.lit(df is b)}) for df in (a, b)]
+    return marked[0].union(marked[1]).groupBy(*names).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+
+
 def intersect_keys(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.intersect(b)
+    return _sides(a, b).filter("_a AND _b").drop("_a", "_b").toDF(*a.columns)
 
 
 def except_keys(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.subtract(b)
+    return _sides(a, b).filter("_a AND NOT _b").drop("_a", "_b").toDF(*a.columns)
