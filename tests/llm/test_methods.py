@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import near_dedup, suffix_dedup
+from tidemark.llm import embeddings, near_dedup, suffix_dedup
 from tidemark.llm.common import QUERIES
 from tidemark.llm.components import components, local_roots
 from tidemark.llm.embeddings import ProductIndex, link_embeddings
@@ -186,6 +186,42 @@ def test_probes_reach_similar_vectors_that_vary_in_few_directions():
     assert len(a) > 2 * len(rows) and probed[a, own[b]].mean() > 0.9999
 
 
+def test_each_pair_of_lists_is_looked_at_once_and_a_sketch_says_no_less_than_the_cosine():
+    every = np.arange(9)
+    asks = embeddings.asks_for(every[:, None], every)
+    assert ((asks ^ asks.T) | np.eye(9, dtype=bool)).all() and asks.diagonal().all()
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(900, 20)) * np.linspace(2, 0.2, 20)
+    rows = np.concatenate([rows, rows[:300] + 0.1 * rng.normal(size=(300, 20))])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    index = ProductIndex.fit(rows, 30)
+    side = embeddings.Side(rows, index.sketch(rows))
+    assert (side.sketch @ side.sketch.T >= rows @ rows.T - 1e-5).all()
+    assert len(set(index.group.tolist())) <= embeddings.GROUPS
+
+
+def test_links_across_small_blocks_count_once_at_both_ends(spark, monkeypatch):
+    """Blocks of 256 rows, folds of few links, copies, and vectors of a second length."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(400, 16))
+    rows = [*np.repeat(base, 5, axis=0) + 0.15 * rng.normal(size=(2000, 16)), *base[:30], *base[:30]]
+    other = rng.normal(size=(40, 6))
+    short = [*other, *(other + 0.05 * rng.normal(size=other.shape))]
+    monkeypatch.setattr(embeddings, "NUMBERS", 1)
+    monkeypatch.setattr(embeddings, "PAIRS", 1000)
+    monkeypatch.setattr(embeddings, "LINKS", 50)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*rows, *short])], "vec_id long, embedding array<double>")
+    got = link_embeddings(frame.repartition(4)).toPandas().sort_values("vec_id")
+    n = len(rows) + len(short)
+    near = np.zeros((n, n), dtype=bool)
+    for lo, part in ((0, rows), (len(rows), short)):
+        unit = np.array(part) / np.linalg.norm(part, axis=1, keepdims=True)
+        near[lo:lo + len(part), lo:lo + len(part)] = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert near.sum() > 1000 and got["n_links"].tolist() == near.sum(axis=1).tolist()
+    assert got["component_id"].tolist() == local_roots(n, *np.nonzero(near)).tolist()
+
+
 def test_queue_finds_the_cheapest_cuts():
     rng = np.random.default_rng(4)
     for _ in range(30):

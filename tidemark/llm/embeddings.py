@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,12 @@ LISTS = 512
 PARTS, WORDS = 8, 256
 #: how many standard deviations of a random displacement the probes allow for
 REACH = 5.0
-#: members and queries that meet in one task
-MEMBERS, QUERIES_A_TASK = 2048, 16384
+#: groups of lists, the unit of the shuffle
+GROUPS = 8
+#: members, or queries, that meet in one task: so many or, of more vectors, one in ``SHARE``, but not more numbers than fit
+MEMBERS, SHARE, NUMBERS = 8192, 32, 1 << 21
+#: pairs looked at together, and links found that are folded together
+PAIRS, LINKS = 1 << 20, 1 << 18
 
 
 def _means(rows: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -48,6 +53,8 @@ class ProductIndex:
     group: np.ndarray
     #: covariance of what is left of a vector after its centre, with trace 1
     spread: np.ndarray | None = None
+    #: orthonormal directions, as columns, in which the vectors extend most
+    axes: np.ndarray | None = None
 
     @classmethod
     def fit(cls, rows: np.ndarray, lists: int, seed: int = 11) -> ProductIndex:
@@ -56,10 +63,23 @@ class ProductIndex:
         rest = rows - centres[np.argmax(rows @ centres.T - 0.5 * (centres * centres).sum(axis=1), axis=1)]
         cuts = np.linspace(0, rows.shape[1], min(PARTS, rows.shape[1]) + 1).astype(int)
         words = [_means(rest[:, a:b], WORDS, 8, rng) for a, b in zip(cuts[:-1], cuts[1:])]
-        heart = _means(centres, max(1, lists // 16), 12, rng)
+        heart = _means(centres, max(1, min(GROUPS, lists // 16)), 12, rng)
         group = np.argmax(centres @ heart.T - 0.5 * (heart * heart).sum(axis=1), axis=1)
         spread = rest.T @ rest
-        return cls(centres, words, cuts, group, spread / max(np.trace(spread), 1e-300))
+        axes = np.linalg.eigh(rows.T @ rows)[1][:, ::-1][:, :max(1, rows.shape[1] // 2)]
+        return cls(centres, words, cuts, group, spread / max(np.trace(spread), 1e-300), np.ascontiguousarray(axes))
+
+    @cached_property
+    def apart(self) -> np.ndarray:
+        """For each two lists, one standard deviation of a unit displacement along the line of their centres."""
+        out = np.stack([np.linalg.norm(self.centres - c, axis=1) for c in self.centres])
+        out /= math.sqrt(max(1, self.centres.shape[1] - 1))
+        if self.spread is not None:
+            turned = self.centres @ self.spread
+            own = np.einsum("ij,ij->i", turned, self.centres)
+            along = own[:, None] + own[None] - 2 * turned @ self.centres.T
+            out = np.maximum(out, np.sqrt(np.maximum(along, 0.0)))
+        return out
 
     def place(self, rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """The list of each unit vector, and for each list whether it is to be probed.
@@ -82,17 +102,10 @@ class ProductIndex:
         """Which of some lists each vector, whose own list is known, has to probe."""
         off = math.sqrt(max(0.0, 1 - threshold * threshold))
         half = 0.5 * (self.centres * self.centres).sum(axis=1)
-        line = self.centres[:, None] - self.centres[lists][None]
-        apart = np.linalg.norm(line, axis=2) / math.sqrt(max(1, rows.shape[1] - 1))
-        if self.spread is not None:
-            turned = self.centres @ self.spread
-            own_part = np.einsum("ij,ij->i", turned, self.centres)
-            along = own_part[:, None] + own_part[lists][None] - 2 * turned @ self.centres[lists].T
-            apart = np.maximum(apart, np.sqrt(np.maximum(along, 0.0)))
         lead = np.einsum("ij,ij->i", rows, self.centres[own])[:, None] - rows @ self.centres[lists].T
         # over all displacements up to the threshold's, the margin is least at one of the two ends
         near = np.minimum(lead, threshold * lead) - (half[own][:, None] - half[lists])
-        return near <= REACH * off * apart[own] + 1e-12
+        return near <= REACH * off * self.apart[np.ix_(own, lists)] + 1e-12
 
     def encode(self, rows: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes, and how far each vector is from what its code says."""
@@ -104,26 +117,58 @@ class ProductIndex:
             rest[:, a:b] -= w[codes[:, m]]
         return codes, np.linalg.norm(rest, axis=1)
 
-    def similar(self, queries: np.ndarray, members: np.ndarray, codes: np.ndarray, error: np.ndarray, at: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def sketch(self, rows: np.ndarray) -> np.ndarray:
+        """Unit vectors along ``axes``, and the length of what is left: products of these are never below the cosine's."""
+        if self.axes is None:
+            return rows.astype(np.float32)
+        inside = rows @ self.axes
+        left = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", inside, inside)))
+        return np.concatenate([inside, left[:, None]], axis=1).astype(np.float32)
+
+    def similar(self, queries: Side, members: Side, codes: np.ndarray, error: np.ndarray, at: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, member) positions with cosine at or over the threshold, a chunk of queries at a time.
 
-        The cosine is first summed from one table per part of the query (asymmetric distance). As a
-        member is at most its code error away from its code, no similar pair fails this test; what
-        passes is measured exactly.
+        Where the sketches leave a cosine possible, it is summed from one table per part of the query (asymmetric distance). As a
+        member is at most its code error away from its code, and a sketch never says too little, no similar pair
+        fails these tests; what passes is measured exactly.
         """
-        for lo in range(0, len(queries), 256):
-            part = queries[lo:lo + 256]
-            rough = np.repeat((part @ self.centres[at])[:, None], len(members), axis=1)
+        chunk = max(1, PAIRS // max(1, len(members.unit)))
+        # what single precision may take from a product of unit vectors
+        least = threshold - 1e-5 - 1e-7 * members.sketch.shape[1]
+        for lo in range(0, len(queries.unit), chunk):
+            possible = queries.sketch[lo:lo + chunk] @ members.sketch.T >= least
+            rows = np.flatnonzero(possible.any(axis=1))
+            if not len(rows):
+                continue
+            columns = np.flatnonzero(possible[rows].any(axis=0))
+            part = queries.unit[lo + rows]
+            rough = np.repeat((part @ self.centres[at])[:, None], len(columns), axis=1)
             for m, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:])):
                 table = part[:, a:b] @ self.words[m].T
-                rough += table[:, codes[:, m]]
-            maybe = rough >= threshold - error[None, :] - 1e-9
-            rows, columns = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
-            if not len(rows):
+                rough += table[:, codes[columns, m]]
+            maybe = rough >= threshold - error[None, columns] - 1e-9
+            r, c = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+            if not len(r):
                 continue
-            exact = part[rows] @ members[columns].T
-            q, c = np.nonzero((exact >= threshold) & maybe[np.ix_(rows, columns)])
-            yield lo + rows[q], columns[c]
+            exact = part[r] @ members.unit[columns[c]].T
+            q, m = np.nonzero((exact >= threshold) & maybe[np.ix_(r, c)])
+            yield lo + rows[r[q]], columns[c[m]]
+
+
+@dataclass
+class Side:
+    """Unit vectors and their sketches."""
+
+    unit: np.ndarray
+    sketch: np.ndarray
+
+    def __getitem__(self, which) -> Side:
+        return Side(self.unit[which], self.sketch[which])
+
+
+def asks_for(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """Of two lists, or groups, whether the first asks the second; each pair is looked at from one side only."""
+    return (a == b) | (((a + b) % 2 == 1) == (a < b))
 
 
 def _unit(frame: pd.Series) -> np.ndarray:
@@ -144,7 +189,8 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     """One row per vector: ``vec_id, n_links, component_id, kept``.
 
     Equal vectors are one class: only its smallest id is searched, weighted by its copies. Every
-    class is indexed and asks all lists that may hold something similar. Lists that lie together form a group;
+    class is indexed and asks the lists that may hold something similar; of two lists one asks the other, and what is
+    found counts at both ends. Lists that lie together form a group;
     groups of any size are cut in blocks of members and of queries, each pair of blocks a task; a task returns counts and one link of
     each node to the smallest node it reaches there, never pairs. Components come from these links.
 
@@ -184,7 +230,9 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                 unit = _unit(part["_v"])
                 own, probed = index.place(unit, threshold)
                 codes, error = index.encode(unit, own)
-                asks = [sorted(set(index.group[p].tolist())) for p in probed]
+                of_group = index.group[:, None] == np.arange(index.group.max() + 1)
+                asked = (probed.astype(np.float32) @ of_group.astype(np.float32) > 0) & asks_for(index.group[own][:, None], np.arange(of_group.shape[1]))
+                asks = [np.flatnonzero(g) for g in asked]
                 part["list"], part["own"], part["asks"] = own, index.group[own], pd.Series(asks, part.index, dtype=object)
                 part["code"], part["error"] = pd.Series([c.tobytes() for c in codes], part.index, dtype=object), error
                 yield part[columns]
@@ -197,8 +245,10 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     # blocks of a group of lists, from its size
     sizes = indexed.groupBy(F.col("own").alias("group")).agg(F.count(F.lit(1)).alias("n"))
     asked = indexed.select(F.explode("asks").alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("q"))
+    width = F.when(F.col("group") < 0, -F.col("group")).otherwise(dim)
+    block = F.greatest(F.lit(256.0), F.least(F.lit(NUMBERS) / width, F.lit(float(max(MEMBERS, n // SHARE)))))
     blocks = sizes.join(asked, "group").select(
-        "group", F.ceil(F.col("n") / MEMBERS).cast("int").alias("_mb"), F.ceil(F.col("q") / QUERIES_A_TASK).cast("int").alias("_qb")
+        "group", F.ceil(F.col("n") / block).cast("int").alias("_mb"), F.ceil(F.col("q") / block).cast("int").alias("_qb")
     )
     salt = lambda count: F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
     members = indexed.withColumn("group", F.col("own")).join(blocks, "group").select(
@@ -217,40 +267,50 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         nothing = pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
         if not len(mine) or not len(asks):
             return nothing
-        m, q = _unit(mine["_v"]), _unit(asks["_v"])
-        m_id, q_id, weight = mine["rep"].to_numpy(), asks["rep"].to_numpy(), mine["copies"].to_numpy()
+        if group < 0:
+            width = len(mine["_v"].iloc[0])
+            index = ProductIndex(np.zeros((1, width)), [], np.array([0]), np.array([0]))
+        m, q = (Side(unit, index.sketch(unit)) for unit in (_unit(mine["_v"]), _unit(asks["_v"])))
+        m_id, q_id, m_copies, q_copies = (x.to_numpy() for x in (mine["rep"], asks["rep"], mine["copies"], asks["copies"]))
 
         def links_found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             if group < 0:
-                whole = ProductIndex(np.zeros((1, m.shape[1])), [], np.array([0]), np.array([0]))
-                yield from whole.similar(q, m, np.zeros((len(m), 0), np.uint8), np.full(len(m), 2.0), 0, threshold)
+                for a, b in index.similar(q, m, np.zeros((len(m_id), 0), np.uint8), np.full(len(m_id), 2.0), 0, threshold):
+                    once = q_id[a] < m_id[b]
+                    yield a[once], b[once]
                 return
-            codes = np.frombuffer(b"".join(mine["code"]), dtype=np.uint8).reshape(len(m), -1)
-            error, lists_of = mine["error"].to_numpy(), mine["list"].to_numpy()
+            codes = np.frombuffer(b"".join(mine["code"]), dtype=np.uint8).reshape(len(m_id), -1)
+            error, lists_of, from_list = mine["error"].to_numpy(), mine["list"].to_numpy(), asks["list"].to_numpy()
             here = np.unique(lists_of)
-            probed = index.probes(q, asks["list"].to_numpy(), here, threshold)
+            probed = index.probes(q.unit, from_list, here, threshold)
+            outside = index.group[from_list] != group
             for column, at in enumerate(here.tolist()):
                 lo, hi = np.searchsorted(lists_of, [at, at + 1])
-                asking = np.flatnonzero(probed[:, column])
+                asking = np.flatnonzero(probed[:, column] & (outside | asks_for(from_list, at)))
                 for a, b in index.similar(q[asking], m[lo:hi], codes[lo:hi], error[lo:hi], at, threshold):
-                    yield asking[a], lo + b
+                    a, b = asking[a], lo + b
+                    once = (from_list[a] != at) | (q_id[a] < m_id[b])
+                    yield a[once], b[once]
 
-        found = links_found()
         ids = np.union1d(m_id, q_id)
         m_at, q_at = np.searchsorted(ids, m_id), np.searchsorted(ids, q_id)
-        links = np.zeros(len(ids), dtype=np.int64)
-        stars: list[np.ndarray] = []
-        for a, b in found:
-            other = q_id[a] != m_id[b]
-            a, b = q_at[a[other]], b[other]
-            links += np.bincount(a, weights=weight[b], minlength=len(ids)).astype(np.int64)
-            root = local_roots(len(ids), a, m_at[b])
+        links, root = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def fold() -> None:
+            a, b = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            np.add.at(links, q_at[a], m_copies[b])
+            np.add.at(links, m_at[b], q_copies[a])
             moved = np.flatnonzero(root != np.arange(len(ids)))
-            stars.append(np.stack([moved, root[moved]]))
-        if not stars:
-            return nothing
-        ends = np.concatenate(stars, axis=1)
-        root = local_roots(len(ids), ends[0], ends[1])
+            root[:] = local_roots(len(ids), np.concatenate([moved, q_at[a]]), np.concatenate([root[moved], m_at[b]]))
+
+        for pair in links_found():
+            held.append(pair)
+            if sum(len(a) for a, _ in held) >= LINKS:
+                fold()
+        if held:
+            fold()
         told = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
         return pd.DataFrame({"rep": ids[told], "links": links[told], "root": ids[root[told]]})
 
