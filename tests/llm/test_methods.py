@@ -222,6 +222,36 @@ def test_links_across_small_blocks_count_once_at_both_ends(spark, monkeypatch):
     assert got["component_id"].tolist() == local_roots(n, *np.nonzero(near)).tolist()
 
 
+def test_smaller_ids_are_found_without_sorting_by_both_hashes(monkeypatch):
+    rng = np.random.default_rng(3)
+    h, docs = rng.integers(0, 300, 500).astype(np.uint64), rng.integers(0, 40, 500)
+    for g in (h * np.uint64(7), rng.integers(0, 2, 500).astype(np.uint64)):
+        least = {}
+        for key, doc in zip(zip(h.tolist(), g.tolist()), docs.tolist()):
+            least[key] = min(doc, least.get(key, doc))
+        want = [least[key] < doc for key, doc in zip(zip(h.tolist(), g.tolist()), docs.tolist())]
+        assert suffix_dedup._later(h, g, docs).tolist() == want
+    monkeypatch.setattr(np, "lexsort", None)
+    assert suffix_dedup._later(h, h, docs).sum() == sum(docs[i] > docs[h == h[i]].min() for i in range(500))
+    assert suffix_dedup._later(h[:0], h[:0], docs[:0]).tolist() == []
+    known = np.array([2, 5, 9], dtype=np.uint64)
+    assert suffix_dedup._among(np.array([9, 1, 5, 11], dtype=np.uint64), known).tolist() == [True, False, True, False]
+    assert not suffix_dedup._among(known, known[:0]).any()
+
+
+def test_anchors_are_the_least_hash_of_each_window_also_where_places_start_anew(monkeypatch):
+    text = np.random.default_rng(4).integers(97, 100, 900).astype(np.uint8)
+    key = suffix_dedup.prefix_hashes(text) & ~suffix_dedup._POSITION
+    last = [s + suffix_dedup.PLACES - 1 - int(np.argmin(key[s:s + suffix_dedup.PLACES][::-1])) for s in range(len(text) - suffix_dedup.LENGTH + 1)]
+    found, prints = anchors(text)
+    assert found.tolist() == sorted(set(last))
+    assert (suffix_dedup.prefix_hashes(text[3:]) == suffix_dedup.prefix_hashes(text)[3:]).all()
+    monkeypatch.setattr(suffix_dedup, "_POSITION", np.uint64(255))
+    again, _ = anchors(text)
+    for s in range(len(text) - suffix_dedup.LENGTH + 1):
+        assert ((again >= s) & (again < s + suffix_dedup.PLACES)).any()
+
+
 def test_queue_finds_the_cheapest_cuts():
     rng = np.random.default_rng(4)
     for _ in range(30):

@@ -75,6 +75,17 @@ def _sliding(values: np.ndarray, width: int, least) -> np.ndarray:
     return least(values[:-rest], values[rest:]) if rest else values
 
 
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """Hash, in its upper 40 bits, of every run of ``PREFIX`` bytes, read as two words of eight bytes."""
+    data = np.ascontiguousarray(data)
+    words = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,)).copy()
+    out = words[:-8] * np.uint64(_BASES[0])
+    out += words[8:]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(_BASES[1])
+    return out
+
+
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions and 40-bit hashes of the anchors of a document (none below LENGTH bytes).
 
@@ -83,7 +94,13 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     if len(data) < LENGTH:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    key = window_hashes(data, PREFIX) & ~_POSITION
+    key = prefix_hashes(data)
+    key &= ~_POSITION
+    if len(key) <= int(_POSITION):
+        low = _sliding(key | np.arange(int(_POSITION), int(_POSITION) - len(key), -1, dtype=np.uint64), PLACES, np.minimum)
+        # the place of the least value only moves on, and its value holds the place
+        low = low[_changes(low)]
+        return (_POSITION - (low & _POSITION)).astype(np.int64), _mixed(low & ~_POSITION) >> np.uint64(24)
     at = np.arange(len(key), dtype=np.uint64)
     low = _sliding(key | (_POSITION - (at & _POSITION)), PLACES, np.minimum)
     # the position of each window's least value: the packed one, in the turn in which the window lies
@@ -456,12 +473,12 @@ def _contexts(texts: pd.DataFrame, told: pd.DataFrame, hot: np.ndarray, hot_grou
         if doc not in by_doc:
             continue
         found, prints = anchors(_array(text))
-        shared = np.isin(prints, np.concatenate(by_doc[doc]))
+        shared = _among(prints, np.sort(np.concatenate(by_doc[doc])))
         known = np.concatenate([[0], np.cumsum(~_settled(len(text), spans.get((doc, text_key))))])
         first = np.maximum(found - (PLACES - 1), 0)
         last = np.minimum(found + 1, max(0, len(text) - LENGTH + 1))
         open_ = shared & (last > first) & (known[np.maximum(last, first)] > known[first])
-        dense = open_ & np.isin(prints, hot)
+        dense = open_ & _among(prints, hot)
         if dense.any():
             edge = np.zeros(len(text) + 1, dtype=np.int64)
             np.add.at(edge, first[dense], 1)
@@ -503,15 +520,37 @@ def _contexts(texts: pd.DataFrame, told: pd.DataFrame, hot: np.ndarray, hot_grou
 
 def _later(h: np.ndarray, g: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Which windows, by their two hashes, a document with a smaller id has too."""
-    order = np.lexsort((g, h))
-    h, g, d = h[order], g[order], docs[order]
-    begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])) if len(h) else order
     out = np.zeros(len(h), dtype=bool)
-    if len(begin) < len(h):
-        out[order] = np.repeat(np.minimum.reduceat(d, begin), np.diff(np.append(begin, len(d)))) < d
+    order = np.argsort(h)
+    first = h[order]
+    again = first[1:] == first[:-1]
+    if not again.any():
+        return out
+    many = np.zeros(len(h), dtype=bool)
+    many[1:] = again
+    many[:-1] |= again
+    order = order[many]
+    fresh, apart = _changes(h[order]), _changes(g[order])
+    if (apart & ~fresh).any():  # equal in the first hash only
+        order = order[np.lexsort((g[order], h[order]))]
+        fresh = _changes(h[order]) | _changes(g[order])
+    begin, d = np.flatnonzero(fresh), docs[order]
+    out[order] = np.repeat(np.minimum.reduceat(d, begin), np.diff(np.append(begin, len(d)))) < d
     return out
 
 
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where a value is not the one before it; the first counts."""
+    return np.concatenate([[True], values[1:] != values[:-1]])
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _bits(docs: np.ndarray, nths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """Starts of windows as columns document, text, place, mask: bit o stands for the window o bytes before."""
     place = at // PLACES * PLACES + PLACES - 1
