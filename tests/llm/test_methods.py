@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,51 @@ def test_batches_grow_with_the_bytes_and_levels_merge(spark, monkeypatch):
     assert occupied[:4] == [[True], [False, True], [True, True], [False, False, True]]
 
 
+def test_messages_to_blocks_do_not_grow_with_the_frames_of_the_input(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    letters = lambda n: bytes(rng.integers(97, 123, n))
+    shared = letters(90)
+    docs = {i: letters(60) + shared + letters(40) for i in range(1600)}
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", sum(map(len, docs.values())) // 8)
+    monkeypatch.setattr(suffix_dedup, "HOT", 250)
+    family, add = [], suffix_dedup.SuffixLevels.add
+
+    def watched(self, batch, last=False):
+        add(self, batch, last)
+        family[:] = [self]
+
+    monkeypatch.setattr(suffix_dedup.SuffixLevels, "add", watched)
+    frame = spark.createDataFrame([(k, v.decode()) for k, v in docs.items()], "doc_id long, text string").repartition(100)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(frame, batches=2).collect()}
+    assert got == brute_repeats(docs)
+    told = sum(table.filter("kind = 'told'").count() for table in family[0].found)
+    # a pack a block from each part, and from each of the 16 tasks of a batch that gather
+    assert 0 < told <= (family[0].parts + 2 * 16) * family[0].blocks
+
+
+def test_parts_and_groups_grow_where_packs_would_be_many():
+    parts = [suffix_dedup._number(n << 30, 1 << 23, 256, 4) for n in (0, 1, 2, 8, 16, 64)]
+    assert parts == [1, 128, 256, 256, 512, 2048]
+    assert suffix_dedup._number(5, 2) == 3
+
+
+def test_anchors_looked_at_in_parts_give_the_same_windows(monkeypatch):
+    rng = np.random.default_rng(17)
+    text = bytes(rng.integers(97, 123, 4000))
+    rows = [(i, 0, text[n:n + 300 + 7 * i] + bytes(rng.integers(97, 123, 40))) for i, n in enumerate(rng.integers(0, 3000, 40).tolist())]
+    texts = pd.DataFrame(rows, columns=["doc_id", "text_key", "_bytes"])
+    every = np.unique(np.concatenate([anchors(np.frombuffer(t, dtype=np.uint8))[1] for _, _, t in rows]))
+    # each text a block of its own, so that nothing is decided before
+    told = pd.DataFrame({"kind": ["told"], "block": [0], "a": [suffix_dedup._packed(every, np.ones(len(every), dtype=np.int64))]})
+    asked = pd.concat([suffix_dedup._contexts(texts.iloc[[i]], told, np.zeros(0, dtype=np.uint64), 1, 1) for i in range(len(texts))])
+    masks = []
+    for together in (1 << 16, 5):
+        monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+        out = suffix_dedup._masks(("asked", 0), asked, 1)
+        masks.append(sorted(zip(*suffix_dedup._unpacked(out["a"].tolist(), 4).tolist())))
+    assert masks[0] == masks[1] and len(masks[0]) > 50
+
+
 @pytest.mark.parametrize("turn", [7, 24])
 def test_every_window_holds_an_anchor_that_depends_on_it_alone(monkeypatch, turn):
     monkeypatch.setattr(suffix_dedup, "_POSITION", np.uint64((1 << turn) - 1))

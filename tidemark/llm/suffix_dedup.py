@@ -29,13 +29,20 @@ PLACES = LENGTH - PREFIX + 1
 CHUNK = 12
 #: bytes of text that a part of the index, a block of documents or a group of contexts stands for
 PART_BYTES, BLOCK_BYTES, GROUP_BYTES = 1 << 23, 1 << 23, 1 << 21
+#: blocks send a pack to each part and group, so from these numbers on parts and groups first grow to so many times their bytes
+MOST_PARTS, PART_GROWTH = 256, 4
+MOST_GROUPS, GROUP_GROWTH = 512, 8
+#: bytes of text whose messages to blocks are gathered in one task, and are a pack a block from there
+DEAL_BYTES = 1 << 25
+#: anchors that go to the index at once, and anchors of a group that are looked at together
+RUN, TOGETHER = 1 << 20, 1 << 16
 #: parts of the index that meet in one task as chunks
 CHUNK_PARTS = 8
-#: bytes of text of a batch of the index; from four batches on, levels of equal size merge
-BATCH_BYTES = 1 << 31
-#: documents of one batch that hold an anchor; from more, only the first and last go to the index
+#: bytes of text of a batch of the index, which grows from this number of batches on; levels of equal size merge
+BATCH_BYTES, MOST_BATCHES = 1 << 31, 4
+#: documents of one run that hold an anchor; from more, only the first and last go to the index
 HELD = 4
-#: an anchor that stands in more places than this is hot: its windows meet by their own hash, not by the anchor
+#: an anchor that stands in more places than this is hot: its windows meet by their own hash, not by the anchor; grows with the groups
 HOT = 1 << 14
 #: counters of the first look for hot anchors, and windows of hot anchors that meet in one task
 COUNTERS, WINDOWS = 1 << 18, 1 << 20
@@ -154,17 +161,12 @@ def _runs(frame_rows: list[tuple]) -> pd.DataFrame:
 
 
 def _told(prints: np.ndarray, docs: np.ndarray, blocks: int) -> list[tuple]:
-    """Rows that tell blocks of documents which of their anchors others have too."""
-    block = doc_blocks(docs, blocks)
-    order = np.lexsort((prints, docs, block))
-    prints, docs, block = prints[order], docs[order], block[order]
-    cuts = np.flatnonzero(np.diff(block)) + 1
-    rows = []
-    for p, d, b in zip(np.split(prints, cuts), np.split(docs, cuts), np.split(block, cuts)):
-        if len(b):
-            by_print = np.argsort(p, kind="stable")
-            rows.append(("told", int(b[0]), *_pack(p[by_print], d[by_print])))
-    return rows
+    """Rows that tell blocks of documents which anchors others have too: each once, with the number of documents."""
+    keys = np.sort(doc_blocks(docs, blocks).astype(np.uint64) << np.uint64(40) | prints)
+    begin = np.flatnonzero(_changes(keys)) if len(keys) else np.zeros(0, np.int64)
+    n = np.diff(np.append(begin, len(keys)))
+    block, prints = (keys[begin] >> np.uint64(40)).astype(np.int64), keys[begin] & np.uint64((1 << 40) - 1)
+    return [("told", k, _packed(prints[lo:hi], n[lo:hi]), None) for k, lo, hi in _spans(block)]
 
 
 def doc_blocks(docs: np.ndarray, blocks: int) -> np.ndarray:
@@ -175,121 +177,113 @@ def doc_blocks(docs: np.ndarray, blocks: int) -> np.ndarray:
 class SuffixLevels:
     """The logarithmic family: level k holds the suffix arrays of about 2^k batches, or nothing.
 
-    ``add`` makes the suffix array of a new batch, scans it part by part against all levels for
-    common anchors and, in the same pass, merges it with the levels 0, 1, ... that are occupied, up to the
-    first free one, where the merged array goes. A batch is thus rewritten log2(batches)
-    times. Levels are tables in the shared folder; a part is one range of hashes.
+    ``add`` makes the suffix array of a new batch and merges it, part by part, with the levels 0, 1, ... that
+    are occupied, up to the first free one, where the merged array goes. A batch is thus rewritten
+    log2(batches) times. With the last batch all levels meet and are scanned for common anchors, each told
+    once. Levels are tables in the shared folder; a part is one range of hashes.
     """
 
-    def __init__(self, parts: int, blocks: int):
-        self.parts, self.blocks = parts, blocks
+    def __init__(self, parts: int, blocks: int, deals: int = 16):
+        """``deals``: tasks of a batch that gather what goes to the blocks without a scan."""
+        self.parts, self.blocks, self.deals = parts, blocks, deals
         self.levels: list[DataFrame | None] = []
         self.found: list[DataFrame] = []
-        self.often: list[DataFrame] = []
 
     def add(self, batch: DataFrame, last: bool = False) -> None:
         """``batch``: ``doc_id``, ``_bytes``. After the ``last`` batch no level is written."""
         parts, blocks = self.parts, self.blocks
         free = next((k for k, level in enumerate(self.levels) if level is None), len(self.levels))
 
-        def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in _parts(frames):
-                prints, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                again, more = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for doc, text in zip(frame["doc_id"], frame["_bytes"]):
-                    _, p = anchors(_array(text))
-                    p, places = np.unique(p, return_counts=True)
-                    prints.append(p)
-                    docs.append(np.full(len(p), doc, dtype=np.int64))
-                    again.append(p[places > 1])
-                    more.append(places[places > 1] - 1)
-                # places of an anchor beyond one a document, for the count of its places
-                again, at = np.unique(np.concatenate(again), return_inverse=True)
-                more = np.bincount(at, weights=np.concatenate(more), minlength=len(again)).astype(np.int64)
-                p, d = np.concatenate(prints), np.concatenate(docs)
-                order = np.lexsort((d, p))
-                p, d = p[order], d[order]
-                fresh = np.ones(len(p), dtype=bool)
-                fresh[1:] = (p[1:] != p[:-1]) | (d[1:] != d[:-1])  # a document may come twice
-                p, d = p[fresh], d[fresh]
-                # of an anchor that many documents of this batch share, two stand for all
-                begin = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
-                sizes = np.diff(np.append(begin, len(p)))
-                many = np.repeat(sizes > HELD, sizes)
+        def run(docs: list[int], prints: list[np.ndarray]) -> pd.DataFrame:
+            table, place = np.unique(np.array(docs, dtype=np.int64), return_inverse=True)
+            # sorted by anchor and document: 40 bits of the one, the place of the other below
+            key = np.sort(np.concatenate(prints) << np.uint64(24) | np.repeat(place.astype(np.uint64), [len(p) for p in prints]))
+            begin = np.flatnonzero(_changes(key))  # a document may come twice, and hold an anchor twice
+            more = np.diff(np.append(begin, len(key))) - 1
+            key = key[begin]
+            p, d = key >> np.uint64(24), table[(key & np.uint64((1 << 24) - 1)).astype(np.int64)]
+            rows = []
+            if more.any():  # places of an anchor beyond one a document, for the count of its places
+                rows.append(("often", 0, _packed(p[more > 0], more[more > 0]), None))
+            # of an anchor that many documents of this run share, two stand for all
+            begin = np.flatnonzero(_changes(p))
+            sizes = np.diff(np.append(begin, len(p)))
+            many = np.repeat(sizes > HELD, sizes)
+            if many.any():
+                rows.append(("many", 0, *_pack(p[many], d[many])))
                 ends = np.zeros(len(p), dtype=bool)
                 ends[begin] = True
                 ends[np.append(begin, len(p))[1:] - 1] = True
-                rows = _told(p[many], d[many], blocks)
-                if len(again):
-                    rows.append(("often", 0, *_pack(again, more)))
                 p, d = p[~many | ends], d[~many | ends]
-                part = (p * np.uint64(parts)) >> np.uint64(40)
-                for k, lo, hi in _spans(part):
-                    rows.append(("new", k, *_pack(p[lo:hi], d[lo:hi])))
-                yield _runs(rows)
+            part = (p * np.uint64(parts)) >> np.uint64(40)
+            return _runs(rows + [("new", k, *_pack(p[lo:hi], d[lo:hi])) for k, lo, hi in _spans(part)])
+
+        def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            docs, prints, size = [], [], 0
+            for frame in _parts(frames):
+                for doc, text in zip(frame["doc_id"], frame["_bytes"]):
+                    _, p = anchors(_array(text))
+                    if len(p):
+                        docs.append(doc)
+                        prints.append(p)
+                        size += len(p)
+                if size >= RUN:
+                    yield run(docs, prints)
+                    docs, prints, size = [], [], 0
+            if size:
+                yield run(docs, prints)
 
         rows = batch.mapInPandas(index, _RUN)
         for k, level in enumerate(self.levels):
-            if level is not None:
-                rows = rows.unionByName(level.withColumn("kind", F.lit("merge" if k < free else "keep")))
+            if level is not None and (last or k < free):
+                rows = rows.unionByName(level)
 
         def scan(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            if key[1]:
-                return frame[["kind", "key", "a", "b"]]  # told by a batch already, or counts
-            runs = [(kind, *_unpack(a, b)) for kind, a, b in zip(frame["kind"], frame["a"], frame["b"])]
-            p = np.concatenate([r[1] for r in runs])
-            d = np.concatenate([r[2] for r in runs])
-            new = np.repeat([r[0] == "new" for r in runs], [len(r[1]) for r in runs])
-            move = np.repeat([r[0] != "keep" for r in runs], [len(r[1]) for r in runs])
-            order = np.lexsort((d, p))
-            p, d, new, move = p[order], d[order], new[order], move[order]
-            begin = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-            sizes = np.diff(np.append(begin, len(p)))
-            lo, hi = np.minimum.reduceat(d, begin), np.maximum.reduceat(d, begin)
-            common = np.repeat((lo != hi) & np.logical_or.reduceat(new, begin), sizes)
-            out = _told(p[common], d[common], blocks)
+            if key[1]:  # known to be common already: only to be dealt out; or counts
+                many = frame["kind"] == "many"
+                runs = [_unpack(a, b) for a, b in zip(frame["a"][many], frame["b"][many])]
+                told = _told(*(np.concatenate(x) for x in zip(*runs)), blocks) if runs else []
+                return pd.concat([_runs(told), frame.loc[~many, ["kind", "key", "a", "b"]]])
+            runs = [_unpack(a, b) for a, b in zip(frame["a"], frame["b"])]
+            p, d = (np.concatenate(x) for x in zip(*runs))
+            order = np.argsort(p, kind="stable")
+            p, d = p[order], d[order]
             if not last:
-                out.append(("level", int(key[0]), *_pack(p[move], d[move])))
-            return _runs(out)
+                return _runs([("level", int(key[0]), *_pack(p, d))])
+            begin = np.flatnonzero(_changes(p))
+            common = np.repeat(np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin), np.diff(np.append(begin, len(p))))
+            return _runs(_told(p[common], d[common], blocks))
 
-        pass_ = F.col("kind").isin("told", "often").alias("pass")
-        # counts need not meet here: they are dealt out like the rest
-        key = F.when(F.col("kind") == "often", F.pmod(F.xxhash64("a"), F.lit(parts)).cast("int")).otherwise(F.col("key")).alias("key")
+        pass_ = F.col("kind").isin("many", "often").alias("pass")
+        key = F.when(pass_, F.pmod(F.xxhash64("a"), F.lit(self.deals)).cast("int")).otherwise(F.col("key")).alias("key")
         done = materialise(rows.select("kind", key, "a", "b").groupBy("key", pass_).applyInPandas(scan, _RUN), "suffix-level")
-        self.found.append(done.filter("kind = 'told'"))
-        self.often.append(done.filter("kind = 'often'"))
+        self.found.append(done.filter("kind IN ('told', 'often')").select("kind", "key", "a"))
         self.levels += [None] * (free + 1 - len(self.levels))
         self.levels[:free] = [None] * free
         self.levels[free] = done.filter("kind = 'level'")
 
-
-    def hot(self) -> tuple[np.ndarray, int]:
-        """The anchors with more than ``HOT`` places, sorted, and how many places they have in all.
+    def hot(self, bound: int) -> tuple[np.ndarray, int]:
+        """The anchors with more than ``bound`` places, sorted, and how many places they have in all.
 
         Places are first counted by a part of the hash; only where such a count is above the bound are
         the anchors themselves counted. So what is exchanged does not grow with the number of anchors.
         """
-        runs = None
-        for table in [*self.found, *self.often]:
-            runs = table.select("kind", "a", "b") if runs is None else runs.unionByName(table.select("kind", "a", "b"))
-        slices = 16
-
-        def places(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for kind, a, b in zip(frame["kind"], frame["a"], frame["b"]):
-                p, d = _unpack(a, b)
-                yield p, (d if kind == "often" else np.ones(len(p), dtype=np.int64))
+        runs = self.found[0]
+        for table in self.found[1:]:
+            runs = runs.unionByName(table)
+        runs, slices = runs.select("a"), 16
 
         def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts = np.zeros(COUNTERS, dtype=np.int64)
             for frame in frames:
-                for p, n in places(frame):
-                    np.add.at(counts, (p % np.uint64(COUNTERS)).astype(np.int64), n)
+                p, n = _unpacked(frame["a"].tolist(), 2)
+                np.add.at(counts, p % COUNTERS, n)
             if counts.any():
                 yield pd.DataFrame([(k, zlib.compress(x.tobytes(), 1)) for k, x in enumerate(np.split(counts, slices))], columns=["slice", "counts"])
 
         def above(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             total = sum(np.frombuffer(zlib.decompress(c), dtype=np.int64) for c in frame["counts"])
-            return pd.DataFrame({"counter": np.flatnonzero(total > HOT) + int(key[0]) * (COUNTERS // slices)}).astype("int64")
+            return pd.DataFrame({"counter": np.flatnonzero(total > bound) + int(key[0]) * (COUNTERS // slices)}).astype("int64")
 
         counters = runs.mapInPandas(tally, "slice int, counts binary").groupBy("slice").applyInPandas(above, "counter long").toPandas()["counter"]
         if not len(counters):
@@ -299,15 +293,20 @@ class SuffixLevels:
 
         def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                for p, n in places(frame):
-                    here = busy[(p % np.uint64(COUNTERS)).astype(np.int64)]
-                    p, at = np.unique(p[here], return_inverse=True)
-                    yield pd.DataFrame({"print": p.astype(np.int64), "n": np.bincount(at, weights=n[here], minlength=len(p)).astype(np.int64)})
+                p, n = _unpacked(frame["a"].tolist(), 2)
+                here = busy[p % COUNTERS]
+                p, at = np.unique(p[here], return_inverse=True)
+                yield pd.DataFrame({"print": p, "n": np.bincount(at, weights=n[here], minlength=len(p)).astype(np.int64)})
 
-        found = runs.mapInPandas(count, "print long, n long").groupBy("print").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT).toPandas()
+        found = runs.mapInPandas(count, "print long, n long").groupBy("print").agg(F.sum("n").alias("n")).filter(F.col("n") > bound).toPandas()
         return np.sort(found["print"].to_numpy(dtype=np.int64)).astype(np.uint64), int(found["n"].sum())
 
 
+def _number(total: int, size: int, most: int = 0, growth: int = 1) -> int:
+    """How many of ``size`` bytes ``total`` makes, one at least; beyond ``most`` they first grow to ``growth`` times that size."""
+    return max(1, min(-(-total // size), most), -(-total // (size * growth)))
+
+
 def _spans(keys: np.ndarray) -> list[tuple[int, int, int]]:
     """(key, from, to) of the runs of equal keys."""
     if not len(keys):
@@ -361,25 +360,26 @@ def _chunks(frames: Iterator[pd.DataFrame], parts: int) -> Iterator[pd.DataFrame
         for doc, text_key, block, text in zip(frame["doc_id"], frame["text_key"], frame["block"], frame["_bytes"]):
             if len(text) < LENGTH:
                 continue
-            begin = 0
-            for end in chunk_ends(*anchors(_array(text)), len(text)).tolist():
-                if begin + LENGTH <= len(text):
-                    prints.append(xxhash.xxh3_128_digest(text[begin:end + LENGTH - 1]))
-                    rows.append((doc, text_key, block, begin, end))
-                begin = end
+            ends = chunk_ends(*anchors(_array(text)), len(text))
+            begins = np.concatenate([[0], ends[:-1]])
+            held = begins + LENGTH <= len(text)
+            begins, ends = begins[held], ends[held]
+            prints += [xxhash.xxh3_128_digest(text[lo:hi]) for lo, hi in zip(begins.tolist(), (ends + (LENGTH - 1)).tolist())]
+            rows.append((*(np.full(len(ends), x, dtype=np.int64) for x in (doc, text_key, block)), begins, ends))
         if rows:
             h, g = np.frombuffer(b"".join(prints), dtype=np.uint64).reshape(-1, 2).T
-            docs, keys, blocks, begins, ends = np.array(rows, dtype=np.int64).T
+            docs, keys, blocks, begins, ends = (np.concatenate(x) for x in zip(*rows))
             later = _later(h, g, docs)
-            out = _dealt("settled", blocks[later], *(x[later] for x in (docs, keys, begins, ends)))
+            out = [("found", int(h[0] % np.uint64(parts)), _packed(*(x[later] for x in (blocks, docs, keys, begins, ends))))] if later.any() else []
             part = (h % np.uint64(parts)).astype(np.int64)
             yield _packs(out + _dealt("asked", part[~later], *(x[~later] for x in (h, g, docs, keys, blocks, begins, ends))))
 
 
 def _settle(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """Tells the blocks which of their chunks a smaller id has too."""
-    if key[0] == "settled":
-        return frame
+    if key[0] == "found":  # settled already: only to be dealt out
+        blocks, *columns = _unpacked(frame["a"].tolist(), 5)
+        return _packs(_dealt("settled", blocks, *columns))
     h, g, docs, keys, blocks, begins, ends = _unpacked(frame["a"].tolist(), 7)
     later = _later(h, g, docs)
     return _packs(_dealt("settled", blocks[later], *(x[later] for x in (docs, keys, begins, ends))))
@@ -459,21 +459,15 @@ def _contexts(texts: pd.DataFrame, told: pd.DataFrame, hot: np.ndarray, hot_grou
     Around ``hot`` anchors (sorted) the windows themselves go on, by their hash. What a smaller id of the block
     has is ``decided``.
     """
-    by_doc: dict[int, list] = {}
-    heard = told["kind"] == "told"
-    for a, b in zip(told["a"][heard], told["b"][heard]):
-        p, d = _unpack(a, b)
-        order = np.argsort(d, kind="stable")
-        p = p[order]
-        for doc, lo, hi in _spans(d[order]):
-            by_doc.setdefault(doc, []).append(p[lo:hi])
-    spans = _by_text(told["a"][~heard].tolist())
+    heard, settled = told["kind"] == "told", told["kind"] == "settled"
+    others = np.unique(_unpacked(told["a"][heard].tolist(), 2)[0]).astype(np.uint64)
+    spans = _by_text(told["a"][settled].tolist())
     windows, rows, around = [], [], []
     for doc, text_key, nth, text in _numbered(texts):
-        if doc not in by_doc:
-            continue
         found, prints = anchors(_array(text))
-        shared = _among(prints, np.sort(np.concatenate(by_doc[doc])))
+        shared = _among(prints, others)
+        if not shared.any():
+            continue
         known = np.concatenate([[0], np.cumsum(~_settled(len(text), spans.get((doc, text_key))))])
         first = np.maximum(found - (PLACES - 1), 0)
         last = np.minimum(found + 1, max(0, len(text) - LENGTH + 1))
@@ -570,6 +564,25 @@ def _asked(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return head, np.frombuffer(around, dtype=np.uint8).reshape(-1, AROUND)
 
 
+def _met(docs: np.ndarray, extent: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """For rows of bytes around anchors, as bits, the windows that a document with a smaller id has at the same place."""
+    later = _later(*_row_hashes(around, extent), docs)
+    mask = np.where(later, _whole(extent), 0)
+    rest = np.flatnonzero(~later)
+    hashes = np.zeros((2, PLACES, len(rest)), dtype=np.uint64)
+    for lo in range(0, len(rest), 2048):
+        for n, base in enumerate(_BASES):
+            hashes[n, :, lo:lo + 2048] = window_hashes(around[rest[lo:lo + 2048]], LENGTH, base).T
+    start, end = extent[rest] // 256, extent[rest] % 256
+    for back in range(PLACES):
+        # the window begins ``back`` bytes before the anchor, that is in this column
+        column = BEFORE - back
+        row = np.flatnonzero((start <= column) & (column + LENGTH <= end))
+        hit = rest[row[_later(hashes[0, column, row], hashes[1, column, row], docs[rest[row]])]]
+        mask[hit] |= np.int64(1) << np.int64(back)
+    return mask
+
+
 def _masks(key: tuple, frame: pd.DataFrame, blocks: int) -> pd.DataFrame:
     """For each anchor, as bits, the windows around it that a document with a smaller id has.
 
@@ -586,20 +599,14 @@ def _masks(key: tuple, frame: pd.DataFrame, blocks: int) -> pd.DataFrame:
         docs, nths, at, mask = _bits(docs[later], nths[later], at[later])
     else:
         (docs, nths, at, extent), around = _asked(packs)
-        later = _later(*_row_hashes(around, extent), docs)
-        mask = np.where(later, _whole(extent), 0)
-        rest = np.flatnonzero(~later)
-        hashes = np.zeros((2, PLACES, len(rest)), dtype=np.uint64)
-        for lo in range(0, len(rest), 2048):
-            for n, base in enumerate(_BASES):
-                hashes[n, :, lo:lo + 2048] = window_hashes(around[rest[lo:lo + 2048]], LENGTH, base).T
-        start, end = extent[rest] // 256, extent[rest] % 256
-        for back in range(PLACES):
-            # the window begins ``back`` bytes before the anchor, that is in this column
-            column = BEFORE - back
-            row = np.flatnonzero((start <= column) & (column + LENGTH <= end))
-            hit = rest[row[_later(hashes[0, column, row], hashes[1, column, row], docs[rest[row]])]]
-            mask[hit] |= np.int64(1) << np.int64(back)
+        mask = np.zeros(len(docs), dtype=np.int64)
+        # anchors that are equal, and some others, are looked at together
+        prefix = np.ascontiguousarray(around[:, BEFORE:BEFORE + PREFIX]).view(np.uint64)
+        some = _mixed(_mixed(prefix[:, 0]) ^ prefix[:, 1]) % np.uint64(-(-len(docs) // TOGETHER))
+        order = np.argsort(some, kind="stable")
+        for _, lo, hi in _spans(some[order]):
+            own = order[lo:hi]
+            mask[own] = _met(docs[own], extent[own], around[own])
     hit = mask != 0
     return _packs(_dealt("mask", doc_blocks(docs[hit], blocks), *(x[hit] for x in (docs, nths, at, mask))))
 
@@ -636,18 +643,21 @@ def remove_repeats(docs: DataFrame, batches: int | None = None, id_col: str = "d
 
     A byte goes if a string of ``LENGTH`` bytes over it also begins in a document with a smaller
     id; strings are judged on the input. ``spans`` lists begin and end of each removed run, ``kept`` is
-    what is left. Documents come to the index in ``batches`` (unless given, one for ``BATCH_BYTES`` and at least
-    two) by a hash of their id; as the smaller id is looked up at the end, their order does not matter.
+    what is left. Documents come to the index in ``batches`` (unless given, one for ``BATCH_BYTES``, two at
+    least and ``MOST_BATCHES`` at most) by a hash of their id; as the smaller id is looked up at the end, their order
+    does not matter.
 
     1. Chunks cut at content-defined places are hashed, with what windows starting in them reach into:
        a chunk that a smaller id has too is settled, and so are its copies however many.
-    2. The suffix levels tell every document which of its anchors others have.
+    2. The suffix levels tell every block of documents which of its anchors several documents have.
     3. For those anchors, where not all is settled, the bytes around them are grouped by anchor, and the
        smallest id found there, first of the whole surroundings, then of each window. Windows of one text
        are only met at their anchors. Around an anchor with more than ``HOT`` places the windows are grouped
        by their own hash instead, each block sending a window once; so no task holds all places of an anchor.
 
-    What is exchanged goes in packs: one compressed row for what a block sends to a part.
+    What is exchanged goes in packs: one compressed row for what a block sends to a part, or a task that has
+    gathered for ``DEAL_BYTES`` sends to a block. As their number is a product, parts and groups become larger
+    with the corpus, and batches not more than a few.
 
     Null and empty texts give zero counts and the digest of no bytes; so do null ids (whose texts are kept and
     not compared). Rows under one id, equal or not, are not repeats of each other, and each text
@@ -656,9 +666,9 @@ def remove_repeats(docs: DataFrame, batches: int | None = None, id_col: str = "d
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_bytes"))
     known = rows.filter("doc_id IS NOT NULL")
     total = known.agg(F.coalesce(F.sum(F.octet_length("_bytes")), F.lit(0))).first()[0]
-    blocks, groups = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // GROUP_BYTES))
-    batches = batches or max(2, -(-total // BATCH_BYTES))
-    levels = SuffixLevels(max(16, -(-total // PART_BYTES)), blocks)
+    blocks, groups = _number(total, BLOCK_BYTES), _number(total, GROUP_BYTES, MOST_GROUPS, GROUP_GROWTH)
+    batches = batches or min(MOST_BATCHES, max(2, _number(total, BATCH_BYTES)))
+    levels = SuffixLevels(max(16, _number(total, PART_BYTES, MOST_PARTS, PART_GROWTH)), blocks, max(16, _number(total, DEAL_BYTES * batches)))
     for i in range(batches):
         mine = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(batches)) == i)
         levels.add(mine, last=i == batches - 1)
@@ -668,16 +678,17 @@ def remove_repeats(docs: DataFrame, batches: int | None = None, id_col: str = "d
             yield pd.Series(doc_blocks(ids.to_numpy(dtype=np.int64), blocks).astype(np.int32))
 
     blocked = known.withColumn("block", F.pandas_udf(place, "int")("doc_id")).withColumn("text_key", F.xxhash64("_bytes"))
-    parts = max(16, -(-total // (CHUNK_PARTS * PART_BYTES)))
+    parts = max(16, _number(total, CHUNK_PARTS * PART_BYTES))
     chunks = blocked.mapInPandas(lambda frames: _chunks(frames, parts), _PACK)
     settled = materialise(chunks.groupBy("kind", "key").applyInPandas(_settle, _PACK), "suffix-settled").withColumnRenamed("key", "block")
 
     told = levels.found[0]
     for more in levels.found[1:]:
         told = told.unionByName(more)
-    told = told.withColumnRenamed("key", "block").unionByName(settled, allowMissingColumns=True)
+    told = told.filter("kind = 'told'").withColumnRenamed("key", "block").unionByName(settled)
     texts = blocked.select("block", "doc_id", "text_key", "_bytes").groupBy("block")
-    hot, places = levels.hot()
+    # larger groups hold more places of one anchor
+    hot, places = levels.hot(HOT * max(1, total // (groups * GROUP_BYTES)))
     hot_groups = max(1, -(-places * PLACES // WINDOWS))
 
     def around(key: tuple, block: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
