@@ -145,6 +145,14 @@ def test_messages_to_blocks_do_not_grow_with_the_frames_of_the_input(spark, monk
     assert 0 < told <= (family[0].parts + 2 * 16) * family[0].blocks
 
 
+def test_hashes_equal_in_their_upper_bits_only_are_told_apart():
+    h, docs = np.array([16, 17, 16, 17, 18], dtype=np.uint64) << np.uint64(3), np.array([1, 2, 3, 4, 0])
+    assert suffix_dedup._later(h + np.uint64(0), h, docs).tolist() == [False, False, True, True, False]
+    h = np.array([16, 17, 16, 17, 18], dtype=np.uint64)
+    assert suffix_dedup._later(h, h, docs).tolist() == [False, False, True, True, False]
+    assert suffix_dedup._later(np.zeros(5, dtype=np.int64), h, docs).tolist() == [False, False, True, True, False]
+
+
 def test_parts_and_groups_grow_where_packs_would_be_many():
     parts = [suffix_dedup._number(n << 30, 1 << 23, 256, 4) for n in (0, 1, 2, 8, 16, 64)]
     assert parts == [1, 128, 256, 256, 512, 2048]

@@ -10,11 +10,11 @@ one document has. So no pair of occurrences is ever formed: repeated strings are
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,6 +133,17 @@ def _array(value: bytes) -> np.ndarray:
     return np.frombuffer(value, dtype=np.uint8)
 
 
+_ZSTD = pa.Codec("zstd", compression_level=2)
+
+
+def _pressed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def _opened(data: bytes) -> bytes:
+    return _ZSTD.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def _pack(prints: np.ndarray, docs: np.ndarray) -> tuple[bytes, bytes]:
     """A sorted run of the index: differences of the hashes, and documents as places in a table."""
     table, place = np.unique(docs, return_inverse=True)
@@ -140,11 +151,11 @@ def _pack(prints: np.ndarray, docs: np.ndarray) -> tuple[bytes, bytes]:
     width = np.uint32 if not len(steps) or steps.max() < (1 << 32) else np.uint64
     places = place.astype(np.uint16 if len(table) <= 1 << 16 else np.uint32)
     head = np.array([len(prints), len(table), width().itemsize, places.itemsize], dtype=np.int64)
-    return zlib.compress(head.tobytes() + steps.astype(width).tobytes(), 1), zlib.compress(table.astype(np.int64).tobytes() + places.tobytes(), 1)
+    return _pressed(head.tobytes() + steps.astype(width).tobytes()), _pressed(table.astype(np.int64).tobytes() + places.tobytes())
 
 
 def _unpack(first: bytes, second: bytes) -> tuple[np.ndarray, np.ndarray]:
-    first, second = zlib.decompress(first), zlib.decompress(second)
+    first, second = _opened(first), _opened(second)
     n, size, step_bytes, place_bytes = np.frombuffer(first[:32], dtype=np.int64)
     prints = np.cumsum(np.frombuffer(first[32:], dtype=np.uint32 if step_bytes == 4 else np.uint64).astype(np.uint64), dtype=np.uint64)
     table = np.frombuffer(second[:8 * size], dtype=np.int64)
@@ -279,10 +290,10 @@ class SuffixLevels:
                 p, n = _unpacked(frame["a"].tolist(), 2)
                 np.add.at(counts, p % COUNTERS, n)
             if counts.any():
-                yield pd.DataFrame([(k, zlib.compress(x.tobytes(), 1)) for k, x in enumerate(np.split(counts, slices))], columns=["slice", "counts"])
+                yield pd.DataFrame([(k, _pressed(x.tobytes())) for k, x in enumerate(np.split(counts, slices))], columns=["slice", "counts"])
 
         def above(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(zlib.decompress(c), dtype=np.int64) for c in frame["counts"])
+            total = sum(np.frombuffer(_opened(c), dtype=np.int64) for c in frame["counts"])
             return pd.DataFrame({"counter": np.flatnonzero(total > bound) + int(key[0]) * (COUNTERS // slices)}).astype("int64")
 
         counters = runs.mapInPandas(tally, "slice int, counts binary").groupBy("slice").applyInPandas(above, "counter long").toPandas()["counter"]
@@ -331,14 +342,14 @@ def _packs(rows: list[tuple]) -> pd.DataFrame:
 
 def _packed(*columns: np.ndarray) -> bytes:
     """Columns of 64-bit numbers, the bytes of one weight together: small numbers take little."""
-    return zlib.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns), 1)
+    return _pressed(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns))
 
 
 def _unpacked(packs: list[bytes], width: int) -> np.ndarray:
     """The columns of packs, one after the other, as signed numbers."""
     out = [np.zeros((width, 0), dtype=np.int64)]
     for a in packs:
-        planes = np.frombuffer(zlib.decompress(a), dtype=np.uint8).reshape(width, 8, -1)
+        planes = np.frombuffer(_opened(a), dtype=np.uint8).reshape(width, 8, -1)
         out.append(np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64)[..., 0])
     return np.concatenate(out, axis=1)
 
@@ -460,7 +471,7 @@ def _contexts(texts: pd.DataFrame, told: pd.DataFrame, hot: np.ndarray, hot_grou
     has is ``decided``.
     """
     heard, settled = told["kind"] == "told", told["kind"] == "settled"
-    others = np.unique(_unpacked(told["a"][heard].tolist(), 2)[0]).astype(np.uint64)
+    others = np.sort(_unpacked(told["a"][heard].tolist(), 2)[0].astype(np.uint64))
     spans = _by_text(told["a"][settled].tolist())
     windows, rows, around = [], [], []
     for doc, text_key, nth, text in _numbered(texts):
@@ -500,7 +511,7 @@ def _contexts(texts: pd.DataFrame, told: pd.DataFrame, hot: np.ndarray, hot_grou
         for k, lo, hi in _spans(part[order]):
             mine = order[lo:hi]
             head = _packed(docs[mine], nths[mine], at[mine], extent[mine])
-            out.append(("asked", k, len(head).to_bytes(4, "little") + head + zlib.compress(around[mine].tobytes(), 1)))
+            out.append(("asked", k, len(head).to_bytes(4, "little") + head + _pressed(around[mine].tobytes())))
     if windows:
         h, g, docs, nths, at = (np.concatenate(x) for x in zip(*windows))
         # as with contexts, only the smallest id of the block asks the others
@@ -515,17 +526,19 @@ def _contexts(texts: pd.DataFrame, told: pd.DataFrame, hot: np.ndarray, hot_grou
 def _later(h: np.ndarray, g: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Which windows, by their two hashes, a document with a smaller id has too."""
     out = np.zeros(len(h), dtype=bool)
-    order = np.argsort(h)
-    first = h[order]
-    again = first[1:] == first[:-1]
+    # sorted by the upper bits of the hash, with the place below
+    bits = np.uint64(max(1, len(h) - 1).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    key = np.sort(h.astype(np.uint64) & ~low | np.arange(len(h), dtype=np.uint64))
+    upper = key >> bits
+    again = upper[1:] == upper[:-1]
     if not again.any():
         return out
     many = np.zeros(len(h), dtype=bool)
     many[1:] = again
     many[:-1] |= again
-    order = order[many]
-    fresh, apart = _changes(h[order]), _changes(g[order])
-    if (apart & ~fresh).any():  # equal in the first hash only
+    order, fresh = (key[many] & low).astype(np.int64), _changes(upper[many])
+    if ((_changes(h[order]) | _changes(g[order])) & ~fresh).any():  # equal in those bits only
         order = order[np.lexsort((g[order], h[order]))]
         fresh = _changes(h[order]) | _changes(g[order])
     begin, d = np.flatnonzero(fresh), docs[order]
@@ -560,7 +573,7 @@ def _asked(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Documents, texts, places and extents, and the bytes around, of packed anchors."""
     size = [int.from_bytes(a[:4], "little") for a in packs]
     head = _unpacked([a[4:4 + n] for a, n in zip(packs, size)], 4)
-    around = b"".join(zlib.decompress(a[4 + n:]) for a, n in zip(packs, size))
+    around = b"".join(_opened(a[4 + n:]) for a, n in zip(packs, size))
     return head, np.frombuffer(around, dtype=np.uint8).reshape(-1, AROUND)
 
 
