@@ -538,7 +538,10 @@ def _later(h: np.ndarray, g: np.ndarray, docs: np.ndarray) -> np.ndarray:
     many[1:] = again
     many[:-1] |= again
     order, fresh = (key[many] & low).astype(np.int64), _changes(upper[many])
-    if ((_changes(h[order]) | _changes(g[order])) & ~fresh).any():  # equal in those bits only
+    if (_changes(h[order]) & ~fresh).any():  # equal in those bits only
+        order = order[np.argsort(h[order])]
+        fresh = _changes(h[order])
+    if (_changes(g[order]) & ~fresh).any():  # equal in the first hash only
         order = order[np.lexsort((g[order], h[order]))]
         fresh = _changes(h[order]) | _changes(g[order])
     begin, d = np.flatnonzero(fresh), docs[order]
